@@ -28,7 +28,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "few_words": lambda: F.col("n_words") < 50,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
-    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "repeated_lines": lambda: (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),  # a share of very few lines says nothing
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words")),
     "few_letters": lambda: 100 * F.col("n_alpha_words") < 60 * F.col("n_words"),
 }
@@ -165,7 +165,7 @@ WITH t AS (
   SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END
          + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
          + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-         + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+         + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
          + CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END
          + CASE WHEN 100 * n_alpha_words < 60 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failed
   FROM m

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from courierlens.llm import quality_rules
+from courierlens.llm import quality_rules, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
