@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from courierlens.llm.components import connected_components
 from courierlens.llm.tables import remove, table, written
-from courierlens.llm.words import WordHashes, mix, windows
+from courierlens.llm.words import WordHashes, distinct, mix, windows
 
 #: Coordinates of the points that bounds are computed on.
 COORDINATES = 64
@@ -84,7 +84,7 @@ def leaves(h: np.ndarray, num: int, den: int) -> np.ndarray:
             out.append(keys if seed == SEEDS and not safe else keys[full])
             if safe:
                 break
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def point(h: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[list, lis
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         for at in range(0, len(ids), 128):
-            yield ids[at : at + 128].to_pylist(), [np.unique(windows(words.of(t), k)) for t in texts[at : at + 128].to_pylist()]
+            yield ids[at : at + 128].to_pylist(), [distinct(windows(words.of(t), k)) for t in texts[at : at + 128].to_pylist()]
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from courierlens.llm import ngram_jaccard, quality_rules, sentencepiece_codec, token_counts
+from courierlens.llm import decontamination, ngram_jaccard, quality_rules, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
