@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from courierlens.llm import decontamination, ngram_jaccard, quality_rules, sentencepiece_codec, token_counts
+from courierlens.llm import decontamination, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
