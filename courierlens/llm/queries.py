@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from courierlens.llm import decontamination, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from courierlens.llm import chat_format, decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_preference_format": chat_format.op6_preference_format,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
@@ -16,4 +18,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_preference_format": chat_format.OP6_SQL,
 }
