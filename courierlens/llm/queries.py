@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from courierlens.llm import chat_format, decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from courierlens.llm import chat_format, decontamination, license_scan, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
