@@ -74,8 +74,8 @@ def repeated_words(words: Column) -> Column:
     return bound(hashes, lambda h: bound(of_windows(h), covered))
 
 
-def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and the numbers that the rules look at; one pass, no shuffle."""
+def measurements(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id and the numbers that the rules look at; one pass, no shuffle. row: a column for the whole input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, WHITE_SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_WHITE))
@@ -88,8 +88,10 @@ def measurements(docs: DataFrame) -> DataFrame:
         ),
     )
     of_lines = bound(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
+    whole = [F.struct(*docs.columns).alias(row)] if row else []
     cells = docs.select(
         "doc_id",
+        *whole,
         of_words.alias("w"),
         of_lines.alias("l"),
         F.length(F.regexp_replace(text, WHITE_SPACE, "")).alias("c"),
@@ -97,14 +99,15 @@ def measurements(docs: DataFrame) -> DataFrame:
     )
     return cells.select(
         "doc_id",
+        *([row] if row else []),
         *(F.col(x).cast("long").alias(y) for x, y in (("w.n_words", "n_words"), ("c", "word_chars"), ("s", "n_symbols"), ("l.n_dup_lines", "n_dup_lines"), ("w.n_repeat_words", "n_repeat_words"), ("l.n_lines", "n_lines"), ("w.n_alpha_words", "n_alpha_words"))),
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, row: str | None = None) -> DataFrame:
     """The measurements and ``failed``: one bit for each rule that the document fails."""
     bits = sum((F.when(rule(), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0))
-    return measurements(docs).withColumn("failed", bits.cast("long"))
+    return measurements(docs, row).withColumn("failed", bits.cast("long"))
 
 
 def keeps(policy: str | tuple[str, ...], failed: str = "failed") -> Column:
@@ -112,6 +115,11 @@ def keeps(policy: str | tuple[str, ...], failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
+def kept(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of docs that pass a policy."""
+    return ledger(docs, "_row").filter(keeps(policy)).select("_row.*")
+
+
 def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of a policy: failures, and the documents that only this rule rejects.
 
