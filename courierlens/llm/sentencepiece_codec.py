@@ -162,7 +162,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str =
             col = batch.column(batch.schema.get_field_index(ids))
             for at in range(0, max(len(col), 1), 256):
                 part = col[at : at + 256]
-                rows = [None if x is None else c.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) for x in part]
+                rows = [None if not x.is_valid else c.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) for x in part]
                 yield pa.RecordBatch.from_arrays([*(x[at : at + 256] for x in batch.columns), pa.array(rows, pa.string())], [*batch.schema.names, text])
 
     return df.mapInArrow(of, schema)
