@@ -1 +1,6 @@
-"""Part of courierlens; see README.md."""
+"""All queries of the library, by name."""
+
+from courierlens.plans import relational, stats  # noqa: F401
+from courierlens.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
