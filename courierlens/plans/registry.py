@@ -26,7 +26,8 @@ def query(name: str, *inputs: str, sql: str | None = None):
 
 
 def with_fixtures(sql: str) -> str:
-    """The SQL with the fixtures that it names as common table expressions."""
+    """The SQL with the fixtures that it names as common table expressions, and R6(x) as rounding like functions.arrays.round6."""
+    sql = sql.replace("R6(", "ROUND(1.37e-9 + ")
     used = [f"{k} AS ({text})" for k, (_, text) in FIXTURES.items() if re.search(rf"\b{k}\b", sql)]
     if not used:
         return sql
