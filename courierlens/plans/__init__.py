@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from courierlens.plans import fusion, relational, stats  # noqa: F401
+from courierlens.plans import fusion, relational, stats, temporal  # noqa: F401
 from courierlens.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
