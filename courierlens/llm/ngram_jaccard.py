@@ -8,9 +8,9 @@ far apart need no comparison.
 *Directory.* Sets that are similar enough differ in at most D shingles, and D
 follows from their sizes. The coordinates are dealt into more than D blocks, so
 two such points agree on some block. A document therefore enters the leaf
-(block, counts in that block) of each of its blocks, and similar documents meet
-in a leaf. Blocks in which a document has nothing are left out; where that
-could cost the guarantee, the document is dealt again with another seed.
+(block, counts in that block) of its first D + 1 blocks that hold anything, and
+similar documents meet in a leaf. A document with too many empty blocks is
+dealt again with another seed.
 
 *Leaves.* Every member is compared with its leaf's first document, which is
 linear in the leaf and joins most copies. Leaves whose members are then still
@@ -22,8 +22,8 @@ searched in blocks, so no task holds an unbounded group.
 
 Defined results: null and wordless texts have no shingles and no links; rows
 with a null doc_id are in no pair and come out as their own row without a
-component; of repeated rows of one doc_id the longest set stands for it; other
-columns are ignored.
+component; repeated rows of one doc_id are one document that links as any of
+them does, and each comes out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from courierlens.llm.components import connected_components
 from courierlens.llm.tables import remove, table, written
 from courierlens.llm.words import WordHashes, distinct, mix, windows
 
-#: Coordinates of the points that bounds are computed on.
-COORDINATES = 64
+#: Coordinates of the points that bounds are computed on: for most sets, and for sets of LARGE shingles or more.
+COORDINATES, FINER, LARGE = 128, 1024, 4000
 #: Fine groups in a block of the directory.
 FINE = 1 << 16
 #: Members of a leaf that one search holds; larger leaves are searched in pairs of such parts.
@@ -50,45 +51,51 @@ LEAF_PART = 1500
 FANOUT = 16
 #: How often a document with too many empty blocks is dealt again before its empty blocks enter the directory too.
 SEEDS = 24
+#: Most ids (8 bytes each) that are broadcast to pick rows; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 @lru_cache(100_000)
-def level(size: int, num: int, den: int) -> tuple[int, int]:
-    """The number of blocks, and the most shingles that may differ, for pairs whose larger set has this size."""
+def level(size: int, num: int, den: int) -> int:
+    """The number of blocks for pairs whose larger set has this size: a fifth more than may differ, up to a power of two."""
     differ = 2 * size * (den - num) // (den + num)
-    m = 1
-    while differ > (0 if m == 1 else m - 2 - m // 50):
-        m = 3 if m == 1 else -(-3 * m // 2)
-    return m, differ
+    return 1 << (6 * (differ + 1) // 5).bit_length()
 
 
 def leaves(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The directory entries of a set: for its own level, and for that of the largest sets it can link to."""
+    """The directory entries of a set.
+
+    It enters the blocks of its own level, and of the level of the largest sets
+    that it can link to: the first blocks, until one more than may differ have
+    something in them. Of two sets that link, the one that stops earlier has
+    such a block that the other shares.
+    """
     n, out = len(h), []
     if not n:
         return h
-    for m, differ in {level(n, num, den)[0]: level(n, num, den)[1], level(n * den // num, num, den)[0]: None}.items():
-        if differ is None:
-            differ = level(n * den // num, num, den)[1]
+    largest = n * den // num
+    differ = (den - num) * (n + largest) // (den + num)
+    for m in {level(n, num, den), level(largest, num, den)}:
         for seed in range(SEEDS + 1):
             salt = np.uint64((m * 1000003 + seed) * 0x9E3779B97F4A7C15 % 2**64)
             with np.errstate(over="ignore"):
                 g = mix(h ^ salt)
-                block = (g % np.uint64(m)).astype(np.int64)
+                block = (g & np.uint64(m - 1)).astype(np.int64)
                 fine = mix((g >> np.uint64(40)) % np.uint64(FINE) + salt)
                 sums, counts = np.zeros(m, np.uint64), np.bincount(block, minlength=m)
                 np.add.at(sums, block, fine)
                 keys = mix(sums + mix(np.arange(m, dtype=np.uint64) ^ (salt * np.uint64(3))))
-            full = counts > 0
-            safe = m - differ - int(m - full.sum()) >= 1
-            out.append(keys if seed == SEEDS and not safe else keys[full])
-            if safe:
+            full = np.flatnonzero(counts >= (2 if seed < SEEDS // 2 else 1))  # blocks of one shingle say little
+            if len(full) > differ:
+                out.append(keys[full[: differ + 1]])
                 break
+            out.append(keys if seed == SEEDS else keys[full])
     return distinct(np.concatenate(out))
 
 
 def point(h: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(h) & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+    size = FINER if len(h) >= LARGE else COORDINATES
+    return np.minimum(np.bincount((mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size), 32767).astype(np.int16)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -107,23 +114,23 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, and the directory entries of every row."""
+    """doc_id, n, the directory entries, the point, and a digest of the set, of every row."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([leaves(s, num, den) for s in sets], pa.int64())], ["doc_id", "n", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([leaves(s, num, den) for s in sets], pa.int64()), _lists([point(s) for s in sets], pa.int16()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], ["doc_id", "n", "leaves", "point", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, leaves array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, leaves array<long>, point array<short>, digest binary")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, the sorted hashes of the set, and its point."""
+    """doc_id and the sorted hashes of the set."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets, pa.int64()), _lists([point(s) for s in sets], pa.int32())], ["doc_id", "n", "hashes", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets, pa.int64())], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, hashes array<long>, point array<int>")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, hashes array<long>")
 
 
 class Tree:
@@ -170,13 +177,14 @@ class Tree:
                     yield a, b
 
 
-def _search(members: DataFrame, num: int, den: int) -> DataFrame:
+def _search(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components from leaves that are split over components."""
     counts = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c"), F.max("component").alias("d"))
     open_leaves = counts.filter("c <> d").withColumn("parts", F.ceil(F.col("k") / LEAF_PART).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     rows = (
         members.join(open_leaves.select("leaf", "parts"), "leaf")
+        .join(points.select("doc_id", "n", "point"), "doc_id")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "component", "n", "point")
@@ -189,7 +197,8 @@ def _search(members: DataFrame, num: int, den: int) -> DataFrame:
         def found(held: list[tuple]) -> Iterator[tuple[int, int]]:
             if len({r[1] for r in held}) > 1:
                 ids = [r[0] for r in held]
-                tree = Tree(np.array([r[3] for r in held], np.int64), np.array([r[2] for r in held]), np.unique([r[1] for r in held], return_inverse=True)[1])
+                least = min(len(r[3]) for r in held)  # points of more coordinates fold onto fewer
+                tree = Tree(np.array([np.reshape(r[3], (-1, least)).sum(0) for r in held], np.int64), np.array([r[2] for r in held]), np.unique([r[1] for r in held], return_inverse=True)[1])
                 for i, j in tree.pairs(num, den):
                     pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
                     if pair not in seen:
@@ -218,16 +227,33 @@ def _search(members: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(of, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bounded by their points first, then compared by their sets."""
-    light = sets.select("doc_id", "n", "point")
-    a, b = (light.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    both = F.col("na") + F.col("nb")
+def _near(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link, and whether their sets are the same, by sizes, points and digests."""
+    a, b = (points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("digest").alias(f"d{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(a, "a").join(b, "b").filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((num + den) * bound >= num * both)).select("a", "b", "na", "nb")
+    same = F.col("da") == F.col("db")
+    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    reach = (F.size("pa") != F.size("pb")) | (F.greatest("na", "nb") > 1_000_000) | ((num + den) * bound >= num * (F.col("na") + F.col("nb")))
+    return pairs.join(a, "a").join(b, "b").filter(same | (fits & reach)).select("a", "b", same.alias("same")).distinct()
+
+
+def _verified(near: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs of _near() that link: those of the same set, and those whose sets, made anew from the texts, are similar."""
+    rest = near.filter("not same").select("a", "b")
+    ids = written(rest.select(F.col("a").alias("doc_id")).unionByName(rest.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sets = written(shingle_sets(_only(docs, ids), k), "sets")
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     common = F.size(F.array_intersect("ha", "hb"))
-    return near.join(x, "a").join(y, "b").filter((num + den) * common >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    compared = rest.join(x, "a").join(y, "b").filter((num + den) * common >= num * (F.size("ha") + F.size("hb")))
+    links = written(near.filter("same").select("a", "b").unionByName(compared.select("a", "b")), "links")
+    remove(sets)
+    return links
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with these ids; the ids are broadcast only up to BROADCAST_IDS of them."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -237,30 +263,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     k-word shingles; component_id is the smallest doc_id that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(signatures(docs, k, num, den), "signatures")
-    entries = rows.filter("doc_id is not null").select("doc_id", F.explode("leaves").alias("leaf"))
+    signed = written(signatures(docs, k, num, den), "signatures")
+    entries = signed.filter("doc_id is not null").select("doc_id", F.explode("leaves").alias("leaf"))
     first = entries.groupBy("leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("leaf", "first")
     members = written(entries.join(first, "leaf"), "members")
+    rows = written(signed.drop("leaves"), "points")
+    remove(signed)
 
     pairs = members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(docs.join(near, "doc_id", "left_semi"), k)
-    sets = written(sets.withColumn("r", F.struct("n", "hashes", "point")).groupBy("doc_id").agg(F.max("r").alias("r")).select("doc_id", "r.*"), "sets")
-    links = written(_verified(pairs, sets, num, den), "links")
+    links = _verified(written(_near(pairs, rows, num, den), "near"), docs, k, num, den)
     parts = written(connected_components(links), "parts")
 
     known = members.select("leaf", "doc_id").distinct().join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
-    points = sets.select("doc_id", "n", "point")
-    more = written(_verified(_search(known.join(points, "doc_id"), num, den), sets, num, den), "links")
+    found = written(_search(known, rows, num, den), "found")
+    more = _verified(written(_near(found, rows, num, den), "near"), docs, k, num, den)
     joined = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = written(connected_components(joined), "components")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    for done in (members, sets, links):
-        remove(done)
+    remove(members)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs without those that a link leads to from a smaller doc_id; rows with a null doc_id stay."""
+    others = jaccard_components(docs, k, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents over four-word shingles at a similarity of 0.85."""
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
