@@ -106,9 +106,8 @@ def _value(word: bytes) -> str:
     return (text.strip(_EDGES) or text).lower()
 
 
-def _rows(ids: list, texts: list, sizes: list[int] | None, wanted: np.ndarray | None, size: int) -> Iterator[tuple]:
+def _rows(ids: list, texts: list, sizes: list[int] | None, wanted: np.ndarray | None, size: int, typed: TypedWords) -> Iterator[tuple]:
     """(id, hash, place, slot values, windows of the text, words of the window) of the windows of each text."""
-    typed = TypedWords()
     for i, text in zip(ids, texts, strict=True):
         words, h, slot = canonical(text, typed)
         for s in ([min(size, len(h))] if len(h) >= MIN_ITEM_WORDS else []) if sizes is None else sizes:
@@ -128,10 +127,11 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarra
     held = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        typed = TypedWords()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = list(_rows(part.column("id").to_pylist(), part.column("text").to_pylist(), sizes, held.value if held else None, size))
+                rows = list(_rows(part.column("id").to_pylist(), part.column("text").to_pylist(), sizes, held.value if held else None, size, typed))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
@@ -163,6 +163,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     return joined.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item."""
+    found = contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names and units."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots")
