@@ -30,4 +30,4 @@ def rank(value: Column, ladder: dict[str, int]) -> Column:
 def severity_step(value: Column, steps: int = 1) -> Column:
     """A severity raised by some steps, the last one at most."""
     place = rank(value, {s: i for i, s in enumerate(SEVERITIES)})
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(place + steps, F.lit(len(SEVERITIES) - 1)) + 1)
+    return F.when(place.isNotNull(), F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(place + steps, F.lit(len(SEVERITIES) - 1)) + 1))
