@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from courierlens.plans import fusion, relational, scenes, stats, temporal, text, training  # noqa: F401
+from courierlens.plans import fusion, relational, scenes, stats, temporal, text, training, verdicts  # noqa: F401
 from courierlens.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
