@@ -13,8 +13,9 @@ similar documents meet in a leaf. A document with too many empty blocks is
 dealt again with another seed.
 
 *Leaves.* Every member is compared with its leaf's first document, which is
-linear in the leaf and joins most copies. Leaves whose members are then still
-in more than one component are searched by an R-tree over the points: nodes
+linear in the leaf and joins most copies. Where members are then still in more
+than one component, the leaves of one first document are searched together by
+an R-tree over the points: nodes
 hold coordinate maxima, a pair of nodes is entered only if its bound reaches
 the needed overlap, and nodes that lie in one component are not paired with
 themselves. Pairs that survive are verified on the sets. Large leaves are
@@ -178,18 +179,22 @@ class Tree:
 
 
 def _search(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components from leaves that are split over components."""
-    counts = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c"), F.max("component").alias("d"))
+    """Candidate pairs of different components among the members (first, doc_id, component) of leaves of one first document.
+
+    Leaves of one first document have most members in common, so they are
+    searched as one, with each member and each pair once.
+    """
+    counts = members.groupBy("first").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c"), F.max("component").alias("d"))
     open_leaves = counts.filter("c <> d").withColumn("parts", F.ceil(F.col("k") / LEAF_PART).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     rows = (
-        members.join(open_leaves.select("leaf", "parts"), "leaf")
+        members.join(open_leaves.select("first", "parts"), "first")
         .join(points.select("doc_id", "n", "point"), "doc_id")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "component", "n", "point")
+        .select("first", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "component", "n", "point")
     )
-    rows = rows.repartition(F.col("leaf"), F.col("p"), F.col("q")).sortWithinPartitions("leaf", "p", "q", "doc_id")
+    rows = rows.repartition(F.col("first"), F.col("p"), F.col("q")).sortWithinPartitions("first", "p", "q", "doc_id")
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -212,11 +217,11 @@ def _search(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
 
         key, held, pairs = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("leaf", "p", "q", "doc_id", "component", "n", "point")]
-            for leaf, p, q, *row in zip(*cols, strict=True):
-                if (leaf, p, q) != key:
+            cols = [batch.column(c).to_pylist() for c in ("first", "p", "q", "doc_id", "component", "n", "point")]
+            for first, p, q, *row in zip(*cols, strict=True):
+                if (first, p, q) != key:
                     pairs += found(held)
-                    key, held = (leaf, p, q), []
+                    key, held = (first, p, q), []
                     if len(pairs) > 50_000:
                         yield out(pairs)
                         pairs = []
@@ -274,7 +279,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = _verified(written(_near(pairs, rows, num, den), "near"), docs, k, num, den)
     parts = written(connected_components(links), "parts")
 
-    known = members.select("leaf", "doc_id").distinct().join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    known = members.select("first", "doc_id").distinct().join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
     found = written(_search(known, rows, num, den), "found")
     more = _verified(written(_near(found, rows, num, den), "near"), docs, k, num, den)
