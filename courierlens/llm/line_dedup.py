@@ -8,7 +8,7 @@ and two similar classes share a word among the first few of each. Rarity is
 the number of lines per word bucket, held in a table of fixed size whatever
 the vocabulary; any common order gives the same result.
 
-Length and position filters cut the pairs, first against the earliest class of
+Length, position and bitmap filters cut the pairs, first against the earliest class of
 each prefix word (linear in the word's classes, and enough for most copies),
 then, for classes not yet gone, against every earlier class that shares the
 word. The pairs that are left are verified on the whole sets.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.llm.quality_rules import NOT_WHITE, WHITE_SPACE
-from courierlens.llm.tables import table, written
+from courierlens.llm.tables import remove, table, written
 
 NUM, DEN = 90, 100
 #: Buckets of the rarity table.
@@ -38,29 +38,25 @@ BROADCAST_PLACES = 1_000_000
 
 
 def words_of(line: Column) -> Column:
-    """The distinct words of a line, as hashes."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), WHITE_SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    """The distinct words of a line, as hashes. Other white space is rare, and only then turned into spaces: splitting at a plain character is much faster."""
+    plain = F.when(line.rlike("[\\t\\x0B-\\r]"), F.regexp_replace(line, "[\\t\\x0B-\\r]", " ")).otherwise(line)
+    return F.array_distinct(F.array_remove(F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, words) of every line that has a word."""
+    """(doc_id, line, content) of every line that has a word."""
     each = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return each.filter(F.col("content").rlike(NOT_WHITE)).select("doc_id", "line", words_of(F.col("content")).alias("words"))
+    return each.filter(F.col("content").rlike(NOT_WHITE))
 
 
-def places_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that has a word."""
-    each = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return each.filter(F.col("content").rlike(NOT_WHITE)).select("doc_id", "line")
-
-
-def rarity(lines: DataFrame) -> Callable[[Column], Column]:
+def rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """A function of a word: its rarity tier, then the word itself, as one sortable number.
 
-    The tiers (eighths of powers of two of the lines that hold a word of the
-    bucket) are one byte for each of BUCKETS buckets.
+    The tiers (thirds of powers of two of the bucket's occurrences) are one byte
+    for each of BUCKETS buckets.
     """
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
     tiers = bytearray(BUCKETS)
     for bucket, tier in counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).collect():  # at most BUCKETS rows
         tiers[bucket] = tier
@@ -78,57 +74,70 @@ def _similar(common: Column, n: Column, m: Column, num: int, den: int) -> Column
     return common * (num + den) >= (n + m) * num
 
 
-def similar_classes(lines: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """The classes (h1, h2, doc_id, line: first place, copies), and the places of classes that an earlier one resembles."""
-    key = rarity(lines)
-    n = F.size("words")
+def classes_of(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, line, n, bits, prefix): the first place of each distinct set of words, its size, parity bits, and rarest words.
+
+    Every word turns one of the 64 bits, so two sets differ in at least as many
+    words as their bits differ.
+    """
+    key = rarity(docs)
+    lines = lines_of(docs).select("doc_id", "line", words_of(F.col("content")).alias("words"))
+    n = F.size("keys")
     prefix = F.floor(n * (den - num) / F.lit(den)).cast("int") + 1
-    in_order = lines.withColumn("keys", F.sort_array(F.transform("words", key)))
-    told = in_order.select(
-        F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), F.struct("doc_id", "line", n.cast("short").alias("n"), F.slice("keys", F.lit(1), prefix).alias("prefix")).alias("first")
-    )
-    classes = written(told.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("copies")).select("h1", "h2", "first.*", "copies"), "classes")
-    # sets so small that only equal ones are similar are classes already
-    can_differ = F.floor(F.col("n") * den / F.lit(num)) > F.col("n")
-    entries = classes.filter(can_differ).select(F.posexplode("prefix").alias("at", "w"), "doc_id", "line", "n").select("w", F.struct("doc_id", "line").alias("p"), "n", F.col("at").cast("short").alias("at"))
-
-    def near(one: str, other: str) -> Column:
-        """Length and position filters of two entries of one word."""
-        n1, n2, a1, a2 = F.col(f"{one}n").cast("int"), F.col(f"{other}n").cast("int"), F.col(f"{one}at"), F.col(f"{other}at")
-        left = F.least(n1 - a1, n2 - a2)
-        return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & _similar(left + F.least(a1, a2), n1, n2, num, den)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The later places of pairs (a: earlier, b: later) that are similar."""
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
-        places = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.line").alias("line")).unionByName(pairs.select(F.col("b.doc_id").alias("doc_id"), F.col("b.line").alias("line"))).distinct()
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    keyed = lines.select("doc_id", "line", F.sort_array(F.transform("words", key)).alias("keys"))
+    told = keyed.select(F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), F.struct("doc_id", "line", n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix")).alias("first"))
+    return told.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("first.*")
+
+
+def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The places (doc_id, line) of classes that an earlier class resembles."""
+    can_differ = F.floor(F.col("n") * den / F.lit(num)) > F.col("n")  # smaller sets are similar to equal ones only
+    entries = classes.filter(can_differ).select(F.posexplode("prefix").alias("at", "w"), "doc_id", "line", "n", "bits").select("w", "doc_id", "line", "n", "at", "bits")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of places (x earlier than y) of entries of one word that pass the length, position and bit filters."""
+        x, y = (t.select("w", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "n", "at", "bits"))) for t, s in ((x, "x"), (y, "y")))
+        n1, n2, a1, a2 = (F.col(c) for c in ("n_x", "n_y", "at_x", "at_y"))
+        before = (F.col("doc_id_x") < F.col("doc_id_y")) | ((F.col("doc_id_x") == F.col("doc_id_y")) & (F.col("line_x") < F.col("line_y")))
+        length = F.least(n1, n2) * den >= F.greatest(n1, n2) * num
+        position = _similar(F.least(n1 - a1, n2 - a2) + F.least(a1, a2), n1, n2, num, den)
+        differ = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) * (num + den) <= (n1 + n2) * (den - num)
+        return x.join(y, "w").filter(before & length & position & differ).select("doc_id_x", "line_x", "doc_id_y", "line_y").distinct()
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """The later places of those pairs whose whole sets are similar."""
+        pairs = written(pairs, "pairs")
+        places = pairs.select(F.col("doc_id_x").alias("doc_id"), F.col("line_x").alias("line")).unionByName(pairs.select(F.col("doc_id_y").alias("doc_id"), F.col("line_y").alias("line"))).distinct()
         places = written(places, "places")
         few = places.count() <= BROADCAST_PLACES
-        sets = written(lines.join(F.broadcast(places) if few else places, ["doc_id", "line"], "left_semi"), "sets")
-        x = sets.select(F.struct("doc_id", "line").alias("a"), F.col("words").alias("wa"))
-        y = sets.select(F.struct("doc_id", "line").alias("b"), F.col("words").alias("wb"))
-        common = F.size(F.array_intersect("wa", "wb"))
-        return pairs.join(x, "a").join(y, "b").filter(_similar(common, F.size("wa"), F.size("wb"), num, den)).select("b").distinct()
-
-    first = entries.groupBy("w").agg(F.min(F.struct("p", "n", "at")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    first = first.select("w", F.col("f.p").alias("a"), F.col("f.n").alias("xn"), F.col("f.at").alias("xat"))
-    met = written(entries.join(first, "w").select("w", "a", "xn", "xat", F.col("p").alias("b"), F.col("n").alias("yn"), F.col("at").alias("yat")), "met")
-    gone = written(verified(met.filter("a < b").filter(near("x", "y"))), "gone")
-    earlier = met.select("w", F.col("b").alias("a"), F.col("yn").alias("xn"), F.col("yat").alias("xat"))
-    later = met.filter("a < b").select("w", "b", "yn", "yat").join(gone, "b", "left_anti")
-    rest = verified(earlier.join(later, "w").filter("a < b").filter(near("x", "y")))
-    out = written(gone.unionByName(rest).select("b.doc_id", "b.line").distinct(), "similar")
-    return classes, out
+        picked = lines_of(docs).join(F.broadcast(places) if few else places, ["doc_id", "line"], "left_semi")
+        sets = written(picked.select("doc_id", "line", words_of(F.col("content")).alias("words")), "sets")
+        joined = pairs
+        for s in "xy":
+            joined = joined.join(sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "words"))), [f"doc_id_{s}", f"line_{s}"])
+        common = F.size(F.array_intersect("words_x", "words_y"))
+        out = written(joined.filter(_similar(common, F.size("words_x"), F.size("words_y"), num, den)).select(F.col("doc_id_y").alias("doc_id"), F.col("line_y").alias("line")).distinct(), "later")
+        for done in (pairs, places, sets):
+            remove(done)
+        return out
+
+    first = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line", "n", "at", "bits")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "f.*", "k")
+    gone = later(met(first, entries))
+    # of a word with two classes nothing is left to compare
+    crowded = written(entries.join(first.filter("k > 2").select("w"), "w"), "crowded")
+    rest = later(met(crowded, crowded.join(gone, ["doc_id", "line"], "left_anti")))
+    remove(crowded)
+    return gone.unionByName(rest).distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, line) of every line that an earlier line equals or resembles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = lines_of(docs)
-    classes, similar = similar_classes(lines, num, den)
-    kept = classes.join(similar, ["doc_id", "line"], "left_anti").select("doc_id", "line")
-    removed = places_of(docs).join(kept, ["doc_id", "line"], "left_anti")
-    return removed.distinct()
+    classes = written(classes_of(docs, num, den), "classes")
+    kept = written(classes.join(similar_classes(docs, classes, num, den), ["doc_id", "line"], "left_anti").select("doc_id", "line"), "kept")
+    remove(classes)
+    return lines_of(docs).select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti").distinct()
 
 
 def deduplicated(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
