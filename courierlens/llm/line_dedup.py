@@ -53,17 +53,22 @@ def rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """A function of a word: its rarity tier, then the word itself, as one sortable number.
 
     The tiers (thirds of powers of two of the bucket's occurrences) are one byte
-    for each of BUCKETS buckets.
+    for each of BUCKETS buckets. Words are counted as they are written, since
+    only the order needs them.
     """
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+
+    def bucket_of(w: Column) -> Column:
+        return w.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).count()
     tiers = bytearray(BUCKETS)
     for bucket, tier in counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).collect():  # at most BUCKETS rows
         tiers[bucket] = tier
     held = F.lit(bytes(tiers))
 
     def key(w: Column) -> Column:
-        tier = F.ascii(F.substr(held, F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+        tier = F.ascii(F.substr(held, bucket_of(w) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(tier.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
     return key
