@@ -6,7 +6,11 @@ windows of canonical words of documents and benchmark items are hash-joined, so
 a question whose numbers or names were changed still matches. Matches of one
 document and item on one diagonal are then held to slot consistency: each value
 of the item must stand for one value of the document throughout. Windows with
-too few literal words are not joined, since placeholders alone say nothing.
+too few literal words are not joined as templates, since placeholders alone say
+nothing. Types depend on the text around a word (in capitals everything looks
+like a name), so every window is also joined as its plain words, whatever their
+case; these places need no values, and count on every diagonal whose templates
+are consistent.
 
 The hashes of the item windows go to the tasks only if they number at most
 ``BROADCAST_WINDOWS``, so that documents send only windows that can join; above
@@ -59,14 +63,14 @@ class TypedWords(WordHashes):
             self.clear()
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGES) or text
-        low = core.lower()
+        low = core.casefold()
         flags = 1 * bool(_NUMBER.match(core) or low in NUMBER_WORDS) | 2 * (low in UNITS) | 4 * core[:1].isupper() | 8 * (text.rstrip("\"')]»”’")[-1:] in ".!?:")
         self[word] = value = xxhash.xxh3_64_intdigest(low) & ~15 | flags
         return value
 
 
 def canonical(text: str | None, typed: TypedWords) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of a text, the hash of each canonical word, and its slot type (0: literal)."""
+    """The words of a text, the hash of each in lower case, and its slot type (0: literal)."""
     text = text or ""
     if any(c in text for c in "0123456789"):
         text = _GLUED.sub(" ", text)
@@ -83,44 +87,58 @@ def canonical(text: str | None, typed: TypedWords) -> tuple[list[bytes], np.ndar
         small = h[~capital]
         names = names[~member(names, distinct(small[member(small, names)]))]
         slot[member(h, names) & capital & (slot == 0)] = NAME
-    return words, np.where(slot > 0, slot.astype(np.uint64), h), slot
+    return words, h, slot
 
 
-def template_windows(h: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of this size, and where they start; at least half of a window's words are literal."""
+def _window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
-    if n <= 0:
-        return np.array([], np.uint64), np.array([], np.int64)
-    out, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
+        mixed, out = mix(h), np.zeros(n, np.uint64)
         for i in range(size):
-            out += mix(h[i : i + n]) * multiplier(i)
-            literal += slot[i : i + n] == 0
-        out = mix(out + np.uint64(size))
-    at = np.flatnonzero(2 * literal >= size)
-    return out[at], at
+            out += mixed[i : i + n] * multiplier(i)
+        return mix(out + np.uint64(size))
+
+
+def item_windows(plain: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Hashes of the windows of this size, where they start, which are templates with slots; how many can be templates, and how many windows there are.
+
+    A template has literal words for at least half of its words. A window
+    without slots is a template and plain words in one.
+    """
+    n = len(plain) - size + 1
+    if n <= 0:
+        return np.array([], np.uint64), np.array([], np.int64), np.array([], bool), 0, 0
+    slots = np.concatenate(([0], np.cumsum(slot > 0)))
+    slots = slots[size:] - slots[:-size]
+    keys, at, typed = _window_hashes(plain, size), np.arange(n), np.zeros(n, bool)
+    template = 2 * slots <= size
+    with_slots = np.flatnonzero(template & (slots > 0))
+    if len(with_slots):
+        keys = np.concatenate((keys, _window_hashes(np.where(slot > 0, slot.astype(np.uint64), plain), size)[with_slots]))
+        at, typed = np.concatenate((at, with_slots)), np.concatenate((typed, np.ones(len(with_slots), bool)))
+    return keys, at, typed, int(template.sum()), n
 
 
 def _value(word: bytes) -> str:
     text = word.decode("utf-8", "replace")
-    return (text.strip(_EDGES) or text).lower()
+    return (text.strip(_EDGES) or text).casefold()
 
 
 def _rows(ids: list, texts: list, sizes: list[int] | None, wanted: np.ndarray | None, size: int, typed: TypedWords) -> Iterator[tuple]:
-    """(id, hash, place, slot values, windows of the text, words of the window) of the windows of each text."""
+    """(id, hash, place, slot values, whether the place can be a template, templates and windows of the text, words of the window) of the windows of each text."""
     for i, text in zip(ids, texts, strict=True):
         words, h, slot = canonical(text, typed)
         for s in ([min(size, len(h))] if len(h) >= MIN_ITEM_WORDS else []) if sizes is None else sizes:
-            keys, at = template_windows(h, slot, s)
-            total = len(keys)
+            keys, at, slotted, templates, total = item_windows(h, slot, s)
             if wanted is not None:
                 hit = member(keys, wanted)
-                keys, at = keys[hit], at[hit]
-            for key, p in zip(keys.view(np.int64).tolist(), at.tolist(), strict=True):
-                yield i, key, p, [_value(words[p + j]) for j in np.flatnonzero(slot[p : p + s])], total, s
+                keys, at, slotted = keys[hit], at[hit], slotted[hit]
+            for key, p, t in zip(keys.view(np.int64).tolist(), at.tolist(), slotted.tolist(), strict=True):
+                places = np.flatnonzero(slot[p : p + s])
+                yield i, key, p, [_value(words[p + j]) for j in places] if t else [], 2 * len(places) <= s, templates, total, s
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("total", pa.int32()), ("size", pa.int32())])
+_SCHEMA = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("template", pa.bool_()), ("templates", pa.int32()), ("total", pa.int32()), ("size", pa.int32())])
 
 
 def _windows(df: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarray | None, size: int) -> DataFrame:
@@ -136,31 +154,35 @@ def _windows(df: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
     picked = df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null")
-    return picked.mapInArrow(of, "id long, h long, place int, slots array<string>, total int, size int")
+    return picked.mapInArrow(of, "id long, h long, place int, slots array<string>, template boolean, templates int, total int, size int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_slots) of items found in documents.
 
     coverage is the share of the item's windows that lie on diagonals with
-    consistent slots.
+    consistent slots: of those that can be templates or of all, whichever is
+    more; n_windows and n_matched count the same ones.
     """
     items = _windows(benchmark, "item_id", None, None, window)
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most the window's length of them
     hashes = items.select("h").distinct().limit(broadcast_windows + 1).toPandas()["h"].to_numpy() if broadcast_windows else None
     few = hashes is not None and len(hashes) <= broadcast_windows
     found = _windows(docs, "doc_id", sizes, np.sort(hashes.view(np.uint64)) if few else None, window)
-    item = items.select(F.col("id").alias("item_id"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("total").alias("n_windows"))
+    item = items.select(F.col("id").alias("item_id"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "template", "templates", "total")
     met = (
         found.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), "slots")
         .join(item, "h")
         .withColumn("diagonal", F.col("doc_place") - F.col("item_place"))
-        .select("doc_id", "item_id", "diagonal", "item_place", "n_windows", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
+        .select("doc_id", "item_id", "diagonal", F.struct("item_place", "template").alias("at"), "templates", "total", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
     )
-    places = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_place").alias("places"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    places = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("at").alias("places"), F.max("templates").alias("templates"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    joined = places.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
-    return joined.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+    joined = places.filter(consistent).groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("templates").alias("templates"), F.max("total").alias("total"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    counted = joined.withColumn("in_templates", F.size(F.filter("places", lambda x: x["template"]))).withColumn("in_all", F.size("places"))
+    by_templates = (F.col("templates") > 0) & (F.col("in_templates").cast("long") * F.col("total") >= F.col("in_all").cast("long") * F.col("templates"))
+    counts = counted.select("doc_id", "item_id", "n_slots", *(F.when(by_templates, F.col(x)).otherwise(F.col(y)).cast("long").alias(n) for x, y, n in (("in_templates", "in_all", "n_matched"), ("templates", "total", "n_windows"))))
+    return counts.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

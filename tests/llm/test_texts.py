@@ -122,6 +122,18 @@ def test_benchmark_items_with_other_values(spark):
     assert {g.doc_id for g in decontamination.clean(docs, items).collect()} == {2, 3, 4, 5, None}
 
 
+def test_benchmark_items_copied_in_any_case(spark):
+    item = "Yesterday Tom bought 12 apples and gave 5 of them to his friend Anna, so how many kg apples does Tom have left now?"
+    names, numbers = "So Anna Beth Carl Dora Emil Finn Gina Hugo met Ivan and Jane Kurt", "one 2 three 4 5 6 seven 8 nine 10"
+    sharp = "die große Straße ist weiß und heißt nach dem alten Maß"
+    texts = [f"x y {t} z w" for i in (item, names, numbers, sharp) for t in (i, i.upper(), i.lower())]
+    docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(texts)], SCHEMA)
+    items = spark.createDataFrame(list(enumerate((item, names, numbers, sharp))), "item_id long, text string")
+    for bound in (decontamination.BROADCAST_WINDOWS, 0):
+        got = {(g.doc_id, g.item_id): g.coverage for g in decontamination.contaminated(docs, items, broadcast_windows=bound).collect()}
+        assert got == {(i, i // 3): 1.0 for i in range(len(texts))}
+
+
 def test_licenses(spark):
     notice = license_scan.TEMPLATES["mit"]
     changed = notice.replace("free of charge, ", "").replace("copies of the Software, and", "copies, and")
