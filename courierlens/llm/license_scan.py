@@ -10,7 +10,9 @@ Only (text, template) pairs that can reach the wanted coverage are aligned: a
 template's rarest words (the longest ones) that make up more than the share
 that may be missing are its keys, so a text without any of them cannot reach
 it. Texts are read whole, in the part between the first and last key and as far
-around it as the template is long.
+around it as the template is long. Where that gives too little, since repeats
+hide the anchors, a longest common subsequence is taken around each place where
+a key puts the start of a notice; it needs no anchors.
 
 Defined results: null, empty and wordless texts match nothing; rows with null
 ids are scanned and keep the null; repeated rows are scanned each; equal
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -105,6 +108,25 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(masks: dict[str, int], n: int, b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, by bit rows; masks: the places of each word among the n words of the other side."""
+    rows, v, full = [], (1 << n) - 1, (1 << n) - 1
+    for w in b:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out, i, j = [], n, len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 class Template:
     """A template's words, and the keys of which a text must hold one to reach the coverage."""
 
@@ -116,6 +138,8 @@ class Template:
             if sum(x in self.keys for x in self.words) > may_miss:
                 break
             self.keys.add(w)
+        self.masks = {w: sum(1 << i for i, x in enumerate(self.words) if x == w) for w in self.words}
+        self.places = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.keys}
 
 
 def scan(text: str, templates: list[Template], coverage: float) -> Iterator[tuple[str, float, int, int]]:
@@ -138,11 +162,48 @@ def scan(text: str, templates: list[Template], coverage: float) -> Iterator[tupl
                 share = max(share, len(pairs) / len(t.words))
                 if share >= coverage:
                     break
+        if share < coverage:
+            share, lo, pairs = _around_keys(words, at, t, coverage)
         if share >= coverage and pairs:
             inner = [j for _, j in pairs]
             yield t.name, share, found[lo + inner[0]][1], found[lo + inner[-1]][2]
 
 
+def _around_keys(words: list[str], at: list[int], t: Template, coverage: float) -> tuple[float, int, list[tuple[int, int]]]:
+    """The longest common subsequence (share, offset, pairs) in ranges of the template's length and twice that, where a key of the text meets that key of the template."""
+    n = len(t.words)
+    starts = sorted({i - k for i in at for k in t.places[words[i]]})
+    enough = _overlaps(words, t.words, 2 * n)
+    best: tuple[float, int, list[tuple[int, int]]] = (0.0, 0, [])
+    for start in starts:
+        wide = max(0, start - n // 2)
+        if enough[wide] < coverage * n:
+            continue
+        for lo, hi in ((max(0, start), min(len(words), start + n)), (wide, min(len(words), start + n + n // 2))):
+            pairs = common(t.masks, n, words[lo:hi])
+            if len(pairs) / n > best[0]:
+                best = len(pairs) / n, lo, pairs
+        if best[0] == 1.0:
+            break
+    return best
+
+
+def _overlaps(words: list[str], wanted: list[str], size: int) -> list[int]:
+    """How many wanted words, each as often as it is wanted, stand in the range of this size from each place on."""
+    limit, have, n, out = Counter(wanted), Counter[str](), 0, []
+    for i in range(-size, len(words)):
+        if i + size < len(words):
+            w = words[i + size]
+            have[w] += 1
+            n += have[w] <= limit[w]
+        if i >= 0:
+            out.append(n)
+            w = words[i]
+            n -= have[w] <= limit[w]
+            have[w] -= 1
+    return out
+
+
 def _groups(at: list[int], gap: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for i in at:

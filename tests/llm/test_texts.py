@@ -144,6 +144,22 @@ def test_licenses(spark):
     assert got[0, "mit"].coverage == 1.0 and texts[0][got[0, "mit"].start : got[0, "mit"].end].startswith("Permission is hereby")
 
 
+def test_repeated_licenses(spark):
+    gap = words(random.Random(3), 40)
+    texts = {}
+    for i, t in enumerate(license_scan.TEMPLATES.values()):
+        cut = " ".join(t.split(" ")[1:])
+        texts |= {10 * i: t, 10 * i + 1: f"foo bar {t} {t} baz qux", 10 * i + 2: f"{t}\n{gap}\n{t}\n{gap}\n{t}", 10 * i + 3: f"{cut} {t} {cut}", 10 * i + 4: f"{' '.join(reversed(t.split(' ')))} {t} {' '.join(sorted(t.split(' ')))}"}
+    found = {}
+    for g in license_scan.licenses(spark.createDataFrame([(i, t, *[None] * 6) for i, t in texts.items()], SCHEMA)).collect():
+        found.setdefault(g.doc_id, {})[g.license] = g
+    for i, name in enumerate(license_scan.TEMPLATES):
+        for k in range(5):
+            assert found[10 * i + k][name].coverage >= license_scan.COVERAGE, (name, k)
+    line = found[10 * list(license_scan.TEMPLATES).index("mit-line") + 1]["mit-line"]
+    assert line.coverage == 1.0 and (line.start, line.end) == (8, 8 + len("Released under the MIT License"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=14))
 def test_alignment_is_increasing_and_of_equal_words(a, b):
@@ -152,6 +168,19 @@ def test_alignment_is_increasing_and_of_equal_words(a, b):
     assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=12))
+def test_common_words_are_the_most(a, b):
+    pairs = license_scan.common({w: sum(1 << i for i, x in enumerate(a) if x == w) for w in a}, len(a), b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) == best[-1][-1]
+
+
 @given(st.lists(st.integers(0, 30), max_size=12))
 def test_increasing_runs_are_longest(values):
     run = license_scan.increasing(values)
