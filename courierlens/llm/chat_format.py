@@ -24,6 +24,8 @@ from courierlens.llm.tables import table
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: Conversation ids of one block, in which replies are swapped.
 BLOCK = 1024
+#: About how many conversations that are alone in their block swap replies together.
+LONE_GROUP = 512
 
 
 def conversations_of(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -82,17 +84,40 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
     The rejected side has its last assistant turn replaced by that of another
     conversation, which makes a fluent reply that does not fit: of the next one
     among those of one block of ``BLOCK`` ids, and for a block's last one, of
-    its first. A conversation without an assistant, or alone in its block,
-    gives no pair.
+    its first. Conversations alone in their block swap in the same way in
+    groups by a hash of their id, and one that is alone there too takes the
+    reply of the table's first conversation, or of its last one if it is the
+    first itself. A conversation without an assistant gives no pair, nor does
+    the only one of a table.
     """
+    block = F.floor(F.col("conv_id") / BLOCK)
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
-    having = conversations_of(turns).withColumn("at", last).filter("at is not null")
-    replied = having.withColumn("reply", F.get("turns", F.col("at"))["text"]).withColumn("block", F.floor(F.col("conv_id") / BLOCK))
-    within = Window.partitionBy("block").orderBy("conv_id")
-    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = replied.withColumn("other", F.coalesce(F.lead("reply").over(within), F.first("reply").over(whole))).withColumn("n", F.count(F.lit(1)).over(whole)).filter("n > 1")
+
+    def replied(rows: DataFrame) -> DataFrame:
+        having = conversations_of(rows).withColumn("at", last).filter("at is not null")
+        return having.withColumn("reply", F.get("turns", F.col("at"))["text"])
+
+    def next_of(rows: DataFrame, key: str) -> DataFrame:
+        within = Window.partitionBy(key).orderBy("conv_id")
+        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        other = F.coalesce(F.lead("reply").over(within), F.first("reply").over(whole))
+        return rows.withColumn("other", other).withColumn("n", F.count(F.lit(1)).over(whole))
+
+    ids = turns.filter("conv_id is not null and role = 'assistant'").select("conv_id").distinct()
+    n_lone = ids.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").agg(F.count(F.lit(1)).alias("n")).scalar()
+    first, final = (ids.agg(f("conv_id").alias("c")).scalar() for f in (F.min, F.max))
+    ends = replied(turns.filter((F.col("conv_id") == first) | (F.col("conv_id") == final)))
+    start, end = (ends.agg(f(F.struct("conv_id", "reply")).alias("e")).scalar() for f in (F.min, F.max))
+
+    in_blocks = next_of(replied(turns).withColumn("block", block), "block")
+    groups = F.greatest(F.lit(1), F.floor(n_lone / LONE_GROUP))
+    in_groups = next_of(in_blocks.filter("n = 1").withColumn("block", F.pmod(F.xxhash64("conv_id"), groups)), "block")
+    elsewhere = F.when(F.col("conv_id") == start["conv_id"], end["reply"]).otherwise(start["reply"])
+    alone = in_groups.filter((F.col("n") > 1) | (start["conv_id"] != end["conv_id"])).withColumn("other", F.when(F.col("n") > 1, F.col("other")).otherwise(elsewhere))
+
     turned = F.transform("turns", lambda t, i: F.when(i == F.col("at"), F.struct(t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
-    return other.select("conv_id", F.col("turns").alias("chosen"), turned.alias("rejected"))
+    pair = ("conv_id", F.col("turns").alias("chosen"), turned.alias("rejected"))
+    return in_blocks.filter("n > 1").select(*pair).unionByName(alone.select(*pair))
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,3 +204,23 @@ def test_preference_pairs(spark):
     assert [g.chosen_completion[s.start : s.end] for s in g.chosen_spans] == ["good<|end|>\n", "<|end|>\n"]
     assert got[2].n_common == 1 and got[2].chosen_completion == "" and got[2].chosen_spans == []
     assert chat_format.swapped_replies(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_every_conversation_gives_a_pair(spark):
+    schema = "conv_id long, turn int, role string, text string"
+
+    def pairs(ids):
+        rows = [x for i in ids for x in ((i, 0, "user", "q"), (i, 1, "assistant", f"r{i}"))]
+        df = spark.createDataFrame([*rows, (7, 0, "user", "no reply"), (None, 0, "assistant", "x")], schema)
+        got = chat_format.swapped_replies(df).collect()
+        assert all(g.chosen[1].text == f"r{g.conv_id}" for g in got)
+        assert len(got) == len({g.conv_id for g in got})
+        return {g.conv_id: g.rejected[1].text for g in got}
+
+    sparse = [i * 1_000_003 - 2**40 for i in range(1500)]
+    for ids in (range(10, 1036), [-5, *range(1024, 1030)], [3, 5000], [0, 1, 5000, 9000, 9001, -(2**62), 2**62], sparse):
+        got = pairs(ids)
+        assert set(got) == set(ids)
+        assert all(reply != f"r{i}" and reply[1:] and int(reply[1:]) in set(ids) for i, reply in got.items())
+    assert pairs([5]) == {} == pairs([])
+    assert pairs([0, 1, 2, 1024])[2] == "r0" and pairs([0, 1, 2, 1024])[1024] == "r0"
