@@ -157,9 +157,37 @@ def external_ip(received: Column) -> Column:
     return F.get(F.filter(found, lambda ip: ~ip.rlike(PRIVATE)), F.lit(0))
 
 
-def disposition(verdicts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(session_id, rule_id, action): rules whose every condition holds; an empty list means any. Rules are few and are broadcast."""
-    v, r = verdicts.alias("v"), F.broadcast(rules.limit(10_000)).alias("r")
-    any_of = lambda have, want: (F.size(want) == 0) | F.arrays_overlap(have, want)
-    holds = (F.col("v.level_rank") >= F.col("r.min_rank")) & any_of(F.col("v.categories"), F.col("r.categories")) & any_of(F.col("v.modules"), F.col("r.modules")) & ((F.size("r.directions") == 0) | F.array_contains(F.col("r.directions"), F.col("v.direction")))
-    return v.join(r, holds).select("v.session_id", "r.rule_id", "r.priority", "r.action")
+def disposition(verdicts: DataFrame, rules: DataFrame, most: int = 10_000, salts: int = 64) -> DataFrame:
+    """(session_id, rule_id, action): rules whose every condition holds; an empty list means any.
+
+    Up to ``most`` rules are broadcast. More are joined by one key per listed
+    category, module and direction, or any; keys without a category and a module
+    are few, and so are dealt over ``salts``.
+    """
+    out = ("v.session_id", "r.rule_id", "r.priority", "r.action")
+    if rules.limit(most + 1).count() <= most:
+        v, r = verdicts.alias("v"), F.broadcast(rules).alias("r")
+        any_of = lambda have, want: (F.size(want) == 0) | F.arrays_overlap(have, want)
+        holds = (F.col("v.level_rank") >= F.col("r.min_rank")) & any_of(F.col("v.categories"), F.col("r.categories")) & any_of(F.col("v.modules"), F.col("r.modules")) & ((F.size("r.directions") == 0) | F.array_contains(F.col("r.directions"), F.col("v.direction")))
+        return v.join(r, holds).select(*out)
+    anything = F.array(F.lit(""))
+    marked = lambda values: F.transform(F.array_distinct(F.array_compact(values)), lambda x: F.concat(F.lit("="), x))
+    wanted = lambda c: F.when(F.size(c) == 0, anything).otherwise(marked(F.col(c)))
+    had = lambda values: F.concat(anything, F.coalesce(marked(values), F.array().cast("array<string>")))
+    wide = (F.col("c") == "") & (F.col("m") == "")
+
+    def keyed(df: DataFrame, **lists: Column) -> DataFrame:
+        for name, values in lists.items():
+            df = df.withColumn(f"{name}s", values).withColumn(name, F.explode(f"{name}s"))
+        return df
+
+    v = keyed(verdicts, c=had(F.col("categories")), m=had(F.col("modules")), d=had(F.array("direction")))
+    v = v.withColumn("salt", F.when(wide, F.pmod(F.xxhash64("session_id"), F.lit(salts))).otherwise(0).cast("long"))
+    r = keyed(rules, c=wanted("categories"), m=wanted("modules"), d=wanted("directions"))
+    r = r.withColumn("salt", F.explode(F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    v, r = v.alias("v"), r.alias("r")
+    # of several keys that a verdict and a rule share, one counts
+    same = F.col("v.salt") == F.col("r.salt")
+    for k in ("c", "m", "d"):
+        same &= (F.col(f"v.{k}") == F.col(f"r.{k}")) & (F.col(f"r.{k}") == F.get(F.array_intersect(f"r.{k}s", f"v.{k}s"), F.lit(0)))
+    return v.join(r.hint("shuffle_merge"), same & (F.col("v.level_rank") >= F.col("r.min_rank"))).select(*out)

@@ -38,6 +38,19 @@ def test_relay_gaps(spark):
     assert {r.session_id: r.gap for r in relational.relay_gaps(second, first).collect()} == {12: "same_envelope_other_id", 13: "none", 14: "none"}
 
 
+def test_many_rules_all_count(spark):
+    lists = [[], ["a"], ["b", "a"], ["a", "b", "c"], ["a", None], None]
+    verdicts = spark.createDataFrame([(i, i % 4, c, m, d) for i, (c, m, d) in enumerate((c, m, d) for c in lists for m in lists for d in ("inbound", "outbound", None))] + [(0, 0, [], [], "inbound")], "session_id long, level_rank int, categories array<string>, modules array<string>, direction string")
+    kinds = [(c, m, d) for c in lists for m in lists for d in ([], ["inbound"], ["outbound", "inbound"])]
+    schema = "rule_id int, priority int, min_rank int, categories array<string>, modules array<string>, directions array<string>, action string"
+    rules = spark.createDataFrame([(i, i, i % 3, *k, "log") for i, k in enumerate(kinds)] + [(0, 0, 0, [], [], [], "log")], schema)
+    few, many = (sorted(map(tuple, relational.disposition(verdicts, rules, **k).collect())) for k in ({}, {"most": 10}))
+    assert few == many and len(few) > 1000
+    beyond = spark.range(10_050).selectExpr("cast(id as int) rule_id", "0 priority", "0 min_rank", "array('a') categories", "cast(array() as array<string>) modules", "array('inbound') directions", "'log' action")
+    one = spark.createDataFrame([(1, 0, ["a"], [], "inbound")], verdicts.schema)
+    assert relational.disposition(one, beyond).count() == 10_050
+
+
 def test_rules_and_addresses(spark):
     verdicts = spark.createDataFrame([(1, 3, ["phishing"], ["m"], "inbound"), (2, 1, [], [], "outbound")], "session_id long, level_rank int, categories array<string>, modules array<string>, direction string")
     rules = spark.createDataFrame([(1, 10, 2, ["phishing"], [], [], "quarantine"), (2, 20, 0, [], [], ["outbound"], "log"), (3, 30, 3, ["malware"], [], [], "block")], "rule_id int, priority int, min_rank int, categories array<string>, modules array<string>, directions array<string>, action string")
