@@ -77,11 +77,15 @@ def last_known(rows: DataFrame, key: str, value: str, order: str, id_: str, seco
 
 def hops(sessions: DataFrame, seconds: int = 180) -> DataFrame:
     """(session_id, next_id): relay hops from a server onwards, of the same envelope, soon after."""
+    return _timed_hops(sessions, seconds).drop("started_at")
+
+
+def _timed_hops(sessions: DataFrame, seconds: int) -> DataFrame:
     a = sessions.select("session_id", "server_ip", "mail_from", "recipients", "started_at")
     b = sessions.select(F.col("session_id").alias("next_id"), F.col("client_ip").alias("ip"), F.col("mail_from").alias("f2"), F.col("recipients").alias("r2"), F.col("started_at").alias("t2"))
     same = (F.col("server_ip") == F.col("ip")) & F.col("mail_from").eqNullSafe(F.col("f2")) & F.col("recipients").eqNullSafe(F.col("r2"))
     soon = (F.col("t2") >= F.col("started_at")) & (F.col("t2") <= F.col("started_at") + F.make_dt_interval(secs=F.lit(seconds))) & (F.col("next_id") != F.col("session_id"))
-    return a.join(b, same & soon).select("session_id", "next_id", F.col("t2").alias("next_at"))
+    return a.join(b, same & soon).select("session_id", "started_at", "next_id", F.col("t2").alias("next_at"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -96,10 +100,10 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
     """(session_id, terminal_id): where a message's hops end, taking the earliest next hop and visiting no session twice.
 
     Doubling: each round replaces the hop by the hop's hop, so ``rounds``
-    covers chains of 2**rounds hops; hops go forward in time or id, so there
-    are no cycles.
+    covers chains of 2**rounds hops; hops go forward in time, or in id at one
+    time, so there are no cycles.
     """
-    onward = hops(sessions, seconds).filter("next_id > session_id").groupBy("session_id").agg(F.min(F.struct("next_at", "next_id")).alias("n")).select("session_id", F.col("n.next_id").alias("to"))
+    onward = _timed_hops(sessions, seconds).filter("next_at > started_at or next_id > session_id").groupBy("session_id").agg(F.min(F.struct("next_at", "next_id")).alias("n")).select("session_id", F.col("n.next_id").alias("to"))
     at = sessions.select("session_id").join(onward, "session_id", "left").select("session_id", F.coalesce("to", "session_id").alias("to"))
     for _ in range(rounds):
         ahead = at.select(F.col("session_id").alias("to"), F.col("to").alias("further"))

@@ -31,6 +31,13 @@ def test_hops_end_at_the_last_delivery(spark):
     assert {r.session_id: r.terminal_id for r in relational.terminal_hop(df).collect()} == {1: 3, 2: 3, 3: 3, 4: 4, 5: 5, 6: 7, 7: 7}
 
 
+def test_hops_end_at_the_last_delivery_whatever_the_ids(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = [(9, "a", "b", "f", ["r"], at(0)), (4, "b", "c", "f", ["r"], at(60)), (2, "c", "d", "f", ["r"], at(120)), (5, "p", "q", "f", ["r"], at(0)), (6, "q", "p", "f", ["r"], at(0))]
+    df = spark.createDataFrame(rows, "session_id long, client_ip string, server_ip string, mail_from string, recipients array<string>, started_at timestamp")
+    assert {r.session_id: r.terminal_id for r in relational.terminal_hop(df).collect()} == {9: 2, 4: 2, 2: 2, 5: 6, 6: 6}
+
+
 def test_relay_gaps(spark):
     schema = "session_id long, message_id string, mail_from string, recipients array<string>, started_at timestamp"
     first = spark.createDataFrame([(1, "m1", "f", ["A", "b"], at(0)), (2, "m2", "f", ["x"], at(0))], schema)
