@@ -6,13 +6,13 @@ greatest event time, never the clock.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierlens.schemas import severity_step, threat_level
+from courierlens.shared import cut
 
 DAY = "INTERVAL 24 HOURS"
 
@@ -88,14 +88,6 @@ def _timed_hops(sessions: DataFrame, seconds: int) -> DataFrame:
     return a.join(b, same & soon).select("session_id", "started_at", "next_id", F.col("t2").alias("next_at"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed into the shared folder that the cluster names; a local one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
-
-
 def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> DataFrame:
     """(session_id, terminal_id): where a message's hops end, taking the earliest next hop and visiting no session twice.
 
@@ -107,7 +99,7 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
     at = sessions.select("session_id").join(onward, "session_id", "left").select("session_id", F.coalesce("to", "session_id").alias("to"))
     for _ in range(rounds):
         ahead = at.select(F.col("session_id").alias("to"), F.col("to").alias("further"))
-        following = _cut(at.join(ahead, "to").select("session_id", F.col("further").alias("to")))
+        following = cut(at.join(ahead, "to").select("session_id", F.col("further").alias("to")))
         moved = following.join(at.withColumnRenamed("to", "was"), "session_id").filter("to <> was").limit(1).count()
         at = following
         if not moved:
