@@ -5,26 +5,37 @@ and a document is the point of its group counts: the sum of coordinate minima
 of two points is at least the size of their common set, so points that are too
 far apart need no comparison.
 
-*Directory.* Sets that are similar enough differ in at most D shingles, and D
-follows from their sizes. The coordinates are dealt into more than D blocks, so
-two such points agree on some block. A document therefore enters the leaf
-(block, counts in that block) of its first D + 1 blocks that hold anything, and
-similar documents meet in a leaf. A document with too many empty blocks is
-dealt again with another seed.
-
-*Leaves.* Every member is compared with its leaf's first document, which is
-linear in the leaf and joins most copies. Where members are then still in more
-than one component, the leaves of one first document are searched together by
-an R-tree over the points: nodes
-hold coordinate maxima, a pair of nodes is entered only if its bound reaches
-the needed overlap, and nodes that lie in one component are not paired with
-themselves. Pairs that survive are verified on the sets. Large leaves are
-searched in blocks, so no task holds an unbounded group.
+*Classes.* Documents of one set are one class, known by a digest; only its
+smallest document takes part in the search.
+
+*Directory.* In so many dimensions the boxes of all top nodes touch, so a tree
+alone cannot say on which machine two documents meet. Sets that are similar
+enough differ in at most D shingles, and D follows from their sizes. The
+coordinates are dealt into more than D blocks, so two such points agree on some
+block. A document therefore enters the leaf (block, counts in that block) of its
+first D + 1 blocks that hold anything, and similar documents meet in a leaf. A
+document with too many empty blocks is dealt again with another seed. Leaves of
+one document go before they travel, by a bitmap of the others.
+
+*Trees.* The leaves that have their smallest document in common are one group:
+its members are the points of an R-tree whose nodes hold coordinate maxima. A
+pair of nodes is entered only if its bound reaches the needed overlap, and not
+if all below it is linked already. The tree alone produces the pairs; each is
+verified on the whole sets as it comes, so of a group of copies only the links
+of a spanning tree come out.
+
+First every document is searched in one group, that of its smallest companion.
+Then the groups whose members are still in several components are searched
+whole. A group of over GROUP_ROWS members or GROUP_SHINGLES shingles is cut
+into parts: at first each part is searched with the group's smallest document;
+then the members outside that document's component are taken to every part. No
+task holds more than two parts.
 
 Defined results: null and wordless texts have no shingles and no links; rows
 with a null doc_id are in no pair and come out as their own row without a
 component; repeated rows of one doc_id are one document that links as any of
-them does, and each comes out; other columns are ignored.
+them does, and each comes out; texts of any length are read whole; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,32 +46,34 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.llm.components import connected_components
-from courierlens.llm.tables import remove, table, written
-from courierlens.llm.words import WordHashes, distinct, mix, windows
+from courierlens.llm.tables import remove, spread_join, table, written
+from courierlens.llm.words import WordHashes, distinct, member, mix, windows
 
-#: Coordinates of the points that bounds are computed on: for most sets, and for sets of LARGE shingles or more.
+#: Coordinates of the points that bounds are computed on: for most groups, and for those with a set of LARGE shingles or more.
 COORDINATES, FINER, LARGE = 128, 1024, 4000
 #: Fine groups in a block of the directory.
 FINE = 1 << 16
-#: Members of a leaf that one search holds; larger leaves are searched in pairs of such parts.
-LEAF_PART = 1500
+#: Most members and shingles of one part of a group.
+GROUP_ROWS, GROUP_SHINGLES = 1500, 2_000_000
 #: Entries of an R-tree node.
 FANOUT = 16
 #: How often a document with too many empty blocks is dealt again before its empty blocks enter the directory too.
 SEEDS = 24
-#: Most ids (8 bytes each) that are broadcast to pick rows; more of them are joined by a shuffle.
+#: Most ids that are broadcast to pick rows (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of the bitmap of shared leaves, at most (32 MB); with more leaves than fit it lets more through, and the join decides.
+BITMAP_BITS = 1 << 28
 
 
 @lru_cache(100_000)
 def level(size: int, num: int, den: int) -> int:
-    """The number of blocks for pairs whose larger set has this size: a fifth more than may differ, up to a power of two."""
+    """The number of blocks for pairs whose larger set has this size: so many that most of them hold two shingles, and more than may differ."""
     differ = 2 * size * (den - num) // (den + num)
-    return 1 << (6 * (differ + 1) // 5).bit_length()
+    return 1 << (9 * (differ + 1) // 5).bit_length()
 
 
 def leaves(h: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -94,9 +107,9 @@ def leaves(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return distinct(np.concatenate(out))
 
 
-def point(h: np.ndarray) -> np.ndarray:
-    size = FINER if len(h) >= LARGE else COORDINATES
-    return np.minimum(np.bincount((mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size), 32767).astype(np.int16)
+def point(h: np.ndarray, size: int = COORDINATES) -> np.ndarray:
+    """The counts of a set's shingles in so many groups."""
+    return np.bincount((mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -105,62 +118,72 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[list, lis
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         for at in range(0, len(ids), 128):
-            yield ids[at : at + 128].to_pylist(), [distinct(windows(words.of(t), k)) for t in texts[at : at + 128].to_pylist()]
+            part = texts[at : at + 128].to_pylist()
+            yield ids[at : at + 128].to_pylist(), [distinct(windows(words.of(t), k)) for t in part]
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.array([], np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column of longs, as unsigned arrays."""
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, the directory entries, the point, and a digest of the set, of every row."""
+    """doc_id, n, a digest of the set, and the directory entries, of every row."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([leaves(s, num, den) for s in sets], pa.int64()), _lists([point(s) for s in sets], pa.int16()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], ["doc_id", "n", "leaves", "point", "digest"])
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            entries = _lists([leaves(s, num, den) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), digests, entries], ["doc_id", "n", "digest", "leaves"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, leaves array<long>, point array<short>, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, digest binary, leaves array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the sorted hashes of the set."""
+    """doc_id, and the sorted hashes of the set."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets, pa.int64())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["doc_id", "hashes"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, hashes array<long>")
 
 
 class Tree:
-    """A packed R-tree over points: children and coordinate maxima of each node."""
+    """A packed R-tree over points: each node has the coordinate maxima and the range of sizes of what is below it."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
-        self.points, self.sizes, self.parts = points, sizes, parts
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.points, self.sizes = points, sizes
         order = np.lexsort((*points.T[:3], sizes))  # sort-tile packing along size, then the first coordinates
-        self.root = self._pack([np.array([i]) for i in order])
+        nodes = [self._node(order[i : i + FANOUT], []) for i in range(0, len(order), FANOUT)]
+        while len(nodes) > 1:
+            groups = [nodes[i : i + FANOUT] for i in range(0, len(nodes), FANOUT)]
+            nodes = [self._node(np.concatenate([x["rows"] for x in g]), g) for g in groups]
+        self.root = nodes[0]
 
     def _node(self, rows: np.ndarray, children: list) -> dict:
-        parts = self.parts[rows]
-        return {"rows": rows, "children": children, "top": self.points[rows].max(0), "least": int(self.sizes[rows].min()), "most": int(self.sizes[rows].max()), "one": int(parts[0]) if (parts == parts[0]).all() else None}
+        sizes = self.sizes[rows]
+        return {"rows": rows, "children": children, "top": self.points[rows].max(0), "least": int(sizes.min()), "most": int(sizes.max())}
 
-    def _pack(self, entries: list[np.ndarray]) -> dict:
-        nodes = [self._node(np.concatenate(entries[i : i + FANOUT]), []) for i in range(0, len(entries), FANOUT)]
-        while len(nodes) > 1:
-            nodes = [self._node(np.concatenate([x["rows"] for x in nodes[i : i + FANOUT]]), nodes[i : i + FANOUT]) for i in range(0, len(nodes), FANOUT)]
-        return nodes[0]
+    def _meets(self, x: dict, y: dict, num: int, den: int) -> bool:
+        if den * min(x["most"], y["most"]) < num * max(x["least"], y["least"]):
+            return False
+        return (num + den) * int(np.minimum(x["top"], y["top"]).sum()) >= num * (x["least"] + y["least"])
 
-    def pairs(self, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """Rows of different components whose bound reaches the needed overlap."""
+    def pairs(self, num: int, den: int, parts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Rows of different parts whose bound reaches the needed overlap; the caller may merge parts as pairs come."""
         todo = [(self.root, self.root)]
         while todo:
             x, y = todo.pop()
-            if x["one"] is not None and x["one"] == y["one"]:
-                continue
-            low = max(x["least"], y["least"])
-            if den * min(x["most"], y["most"]) < num * low or (num + den) * int(np.minimum(x["top"], y["top"]).sum()) < num * (x["least"] + y["least"]):
+            of_x, of_y = parts[x["rows"]], parts[y["rows"]]
+            if (of_x == of_y[0]).all() and (of_y == of_y[0]).all() or not self._meets(x, y, num, den):
                 continue
             if x["children"] or y["children"]:
                 if x is y:
@@ -171,129 +194,195 @@ class Tree:
                     todo += [(x, b) for b in y["children"]]
                 continue
             bound = np.minimum(self.points[x["rows"]][:, None, :], self.points[y["rows"]][None, :, :]).sum(2)
-            needed = num * (self.sizes[x["rows"]][:, None] + self.sizes[y["rows"]][None, :])
-            for i, j in np.argwhere(((num + den) * bound >= needed) & (self.parts[x["rows"]][:, None] != self.parts[y["rows"]][None, :])):
+            n, m = self.sizes[x["rows"]][:, None], self.sizes[y["rows"]][None, :]
+            fits = ((num + den) * bound >= num * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+            for i, j in np.argwhere(fits & (of_x[:, None] != of_y[None, :])):
                 a, b = int(x["rows"][i]), int(y["rows"][j])
-                if x is not y or a < b:
+                if parts[a] != parts[b] and (x is not y or i < j):
                     yield a, b
 
 
-def _search(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components among the members (first, doc_id, component) of leaves of one first document.
+def linked(ids: list[int], sets: list[np.ndarray], parts: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links among these sets that join their parts as far as any links do; parts is changed to the joined ones."""
+    sizes = np.array(list(map(len, sets)), np.int64)
+    width = FINER if sizes.max() >= LARGE else COORDINATES
+    tree = Tree(np.array([point(s, width) for s in sets]), sizes)
+    for a, b in tree.pairs(num, den, parts):
+        common = int(member(sets[a], sets[b]).sum())
+        if (num + den) * common >= num * int(sizes[a] + sizes[b]):
+            parts[parts == parts[b]] = parts[a]
+            yield ids[a], ids[b]
+
+
+def _searched(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) found by one tree for each cell (first, p, q) of rows (doc_id, component)."""
+    rows = cells.join(sets, "doc_id")
+    rows = rows.repartition("first", "p", "q").sortWithinPartitions("first", "p", "q", "doc_id")
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held, components, a, b = None, [], [], [], [], []
+
+        def search() -> None:
+            if len(set(components)) > 1:
+                parts = np.unique(components, return_inverse=True)[1]
+                for x, y in linked(ids, held, parts, num, den):
+                    a.append(x)
+                    b.append(y)
+
+        for batch in batches:
+            names = (batch.column(c).to_pylist() for c in ("first", "p", "q", "doc_id", "component"))
+            for first, p, q, i, c, h in zip(*names, _rows_of(batch.column("hashes")), strict=True):
+                if (first, p, q) != key:
+                    search()
+                    key, ids, held, components = (first, p, q), [], [], []
+                ids.append(i)
+                held.append(h)
+                components.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+        search()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select("first", "p", "q", "doc_id", "component", "hashes").mapInArrow(of, "a long, b long")
+
+
+def _parts(rows: Column | str, shingles: Column | str) -> Column:
+    """The number of parts that so many members with so many shingles are cut into."""
+    by_rows, by_shingles = F.col(rows) / GROUP_ROWS, F.col(shingles) / GROUP_SHINGLES
+    return F.greatest(F.lit(1), F.ceil(by_rows), F.ceil(by_shingles)).cast("int")
+
 
-    Leaves of one first document have most members in common, so they are
-    searched as one, with each member and each pair once.
+def _numbers(parts: str) -> Column:
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
+def _at_home(members: DataFrame) -> DataFrame:
+    """Cells of the first search: every member with the smallest of its companions, which is in every part of its group."""
+    home = members.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("n").alias("n")).filter("doc_id <> first")
+    groups = home.groupBy("first").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    groups = groups.withColumn("parts", _parts("rows", "shingles"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    others = spread_join(home.select("first", "doc_id"), groups.select("first", "rows", "parts"), ["first"], "rows", "doc_id")
+    firsts = groups.select("first", F.col("first").alias("doc_id"), F.explode(_numbers("parts")).alias("p"))
+    cells = others.select("first", "doc_id", own.alias("p")).unionByName(firsts)
+    return cells.select("first", "p", F.lit(0).alias("q"), "doc_id", F.col("doc_id").alias("component"))
+
+
+def _open_groups(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of groups of several components: (first, doc_id, n, component, outside, parts)."""
+    known = members.join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    known = known.withColumn("component", F.coalesce("component", "doc_id"))
+    main = F.min(F.when(F.col("doc_id") == F.col("first"), F.col("component")))
+    groups = known.groupBy("first").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), main.alias("main"),
+        F.min("component").alias("least"), F.max("component").alias("most"),
+    ).filter("least <> most")
+    groups = groups.select("first", "rows", "main", _parts("rows", "shingles").alias("parts"))
+    met = spread_join(known, groups, ["first"], "rows", "doc_id")
+    return met.select("first", "doc_id", "n", "component", (F.col("component") != F.col("main")).alias("outside"), "parts")
+
+
+def _still_open(rows: DataFrame) -> DataFrame:
+    """Cells of the second search, in the groups of several components.
+
+    Part p of all members meets part q of those outside the component of the
+    group's first document: copies are linked by then, so these are few unless
+    a leaf holds many documents that are not alike.
     """
-    counts = members.groupBy("first").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c"), F.max("component").alias("d"))
-    open_leaves = counts.filter("c <> d").withColumn("parts", F.ceil(F.col("k") / LEAF_PART).cast("int"))
+    outside = rows.filter("parts > 1 and outside").groupBy("first").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("s"))
+    members = rows.filter("parts > 1").groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+    split = members.join(outside.select("first", _parts("r", "s").alias("outer")), "first")
+    cut = spread_join(rows.filter("parts > 1"), split, ["first"], "rows", "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    rows = (
-        members.join(open_leaves.select("first", "parts"), "first")
-        .join(points.select("doc_id", "n", "point"), "doc_id")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("first", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "component", "n", "point")
-    )
-    rows = rows.repartition(F.col("first"), F.col("p"), F.col("q")).sortWithinPartitions("first", "p", "q", "doc_id")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("outer")).cast("int")
+    whole = rows.filter("parts = 1").select("first", F.lit(0).alias("p"), F.lit(0).alias("q"), "doc_id", "component")
+    inner = cut.select("first", own.alias("p"), F.explode(_numbers("outer")).alias("q"), "doc_id", "component")
+    visitors = cut.filter("outside").select("first", F.explode(_numbers("parts")).alias("p"), chunk.alias("q"), "doc_id", "component")
+    return whole.unionByName(inner).unionByName(visitors)
+
+
+def _bitmap(shared: DataFrame) -> np.ndarray:
+    """Which remainders the shared leaves have, one bit each, of 16 bits for a leaf or BITMAP_BITS."""
+    n = shared.count()
+    bits = min(BITMAP_BITS, 1 << max(10, (16 * n).bit_length()))
+    at = F.pmod(F.col("leaf"), F.lit(bits))
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")))
+    found = shared.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return out
+
+
+def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(leaf, doc_id, n) of the directory entries that the bitmap has."""
+    held = signed.sparkSession.sparkContext.broadcast(bitmap)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-
-        def found(held: list[tuple]) -> Iterator[tuple[int, int]]:
-            if len({r[1] for r in held}) > 1:
-                ids = [r[0] for r in held]
-                least = min(len(r[3]) for r in held)  # points of more coordinates fold onto fewer
-                tree = Tree(np.array([np.reshape(r[3], (-1, least)).sum(0) for r in held], np.int64), np.array([r[2] for r in held]), np.unique([r[1] for r in held], return_inverse=True)[1])
-                for i, j in tree.pairs(num, den):
-                    pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-                    if pair not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(pair)
-                        yield pair
-
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-        key, held, pairs = None, [], []
+        bits = held.value
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("first", "p", "q", "doc_id", "component", "n", "point")]
-            for first, p, q, *row in zip(*cols, strict=True):
-                if (first, p, q) != key:
-                    pairs += found(held)
-                    key, held = (first, p, q), []
-                    if len(pairs) > 50_000:
-                        yield out(pairs)
-                        pairs = []
-                held.append(tuple(row))
-        pairs += found(held)
-        yield out(pairs)
-
-    return rows.mapInArrow(of, "a long, b long").distinct()
-
-
-def _near(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that may link, and whether their sets are the same, by sizes, points and digests."""
-    a, b = (points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("digest").alias(f"d{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    same = F.col("da") == F.col("db")
-    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    reach = (F.size("pa") != F.size("pb")) | (F.greatest("na", "nb") > 1_000_000) | ((num + den) * bound >= num * (F.col("na") + F.col("nb")))
-    return pairs.join(a, "a").join(b, "b").filter(same | (fits & reach)).select("a", "b", same.alias("same")).distinct()
-
-
-def _verified(near: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of _near() that link: those of the same set, and those whose sets, made anew from the texts, are similar."""
-    rest = near.filter("not same").select("a", "b")
-    ids = written(rest.select(F.col("a").alias("doc_id")).unionByName(rest.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sets = written(shingle_sets(_only(docs, ids), k), "sets")
-    x, y = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    common = F.size(F.array_intersect("ha", "hb"))
-    compared = rest.join(x, "a").join(y, "b").filter((num + den) * common >= num * (F.size("ha") + F.size("hb")))
-    links = written(near.filter("same").select("a", "b").unionByName(compared.select("a", "b")), "links")
-    remove(sets)
-    return links
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with these ids; the ids are broadcast only up to BROADCAST_IDS of them."""
+            lists = batch.column("leaves")
+            leaf = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+            sizes = np.diff(lists.offsets.to_numpy())
+            at = leaf & (64 * len(bits) - 1)
+            hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[hit]), *(pa.array(batch.column(c).to_numpy()[row]) for c in ("doc_id", "n"))], ["leaf", "doc_id", "n"])
+
+    return signed.select("doc_id", "n", "leaves").mapInArrow(of, "leaf long, doc_id long, n long")
+
+
+def _only(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """The rows of docs with (left_semi) or without (left_anti) these ids, which are broadcast only up to BROADCAST_IDS of them."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, on, how)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` over their
-    k-word shingles; component_id is the smallest doc_id that links reach.
+    k-word shingles; component_id is the smallest doc_id that links reach. The
+    result is a table in the shared folder, which ``tables.remove`` deletes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, k, num, den), "signatures")
-    entries = signed.filter("doc_id is not null").select("doc_id", F.explode("leaves").alias("leaf"))
-    first = entries.groupBy("leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("leaf", "first")
-    members = written(entries.join(first, "leaf"), "members")
-    rows = written(signed.drop("leaves"), "points")
-    remove(signed)
-
-    pairs = members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(written(_near(pairs, rows, num, den), "near"), docs, k, num, den)
-    parts = written(connected_components(links), "parts")
-
-    known = members.select("first", "doc_id").distinct().join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    known = known.withColumn("component", F.coalesce("component", "doc_id"))
-    found = written(_search(known, rows, num, den), "found")
-    more = _verified(written(_near(found, rows, num, den), "near"), docs, k, num, den)
-    joined = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = written(connected_components(joined), "components")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    remove(members)
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    whole = signed.filter("doc_id is not null and n > 0")
+
+    classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "classes")
+    again = spread_join(whole.select("digest", "doc_id"), classes, ["digest"], "rows", "doc_id")
+    copies = written(again.filter("doc_id <> rep").select("doc_id", "digest", "rep").distinct(), "copies")
+    remove(classes)
+    own = _only(whole, copies.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+
+    entries = own.select("doc_id", F.explode("leaves").alias("leaf"))
+    seen = entries.groupBy("leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    shared = written(seen.filter("first <> last").select("leaf", "first", "rows"), "shared")
+    met = spread_join(_entries(own, _bitmap(shared)), shared, ["leaf"], "rows", "doc_id")
+    members = written(met.groupBy("first", "doc_id").agg(F.max("n").alias("n")), "members")
+    slim = written(signed.drop("leaves"), "sets-of")
+    remove(shared, signed)
+
+    ids = written(members.select("doc_id").distinct(), "ids")
+    sets = written(shingle_sets(_only(docs, ids, ["doc_id"], "left_semi"), k).filter("size(hashes) > 0"), "sets")
+    near = written(_searched(_at_home(members), sets, num, den), "near")
+    parts = connected_components(near)
+    still = written(_open_groups(members, parts), "open")
+    further = written(_searched(_still_open(still), sets, num, den), "further")
+    # rows of one doc_id with different sets make their classes one
+    twice = copies.join(slim.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y"), "doc_id", "left_semi")
+    links = near.unionByName(further).unionByName(twice.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    components = connected_components(links)
+    rep = slim.join(copies, ["doc_id", "digest"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    out = rep.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "jaccard")
+    remove(slim, copies, members, ids, sets, near, parts, still, further, components)
+    return out
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those that a link leads to from a smaller doc_id; rows with a null doc_id stay."""
     others = jaccard_components(docs, k, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return _only(docs, others, ["doc_id"], "left_anti").select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Reading the corpus tables and the folder that driver and executors share."""
+"""Corpus tables, tables written into the shared folder, and joins that deal out frequent keys."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courierlens.shared import shared_dir
+
+#: A key with more than one in HOT_SHARE of all rows is dealt over SALTS tasks; there are fewer than HOT_SHARE such keys.
+HOT_SHARE, SALTS = 1000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,24 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return jsc.getCheckpointDir().get()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor; the files go when
-    the cluster clears its checkpoint folder.
+    Cuts the lineage with files that outlive any executor; remove() deletes
+    them, and what is left goes when the cluster clears its checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,11 +30,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that are no longer needed."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, spread: str) -> DataFrame:
+    """rows joined with keyed, which has each key once and in ``count`` the number of its rows.
+
+    Rows of a frequent key are dealt by a hash of ``spread`` over SALTS tasks,
+    and its one row of keyed is sent to each. The frequent keys can be
+    broadcast: whatever the data, they number less than HOT_SHARE.
+    """
+    frequent = F.col(count) * HOT_SHARE > F.greatest(keyed.agg(F.sum(count).alias("s")).scalar(), F.lit(HOT_SHARE * SALTS))
+    hot = keyed.filter(frequent).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    each = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(keyed.withColumn("_salt", F.explode(each)), [*on, "_salt"]).drop("_salt")

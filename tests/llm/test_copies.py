@@ -79,9 +79,47 @@ def test_tree_gives_every_pair_that_its_bound_lets_through():
     r = np.random.default_rng(1)
     points = r.integers(0, 4, (90, ngram_jaccard.COORDINATES))
     sizes, parts = points.sum(1), r.integers(0, 5, 90)
-    got = {(min(p), max(p)) for p in ngram_jaccard.Tree(points, sizes, parts).pairs(50, 100)}
-    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if parts[i] != parts[j] and 150 * np.minimum(points[i], points[j]).sum() >= 50 * (sizes[i] + sizes[j]) and 100 * min(sizes[i], sizes[j]) >= 50 * max(sizes[i], sizes[j])}
-    assert want <= got and all(parts[i] != parts[j] for i, j in got)
+    got = {(min(p), max(p)) for p in ngram_jaccard.Tree(points, sizes).pairs(50, 100, parts)}
+    want = set()
+    for i in range(90):
+        for j in range(i + 1, 90):
+            alike = 150 * np.minimum(points[i], points[j]).sum() >= 50 * (sizes[i] + sizes[j])
+            if parts[i] != parts[j] and alike and 100 * min(sizes[i], sizes[j]) >= 50 * max(sizes[i], sizes[j]):
+                want.add((i, j))
+    assert got == want
+
+
+def test_links_come_from_the_tree(spark, monkeypatch):
+    """Without what the tree yields nothing is linked, and it yields far fewer pairs than the groups have."""
+    rows = copies(1)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(ngram_jaccard, "linked", lambda *_: iter(()))
+    got = ngram_jaccard.jaccard_components(docs, 4, 85, 100).collect()
+    same = {}
+    for r in rows:
+        same.setdefault(shingles(r[1], 4), r[0])
+        same[shingles(r[1], 4)] = min(same[shingles(r[1], 4)], r[0])
+    assert {g.doc_id: g.component_id for g in got} == {r[0]: same[shingles(r[1], 4)] for r in rows}
+
+
+def test_parts_of_large_groups_lose_no_link(spark, monkeypatch):
+    """Two clusters and odd documents that share leaves, in parts of a few members."""
+    r = random.Random(8)
+    base = words(r, 200).split(" ")
+    rows = []
+    for i in range(160):
+        other = list(base)
+        for _ in range(r.randrange(1, 9 if i % 2 else 30)):
+            other[r.randrange(len(other))] = words(r, 1)
+        rows.append((i, " ".join(other), None, None, None, None, None, None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = components_by_hand(rows, 4, 85, 100)
+    assert len(set(want.values())) > 5
+    monkeypatch.setattr(ngram_jaccard, "GROUP_ROWS", 7)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_jaccard, "BITMAP_BITS", 1 << 10)
+    got = ngram_jaccard.jaccard_components(docs, 4, 85, 100).collect()
+    assert {g.doc_id: g.component_id for g in got} == want
 
 
 def test_connected_components(spark):
