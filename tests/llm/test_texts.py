@@ -135,29 +135,73 @@ def test_benchmark_items_copied_in_any_case(spark):
 
 
 def test_licenses(spark):
-    notice = license_scan.TEMPLATES["mit"]
+    notice = license_scan.TEMPLATES["mit"][0]
     changed = notice.replace("free of charge, ", "").replace("copies of the Software, and", "copies, and")
     texts = [f"{words(random.Random(1), 300)}\n{notice}\n{words(random.Random(2), 300)}", changed, "Released under the MIT License.", "the software is fine", None, ""]
+    texts.append(f"{words(random.Random(4), 60_000)} {notice}")
     rows = [(i, t, *[None] * 6) for i, t in enumerate(texts)]
-    got = {(g.doc_id, g.license): g for g in license_scan.licenses(spark.createDataFrame([*rows, (None, texts[2], *[None] * 6)], SCHEMA)).collect()}
-    assert set(got) == {(0, "mit"), (1, "mit"), (2, "mit-line"), (None, "mit-line")}
+    docs = spark.createDataFrame([*rows, rows[2], (None, texts[2], *[None] * 6)], SCHEMA)
+    found = license_scan.licenses(docs).collect()
+    got = {(g.doc_id, g.license): g for g in found}
+    assert set(got) == {(0, "mit"), (1, "mit"), (2, "mit-line"), (None, "mit-line"), (6, "mit")} and len(found) == 6
     assert got[0, "mit"].coverage == 1.0 and texts[0][got[0, "mit"].start : got[0, "mit"].end].startswith("Permission is hereby")
+    assert license_scan.licenses(docs.limit(0)).collect() == []
 
 
-def test_repeated_licenses(spark):
+def found_in(text):
+    known = [license_scan.Template(k, *v, license_scan.COVERAGE) for k, v in license_scan.TEMPLATES.items()]
+    return license_scan.scan(text, known, license_scan.COVERAGE)
+
+
+def test_a_license_is_not_its_neighbour():
+    for text, want in {
+        "Released under the BSD License.": ["bsd-line"],
+        "Released under the XYZ License.": [],
+        "Licensed under CC BY 4.0.": ["cc-by-4.0-short"],
+        "Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0-short"],
+        "Licensed under CC BY-SA 3.0.": [],
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["gpl-2.0-line"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "SPDX-License-Identifier: GPL-2.0-only": ["spdx-gpl-2.0-only"],
+    }.items():
+        assert [x[0] for x in found_in(text)] == want, text
+    for name, (text, _) in license_scan.TEMPLATES.items():
+        assert [(x[0], x[1]) for x in found_in(f"foo bar. {text} Baz qux.")] == [(name, 1.0)]
+
+
+def test_every_occurrence_is_found():
     gap = words(random.Random(3), 40)
-    texts = {}
-    for i, t in enumerate(license_scan.TEMPLATES.values()):
+    for name, (t, _) in license_scan.TEMPLATES.items():
+        for text, want in ((f"foo bar {t} {t} baz qux", 2), (f"{t}\n{gap}\n{t}\n{gap}\n{t}", 3), (" ".join([t] * 20), 20)):
+            got = found_in(text)
+            assert [(x[0], x[1]) for x in got] == [(name, 1.0)] * want, (name, want)
+            assert [text[s:e].split() == t.rstrip(".:/").split() for *_, s, e in got] == [True] * want
+
+
+def test_repeats_around_a_notice_do_not_hide_it():
+    for name, (t, _) in license_scan.TEMPLATES.items():
         cut = " ".join(t.split(" ")[1:])
-        texts |= {10 * i: t, 10 * i + 1: f"foo bar {t} {t} baz qux", 10 * i + 2: f"{t}\n{gap}\n{t}\n{gap}\n{t}", 10 * i + 3: f"{cut} {t} {cut}", 10 * i + 4: f"{' '.join(reversed(t.split(' ')))} {t} {' '.join(sorted(t.split(' ')))}"}
-    found = {}
-    for g in license_scan.licenses(spark.createDataFrame([(i, t, *[None] * 6) for i, t in texts.items()], SCHEMA)).collect():
-        found.setdefault(g.doc_id, {})[g.license] = g
-    for i, name in enumerate(license_scan.TEMPLATES):
-        for k in range(5):
-            assert found[10 * i + k][name].coverage >= license_scan.COVERAGE, (name, k)
-    line = found[10 * list(license_scan.TEMPLATES).index("mit-line") + 1]["mit-line"]
-    assert line.coverage == 1.0 and (line.start, line.end) == (8, 8 + len("Released under the MIT License"))
+        for text in (f"{cut} {t} {cut}", f"{' '.join(reversed(t.split(' ')))} {t} {' '.join(sorted(t.split(' ')))}"):
+            assert (name, 1.0) in [(x[0], x[1]) for x in found_in(text)], (name, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=5, max_size=9, unique=True), st.lists(st.integers(0, 8), max_size=2), st.lists(st.sampled_from("abxyz"), max_size=12), st.lists(st.sampled_from("abxyz"), max_size=12))
+def test_coverage_equals_the_longest_common_subsequence(t, gone, before, after):
+    """A notice with words missing, among other words: found exactly if some range of the text has the coverage."""
+    left = [w for i, w in enumerate(t) if i not in gone]
+    text = [*before, *left, *after]
+    got = license_scan.scan(" ".join(text), [license_scan.Template("t", " ".join(t), "", 0.75)], 0.75)
+    n = len(t)
+    ranges = [text[i : i + n] for i in range(len(text))]
+    best = max((len(license_scan.common({w: sum(1 << i for i, x in enumerate(t) if x == w) for w in t}, n, r)) for r in ranges), default=0)
+    if best >= 0.75 * n:
+        assert got and max(x[1] for x in got) >= best / n - 1e-9
+    for _, share, s, e in got:
+        span = " ".join(text)[s:e].split()
+        assert round(share * n) <= len(license_scan.common({w: sum(1 << i for i, x in enumerate(t) if x == w) for w in t}, n, span))
 
 
 @settings(max_examples=200, deadline=None)
