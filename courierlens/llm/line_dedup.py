@@ -5,8 +5,8 @@ A line is its set of lower-cased words. A line goes if an earlier line, by
 it. Lines with equal sets are first merged into one class, by partial
 aggregation; classes are then joined by prefix: words are ordered by rarity,
 and two similar classes share a word among the first few of each. Rarity is
-the number of lines per word bucket, held in a table of fixed size whatever
-the vocabulary; any common order gives the same result.
+the number of occurrences per word bucket, held in a table of fixed size
+whatever the vocabulary; any common order gives the same result.
 
 Length, position and bitmap filters cut the pairs, first against the earliest class of
 each prefix word (linear in the word's classes, and enough for most copies),
@@ -14,10 +14,12 @@ then, for classes not yet gone, against every earlier class that shares the
 word. The pairs that are left are verified on the whole sets.
 
 Defined results: a null text has no lines; a line without a word is never
-removed and matches nothing; rows with a null doc_id are kept as they are;
-rows of one doc_id are one document; other columns pass
+removed and matches nothing; of lines that are alike in one document the first
+stays, and of those in several the one of the smallest doc_id; rows with a null
+doc_id are kept as they are; rows of one doc_id are one document; texts and
+lines of any length are read whole; other columns, whatever their names, pass
 through ``deduplicated``; of a document that loses all its words nothing is
-left, and its row goes.
+left, and its row goes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +29,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm.quality_rules import NOT_WHITE, WHITE_SPACE
-from courierlens.llm.tables import remove, table, written
+from courierlens.llm.quality_rules import NOT_WHITE, bound
+from courierlens.llm.tables import remove, spread_join, table, written
 
 NUM, DEN = 90, 100
 #: Buckets of the rarity table.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Most places of lines (12 bytes each) that are broadcast to fetch their words; more of them are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line, as hashes. Other white space is rare, and only then turned into spaces: splitting at a plain character is much faster."""
+def tokens(line: Column) -> Column:
+    """The lower-cased words of a line, with empty ones between blanks.
+
+    Other white space is rare, and only then turned into blanks: splitting at a
+    plain character is much faster.
+    """
     plain = F.when(line.rlike("[\\t\\x0B-\\r]"), F.regexp_replace(line, "[\\t\\x0B-\\r]", " ")).otherwise(line)
-    return F.array_distinct(F.array_remove(F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.split(F.lower(plain), " ")
+
+
+def distinct_keys(line: Column, key: Callable[[Column], Column]) -> Column:
+    """The distinct words of a line, each as key(hash)."""
+    keys = F.transform(tokens(line), lambda w: key(F.xxhash64(w)))
+    return F.array_distinct(F.array_remove(keys, key(F.xxhash64(F.lit("")))))
+
+
+def words_of(line: Column) -> Column:
+    """The distinct words of a line, as hashes."""
+    return distinct_keys(line, lambda w: w)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -50,11 +67,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Callable[[Column], Column]:
-    """A function of a word: its rarity tier, then the word itself, as one sortable number.
+    """A function of a word's hash: its rarity tier, then the hash, as one sortable number.
 
-    The tiers (thirds of powers of two of the bucket's occurrences) are one byte
-    for each of BUCKETS buckets. Words are counted as they are written, since
-    only the order needs them.
+    The tiers are thirds of powers of two of the occurrences in each of BUCKETS
+    buckets. Words are counted as they are written, since only the order needs
+    them.
     """
 
     def bucket_of(w: Column) -> Column:
@@ -62,16 +79,11 @@ def rarity(docs: DataFrame) -> Callable[[Column], Column]:
 
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).count()
-    tiers = bytearray(BUCKETS)
+    tiers = [0] * BUCKETS
     for bucket, tier in counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).collect():  # at most BUCKETS rows
         tiers[bucket] = tier
-    held = F.lit(bytes(tiers))
-
-    def key(w: Column) -> Column:
-        tier = F.ascii(F.substr(held, bucket_of(w) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(tier.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
-
-    return key
+    held = F.split(F.lit(",".join(map(str, tiers))), ",").cast("array<long>")  # folded into one constant array
+    return lambda w: F.shiftleft(F.get(held, bucket_of(w)), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
 
 def _similar(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -86,11 +98,10 @@ def classes_of(docs: DataFrame, num: int, den: int) -> DataFrame:
     words as their bits differ.
     """
     key = rarity(docs)
-    lines = lines_of(docs).select("doc_id", "line", words_of(F.col("content")).alias("words"))
     n = F.size("keys")
     prefix = F.floor(n * (den - num) / F.lit(den)).cast("int") + 1
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    keyed = lines.select("doc_id", "line", F.sort_array(F.transform("words", key)).alias("keys"))
+    keyed = lines_of(docs).select("doc_id", "line", F.sort_array(distinct_keys(F.col("content"), key)).alias("keys"))
     told = keyed.select(F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), F.struct("doc_id", "line", n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix")).alias("first"))
     return told.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("first.*")
 
@@ -100,15 +111,17 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
     can_differ = F.floor(F.col("n") * den / F.lit(num)) > F.col("n")  # smaller sets are similar to equal ones only
     entries = classes.filter(can_differ).select(F.posexplode("prefix").alias("at", "w"), "doc_id", "line", "n", "bits").select("w", "doc_id", "line", "n", "at", "bits")
 
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of places (x earlier than y) of entries of one word that pass the length, position and bit filters."""
-        x, y = (t.select("w", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "n", "at", "bits"))) for t, s in ((x, "x"), (y, "y")))
+    def met(pairs: DataFrame) -> DataFrame:
+        """The pairs of places (x earlier than y) of entries of one word that pass the length, position and bit filters."""
         n1, n2, a1, a2 = (F.col(c) for c in ("n_x", "n_y", "at_x", "at_y"))
         before = (F.col("doc_id_x") < F.col("doc_id_y")) | ((F.col("doc_id_x") == F.col("doc_id_y")) & (F.col("line_x") < F.col("line_y")))
         length = F.least(n1, n2) * den >= F.greatest(n1, n2) * num
         position = _similar(F.least(n1 - a1, n2 - a2) + F.least(a1, a2), n1, n2, num, den)
         differ = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) * (num + den) <= (n1 + n2) * (den - num)
-        return x.join(y, "w").filter(before & length & position & differ).select("doc_id_x", "line_x", "doc_id_y", "line_y").distinct()
+        return pairs.filter(before & length & position & differ).select("doc_id_x", "line_x", "doc_id_y", "line_y").distinct()
+
+    def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+        return rows.select("w", *more, *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "n", "at", "bits")))
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later places of those pairs whose whole sets are similar."""
@@ -123,40 +136,56 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
             joined = joined.join(sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "words"))), [f"doc_id_{s}", f"line_{s}"])
         common = F.size(F.array_intersect("words_x", "words_y"))
         out = written(joined.filter(_similar(common, F.size("words_x"), F.size("words_y"), num, den)).select(F.col("doc_id_y").alias("doc_id"), F.col("line_y").alias("line")).distinct(), "later")
-        for done in (pairs, places, sets):
-            remove(done)
+        remove(pairs, places, sets)
         return out
 
     first = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line", "n", "at", "bits")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "f.*", "k")
-    gone = later(met(first, entries))
+    first = written(first, "first")
+    gone = later(met(spread_join(side(entries, "y"), side(first, "x", "k"), ["w"], "k", "doc_id_y")))
     # of a word with two classes nothing is left to compare
-    crowded = written(entries.join(first.filter("k > 2").select("w"), "w"), "crowded")
-    rest = later(met(crowded, crowded.join(gone, ["doc_id", "line"], "left_anti")))
-    remove(crowded)
-    return gone.unionByName(rest).distinct()
+    crowded = written(spread_join(entries, first.filter("k > 2").select("w", "k"), ["w"], "k", "doc_id").drop("k"), "crowded")
+    rest = later(met(side(crowded, "x").join(side(crowded.join(gone, ["doc_id", "line"], "left_anti"), "y"), "w")))
+    out = written(gone.unionByName(rest).distinct(), "similar")
+    remove(first, crowded, gone, rest)
+    return out
+
+
+def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, kept): the numbers of the lines that stay, of every document that has any; a table in the shared folder."""
+    classes = written(classes_of(docs, num, den), "classes")
+    gone = similar_classes(docs, classes, num, den)
+    left = classes.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti")
+    kept = written(left.groupBy("doc_id").agg(F.collect_list("line").alias("kept")), "kept")  # never more than the document's lines
+    remove(classes, gone)
+    return kept
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, line) of every line that an earlier line equals or resembles."""
+    """(doc_id, n_lines, removed) of every row: how many lines with a word it has, and which of them go, in order."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = written(classes_of(docs, num, den), "classes")
-    kept = written(classes.join(similar_classes(docs, classes, num, den), ["doc_id", "line"], "left_anti").select("doc_id", "line"), "kept")
-    remove(classes)
-    return lines_of(docs).select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti").distinct()
+    kept = kept_lines(docs, num, den)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = docs.select("doc_id", F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(NOT_WHITE), i))).alias("lines"))
+    removed = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except("lines", F.coalesce("kept", F.array().cast("array<int>"))))
+    return rows.join(kept, "doc_id", "left").select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("removed"))
 
 
 def deduplicated(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs without the lines that go, and without documents of which no word is left."""
-    gone = removed_lines(docs, num, den).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    joined = docs.join(gone, "doc_id", "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    stays = F.col("_gone").isNull() | F.col("_left").rlike(NOT_WHITE)
-    return joined.filter(stays).select(*(F.col("_left" if c == "text" else c).alias(c) for c in docs.columns))
+    gone = removed_lines(docs, num, den).filter("size(removed) > 0").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+
+    def without(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    text = F.col("row.text").cast("string")
+    left = F.when(F.col("removed").isNull(), text).otherwise(bound(F.split(text, "\n"), without))
+    joined = rows.join(gone.withColumnRenamed("doc_id", "id"), "id", "left").select("row", "removed", left.alias("left"))
+    stays = F.col("removed").isNull() | F.col("left").rlike(NOT_WHITE)
+    return joined.filter(stays).select(*(F.col("left" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its lines with words, how many go, and which (line numbers from 0)."""
-    docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.array_sort(F.collect_list("line")).alias("removed"))
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(NOT_WHITE))).cast("long").alias("n_lines"))
-    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return removed_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

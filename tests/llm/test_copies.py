@@ -5,6 +5,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from courierlens.llm import line_dedup, ngram_jaccard, substring_dedup
 from courierlens.llm.components import connected_components
@@ -164,8 +165,12 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((i, "\n".join(lines), None, None, None, None, None, None))
     rows += [(1000, None, *[None] * 6), (1001, "", *[None] * 6), (None, stock[3], *[None] * 6), (1002, " \n\t\n", *[None] * 6), rows[0]]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {(x.doc_id, x.line) for x in line_dedup.removed_lines(docs).collect()}
+    gone = line_dedup.removed_lines(docs).collect()
+    assert len(gone) == len(rows)
+    got = {(x.doc_id, line) for x in gone for line in x.removed}
     assert got == lines_by_hand(rows, line_dedup.NUM, line_dedup.DEN)
+    clashing = docs.select("doc_id", "text", *(F.lit(c).alias(c) for c in ("removed", "row", "id", "left", "_gone")))
+    assert all(x.removed == "removed" and x["row"] == "row" and x["left"] == "left" for x in line_dedup.deduplicated(clashing).collect())
     left = {x.doc_id: x.text for x in line_dedup.deduplicated(docs).collect()}
     for r_ in rows:
         keep = [line for k, line in enumerate((r_[1] or "").split("\n")) if (r_[0], k) not in got]
@@ -175,6 +180,11 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_lines_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", 0)
+    test_line_dedup_equals_brute_force(spark)
+
+
 def test_passages_are_found_despite_shifts(spark):
     r = random.Random(8)
     passage = words(r, 70)
