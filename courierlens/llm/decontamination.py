@@ -1,16 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are canonicalised to typed placeholders: numbers, units, and names
-(capitalised inside a sentence, and never met in lower case in the text). The
-windows of canonical words of documents and benchmark items are hash-joined, so
-a question whose numbers or names were changed still matches. Matches of one
-document and item on one diagonal are then held to slot consistency: each value
-of the item must stand for one value of the document throughout. Windows with
-too few literal words are not joined as templates, since placeholders alone say
-nothing. Types depend on the text around a word (in capitals everything looks
-like a name), so every window is also joined as its plain words, whatever their
-case; these places need no values, and count on every diagonal whose templates
-are consistent.
+(capitalised words; several in a row are one name). The windows of canonical
+words of documents and benchmark items are hash-joined, so a question whose
+numbers or names were changed still matches. Matches of one document and item
+on one diagonal are then held to slot consistency: each value of the item must
+stand for one value of the document throughout. A window is a template only if
+half of its words are literal, since placeholders alone say nothing.
+
+How a word is read depends on nothing but the word, and on the names beside it.
+Since a copy may be in another case, and an item may be mostly names, the
+windows of plain lower-cased words are joined as well: an item is found if
+enough of its templates are, or enough of its plain windows.
 
 The hashes of the item windows go to the tasks only if they number at most
 ``BROADCAST_WINDOWS``, so that documents send only windows that can join; above
@@ -18,9 +19,11 @@ that every window is sent and the join does all the work. The results are the
 same.
 
 Defined results: null or empty texts match nothing; items shorter than a window
-are matched as a whole, and items under ``MIN_ITEM_WORDS`` words are not
-searched for; null ids match nothing; repeated rows count once; other columns
-are ignored; either table may be empty.
+are matched as a whole, and those under ``MIN_TEMPLATE`` words by their plain
+words only; texts of any length are read whole; null ids match nothing;
+repeated rows count once; of an item's two coverages the higher one comes out,
+and of equal ones that of the templates; other columns are ignored; either
+table may be empty.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.llm.tables import table
-from courierlens.llm.words import WordHashes, distinct, member, mix, multiplier
+from courierlens.llm.words import WordHashes, member, mix, multiplier
 
 WINDOW = 8
-MIN_ITEM_WORDS = 5
+MIN_TEMPLATE = 5
 COVERAGE = 0.5
 #: Most item windows whose hashes are sent to the tasks (8 bytes each).
 BROADCAST_WINDOWS = 1_000_000
@@ -56,7 +59,7 @@ _FLAGS = np.uint64(15)
 
 
 class TypedWords(WordHashes):
-    """word -> 60 bits of hash and 4 flags: number, unit, capitalised, ends a sentence."""
+    """word -> 60 bits of hash and 4 flags: number, unit, capitalised, followed by a mark."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
@@ -64,30 +67,35 @@ class TypedWords(WordHashes):
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGES) or text
         low = core.casefold()
-        flags = 1 * bool(_NUMBER.match(core) or low in NUMBER_WORDS) | 2 * (low in UNITS) | 4 * core[:1].isupper() | 8 * (text.rstrip("\"')]»”’")[-1:] in ".!?:")
+        number = bool(_NUMBER.match(core)) or low in NUMBER_WORDS
+        flags = 1 * number | 2 * (low in UNITS) | 4 * core[:1].isupper() | 8 * (text[-1:] in _EDGES)
         self[word] = value = xxhash.xxh3_64_intdigest(low) & ~15 | flags
         return value
 
 
-def canonical(text: str | None, typed: TypedWords) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of a text, the hash of each in lower case, and its slot type (0: literal)."""
-    text = text or ""
-    if any(c in text for c in "0123456789"):
-        text = _GLUED.sub(" ", text)
-    words = text.encode("utf-8", "replace").split()
-    packed = np.fromiter(map(typed.__getitem__, words), np.uint64, len(words))
-    h = packed & ~_FLAGS
-    slot = np.where(packed & _IS_NUM, NUM, np.where(packed & _IS_UNIT, UNIT, 0))
-    capital = (packed & _CAPITAL) > 0
-    inside = capital.copy()
-    inside[:1] = False
-    inside[1:] &= (packed[:-1] & _ENDS) == 0
-    if inside.any():
-        names = distinct(h[inside & (slot == 0)])
-        small = h[~capital]
-        names = names[~member(names, distinct(small[member(small, names)]))]
-        slot[member(h, names) & capital & (slot == 0)] = NAME
-    return words, h, slot
+class Canonical:
+    """A text as plain words, and as tokens: words or placeholders, a run of names being one."""
+
+    def __init__(self, text: str | None, typed: TypedWords):
+        text = text or ""
+        if any(c in text for c in "0123456789"):
+            text = _GLUED.sub(" ", text)
+        self.words = text.encode("utf-8", "replace").split()
+        packed = np.fromiter(map(typed.__getitem__, self.words), np.uint64, len(self.words))
+        self.plain = packed & ~_FLAGS
+        slot = np.where(packed & _CAPITAL, NAME, 0)
+        slot[(packed & _IS_UNIT) > 0] = UNIT
+        slot[(packed & _IS_NUM) > 0] = NUM
+        first = np.ones(len(slot), bool)
+        first[1:] = (slot[1:] != NAME) | (slot[:-1] != NAME) | ((packed[:-1] & _ENDS) > 0)
+        self.start = np.flatnonzero(first)  # the word that each token begins with
+        self.slot = slot[self.start]
+        self.tokens = np.where(self.slot > 0, self.slot.astype(np.uint64), self.plain[self.start])
+
+    def value(self, token: int) -> str:
+        """What stands in a slot."""
+        end = self.start[token + 1] if token + 1 < len(self.start) else len(self.words)
+        return b" ".join(self.words[self.start[token] : end]).decode("utf-8", "replace").strip(_EDGES).casefold()
 
 
 def _window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -99,90 +107,90 @@ def _window_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return mix(out + np.uint64(size))
 
 
-def item_windows(plain: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Hashes of the windows of this size, where they start, which are templates with slots; how many can be templates, and how many windows there are.
+def windows_of(c: Canonical, size: int, tokens: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a text's windows of this size: of plain words, or the templates among those of tokens."""
+    h = c.tokens if tokens else c.plain
+    n = len(h) - size + 1
+    if size <= 0 or n <= 0:
+        return np.array([], np.uint64), np.array([], np.int64)
+    at = np.arange(n)
+    if tokens:
+        slots = np.concatenate(([0], np.cumsum(c.slot > 0)))
+        at = np.flatnonzero(2 * (slots[size:] - slots[:-size]) <= size)
+    return _window_hashes(h, size)[at], at
+
 
-    A template has literal words for at least half of its words. A window
-    without slots is a template and plain words in one.
-    """
-    n = len(plain) - size + 1
-    if n <= 0:
-        return np.array([], np.uint64), np.array([], np.int64), np.array([], bool), 0, 0
-    slots = np.concatenate(([0], np.cumsum(slot > 0)))
-    slots = slots[size:] - slots[:-size]
-    keys, at, typed = _window_hashes(plain, size), np.arange(n), np.zeros(n, bool)
-    template = 2 * slots <= size
-    with_slots = np.flatnonzero(template & (slots > 0))
-    if len(with_slots):
-        keys = np.concatenate((keys, _window_hashes(np.where(slot > 0, slot.astype(np.uint64), plain), size)[with_slots]))
-        at, typed = np.concatenate((at, with_slots)), np.concatenate((typed, np.ones(len(with_slots), bool)))
-    return keys, at, typed, int(template.sum()), n
-
-
-def _value(word: bytes) -> str:
-    text = word.decode("utf-8", "replace")
-    return (text.strip(_EDGES) or text).casefold()
-
-
-def _rows(ids: list, texts: list, sizes: list[int] | None, wanted: np.ndarray | None, size: int, typed: TypedWords) -> Iterator[tuple]:
-    """(id, hash, place, slot values, whether the place can be a template, templates and windows of the text, words of the window) of the windows of each text."""
-    for i, text in zip(ids, texts, strict=True):
-        words, h, slot = canonical(text, typed)
-        for s in ([min(size, len(h))] if len(h) >= MIN_ITEM_WORDS else []) if sizes is None else sizes:
-            keys, at, slotted, templates, total = item_windows(h, slot, s)
-            if wanted is not None:
-                hit = member(keys, wanted)
-                keys, at, slotted = keys[hit], at[hit], slotted[hit]
-            for key, p, t in zip(keys.view(np.int64).tolist(), at.tolist(), slotted.tolist(), strict=True):
-                places = np.flatnonzero(slot[p : p + s])
-                yield i, key, p, [_value(words[p + j]) for j in places] if t else [], 2 * len(places) <= s, templates, total, s
-
-
-_SCHEMA = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("template", pa.bool_()), ("templates", pa.int32()), ("total", pa.int32()), ("size", pa.int32())])
-
-
-def _windows(df: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarray | None, size: int) -> DataFrame:
+_FIELDS = "id long, h long, place int, tokens boolean, slots array<string>, total int, size int"
+_SCHEMA = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("tokens", pa.bool_()), ("slots", pa.list_(pa.string())), ("total", pa.int32()), ("size", pa.int32())])
+
+
+def _rows(i: int, c: Canonical, sizes: Iterable[tuple[bool, int]], wanted: np.ndarray | None) -> Iterator[tuple]:
+    """(id, hash, place, whether of tokens, slot values, windows of the text, words of the window) of the wanted windows."""
+    for tokens, size in sizes:
+        keys, at = windows_of(c, size, tokens)
+        total = len(keys)
+        if wanted is not None:
+            hit = member(keys, wanted)
+            keys, at = keys[hit], at[hit]
+        for key, p in zip(keys.view(np.int64).tolist(), at.tolist(), strict=True):
+            yield i, key, p, tokens, [c.value(p + j) for j in np.flatnonzero(c.slot[p : p + size])] if tokens else [], total, size
+
+
+def item_sizes(c: Canonical, window: int) -> list[tuple[bool, int]]:
+    """The windows that an item is cut into: of plain words, and of tokens if it has enough of them."""
+    return [(False, min(window, len(c.plain))), *([(True, min(window, len(c.tokens)))] if len(c.tokens) >= MIN_TEMPLATE else [])]
+
+
+def _windows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, wanted: np.ndarray | None, window: int) -> DataFrame:
+    """The windows of each text: of the given sizes, or of an item's own ones."""
     held = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        typed = TypedWords()
+        typed, rows = TypedWords(), []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = list(_rows(part.column("id").to_pylist(), part.column("text").to_pylist(), sizes, held.value if held else None, size, typed))
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    c = Canonical(text, typed)
+                    rows += _rows(i, c, item_sizes(c, window) if sizes is None else sizes, held.value if held else None)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_SCHEMA)], schema=_SCHEMA)
+                    rows = []
 
     picked = df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null")
-    return picked.mapInArrow(of, "id long, h long, place int, slots array<string>, template boolean, templates int, total int, size int")
+    return picked.mapInArrow(of, _FIELDS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_slots) of items found in documents.
 
-    coverage is the share of the item's windows that lie on diagonals with
-    consistent slots: of those that can be templates or of all, whichever is
-    more; n_windows and n_matched count the same ones.
+    coverage is the share of the item's templates that lie on diagonals with
+    consistent slots, or of its plain windows that the document has, whichever
+    is more; n_windows and n_matched count the same ones, and n_slots the
+    values that slots stand for on one such diagonal.
     """
     items = _windows(benchmark, "item_id", None, None, window)
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most the window's length of them
+    sizes = [(r["tokens"], r["size"]) for r in items.select("tokens", "size").distinct().collect()]  # at most twice the window's length
     hashes = items.select("h").distinct().limit(broadcast_windows + 1).toPandas()["h"].to_numpy() if broadcast_windows else None
     few = hashes is not None and len(hashes) <= broadcast_windows
-    found = _windows(docs, "doc_id", sizes, np.sort(hashes.view(np.uint64)) if few else None, window)
-    item = items.select(F.col("id").alias("item_id"), "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "template", "templates", "total")
-    met = (
-        found.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), "slots")
-        .join(item, "h")
-        .withColumn("diagonal", F.col("doc_place") - F.col("item_place"))
-        .select("doc_id", "item_id", "diagonal", F.struct("item_place", "template").alias("at"), "templates", "total", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
-    )
-    places = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("at").alias("places"), F.max("templates").alias("templates"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = _windows(docs, "doc_id", sorted(sizes), np.sort(hashes.view(np.uint64)) if few else None, window)
+    item = items.select(F.col("id").alias("item_id"), "h", "tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "total")
+    met = found.select(F.col("id").alias("doc_id"), "h", "tokens", F.col("place").alias("doc_place"), "slots").join(item, ["h", "tokens"])
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    # places of plain words need no diagonal of their own
+    diagonal = F.when(F.col("tokens"), F.col("doc_place") - F.col("item_place"))
+    places = met.groupBy("doc_id", "item_id", "tokens", diagonal.alias("diagonal")).agg(
+        F.collect_set("item_place").alias("places"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    )  # at most as many places as the item has windows
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    joined = places.filter(consistent).groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("templates").alias("templates"), F.max("total").alias("total"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
-    counted = joined.withColumn("in_templates", F.size(F.filter("places", lambda x: x["template"]))).withColumn("in_all", F.size("places"))
-    by_templates = (F.col("templates") > 0) & (F.col("in_templates").cast("long") * F.col("total") >= F.col("in_all").cast("long") * F.col("templates"))
-    counts = counted.select("doc_id", "item_id", "n_slots", *(F.when(by_templates, F.col(x)).otherwise(F.col(y)).cast("long").alias(n) for x, y, n in (("in_templates", "in_all", "n_matched"), ("templates", "total", "n_windows"))))
-    return counts.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+    joined = places.filter(consistent).groupBy("doc_id", "item_id", "tokens").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
+        F.max("total").cast("long").alias("n_windows"),
+        F.max(F.size("pairs")).cast("long").alias("n_slots"),
+    )
+    share = F.col("n_matched") / F.col("n_windows")
+    best = joined.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("coverage"), "tokens", "n_windows", "n_matched", "n_slots")).alias("b"))
+    return best.filter(F.col("b.coverage") >= coverage).select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.coverage", "b.n_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

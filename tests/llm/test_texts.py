@@ -110,28 +110,97 @@ def test_toxicity_learns_from_its_rows_only(spark):
     assert not none.any()
 
 
-def test_benchmark_items_with_other_values(spark):
-    item = "Yesterday Tom bought 12 apples and gave 5 of them to his friend Anna, so how many kg apples does Tom have left now?"
-    texts = [item, f"x y {item.replace('Tom', 'Bob').replace('12', '30').replace('Anna', 'Mia')} z w", item.replace("does Tom", "does Jim"), None, "", "nothing of the kind in this text at all really"]
+def reading(text):
+    """Plain words, and tokens as (literal or type, value), by the rules in plain Python."""
+    text = decontamination._GLUED.sub(" ", text or "")
+    raw = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
+    edge = decontamination._EDGES
+    core = [w.strip(edge) or w for w in raw]
+    plain, tokens, running = [c.casefold() for c in core], [], False
+    for w, c in zip(raw, core, strict=True):
+        low = c.casefold()
+        if decontamination._NUMBER.match(c) or low in decontamination.NUMBER_WORDS:
+            tokens, running = [*tokens, ("NUM", w)], False
+        elif low in decontamination.UNITS:
+            tokens, running = [*tokens, ("UNIT", w)], False
+        elif c[:1].isupper():
+            tokens = [*tokens[:-1], ("NAME", f"{tokens[-1][1]} {w}")] if running else [*tokens, ("NAME", w)]
+            running = w[-1] not in edge
+        else:
+            tokens, running = [*tokens, (low, None)], False
+    return plain, [(t, v and v.strip(edge).casefold()) for t, v in tokens]
+
+
+def coverage_by_hand(doc, item, size=8):
+    (dp, dt), (ip, it) = reading(doc), reading(item)
+    out, k = [0.0], min(size, len(ip))
+    if k:
+        have = {tuple(dp[i : i + k]) for i in range(len(dp) - k + 1)}
+        own = [tuple(ip[i : i + k]) for i in range(len(ip) - k + 1)]
+        out.append(sum(w in have for w in own) / len(own))
+    k = min(size, len(it))
+    own = [i for i in range(len(it) - k + 1) if 2 * sum(v is not None for _, v in it[i : i + k]) <= k]
+    if len(it) >= decontamination.MIN_TEMPLATE and own:
+        diagonals = {}
+        for i in own:
+            for j in range(len(dt) - k + 1):
+                if [t for t, _ in it[i : i + k]] == [t for t, _ in dt[j : j + k]]:
+                    places, pairs = diagonals.setdefault(j - i, (set(), set()))
+                    places.add(i)
+                    pairs |= {(a, b) for (_, a), (_, b) in zip(it[i : i + k], dt[j : j + k], strict=True) if a is not None}
+        out.append(len({i for places, pairs in diagonals.values() if len(pairs) == len({a for a, _ in pairs}) for i in places}) / len(own))
+    return max(out)
+
+
+QUESTIONS = [
+    "Yesterday Tom bought 12 apples and gave 5 of them to his friend Anna, so how many kg apples does Tom have left now?",
+    "Yesterday Rose bought 12 apples and gave 5 of them to her friend Mark so how many are left",
+    "A train leaves Berlin at 9 and arrives in Prague after 4 hours, how many km does it travel if it goes 80 km every hour?",
+    "Mary Ann Smith pays 3 dollars for each of the 14 pens that she buys, what is the total that she has to pay at the end",
+    "Tom Ann Bob Jim have 3 4 5 6 7 8 pens",
+    "why is the sky blue",
+    "a rare answer",
+]
+
+
+def changed(r, text):
+    """The question with other numbers and other names of one to three words, the same ones throughout."""
+    new = {}
+    for name in ("Tom", "Anna", "Rose", "Mark", "Berlin", "Prague", "Mary Ann Smith"):
+        if name in text:
+            new[name] = " ".join(r.choice(("Ida", "Udo", "Kim", "Lea", "Max", "Zoe")) for _ in range(r.randrange(1, 4)))
+            text = text.replace(name, new[name])
+    numbers = {}
+    return " ".join(str(numbers.setdefault(w, r.randrange(10, 99))) if w.isdigit() else w for w in text.split(" "))
+
+
+def test_decontamination_equals_brute_force(spark):
+    r, texts = random.Random(5), []
+    for q in QUESTIONS:
+        for t in (q, q.upper(), q.lower(), changed(r, q), changed(r, q), q.replace("5", "6", 1), q[: len(q) // 2], q.replace(" ", "\n")):
+            texts += [t, f"{words(r, 30)} {t} {words(r, 30)}", f"We rose early to mark the papers. {t} {t}"]
+    texts += [" ".join(r.choice(" ".join(QUESTIONS).split(" ")) for _ in range(40)) for _ in range(40)]
+    texts += [None, "", "  ", "nothing of the kind in this text at all really", f"{words(r, 30_000)} {QUESTIONS[0]} {words(r, 30_000)}"]
     rows = [(i, t, *[None] * 6) for i, t in enumerate(texts)]
-    docs, items = spark.createDataFrame([*rows, rows[0], (None, item, *[None] * 6)], SCHEMA), spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (4, "too short")], "item_id long, text string")
+    docs = spark.createDataFrame([*rows, rows[0], (None, QUESTIONS[0], *[None] * 6)], SCHEMA)
+    items = spark.createDataFrame([*enumerate(QUESTIONS), (0, QUESTIONS[0]), (20, None), (21, ""), (None, QUESTIONS[0])], "item_id long, text string")
+    want = {(i, k): c for i, t in enumerate(texts[:-1]) for k, q in enumerate(QUESTIONS) if (c := coverage_by_hand(t, q)) >= decontamination.COVERAGE}
+    want[len(texts) - 1, 0] = 1.0
     for bound in (decontamination.BROADCAST_WINDOWS, 0):
-        got = {(g.doc_id, g.item_id) for g in decontamination.contaminated(docs, items, broadcast_windows=bound).collect()}
-        assert got == {(0, 1), (1, 1)}
+        rows = decontamination.contaminated(docs, items, broadcast_windows=bound).collect()
+        assert {(g.doc_id, g.item_id): g.coverage for g in rows} == want and len(rows) == len(want)
     assert decontamination.contaminated(docs, items.limit(0)).collect() == [] == decontamination.contaminated(docs.limit(0), items).collect()
-    assert {g.doc_id for g in decontamination.clean(docs, items).collect()} == {2, 3, 4, 5, None}
+    found = {i for i, _ in want}
+    assert {g.doc_id for g in decontamination.clean(docs, items).collect()} == {i for i in range(len(texts)) if i not in found} | {None}
 
 
-def test_benchmark_items_copied_in_any_case(spark):
-    item = "Yesterday Tom bought 12 apples and gave 5 of them to his friend Anna, so how many kg apples does Tom have left now?"
-    names, numbers = "So Anna Beth Carl Dora Emil Finn Gina Hugo met Ivan and Jane Kurt", "one 2 three 4 5 6 seven 8 nine 10"
-    sharp = "die große Straße ist weiß und heißt nach dem alten Maß"
-    texts = [f"x y {t} z w" for i in (item, names, numbers, sharp) for t in (i, i.upper(), i.lower())]
-    docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(texts)], SCHEMA)
-    items = spark.createDataFrame(list(enumerate((item, names, numbers, sharp))), "item_id long, text string")
-    for bound in (decontamination.BROADCAST_WINDOWS, 0):
-        got = {(g.doc_id, g.item_id): g.coverage for g in decontamination.contaminated(docs, items, broadcast_windows=bound).collect()}
-        assert got == {(i, i // 3): 1.0 for i in range(len(texts))}
+def test_copies_and_changed_questions_are_found():
+    """Word for word in any case: all. With other names and numbers: nine in ten at least, of those with words enough."""
+    r = random.Random(7)
+    for q in QUESTIONS:
+        assert all(coverage_by_hand(f"x y {t} z. We rose to mark it.", q) == 1.0 for t in (q, q.upper(), q.lower()))
+    tries = [coverage_by_hand(f"{words(r, 20)} {changed(r, q)} {words(r, 20)}", q) >= decontamination.COVERAGE for q in QUESTIONS[:4] for _ in range(50)]
+    assert sum(tries) >= 0.9 * len(tries)
 
 
 def test_licenses(spark):
