@@ -8,17 +8,22 @@ pre-tokens already met are remembered by the worker, within a bound.
 
 A merge's result always ranks after the merge itself, so applying the lowest
 pair of a sequence everywhere, from left to right, is the same as the usual
-one-at-a-time order.
+one-at-a-time order. A round costs as much as all symbols left, so the few
+pre-tokens of over ``LONG`` characters, unbroken runs such as encoded data, are
+merged one pair after the other by a heap instead.
 
 Defined results: a null text counts as empty, 0 tokens and 0 bytes; lone
-surrogates cannot occur in a Spark string; repeated rows are counted each;
-other columns are ignored; special strings in a text are one token each, as
-the library does by default.
+surrogates cannot occur in a Spark string; texts of any length are counted
+whole; pairs of equal rank in one pre-token merge from the left; repeated rows
+are counted each; other columns are ignored; special strings in a text are one
+token each, as the library does by default; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -35,6 +40,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Pre-tokens whose count a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 500_000
+#: Pre-tokens of more characters are merged apart, and not remembered.
+LONG = 512
 #: The public pre-tokenization pattern of byte-level BPE (a fixed value); white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -64,6 +71,7 @@ class Merger:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(PATTERN).findall
         self.counts: dict[str, int] = {}
+        self.rank_of = dict(zip(self.pairs.tolist(), self.ranks.tolist(), strict=True))
 
     def rank(self, pair: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids; a number past all ranks for none."""
@@ -99,8 +107,30 @@ class Merger:
             ids, seq = ids[going], seq[going]
         return final
 
-    def of(self, text: str) -> list[str]:
-        return self.split(text)
+    def merge_long(self, token: str) -> int:
+        """The number of symbols that survive in one pre-token, by a heap of (rank, place)."""
+        ids = self.first[np.frombuffer(token.encode(), np.uint8)].tolist()
+        n = left = len(ids)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        rank, size, merged = self.rank_of.get, self.size, self.merged.tolist()
+        heap = [r << 40 | i for i in range(n - 1) if (r := rank(ids[i] * size + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            r, i = top >> 40, top & (1 << 40) - 1
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] * size + ids[j]) != r:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = merged[r], -1
+            left -= 1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(ids[i] * size + ids[k])) is not None:
+                    heapq.heappush(heap, r << 40 | i)
+            if (k := before[i]) >= 0 and (r := rank(ids[k] * size + ids[i])) is not None:
+                heapq.heappush(heap, r << 40 | k)
+        return left
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -109,13 +139,15 @@ class Merger:
             pieces = self.special.split(t) if self.special else [t]
             extra.append(len(pieces) - 1)
             parts.append([w for p in pieces for w in self.split(p)] if len(pieces) > 1 else self.split(t))
-        new = [t for t in {w for p in parts for w in p} if t not in self.counts]
+        every = {w for p in parts for w in p}
+        apart = {w: self.merge_long(w) for w in every if len(w) > LONG}
+        new = [w for w in every if len(w) <= LONG and w not in self.counts]
         if len(self.counts) + len(new) > REMEMBERED:
             self.counts.clear()
-            new = list({w for p in parts for w in p})
+            new = [w for w in every if len(w) <= LONG]
         if new:
             self.counts.update(zip(new, self.merge(new).tolist(), strict=True))
-        get = self.counts.__getitem__
+        get = ChainMap(apart, self.counts).__getitem__ if apart else self.counts.__getitem__
         return [n + sum(map(get, p)) for n, p in zip(extra, parts, strict=True)]
 
 

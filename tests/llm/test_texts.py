@@ -1,6 +1,7 @@
 """Operators on single texts: against libraries, brute force, and awkward rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,27 @@ def test_merging_equals_the_library_on_any_text(texts):
     assert token_counts.merger(path).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(st.text("ab", min_size=1, max_size=80), st.text("theringofa", min_size=1, max_size=300), st.text(min_size=1, max_size=40)))
+def test_the_heap_equals_the_rounds(token):
+    m = token_counts.merger(token_counts.public_path(token_counts.VOCABULARY))
+    assert m.merge_long(token) == m.merge([token])[0]
+
+
+def test_an_unbroken_megabyte_is_counted(spark):
+    from tokenizers import Tokenizer
+
+    path = token_counts.public_path(token_counts.VOCABULARY)
+    r = random.Random(3)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(300_000))
+    start = time.time()
+    got = token_counts.merger(path).count([text + text + text, text[:5000]])
+    assert time.time() - start < 60
+    library = Tokenizer.from_file(path)
+    assert got[1] == len(library.encode(text[:5000], add_special_tokens=False).ids)
+    assert token_counts.token_counts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_pieces_come_back(spark):
     rows = awkward()
     docs = spark.createDataFrame(rows, SCHEMA)
