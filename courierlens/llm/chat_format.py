@@ -5,11 +5,12 @@ is rendered once, as the prompt; what follows is rendered as two completions.
 Each completion comes with a mask of character spans: only what an assistant
 says, and the marker that ends its turn, is trained on.
 
-Defined results: turns are ordered by turn number, then role and text, so
+Defined results: turns are ordered by turn number (null first), role and text, so
 repeated rows stand side by side; a null role or text counts as empty; a null
 key or conversation of one side only gives no pair; equal conversations, or one
-that is a prefix of the other, give an empty completion; other columns are
-ignored.
+that is a prefix of the other, give an empty completion; texts of any length
+are rendered whole, and a conversation must fit into a task; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courierlens.llm.quality_rules import bound
-from courierlens.llm.tables import table
+from courierlens.llm.tables import remove, table, written
 
 #: The turn markers of the rendered form.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
-#: Conversation ids of one block, in which replies are swapped.
-BLOCK = 1024
-#: About how many conversations that are alone in their block swap replies together.
-LONE_GROUP = 512
 
 
 def conversations_of(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -78,46 +75,39 @@ def preference_rows(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.select(key, "r.*")
 
 
-def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Preference pairs out of plain conversations: (conv_id, chosen, rejected).
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(conv_id, next_id) of distinct ids in their order; the last one is followed by the first.
 
-    The rejected side has its last assistant turn replaced by that of another
-    conversation, which makes a fluent reply that does not fit: of the next one
-    among those of one block of ``BLOCK`` ids, and for a block's last one, of
-    its first. Conversations alone in their block swap in the same way in
-    groups by a hash of their id, and one that is alone there too takes the
-    reply of the table's first conversation, or of its last one if it is the
-    first itself. A conversation without an assistant gives no pair, nor does
-    the only one of a table.
+    Ids are dealt by ranges, each range is ordered by itself, and the one row
+    of each range that has nothing after it takes the first id of the next
+    range. Those first ids number no more than the partitions.
     """
-    block = F.floor(F.col("conv_id") / BLOCK)
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
-
-    def replied(rows: DataFrame) -> DataFrame:
-        having = conversations_of(rows).withColumn("at", last).filter("at is not null")
-        return having.withColumn("reply", F.get("turns", F.col("at"))["text"])
-
-    def next_of(rows: DataFrame, key: str) -> DataFrame:
-        within = Window.partitionBy(key).orderBy("conv_id")
-        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        other = F.coalesce(F.lead("reply").over(within), F.first("reply").over(whole))
-        return rows.withColumn("other", other).withColumn("n", F.count(F.lit(1)).over(whole))
+    ranges = written(ids.repartitionByRange("conv_id").withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = ranges.groupBy("range").agg(F.min("conv_id").alias("first"))
+    first = firsts.agg(F.min("first").alias("first")).scalar()
+    after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))  # one row for each partition
+    following = F.lead("conv_id").over(Window.partitionBy("range").orderBy("conv_id"))
+    rows = ranges.withColumn("next_id", following).join(F.broadcast(after), "range")
+    out = written(rows.select("conv_id", F.coalesce("next_id", "after", first).alias("next_id")), "next")
+    remove(ranges)
+    return out
 
-    ids = turns.filter("conv_id is not null and role = 'assistant'").select("conv_id").distinct()
-    n_lone = ids.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").agg(F.count(F.lit(1)).alias("n")).scalar()
-    first, final = (ids.agg(f("conv_id").alias("c")).scalar() for f in (F.min, F.max))
-    ends = replied(turns.filter((F.col("conv_id") == first) | (F.col("conv_id") == final)))
-    start, end = (ends.agg(f(F.struct("conv_id", "reply")).alias("e")).scalar() for f in (F.min, F.max))
 
-    in_blocks = next_of(replied(turns).withColumn("block", block), "block")
-    groups = F.greatest(F.lit(1), F.floor(n_lone / LONE_GROUP))
-    in_groups = next_of(in_blocks.filter("n = 1").withColumn("block", F.pmod(F.xxhash64("conv_id"), groups)), "block")
-    elsewhere = F.when(F.col("conv_id") == start["conv_id"], end["reply"]).otherwise(start["reply"])
-    alone = in_groups.filter((F.col("n") > 1) | (start["conv_id"] != end["conv_id"])).withColumn("other", F.when(F.col("n") > 1, F.col("other")).otherwise(elsewhere))
+def swapped_replies(turns: DataFrame) -> DataFrame:
+    """Preference pairs out of plain conversations: (conv_id, chosen, rejected).
 
+    The rejected side has its last assistant turn replaced by that of the
+    conversation of the next id, which makes a fluent reply that does not fit;
+    the last one takes that of the first. A conversation without an assistant
+    gives no pair, nor does the only one of a table.
+    """
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
+    having = conversations_of(turns).withColumn("at", last).filter("at is not null")
+    order = next_ids(turns.filter("conv_id is not null and role = 'assistant'").select("conv_id").distinct()).filter("conv_id <> next_id")
+    replies = having.select(F.col("conv_id").alias("next_id"), F.get("turns", F.col("at"))["text"].alias("other"))
+    rows = having.join(order.join(replies, "next_id"), "conv_id")
     turned = F.transform("turns", lambda t, i: F.when(i == F.col("at"), F.struct(t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
-    pair = ("conv_id", F.col("turns").alias("chosen"), turned.alias("rejected"))
-    return in_blocks.filter("n > 1").select(*pair).unionByName(alone.select(*pair))
+    return rows.select("conv_id", F.col("turns").alias("chosen"), turned.alias("rejected"))
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,17 +121,14 @@ def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH t AS (
   SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, COALESCE(role, ''), COALESCE(text, '')) - 1 AS i
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) - 1 AS i
   FROM conversations WHERE conv_id IS NOT NULL
 ), l AS (
   SELECT conv_id, max(i) AS at FROM t WHERE role = 'assistant' GROUP BY conv_id
 ), r AS (
-  SELECT l.conv_id, l.at, t.text AS reply, CAST(floor(l.conv_id / 1024.0) AS BIGINT) AS block
-  FROM l JOIN t ON l.conv_id = t.conv_id AND l.at = t.i
+  SELECT l.conv_id, l.at, t.text AS reply FROM l JOIN t ON l.conv_id = t.conv_id AND l.at = t.i
 ), o AS (
-  SELECT *, COALESCE(lead(reply) OVER (PARTITION BY block ORDER BY conv_id),
-                     first_value(reply) OVER (PARTITION BY block ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other,
-         count(*) OVER (PARTITION BY block) AS n
+  SELECT *, COALESCE(lead(reply) OVER (ORDER BY conv_id), first_value(reply) OVER (ORDER BY conv_id)) AS other, count(*) OVER () AS n
   FROM r
 ), p AS (
   SELECT t.conv_id, t.i, t.role, t.text AS c, CASE WHEN t.i = o.at THEN o.other ELSE t.text END AS j

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from courierlens.llm import chat_format, decontamination, license_scan, quality_rules, sentencepiece_codec, token_counts, toxicity
 from tests.llm.corpus import SCHEMA, awkward, words
@@ -355,7 +356,21 @@ def test_every_conversation_gives_a_pair(spark):
     sparse = [i * 1_000_003 - 2**40 for i in range(1500)]
     for ids in (range(10, 1036), [-5, *range(1024, 1030)], [3, 5000], [0, 1, 5000, 9000, 9001, -(2**62), 2**62], sparse):
         got = pairs(ids)
-        assert set(got) == set(ids)
-        assert all(reply != f"r{i}" and reply[1:] and int(reply[1:]) in set(ids) for i, reply in got.items())
+        order = sorted(ids)
+        assert got == {i: f"r{j}" for i, j in zip(order, order[1:] + order[:1], strict=True)}
     assert pairs([5]) == {} == pairs([])
-    assert pairs([0, 1, 2, 1024])[2] == "r0" and pairs([0, 1, 2, 1024])[1024] == "r0"
+
+
+def test_preference_pairs_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    long = words(random.Random(2), 50_000)
+    rows = [(i, k, "assistant" if k % 2 else "user", f"t{i} {k % 3}") for i in (0, 3, 4, 10**9, -7) for k in range(i % 5 + 1)]
+    rows += [rows[1], (3, 0, None, None), (3, 1, "assistant", long), (None, 0, "user", "x"), (4, None, "assistant", "no turn")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("n_common", F.lit("clash"))
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = c.sql(chat_format.OP6_SQL)
+    got = chat_format.op6_preference_format(spark, str(tmp_path)).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall()) and len(got) > 2
