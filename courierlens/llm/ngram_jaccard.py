@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.llm.components import connected_components
-from courierlens.llm.tables import remove, spread_join, table, written
+from courierlens.llm.tables import bitmap, passes, remove, spread_join, table, written
 from courierlens.llm.words import WordHashes, distinct, member, mix, windows
 
 #: Coordinates of the points that bounds are computed on: for most groups, and for those with a set of LARGE shingles or more.
@@ -65,8 +65,6 @@ FANOUT = 16
 SEEDS = 24
 #: Most ids that are broadcast to pick rows (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bits of the bitmap of shared leaves, at most (32 MB); with more leaves than fit it lets more through, and the join decides.
-BITMAP_BITS = 1 << 28
 
 
 @lru_cache(100_000)
@@ -301,30 +299,16 @@ def _still_open(rows: DataFrame) -> DataFrame:
     return whole.unionByName(inner).unionByName(visitors)
 
 
-def _bitmap(shared: DataFrame) -> np.ndarray:
-    """Which remainders the shared leaves have, one bit each, of 16 bits for a leaf or BITMAP_BITS."""
-    n = shared.count()
-    bits = min(BITMAP_BITS, 1 << max(10, (16 * n).bit_length()))
-    at = F.pmod(F.col("leaf"), F.lit(bits))
-    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")))
-    found = shared.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
-    return out
-
-
-def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _entries(signed: DataFrame, bits: np.ndarray) -> DataFrame:
     """(leaf, doc_id, n) of the directory entries that the bitmap has."""
-    held = signed.sparkSession.sparkContext.broadcast(bitmap)
+    held = signed.sparkSession.sparkContext.broadcast(bits)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for batch in batches:
             lists = batch.column("leaves")
             leaf = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
             sizes = np.diff(lists.offsets.to_numpy())
-            at = leaf & (64 * len(bits) - 1)
-            hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            hit = np.flatnonzero(passes(held.value, leaf))
             row = np.repeat(np.arange(len(sizes)), sizes)[hit]
             yield pa.RecordBatch.from_arrays([pa.array(leaf[hit]), *(pa.array(batch.column(c).to_numpy()[row]) for c in ("doc_id", "n"))], ["leaf", "doc_id", "n"])
 
@@ -357,7 +341,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     entries = own.select("doc_id", F.explode("leaves").alias("leaf"))
     seen = entries.groupBy("leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
     shared = written(seen.filter("first <> last").select("leaf", "first", "rows"), "shared")
-    met = spread_join(_entries(own, _bitmap(shared)), shared, ["leaf"], "rows", "doc_id")
+    met = spread_join(_entries(own, bitmap(shared, "leaf")), shared, ["leaf"], "rows", "doc_id")
     members = written(met.groupBy("first", "doc_id").agg(F.max("n").alias("n")), "members")
     slim = written(signed.drop("leaves"), "sets-of")
     remove(shared, signed)

@@ -6,13 +6,16 @@ Chunks are compared by a 96-bit digest over all documents; runs of chunks that
 also occur in another document form a span.
 
 Digests are counted with partial aggregation before the shuffle, so a passage
-that millions of documents share is one row per task; the occurrences of shared
-digests are then found by a join whose large partitions Spark can split.
+that millions of documents share is one row per task. A bitmap of the shared
+digests then lets only chunks travel that may be shared, and the rows of a very
+frequent digest are dealt over many tasks.
 
 Defined results: null and empty texts have no chunks; rows of one doc_id are one
 document; null ids take no part; an exact copy of a document is one span; spans
-under ``MIN_CHARS`` characters are left alone; other columns pass through
-``deduplicated`` untouched.
+under ``MIN_CHARS`` characters are left alone; of equal chunks the one in the
+smallest doc_id is the first; texts of any length are read whole; other columns,
+whatever their names, pass through ``deduplicated`` untouched; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courierlens.llm.tables import table
+from courierlens.llm.tables import bitmap, passes, remove, spread_join, table, written
 from courierlens.llm.words import mix
 
 #: Least and most bytes of a chunk, and the bits of the hash that make a border (2**-BORDER_BITS of all places).
@@ -72,8 +75,12 @@ def borders(data: np.ndarray) -> list[int]:
 _CHUNKS = pa.schema([("d1", pa.int64()), ("d2", pa.int32()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int32()), ("size", pa.int32())])
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """One row for each chunk: its digest (a long and an int), document, number, and place in characters (from 0)."""
+def chunks(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """One row for each chunk: its digest (a long and an int), document, number, and place in characters (from 0).
+
+    wanted: a bitmap of the first parts of digests; other chunks are left out.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +99,11 @@ def chunks(docs: DataFrame) -> DataFrame:
                     size.append(chars[ends] - chars[begins])
                 if digests:
                     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1].astype(np.int32), *map(np.concatenate, (ids, nth, start, size)))], schema=_CHUNKS)
+                    columns = [both[:, 0], both[:, 1].astype(np.int32), *map(np.concatenate, (ids, nth, start, size))]
+                    if held is not None:
+                        hit = passes(held.value, columns[0])
+                        columns = [c[hit] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_CHUNKS)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
     return picked.mapInArrow(of, "d1 long, d2 int, doc_id long, nth int, start int, size int")
@@ -104,11 +115,13 @@ def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     first_doc_ids are the first documents of the run's chunks; removed_chars
     counts the characters whose first document is an earlier one.
     """
-    rows = chunks(docs)
-    shared = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc <> last_doc").select("d1", "d2", "first_doc")
-    met = rows.join(shared, ["d1", "d2"]).select("doc_id", "nth", "start", "size", "first_doc").distinct()
+    ends = chunks(docs).groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("rows"))
+    shared = written(ends.filter("first_doc <> last_doc").select("d1", "d2", "first_doc", "rows"), "shared")
+    rows = chunks(docs, bitmap(shared, "d1"))
+    met = written(spread_join(rows, shared, ["d1", "d2"], "rows", "doc_id").select("doc_id", "nth", "start", "size", "first_doc"), "met")
+    remove(shared)
     in_order = Window.partitionBy("doc_id").orderBy("nth")
-    runs = met.withColumn("run", F.col("nth") - F.dense_rank().over(in_order))
+    runs = met.withColumn("run", F.col("nth") - F.dense_rank().over(in_order)).distinct()
     spans = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"),
         F.sum("size").alias("length"),
@@ -123,14 +136,16 @@ def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with every repeated chunk of a span cut out of ``text``, save in its first document."""
     spans = repeated_spans(docs, min_chars)
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("_cuts")).filter(F.size("_cuts") > 0)
-    end = F.struct(F.length("text").alias("start"), F.lit(0).alias("size"))
-    kept = F.transform(
-        F.concat("_cuts", F.array(end)),
-        lambda c, i: F.substr(F.col("text"), F.when(i == 0, 1).otherwise(F.get("_cuts", i - 1)["start"] + F.get("_cuts", i - 1)["size"] + 1), c["start"] - F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["start"] + F.get("_cuts", i - 1)["size"])),
-    )
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return docs.join(cuts, "doc_id", "left").select(*((text if c == "text" else F.col(c)).alias(c) for c in docs.columns))
+    each = F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed"))))
+    cuts = spans.groupBy(F.col("doc_id").alias("id")).agg(each.alias("cuts")).filter(F.size("cuts") > 0)
+    text = F.col("row.text").cast("string")
+    last = lambda i: F.get("cuts", i - 1)
+    begin = lambda i: F.when(i == 0, 0).otherwise(last(i)["start"] + last(i)["size"])
+    end = F.struct(F.length(text).alias("start"), F.lit(0).alias("size"))
+    kept = F.transform(F.concat("cuts", F.array(end)), lambda c, i: F.substr(text, begin(i) + 1, c["start"] - begin(i)))
+    left = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(cuts, "id", "left").select(*((left if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from courierlens.shared import shared_dir
 
 #: A key with more than one in HOT_SHARE of all rows is dealt over SALTS tasks; there are fewer than HOT_SHARE such keys.
 HOT_SHARE, SALTS = 1000, 64
+#: Bits of a bitmap of hashes, at most (32 MB); with more hashes than fit, more pass it, and the join behind it decides.
+BITMAP_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +55,24 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, sp
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     each = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(keyed.withColumn("_salt", F.explode(each)), [*on, "_salt"]).drop("_salt")
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Which remainders a column of 64-bit hashes has: 16 bits for each row of the table, or BITMAP_BITS.
+
+    It tells rows that a join would drop before they are shuffled; its size is
+    bounded whatever the data.
+    """
+    bits = min(BITMAP_BITS, 1 << max(10, (16 * hashes.count()).bit_length()))
+    at = F.pmod(F.col(column), F.lit(bits))
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")))
+    found = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these signed 64-bit hashes the bitmap has."""
+    at = hashes & (64 * len(bits) - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

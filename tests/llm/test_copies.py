@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from courierlens.llm import line_dedup, ngram_jaccard, substring_dedup
+from courierlens.llm import line_dedup, ngram_jaccard, substring_dedup, tables
 from courierlens.llm.components import connected_components
 from tests.llm.corpus import SCHEMA, awkward, copies, words
 
@@ -118,7 +118,8 @@ def test_parts_of_large_groups_lose_no_link(spark, monkeypatch):
     assert len(set(want.values())) > 5
     monkeypatch.setattr(ngram_jaccard, "GROUP_ROWS", 7)
     monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(ngram_jaccard, "BITMAP_BITS", 1 << 10)
+    monkeypatch.setattr(tables, "BITMAP_BITS", 1 << 10)
+    monkeypatch.setattr(tables, "HOT_SHARE", 1 << 30)
     got = ngram_jaccard.jaccard_components(docs, 4, 85, 100).collect()
     assert {g.doc_id: g.component_id for g in got} == want
 
@@ -206,6 +207,62 @@ def test_passages_are_found_despite_shifts(spark):
     assert substring_dedup.repeated_spans(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def chunks_by_hand(text):
+    """(start, piece) of the chunks, by a rolling hash byte by byte."""
+    data, h, out, last = text.encode(), 0, [], 0
+    for i, byte in enumerate(data):
+        h = (2 * h + int(substring_dedup._GEAR[byte])) % 2**32
+        fits = (h >> 16) % 2**substring_dedup.BORDER_BITS == 0
+        end = i + 1
+        if end == len(data) or (fits and end - last >= substring_dedup.MIN_BYTES):
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            if end > last:
+                out.append((last, end))
+                last = end
+        elif end - last > substring_dedup.MAX_BYTES:
+            cut = last + substring_dedup.MAX_BYTES
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append((last, cut))
+            last = cut
+    return [(len(data[:a].decode()), data[a:b].decode()) for a, b in out]
+
+
+def test_spans_equal_brute_force(spark, monkeypatch):
+    r, rows = random.Random(12), []
+    shared = [words(r, n) for n in (15, 60, 200, 55)] + ["日本語 " + "漢字" * 60]
+    for i in range(40):
+        parts = [words(r, r.randrange(0, 60)), r.choice(shared), words(r, 5), r.choice(shared) if i % 4 == 0 else "", r.choice(shared) if i % 7 == 0 else "ñ"]
+        rows.append((i, " ".join(parts), *[None] * 6))
+    rows += [rows[3], (60, rows[5][1], *[None] * 6), (61, words(r, 30_000) + shared[2], *[None] * 6), (None, shared[1], *[None] * 6), (62, None, *[None] * 6), (63, "", *[None] * 6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = {i: t for i, t, *_ in rows if i is not None and t}
+    holders = {}
+    for i, t in texts.items():
+        for _, piece in chunks_by_hand(t):
+            holders.setdefault(piece, set()).add(i)
+    want = set()
+    for i, t in texts.items():
+        run = []
+        for start, piece in [*chunks_by_hand(t), (len(t), None)]:
+            if piece is not None and len(holders[piece]) > 1:
+                run.append((start, piece))
+            elif run:
+                length = sum(len(p) for _, p in run)
+                if length >= substring_dedup.MIN_CHARS:
+                    firsts = sorted({min(holders[p]) for _, p in run})
+                    want.add((i, run[0][0], length, len(run), sum(len(p) for _, p in run if min(holders[p]) < i), tuple(firsts)))
+                run = []
+    for share in (tables.HOT_SHARE, 1 << 30):
+        monkeypatch.setattr(tables, "HOT_SHARE", share)
+        got = substring_dedup.repeated_spans(docs).collect()
+        assert {(x.doc_id, x.start, x.length, x.n_chunks, x.removed_chars, tuple(x.first_doc_ids)) for x in got} == want
+        assert len(got) == len(want) > 20
+    clashing = docs.select("doc_id", "text", *(F.lit(c).alias(c) for c in ("cuts", "row", "id", "_cuts")))
+    assert all(x.cuts == "cuts" and x["row"] == "row" for x in substring_dedup.deduplicated(clashing).collect())
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=600))
 def test_chunks_cover_a_text(text):
