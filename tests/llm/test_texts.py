@@ -1,5 +1,6 @@
 """Operators on single texts: against libraries, brute force, and awkward rows."""
 
+import math
 import random
 import time
 import zlib
@@ -133,6 +134,67 @@ def test_toxicity_learns_from_its_rows_only(spark):
     assert not none.any()
 
 
+def ftrl_by_hand(rows, labels, orders, alpha, beta, l1_of):
+    """FTRL-proximal one coordinate at a time, as published."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1_of(i):
+            return 0.0
+        return -(z[i] - math.copysign(l1_of(i), z[i])) / ((beta + math.sqrt(n[i])) / alpha)
+
+    for order in orders:
+        for r in order:
+            w = {i: weight(i) for i in rows[r]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[r]
+            for i in rows[r]:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_the_plain_updates():
+    r = np.random.default_rng(3)
+    rows = [np.append(np.unique(r.integers(0, 40, 8)), toxicity.BUCKETS) for _ in range(120)]
+    labels = np.array([float(5 in x or r.random() < 0.1) for x in rows])
+    order = np.random.default_rng(1)
+    orders = [order.permutation(len(rows)) for _ in range(toxicity.EPOCHS)]
+    l1 = max(toxicity.L1_LEAST, toxicity.L1_SHARE * len(rows))
+    want = ftrl_by_hand([x.tolist() for x in rows], labels, orders, toxicity.ALPHA, toxicity.BETA, lambda i: 0.0 if i == toxicity.BUCKETS else l1)
+    got = toxicity.ftrl(rows, labels, 1)
+    assert set(np.flatnonzero(got)) == {i for i, w in want.items() if w}
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_scaling_is_the_best_curve():
+    r = np.random.default_rng(4)
+    m = r.normal(size=400)
+    y = (r.random(400) < 1 / (1 + np.exp(-(2.5 * m + 0.7)))).astype(float)
+    a, b = toxicity.platt(m, y)
+    up, down = y.sum(), (1 - y).sum()
+    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        return -(t * np.log(p) + (1 - t) * np.log(1 - p)).sum()
+
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    assert toxicity.platt(m[:10], y[:10]) == (1.0, 0.0) == toxicity.platt(m, np.ones(400))
+
+
+def test_toxicity_on_labels_it_has_not_seen(spark):
+    folder = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    got = got.filter("held_out and toxic is not null").toPandas()
+    y, score, predicted = got["toxic"].to_numpy(), got["score"].to_numpy(), got["predicted"].to_numpy()
+    place = score.argsort().argsort()
+    auc = (place[y == 1].mean() - (y.sum() - 1) / 2) / (1 - y).sum()
+    assert auc > 0.95 and (predicted & y).sum() > 0.9 * predicted.sum() and (predicted & y).sum() > 0.6 * y.sum()
+    empty = toxicity.score(spark.createDataFrame([], SCHEMA), np.zeros(toxicity.BUCKETS + 1, np.float32))
+    assert empty.collect() == []
+
+
 def reading(text):
     """Plain words, and tokens as (literal or type, value), by the rules in plain Python."""
     text = decontamination._GLUED.sub(" ", text or "")
