@@ -85,6 +85,9 @@ def test_pieces_come_back(spark):
     got = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
     assert len(got) == len(rows) and all(g.decoded == g.text for g in got)
     assert {g.component for g in got if g.doc_id is not None} == {"c"}
+    checked = sentencepiece_codec.encode(docs, check="source").collect()
+    assert all(g.source for g in checked) and [g.ids for g in checked] == [g.ids for g in got]
+    assert sentencepiece_codec.encode(docs.limit(0), check="source").collect() == []
 
 
 @settings(max_examples=200, deadline=None)
