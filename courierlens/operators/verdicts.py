@@ -10,14 +10,14 @@ from courierlens.operators import fusion as op
 
 #: Fixed values of the evidence clusters: cap of the score, scale of the confidence, scale of the threat.
 CLUSTERS = {
-    "gateway_prior": (0.35, 0.45, 0.45),
-    "delivery": (0.40, 0.55, 0.55),
-    "sender_identity": (0.85, 0.82, 1.0),
-    "link_html": (0.90, 0.86, 1.0),
-    "payload": (0.95, 0.92, 1.05),
-    "external_reputation": (0.75, 0.72, 0.85),
-    "social_engineering": (0.78, 0.76, 0.92),
-    "business": (0.45, 0.50, 0.45),
+    "inherited_gateway_prior": (0.35, 0.45, 0.45),
+    "delivery_integrity": (0.40, 0.55, 0.55),
+    "sender_identity_authenticity": (0.85, 0.82, 1.0),
+    "link_and_html_deception": (0.90, 0.86, 1.0),
+    "payload_malware": (0.95, 0.92, 1.05),
+    "external_reputation_ioc": (0.75, 0.72, 0.85),
+    "social_engineering_intent": (0.78, 0.76, 0.92),
+    "business_sensitivity": (0.45, 0.50, 0.45),
 }
 
 
@@ -76,7 +76,8 @@ def clusters(findings: DataFrame, key: str = "session_id") -> DataFrame:
 
 def cluster_verdict(per: DataFrame, key: str = "session_id") -> DataFrame:
     """(key, risk, confidence, n_clusters): the weighted mean of the clusters' masses combined with itself, and its floors."""
-    live = per.filter("score >= 0.05").withColumns({"m": op.bpa(F.col("score") * _of_cluster(F.col("cluster"), 2), F.col("confidence")), "w": F.greatest(F.lit(0.05), F.col("score") * F.col("confidence"))})
+    threat = F.least(F.lit(1.0), F.col("score") * _of_cluster(F.col("cluster"), 2))
+    live = per.filter("score >= 0.05").withColumns({"m": op.bpa(threat, F.col("confidence")), "w": F.greatest(F.lit(0.05), threat * F.col("confidence"))})
     total = F.sum("w")
     mean = lambda c: F.sum(F.col(f"m.{c}") * F.col("w")) / total
     rows = live.groupBy(key).agg(

@@ -7,13 +7,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Findings (module:category) that lines of orders are dealt.
+SIGNALS = (
+    "header_scan:domain_mismatch,header_scan:auth_spf_dmarc_fail,header_scan:ioc_ip_hit,header_scan:sender_ip_malicious,header_scan:no_received,header_scan:stale_date,"
+    "identity_anomaly:display_name_spoof,identity_anomaly:first_contact,identity_anomaly:random_sender,content_scan:gateway_pre_classified,content_scan:phishing,content_scan:bec,"
+    "content_scan:account_security_phishing,content_scan:subsidy_fraud,content_scan:invoice_spam,content_scan:dlp_credit_card,content_scan:external_impersonation,content_scan:phone_in_body,"
+    "attach_content:phishing,attach_content:attachment_phishing_url,attach_content:dlp_id_number,attach_content:weak_phishing,attach_scan:encrypted_archive,attach_scan:type_mismatch,"
+    "attach_hash:hash_intel_malicious,attach_hash:known_bad,yara_scan:rule_hit,mime_scan:boundary,html_scan:hidden_text,link_scan:href_text_mismatch,link_content:suspicious_params,"
+    "link_content:idn_homograph,link_content:other_link,link_content:targeted_credential_phishing,link_reputation:intel_malicious,link_reputation:redirect_url,link_reputation:suspicious_tld,"
+    "link_reputation:odd_host,semantic_scan:nlp_phishing,semantic_scan:nlp_spam,semantic_scan:japanese_to_cn_corp,semantic_scan:nlp_scam,semantic_scan:odd_tone,anomaly_detect:no_recipients,"
+    "anomaly_detect:volume,transaction_correlation:payment_change,transaction_correlation:crypto_wallet,transaction_correlation:iban_detected,domain_verify:aligned,plugin:nlp_bec"
+)
+
 FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_risk": (("events",), "SELECT user_id AS entity_key, event_id AS seq, ts, LEAST(1.0, value / 250.0) AS risk, CAST(0.30 AS DOUBLE) AS u_final, CAST(0.0 AS DOUBLE) AS k_conflict FROM events"),
     "fx_incidents": (("events",), "SELECT event_id AS incident_id, ts, user_id, user_id % 40 AS client_ip_n, event_type AS incident_type, CASE WHEN value >= 200 THEN 'critical' WHEN value >= 100 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS severity, CAST(FLOOR(value) AS INT) AS item_count FROM events"),
     "fx_sessions": (("orders", "customer"), "SELECT o_orderkey AS session_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Active' ELSE 'Timeout' END AS status, CONCAT('c', CAST(o_custkey AS STRING)) AS sender_local, CONCAT(LOWER(c_mktsegment), CAST(c_nationkey AS STRING), '.example') AS sender_domain, o_orderpriority AS subject, CAST(FLOOR(o_totalprice) AS BIGINT) AS total_bytes FROM orders JOIN customer ON o_custkey = c_custkey"),
     "fx_recipients": (("lineitem", "supplier"), "SELECT DISTINCT l_orderkey AS session_id, CONCAT('s', CAST(l_suppkey AS STRING), '@n', CAST(s_nationkey AS STRING), '.example') AS recipient, CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS rcpt_domain FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "fx_module_results": (("lineitem",), "SELECT l_orderkey AS session_id, l_linenumber AS module_n, l_partkey AS part_n, l_suppkey AS supp_n, l_linenumber % 5 AS pillar_n, LEAST(1.0, l_discount * 10.0) AS score, 1.0 - 5.0 * l_tax AS confidence, CAST(l_quantity AS BIGINT) AS duration_ms FROM lineitem"),
-    "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderkey % 10 <> 0"),
+    "fx_signals": (("lineitem",), f"SELECT session_id, SPLIT_PART(signal, ':', 1) AS module, SPLIT_PART(signal, ':', 2) AS category, threat, score, weight, confidence FROM (SELECT l_orderkey AS session_id, SPLIT_PART('{SIGNALS}', ',', CASE WHEN l_orderkey % 9 = 0 THEN 39 + CAST(l_partkey % 3 AS INT) WHEN l_orderkey % 7 = 0 THEN 29 + CAST(l_partkey % 10 AS INT) ELSE CAST((l_partkey + l_suppkey) % {SIGNALS.count(',') + 1} AS INT) + 1 END) AS signal, CAST(l_suppkey % 5 AS INT) AS threat, LEAST(1.0, l_discount * 10.0 + l_tax) AS score, 0.5 + CAST(l_partkey % 6 AS DOUBLE) / 10.0 AS weight, 1.0 - 3.0 * l_tax AS confidence FROM lineitem) lines"),
+    "fx_mail": (("orders",), "SELECT o_orderkey AS session_id, CONCAT(CASE o_custkey % 8 WHEN 0 THEN 'Automatic reply: ' WHEN 1 THEN 'Undeliverable: ' WHEN 2 THEN '[Suspected spam] ' WHEN 3 THEN 'CAUTION external mail: ' ELSE '' END, o_orderpriority) AS subject, CASE o_custkey % 5 WHEN 0 THEN CONCAT('Ann: are you there', CHR(10), 'Bob: yes', CHR(10), '10:15 Ann: good', CHR(10), 'bye') WHEN 1 THEN 'This mail came from outside, take care. Please pay the invoice.' WHEN 2 THEN CONCAT('09:10 call', CHR(10), CHR(10), '10:20 lunch', CHR(10), 'x', CHR(10), 'y') WHEN 3 THEN 'a: b' ELSE NULL END AS body, CASE o_custkey % 11 WHEN 0 THEN 'MAILER-DAEMON@n1.example' ELSE CONCAT('c', CAST(o_custkey AS STRING), '@n2.example') END AS sender, o_custkey % 13 = 0 AS auto_submitted, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE LEAST(1.2, o_totalprice / 200000.0) END AS alignment FROM orders"),
+    "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderstatus <> 'P'"),
     "fx_iocs": (("supplier",), "SELECT CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS indicator, 'domain' AS ioc_type, CONCAT('src', CAST(s_suppkey % 3 AS STRING)) AS source, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 3000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq FROM supplier"),
 }
 
