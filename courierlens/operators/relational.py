@@ -95,7 +95,8 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
     covers chains of 2**rounds hops; hops go forward in time, or in id at one
     time, so there are no cycles.
     """
-    onward = _timed_hops(sessions, seconds).filter("next_at > started_at or next_id > session_id").groupBy("session_id").agg(F.min(F.struct("next_at", "next_id")).alias("n")).select("session_id", F.col("n.next_id").alias("to"))
+    onward = _timed_hops(sessions, seconds)
+    onward = onward.filter("next_at > started_at or next_id > session_id").groupBy("session_id").agg(F.min(F.struct("next_at", "next_id")).alias("n")).select("session_id", F.col("n.next_id").alias("to"))
     at = sessions.select("session_id").join(onward, "session_id", "left").select("session_id", F.coalesce("to", "session_id").alias("to"))
     for _ in range(rounds):
         ahead = at.select(F.col("session_id").alias("to"), F.col("to").alias("further"))
@@ -103,8 +104,8 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
         moved = following.join(at.withColumnRenamed("to", "was"), "session_id").filter("to <> was").limit(1).count()
         at = following
         if not moved:
-            break
-    return at.withColumnRenamed("to", "terminal_id")
+            return at.withColumnRenamed("to", "terminal_id")
+    raise ValueError(f"a chain has more than 2**{rounds} hops")
 
 
 def relay_gaps(second: DataFrame, first: DataFrame, seconds: int = 30) -> DataFrame:

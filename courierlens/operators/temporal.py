@@ -6,7 +6,7 @@ recurrences are folds over an entity's events in (time, id) order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,40 +55,82 @@ def fold(items: Column, first: Column, step: Callable[[Column, Column], Column])
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), first, step)
 
 
+def averages(events: DataFrame, rates: dict[str, float], key: str, order: tuple[str, ...], value: str, unit: str = "hour") -> DataFrame:
+    """(key, n, one column for each rate): exponential averages after an entity's last event.
+
+    An average is a sum of values weighted by powers of (1 - rate), so events
+    are summed by entity and hour, and the few sums of an entity are put
+    together after that: no entity has to fit into one task.
+    """
+    chunk = [key, "_chunk"]
+    rows = events.withColumn("_chunk", F.date_trunc(unit, order[0]))
+    last = F.row_number().over(Window.partitionBy(*chunk).orderBy(*(F.desc(c) for c in order))) - 1
+    rows = rows.withColumn("_after", last)
+    sums = [F.sum(rate * F.pow(F.lit(1 - rate), "_after") * F.col(value)).alias(f"_{name}") for name, rate in rates.items()]
+    chunks = rows.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.min_by(value, F.struct(*order)).alias("_first"), *sums)
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = chunks.withColumn("_later", later)
+    total = placed.groupBy(key).agg(
+        F.sum("_n").alias("n"), F.min_by("_first", "_chunk").alias("_x"),
+        *(F.sum(F.col(f"_{name}") * F.pow(F.lit(1 - rate), "_later")).alias(f"_{name}") for name, rate in rates.items()),
+    )
+    # the first event starts the average, so it weighs more than its place says
+    return total.select(key, "n", *((F.col(f"_{name}") + F.pow(F.lit(1 - rate), "n") * F.col("_x")).alias(name) for name, rate in rates.items()))
+
+
 def dual_ewma(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq"), value: str = "risk") -> DataFrame:
     """(key, n, fast, slow, drift, drifting) after an entity's last event."""
-    first = lambda i: F.struct(i[0][value].alias("fast"), i[0][value].alias("slow"))
-    step = lambda s, x: F.struct((0.95 * s["fast"] + 0.05 * x[value]).alias("fast"), (0.995 * s["slow"] + 0.005 * x[value]).alias("slow"))
-    rows = ordered(events, key, order, value).select(key, F.size("items").cast("long").alias("n"), fold(F.col("items"), first(F.col("items")), step).alias("s"))
-    drift = F.abs(F.col("s.fast") - F.col("s.slow")) / F.greatest(F.abs("s.slow"), F.lit(0.01))
-    return rows.select(key, "n", "s.fast", "s.slow", drift.alias("drift"), ((drift > 1.5) & (F.col("n") > 20)).alias("drifting"))
+    rows = averages(events, {"fast": 0.05, "slow": 0.005}, key, order, value)
+    drift = F.abs(F.col("fast") - F.col("slow")) / F.greatest(F.abs("slow"), F.lit(0.01))
+    return rows.select(key, "n", "fast", "slow", drift.alias("drift"), ((drift > 1.5) & (F.col("n") > 20)).alias("drifting"))
 
 
 def entity_risk(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq"), value: str = "risk") -> DataFrame:
     """(key, memory, watched, alerted) after an entity's last event."""
-    rows = ordered(events, key, order, value)
-    memory = fold(F.col("items"), F.col("items")[0][value], lambda s, x: 0.92 * s + 0.08 * x[value])
-    return rows.select(key, memory.alias("memory")).withColumns({"watched": F.col("memory") >= 0.30, "alerted": F.col("memory") >= 0.60})
+    rows = averages(events, {"memory": 0.08}, key, order, value)
+    return rows.select(key, "memory").withColumns({"watched": F.col("memory") >= 0.30, "alerted": F.col("memory") >= 0.60})
 
 
-def hawkes(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq"), value: str = "risk") -> DataFrame:
-    """(key, n, mu, intensity, ratio, burst) of an entity's last event, by a fold that keeps at most 100 recent events."""
-    keep, memory = 100, 5 * 0.6931471805599453 / 2
-    hours = lambda x: F.unix_micros(x["ts"].cast("timestamp")) / 3.6e9
+def hawkes(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq"), value: str = "risk", unit: str = "hour") -> DataFrame:
+    """(key, n, mu, intensity, ratio, burst) of an entity's last event; at most 100 recent events excite it.
 
-    def step(s: Column, x: Column) -> Column:
-        t = hours(x)
-        heat = F.aggregate(s["past"], F.lit(0.0), lambda a, p: a + 0.8 * F.pow(p["r"], F.lit(1.5)) * F.exp(-2 * (t - p["t"])))
-        gap = F.greatest(F.lit(0.001), t - s["last"])
-        mu = F.when(s["n"] > 3, F.greatest(F.lit(0.01), s["mu"] * 0.995 + 0.005 * F.least(F.lit(100.0), 1 / gap))).otherwise(s["mu"])
-        more = F.concat(s["past"], F.array(F.struct(t.alias("t"), x[value].alias("r"))))
-        kept = F.filter(F.slice(more, F.greatest(F.size(more) - keep + 1, F.lit(1)), keep), lambda p: t - p["t"] <= memory)
-        return F.struct((s["n"] + 1).alias("n"), mu.alias("mu"), (s["mu"] + heat).alias("intensity"), t.alias("last"), kept.alias("past"))
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.5).alias("mu"), F.lit(0.5).alias("intensity"), F.lit(0.0).alias("last"), F.array().cast("array<struct<t:double,r:double>>").alias("past"))
-    rows = ordered(events, key, order, value).select(key, F.aggregate("items", zero, step).alias("s"))
-    ratio = F.col("s.intensity") / F.greatest(F.col("s.mu"), F.lit(0.01))
-    return rows.select(key, "s.n", "s.mu", "s.intensity", ratio.alias("ratio"), (ratio > 3).alias("burst"))
+    The base rate after an event is max(0.01, 0.995 mu + c), and such steps put
+    one after the other are again of the form max(low, a mu + c). So each hour's
+    events become one step, and the few steps of an entity are taken in turn.
+    The last events are picked by their rank, which Spark limits before the
+    shuffle. No entity has to fit into one task.
+    """
+    keep, memory, start = 100, 5 * 0.6931471805599453 / 2, 0.5
+    past = Window.partitionBy(key).orderBy(*order)
+    hours = F.unix_micros(F.col(order[0]).cast("timestamp")) / 3.6e9
+    timed = events.select(key, *order, F.col(value).alias("r"), hours.alias("t"), F.date_trunc(unit, order[0]).alias("_chunk"))
+    last = timed.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))).filter(F.col("i") <= keep + 1)
+    recent = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "t", "r"))).alias("e"))
+    now, before = F.get("e", F.lit(0))["t"], F.get("e", F.lit(1))["t"]
+    excited = F.filter(F.slice("e", 2, keep), lambda p: before - p["t"] <= memory)
+    heat = F.aggregate(excited, F.lit(0.0), lambda a, p: a + 0.8 * F.pow(p["r"], F.lit(1.5)) * F.exp(-2 * (now - p["t"])))
+
+    # the first four events leave the rate as it is; the last one's step is taken apart
+    gap = F.greatest(F.lit(0.001), F.col("t") - F.lag("t").over(past))
+    rows = timed.withColumns({"c": 0.005 * F.least(F.lit(100.0), 1 / gap), "n": F.row_number().over(past)}).filter("n > 4")
+    item = F.sort_array(F.collect_list(F.struct(*order, "c")))
+    begin = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
+
+    def then(s: Column, x: Column) -> Column:
+        return F.struct(F.greatest(F.lit(0.01), 0.995 * s["low"] + x["c"]).alias("low"), (0.995 * s["a"]).alias("a"), (0.995 * s["c"] + x["c"]).alias("c"))
+
+    steps = rows.groupBy(key, "_chunk").agg(item.alias("items")).select(
+        key, "_chunk", F.aggregate("items", begin, then).alias("whole"), F.aggregate(F.slice("items", F.lit(1), F.size("items") - 1), begin, then).alias("part")
+    )
+    run = lambda mu, f: F.greatest(f["low"], f["a"] * mu + f["c"])
+    per = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "whole", "part"))).alias("h"))  # one for each hour
+    others = F.aggregate(F.slice("h", F.lit(1), F.size("h") - 1), F.lit(start), lambda mu, x: run(mu, x["whole"]))
+    ends = F.element_at("h", -1)
+    rates = per.select(key, others.alias("m"), ends.alias("x")).select(key, run(F.col("m"), F.col("x.whole")).alias("mu"), run(F.col("m"), F.col("x.part")).alias("was"))
+    counts = events.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    out = counts.join(recent, key).join(rates, key, "left").select(key, "n", F.coalesce("mu", F.lit(start)).alias("mu"), (F.coalesce("was", F.lit(start)) + heat).alias("intensity"))
+    ratio = F.col("intensity") / F.greatest(F.col("mu"), F.lit(0.01))
+    return out.select(key, "n", "mu", "intensity", ratio.alias("ratio"), (ratio > 3).alias("burst"))
 
 
 def hmm_phase(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -211,6 +253,21 @@ def cooled(events: Column, seconds: int) -> Column:
     return F.aggregate(events, zero, step, lambda s: s["taken"])
 
 
+def taken(rows: DataFrame, keys: Sequence[str], seconds: int, gap: int | None = None) -> DataFrame:
+    """The rows (with t in seconds, and id) that a cool-down after the last taken row of their keys lets through.
+
+    A row after a gap of that length is always taken, so rows are folded only
+    within runs without such a gap (``gap``: runs end at this gap already).
+    """
+    past = Window.partitionBy(*keys).orderBy("t", "id")
+    new = F.coalesce(F.col("t") - F.lag("t").over(past) >= (gap or seconds), F.lit(True))
+    runs = rows.withColumn("_new", new.cast("long")).withColumn("_run", F.sum("_new").over(past))
+    others = [c for c in rows.columns if c not in keys]
+    item = F.struct("t", "id", *(c for c in others if c not in ("t", "id")))
+    folded = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    return folded.select(*keys, F.explode(cooled(F.col("c"), seconds)).alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in others))
+
+
 def rolling(events: DataFrame, key: str, seconds: int, what: Column, at: str = "ts") -> DataFrame:
     """events with ``t`` (seconds) and ``in_window``: what, summed over the time up to each event, its start excluded."""
     w = Window.partitionBy(key).orderBy("_u").rangeBetween(-seconds * 1_000_000 + 1, 0)
@@ -221,9 +278,9 @@ def rolling(events: DataFrame, key: str, seconds: int, what: Column, at: str = "
 def volume_anomaly(incidents: DataFrame, key: str = "user_id", id_: str = "incident_id", seconds: int = 600, least: int = 5, cool_down: int = 1800) -> DataFrame:
     """(key, id, in_window, severity): bursts of an entity's incidents, one per cool-down. Only candidates are gathered."""
     hot = rolling(incidents, key, seconds, F.lit(1)).filter(F.col("in_window") >= least)
-    taken = hot.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", F.col(id_).alias("id"), "in_window"))).alias("c")).select(key, F.explode(cooled(F.col("c"), cool_down)).alias("x"))
-    severity = F.when(F.col("x.in_window") >= 3 * least, "critical").when(F.col("x.in_window") >= 2 * least, "high").otherwise("medium")
-    return taken.select(key, F.col("x.id").alias(id_), "x.in_window", severity.alias("severity"))
+    picked = taken(hot.select(key, "t", F.col(id_).alias("id"), "in_window"), [key], cool_down)
+    severity = F.when(F.col("in_window") >= 3 * least, "critical").when(F.col("in_window") >= 2 * least, "high").otherwise("medium")
+    return picked.select(key, F.col("id").alias(id_), "in_window", severity.alias("severity"))
 
 
 def jrt_compliance(items: DataFrame, key: str = "user_id", id_: str = "incident_id", seconds: int = 86_400, least4: int = 50, least3: int = 500, cool_down: int = 3600) -> DataFrame:
@@ -232,13 +289,55 @@ def jrt_compliance(items: DataFrame, key: str = "user_id", id_: str = "incident_
     out = None
     for rule, least, level in (("level4", least4, 4), ("level3", least3, 3)):
         hot = rolling(rows, key, seconds, F.when(F.col("level") >= level, F.col("item_count")).otherwise(0)).filter((F.col("in_window") >= least) & (F.col("level") >= level))
-        taken = hot.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", F.col(id_).alias("id"), "in_window"))).alias("c")).select(key, F.explode(cooled(F.col("c"), cool_down)).alias("x"))
-        part = taken.select(key, F.col("x.id").alias(id_), F.lit(rule).alias("rule"), F.col("x.in_window").alias("total"))
+        picked = taken(hot.select(key, "t", F.col(id_).alias("id"), "in_window"), [key], cool_down)
+        part = picked.select(key, F.col("id").alias(id_), F.lit(rule).alias("rule"), F.col("in_window").alias("total"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def deduplicated(events: DataFrame, keys: tuple[str, ...], seconds: int, at: str = "ts", id_: str = "incident_id") -> DataFrame:
-    """Events of which none with the same keys was taken within the seconds before; the window counts from the one taken."""
-    rows = events.select(*keys, F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(id_).alias("id")).alias("e"))
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("c")).select(*keys, F.explode(cooled(F.col("c"), seconds)).alias("x")).select(*keys, F.col("x.id").alias(id_))
+def deduplicated(events: DataFrame, keys: Sequence[str | Column], seconds: int, at: str = "ts", id_: str = "incident_id") -> DataFrame:
+    """Events of which none with the same keys was taken within the seconds before; the window counts from the one taken; null keys are equal."""
+    named = {f"_k{i}": k if isinstance(k, Column) else F.col(k) for i, k in enumerate(keys)}
+    rows = events.select((F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(id_).alias("id"), *(F.to_json(F.struct(k.alias("k"))).alias(n) for n, k in named.items()), F.struct("*").alias("row"))
+    return taken(rows, list(named), seconds).select("row.*")
+
+
+def normalized_uri(uri: Column) -> Column:
+    """A URI without the parameters that differ between the chunks of one upload."""
+    path, query = F.split_part(uri, F.lit("?"), F.lit(1)), F.substr(uri, F.length(F.split_part(uri, F.lit("?"), F.lit(1))) + 2)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~F.split_part(x, F.lit("="), F.lit(1)).isin("offset", "attachmentId")), "&")
+    return F.when(~uri.contains("?"), uri).when(kept == "", path).otherwise(F.concat(path, F.lit("?"), kept))
+
+
+def dedup_sessions(sessions: DataFrame, seconds: int = 300, at: str = "ts", id_: str = "session_id") -> DataFrame:
+    """Webmail sessions (client_ip, method, uri, filename) without repeats within the seconds; chunks of one upload are repeats."""
+    return deduplicated(sessions, ("client_ip", "method", normalized_uri(F.col("uri")), "filename"), seconds, at, id_)
+
+
+def dedup_incidents(incidents: DataFrame, at: str = "ts", id_: str = "incident_id", near: int = 300, far: int = 3600) -> DataFrame:
+    """Incidents (user, client_ip, filename, incident_type, matches) without those of one file and content soon after, nor of one user, type and content in an hour."""
+    matches = F.array_sort("matches")
+    first = deduplicated(incidents, (F.coalesce("user", "client_ip"), F.coalesce("filename", F.lit("")), matches), near, at, id_)
+    return deduplicated(first, ("user", "incident_type", matches), far, at, id_)
+
+
+def reassembled(chunks: DataFrame, idle: int = 120, age: int = 600, at: str = "ts", id_: str = "chunk_id") -> DataFrame:
+    """(client_ip, compose_id, attachment_id, started, n_chunks, size, data): uploads from chunks (id, client_ip, uri, ts, data).
+
+    An upload ends after ``idle`` seconds without a chunk or ``age`` seconds in
+    all; of chunks at one offset the later one counts. Chunks without both ids,
+    or without data, are none.
+    """
+    of = lambda name: F.nullif(F.regexp_extract("uri", f"(?i)[?&]{name}=([^&]*)", 1), F.lit(""))
+    keys = ["client_ip", "compose_id", "attachment_id"]
+    rows = chunks.select(
+        "client_ip", F.try_url_decode(of("composeid")).alias("compose_id"), of("attachmentid").alias("attachment_id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"),
+        F.col(id_).alias("id"), F.coalesce(F.expr("try_cast(regexp_extract(uri, '(?i)[?&]offset=([0-9]+)', 1) AS BIGINT)"), F.lit(0)).alias("offset"), "data",
+    ).filter("compose_id is not null and attachment_id is not null and data <> ''")
+    past = Window.partitionBy(*keys).orderBy("t", "id")
+    runs = rows.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(past) >= idle, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(past))
+    starts = taken(runs.select(*keys, "run", "t", "id"), [*keys, "run"], age).select(*keys, "run", "id", F.lit(1).alias("begins"))
+    begun = runs.join(starts, [*keys, "run", "id"], "left").withColumn("part", F.count("begins").over(Window.partitionBy(*keys, "run").orderBy("t", "id")))
+    by_offset = begun.groupBy(*keys, "run", "part", "offset").agg(F.max_by("data", F.struct("t", "id")).alias("data"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t"), F.sum(F.octet_length("data")).alias("size"))
+    whole = by_offset.groupBy(*keys, "run", "part").agg(F.min("t").alias("t"), F.sum("n").alias("n_chunks"), F.sum("size").alias("size"), F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("c"))
+    return whole.select(*keys, F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("started"), "n_chunks", "size", F.array_join(F.col("c.data"), "").alias("data"))

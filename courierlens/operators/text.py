@@ -202,27 +202,43 @@ def folded(name: Column) -> Column:
     return F.translate(name, FOLD_FROM, FOLD_TO)
 
 
-def lookalikes(domains: DataFrame, protected: DataFrame, most: int = 10_000) -> DataFrame:
+def _pieces(name: Column) -> Column:
+    """A name cut into one piece more than the edits that a name up to three longer may have; an edited name keeps one of them whole."""
+    n = F.length(name)
+    k = F.when(n + 3 <= 6, 2).when(n + 3 <= 12, 3).otherwise(4)
+    at = lambda i: F.floor(n * i / k).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substr(name, at(i) + 1, at(i + 1) - at(i))), lambda x: x != "")
+
+
+def lookalikes(domains: DataFrame, protected: DataFrame) -> DataFrame:
     """(domain, protected, kind, score): each domain's best resemblance to a protected one.
 
-    The protected list is a policy of bounded size, checked here, and is
-    broadcast; domains are taken once each.
+    Equi-joins bring candidates together: an edited, prefixed or suffixed name
+    holds a piece of the protected one, and a homoglyph folds to the same name.
     """
-    if protected.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} protected domains")
-    d = domains.select("domain").distinct().select("domain", F.regexp_replace("domain", "[.][^.]*$", "").alias("base"), F.regexp_extract("domain", "[.]([^.]*)$", 1).alias("tld"))
-    p = protected.select(F.col("domain").alias("protected"), F.regexp_replace("domain", "[.][^.]*$", "").alias("pbase"), F.regexp_extract("domain", "[.]([^.]*)$", 1).alias("ptld"))
+    split = lambda c, x, y: (F.regexp_replace(c, "[.][^.]*$", "").alias(x), F.regexp_extract(c, "[.]([^.]*)$", 1).alias(y))
+    d = domains.select("domain").distinct().select("domain", *split("domain", "base", "tld")).filter(F.length("base") >= 3)
+    p = protected.select(F.col("domain").alias("protected")).distinct().select("protected", *split("protected", "pbase", "ptld")).filter(F.length("pbase") >= 3)
+    pieces = p.select("protected", F.explode(F.array_distinct(_pieces(F.col("pbase")))).alias("piece"))
+    sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())  # at most a host name's length of them
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("base") - n + 1, F.lit(1)))
+    parts = [F.transform(starts(n), lambda i, n=n: F.substr("base", i, F.lit(n))) for n in sizes]
+    held = d.select("domain", F.explode(F.array_distinct(F.concat(*parts) if parts else F.array(F.lit("")))).alias("piece"))
+    folds = d.select("domain", folded(F.col("base")).alias("f")).join(p.select("protected", folded(F.col("pbase")).alias("f")), "f")
+    met = held.join(pieces, "piece").select("domain", "protected").unionByName(folds.select("domain", "protected")).distinct()
     near = F.levenshtein("base", "pbase", 3)
     longest = F.greatest(F.length("base"), F.length("pbase"))
     allowed = F.when(longest <= 6, 1).when(longest <= 12, 2).otherwise(3)
     edited = (near >= 1) & (near <= allowed) & (F.length("pbase") >= 4)
     affix = (F.col("base") != F.col("pbase")) & (F.length("pbase") >= 4) & (F.col("base").startswith(F.col("pbase")) | F.col("base").endswith(F.col("pbase")))
+    same = F.col("base") == F.col("pbase")
+    of = lambda score, kind: F.struct(score.alias("score"), F.lit(kind).alias("kind"))
     kind = (
-        F.when((F.col("base") != F.col("pbase")) & (folded(F.col("base")) == folded(F.col("pbase"))), F.struct(F.lit(0.95).alias("score"), F.lit("homoglyph").alias("kind")))
-        .when((F.col("base") == F.col("pbase")) & (F.col("tld") != F.col("ptld")), F.struct(F.lit(0.90).alias("score"), F.lit("tld_swap").alias("kind")))
-        .when(edited, F.struct(F.when(near == 1, 0.85).when(near == 2, 0.75).otherwise(0.65).alias("score"), F.lit("edit_distance").alias("kind")))
-        .when(affix, F.struct(F.lit(0.70).alias("score"), F.lit("affix").alias("kind")))
+        F.when(~same & (folded(F.col("base")) == folded(F.col("pbase"))), of(F.lit(0.95), "homoglyph"))
+        .when(same & (F.col("tld") != F.col("ptld")), of(F.lit(0.90), "tld_swap"))
+        .when(edited, of(F.when(near == 1, 0.85).when(near == 2, 0.75).otherwise(0.65), "edit_distance"))
+        .when(affix, of(F.lit(0.70), "affix"))
     )
-    pairs = d.filter(F.length("base") >= 3).join(F.broadcast(p.filter(F.length("pbase") >= 3)), F.col("domain") != F.col("protected")).withColumn("k", kind).filter("k is not null")
+    pairs = met.filter("domain <> protected").join(d, "domain").join(p, "protected").withColumn("k", kind).filter("k is not null")
     best = pairs.groupBy("domain").agg(F.max(F.struct("k.score", F.col("protected"), "k.kind")).alias("b"))
     return best.select("domain", "b.protected", "b.kind", "b.score")

@@ -27,6 +27,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_module_results": (("lineitem",), "SELECT l_orderkey AS session_id, l_linenumber AS module_n, l_partkey AS part_n, l_suppkey AS supp_n, l_linenumber % 5 AS pillar_n, LEAST(1.0, l_discount * 10.0) AS score, 1.0 - 5.0 * l_tax AS confidence, CAST(l_quantity AS BIGINT) AS duration_ms FROM lineitem"),
     "fx_signals": (("lineitem",), f"SELECT session_id, SPLIT_PART(signal, ':', 1) AS module, SPLIT_PART(signal, ':', 2) AS category, threat, score, weight, confidence FROM (SELECT l_orderkey AS session_id, SPLIT_PART('{SIGNALS}', ',', CASE WHEN l_orderkey % 9 = 0 THEN 39 + CAST(l_partkey % 3 AS INT) WHEN l_orderkey % 7 = 0 THEN 29 + CAST(l_partkey % 10 AS INT) ELSE CAST((l_partkey + l_suppkey) % {SIGNALS.count(',') + 1} AS INT) + 1 END) AS signal, CAST(l_suppkey % 5 AS INT) AS threat, LEAST(1.0, l_discount * 10.0 + l_tax) AS score, 0.5 + CAST(l_partkey % 6 AS DOUBLE) / 10.0 AS weight, 1.0 - 3.0 * l_tax AS confidence FROM lineitem) lines"),
     "fx_mail": (("orders",), "SELECT o_orderkey AS session_id, CONCAT(CASE o_custkey % 8 WHEN 0 THEN 'Automatic reply: ' WHEN 1 THEN 'Undeliverable: ' WHEN 2 THEN '[Suspected spam] ' WHEN 3 THEN 'CAUTION external mail: ' ELSE '' END, o_orderpriority) AS subject, CASE o_custkey % 5 WHEN 0 THEN CONCAT('Ann: are you there', CHR(10), 'Bob: yes', CHR(10), '10:15 Ann: good', CHR(10), 'bye') WHEN 1 THEN 'This mail came from outside, take care. Please pay the invoice.' WHEN 2 THEN CONCAT('09:10 call', CHR(10), CHR(10), '10:20 lunch', CHR(10), 'x', CHR(10), 'y') WHEN 3 THEN 'a: b' ELSE NULL END AS body, CASE o_custkey % 11 WHEN 0 THEN 'MAILER-DAEMON@n1.example' ELSE CONCAT('c', CAST(o_custkey AS STRING), '@n2.example') END AS sender, o_custkey % 13 = 0 AS auto_submitted, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE LEAST(1.2, o_totalprice / 200000.0) END AS alignment FROM orders"),
+    "fx_web": (("events",), "SELECT event_id AS session_id, ts, CONCAT('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, CONCAT('/m/', event_type, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CONCAT('?offset=', CAST(event_id AS STRING)) ELSE CONCAT('?sid=7&offset=', CAST(event_id AS STRING), '&attachmentId=2') END) AS uri, CASE WHEN user_id % 2 = 0 THEN 'a.txt' ELSE NULL END AS filename FROM events"),
+    "fx_chunks": (("events",), "SELECT event_id AS chunk_id, ts, CONCAT('10.0.0.', CAST(user_id % 2 AS STRING)) AS client_ip, CONCAT('/up?composeId=c%3A', CAST(user_id % 2 AS STRING), '&attachmentId=', CASE WHEN event_type = 'view' THEN '' ELSE '1' END, '&offset=', CAST(event_id % 20 AS STRING)) AS uri, CASE WHEN event_type = 'click' THEN '' ELSE CONCAT('<', CAST(event_id AS STRING), '>') END AS data FROM events"),
     "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderstatus <> 'P'"),
     "fx_iocs": (("supplier",), "SELECT CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS indicator, 'domain' AS ioc_type, CONCAT('src', CAST(s_suppkey % 3 AS STRING)) AS source, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 3000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq FROM supplier"),
 }

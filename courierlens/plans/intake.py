@@ -78,7 +78,14 @@ def _disposition(v):
     return op.disposition(rows, rules).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("terminal_hop", "events")
+@query(
+    "terminal_hop", "events",
+    sql=f"""WITH RECURSIVE h AS ({RELAY_SQL}),
+      n AS (SELECT a.session_id, first(b.session_id ORDER BY b.t, b.session_id) AS next_id FROM h a JOIN h b ON a.server_ip = b.client_ip AND a.mail_from = b.mail_from AND a.r = b.r
+        AND b.t >= a.t AND b.t <= a.t + INTERVAL 3600 SECONDS AND (b.t > a.t OR b.session_id > a.session_id) GROUP BY 1),
+      walk AS (SELECT session_id, session_id AS place FROM h UNION ALL SELECT walk.session_id, n.next_id FROM walk JOIN n ON n.session_id = walk.place)
+      SELECT session_id, place AS terminal_id FROM walk WHERE place NOT IN (SELECT session_id FROM n)""",
+)
 def _terminal(e):
     return op.terminal_hop(_relays(e), 3600)
 

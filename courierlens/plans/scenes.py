@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from courierlens.operators import scenes as op
 from courierlens.operators import text as text_op
 from courierlens.plans.registry import query
+from courierlens.plans.text import HOST_SQL, lookalikes_sql
 
 SCENE_SQL = """SELECT sender_domain AS actor, CASE WHEN COUNT(*) % 2 = 0 THEN 'bulk' ELSE 'bounce' END AS scene_type, CASE WHEN COUNT(*) >= 130 THEN 'critical' WHEN COUNT(*) >= 110 THEN 'high' ELSE 'medium' END AS severity,
   MIN(started_at) AS first_seen, MAX(started_at) AS last_seen, COUNT(*) AS mails FROM fx_sessions"""
@@ -41,11 +42,18 @@ def _scene_stats(s):
     return op.scene_counts(_scenes(s).withColumnRenamed("severity", "status"), now, ("medium", "high", "critical"))
 
 
-@query("internal_impersonation", "pages")
+IMPERSONATED = ("the.example.com", "thther.example.net", "www.ththhe.example.net")
+
+
+@query(
+    "internal_impersonation", "pages",
+    sql=f"""SELECT domain AS actor, protected, kind, mails, recipients, CASE WHEN kind IN ('homoglyph', 'tld_swap') THEN CASE WHEN mails >= 10 THEN 'critical' ELSE 'high' END WHEN mails >= 10 THEN 'high' ELSE 'medium' END AS severity
+      FROM ({lookalikes_sql(IMPERSONATED)}) l JOIN (SELECT {HOST_SQL} AS host, COUNT(*) AS mails, COUNT(DISTINCT page_id) AS recipients FROM pages GROUP BY 1) h ON h.host = l.domain""",
+)
 def _impersonation(p):
     hosts = p.select(text_op.host_of(F.col("url")).alias("sender_domain"), "page_id")
     senders = hosts.groupBy("sender_domain").agg(F.count(F.lit(1)).alias("mails"), F.count_distinct("page_id").alias("recipients"))
-    protected = p.sparkSession.createDataFrame([("the.example.com",), ("thther.example.net",), ("www.ththhe.example.net",)], "domain string")
+    protected = p.sparkSession.createDataFrame([(x,) for x in IMPERSONATED], "domain string")
     return op.impersonation(senders, text_op.lookalikes(senders.select(F.col("sender_domain").alias("domain")), protected), 1)
 
 

@@ -161,10 +161,10 @@ def _auto_iocs(s, v):
 
 @query(
     "feedback_ioc_decay", "fx_iocs", "fx_recipients", "labels",
-    sql="""WITH f AS (SELECT r.rcpt_domain, COUNT(DISTINCT l.doc_id) AS n FROM labels l JOIN fx_recipients r ON r.session_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0 AND l.doc_id % 50 = 0 GROUP BY 1)
+    sql="""WITH f AS (SELECT r.rcpt_domain, COUNT(DISTINCT l.doc_id) AS n FROM labels l JOIN fx_recipients r ON r.session_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0 GROUP BY 1)
       SELECT i.seq, i.indicator, GREATEST(0.0, i.confidence - 0.2 * COALESCE(f.n, 0)) AS confidence FROM fx_iocs i LEFT JOIN f ON f.rcpt_domain = i.indicator""",
 )
 def _decay(i, r, labels):
-    legitimate = labels.filter("quality = 1 AND toxic = 0 AND doc_id % 50 = 0").select(F.col("doc_id").alias("session_id"))
+    legitimate = labels.filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("session_id"))
     hits = r.join(legitimate, "session_id").groupBy(F.col("rcpt_domain").alias("indicator")).agg(F.count_distinct("session_id").alias("hits"))
     return i.join(hits, "indicator", "left").select("seq", "indicator", F.greatest(F.lit(0.0), F.col("confidence") - 0.2 * F.coalesce("hits", F.lit(0))).alias("confidence"))

@@ -134,19 +134,40 @@ def _jrt(i):
     return op.jrt_compliance(i.withColumn("level", level), least4=300, least3=300)
 
 
+INCIDENT_SQL = "SELECT incident_id, user_id, incident_type, user_id % 3 || '.txt' AS file, item_count % 2 AS found, epoch_us(ts) / 1e6 AS t FROM fx_incidents"
+
+
 @query(
     "dedup_incidents", "fx_incidents",
-    sql=f"""WITH RECURSIVE h AS (SELECT user_id || '-' || incident_type AS key, user_id, incident_type, incident_id AS id, epoch_us(ts) / 1e6 AS t FROM fx_incidents), {_cooled_sql('h', 'key', 86400)}
-      SELECT h.user_id, h.incident_type, h.id AS incident_id FROM p JOIN h ON h.key = p.key AND h.id = p.id WHERE took""",
+    sql=f"""WITH RECURSIVE i AS ({INCIDENT_SQL}), h AS (SELECT COALESCE(CASE WHEN user_id % 2 = 0 THEN 'u' || user_id END, 'ip' || user_id % 40) || '-' || file || '-' || found AS key, incident_id AS id, t FROM i), {_cooled_sql('h', 'key', 7200)},
+      h2 AS (SELECT COALESCE(CASE WHEN user_id % 2 = 0 THEN 'u' || user_id END, '') || '-' || incident_type || '-' || found AS key, incident_id AS id, t FROM i WHERE incident_id IN (SELECT id FROM p WHERE took)), {_cooled_sql('h2', 'key', 86400).replace('o AS', 'o2 AS').replace('p AS', 'p2 AS').replace('FROM o ', 'FROM o2 ').replace('o.', 'o2.').replace('p.', 'p2.').replace('FROM p ', 'FROM p2 ').replace('JOIN o ', 'JOIN o2 ')}
+      SELECT id AS incident_id FROM p2 WHERE took""",
 )
 def _dedup(i):
-    return op.deduplicated(i, ("user_id", "incident_type"), 86_400)
+    rows = i.select(
+        "incident_id", "ts", "incident_type", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), "user_id")).alias("user"), F.concat(F.lit("ip"), F.col("user_id") % 40).alias("client_ip"),
+        F.concat(F.col("user_id") % 3, F.lit(".txt")).alias("filename"), F.array(F.lit("m"), (F.col("item_count") % 2).cast("string")).alias("matches"),
+    )
+    return op.dedup_incidents(rows, near=7200, far=86_400).select("incident_id")
+
+
+@query(
+    "dedup_sessions", "fx_web",
+    sql=f"""WITH RECURSIVE h AS (SELECT client_ip || ' ' || method || ' ' || split_part(uri, '?', 1) || CASE WHEN contains(uri, 'sid=7') THEN '?sid=7' ELSE '' END || COALESCE(filename, '') AS key, session_id AS id, epoch_us(ts) / 1e6 AS t FROM fx_web), {_cooled_sql('h', 'key', 3600)}
+      SELECT id AS session_id FROM p WHERE took""",
+)
+def _dedup_sessions(w):
+    return op.dedup_sessions(w, 3600).select("session_id")
 
 
 @query(
-    "dedup_sessions", "fx_incidents",
-    sql=f"""WITH RECURSIVE h AS (SELECT client_ip_n AS key, incident_id AS id, epoch_us(ts) / 1e6 AS t FROM fx_incidents WHERE incident_type = 'view'), {_cooled_sql('h', 'key', 3600)}
-      SELECT key AS client_ip_n, id AS incident_id FROM p WHERE took""",
+    "chunk_reassembly", "fx_chunks",
+    sql=f"""WITH RECURSIVE c AS (SELECT chunk_id AS id, epoch_us(ts) / 1e6 AS t, client_ip, 'c:' || regexp_extract(uri, 'c%3A([0-9])', 1) AS compose_id, '1' AS attachment_id, CAST(regexp_extract(uri, 'offset=([0-9]+)', 1) AS BIGINT) AS off, data FROM fx_chunks WHERE data <> '' AND contains(uri, 'attachmentId=1')),
+      r AS (SELECT *, SUM(new) OVER (PARTITION BY client_ip, compose_id ORDER BY t, id) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_ip, compose_id ORDER BY t, id) < 600 THEN 0 ELSE 1 END AS new FROM c)),
+      h AS (SELECT client_ip || '-' || compose_id || '-' || run AS key, id, t, client_ip, compose_id, attachment_id, off, data FROM r), {_cooled_sql('h', 'key', 1800)},
+      s AS (SELECT h.*, COUNT(*) FILTER (WHERE took) OVER (PARTITION BY h.key ORDER BY h.t, h.id) AS part FROM h JOIN p ON p.key = h.key AND p.id = h.id),
+      k AS (SELECT *, row_number() OVER (PARTITION BY key, part, off ORDER BY t DESC, id DESC) AS back FROM s)
+      SELECT client_ip, compose_id, attachment_id, make_timestamp(CAST(MIN(t) * 1e6 AS BIGINT)) AS started, COUNT(*) AS n_chunks, CAST(SUM(strlen(data)) AS BIGINT) AS size, string_agg(data, '' ORDER BY off) FILTER (WHERE back = 1) AS data FROM k GROUP BY client_ip, compose_id, attachment_id, key, part""",
 )
-def _dedup_sessions(i):
-    return op.deduplicated(i.filter("incident_type = 'view'"), ("client_ip_n",), 3600)
+def _chunks(c):
+    return op.reassembled(c, 600, 1800)

@@ -124,7 +124,10 @@ def _profile(p):
     return p.groupBy(op.registrable(host).alias("domain")).agg(F.count(F.lit(1)).alias("urls"), F.count_distinct(host).alias("hosts"), F.bool_and(F.col("url").rlike("[.](?:css|js|png|jpg|gif|woff2?)(?:[?#]|$)")).alias("assets_only"))
 
 
-@query("url_redirect_targets", "pages")
+@query(
+    "url_redirect_targets", "pages",
+    sql="SELECT 'https://track.example/?url=' || url_encode(url_encode(url)) AS url, url AS target FROM pages WHERE url LIKE 'http%'",
+)
 def _redirects(p):
     nested = p.select(F.concat(F.lit("https://track.example/?url="), F.url_encode(F.url_encode("url"))).alias("url"))
     return op.redirect_targets(nested)
@@ -133,15 +136,17 @@ def _redirects(p):
 PROTECTED = ("the.example.com", "thther.example.org", "www.ththhe.example.net", "blog.tionsh.example.com")
 
 
-@query(
-    "domain_lookalikes", "pages",
-    sql=f"""WITH d AS (SELECT DISTINCT {HOST_SQL} AS domain FROM pages), p AS (SELECT unnest([{', '.join(repr(x) for x in PROTECTED)}]) AS protected),
+def lookalikes_sql(protected) -> str:
+    names = ", ".join(map(repr, protected))
+    return f"""WITH d AS (SELECT DISTINCT {HOST_SQL} AS domain FROM pages), p AS (SELECT unnest([{names}]) AS protected),
       b AS (SELECT domain, protected, regexp_replace(domain, '[.][^.]*$', '') AS base, regexp_extract(domain, '[.]([^.]*)$', 1) AS tld, regexp_replace(protected, '[.][^.]*$', '') AS pbase, regexp_extract(protected, '[.]([^.]*)$', 1) AS ptld FROM d JOIN p ON domain <> protected),
       l AS (SELECT *, levenshtein(base, pbase) AS near, CASE WHEN greatest(length(base), length(pbase)) <= 6 THEN 1 WHEN greatest(length(base), length(pbase)) <= 12 THEN 2 ELSE 3 END AS allowed,
              translate(replace(replace(replace(base, 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '{op.FOLD_FROM}', '{op.FOLD_TO}') AS fb, translate(replace(replace(replace(pbase, 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '{op.FOLD_FROM}', '{op.FOLD_TO}') AS fp FROM b WHERE length(base) >= 3 AND length(pbase) >= 3),
       k AS (SELECT domain, protected, CASE WHEN base <> pbase AND fb = fp THEN 'homoglyph' WHEN base = pbase AND tld <> ptld THEN 'tld_swap' WHEN near >= 1 AND near <= allowed AND length(pbase) >= 4 THEN 'edit_distance' WHEN base <> pbase AND length(pbase) >= 4 AND (starts_with(base, pbase) OR ends_with(base, pbase)) THEN 'affix' END AS kind, near FROM l),
       s AS (SELECT domain, protected, kind, CASE kind WHEN 'homoglyph' THEN 0.95 WHEN 'tld_swap' THEN 0.90 WHEN 'affix' THEN 0.70 ELSE CASE near WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.65 END END AS score FROM k WHERE kind IS NOT NULL)
-      SELECT domain, protected, kind, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, protected DESC) AS i FROM s) WHERE i = 1""",
-)
+      SELECT domain, protected, kind, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, protected DESC) AS i FROM s) WHERE i = 1"""
+
+
+@query("domain_lookalikes", "pages", sql=lookalikes_sql(PROTECTED))
 def _lookalikes(p):
     return op.lookalikes(p.select(op.host_of(F.col("url")).alias("domain")), p.sparkSession.createDataFrame([(x,) for x in PROTECTED], "domain string"))
