@@ -13,83 +13,6 @@ from pyspark.sql import functions as F
 
 from courierlens.functions.arrays import bound
 
-#: Sensitivity levels of the data classes, 4 the highest.
-LEVELS = {
-    4: ("credential_leak", "cvv_code", "credit_card", "biometric_data", "medical_health"),
-    3: ("id_number", "phone_number", "bank_card", "customer_address", "email_address", "passport_number", "iban", "large_amount", "bank_account", "contract_number", "vehicle_info", "property_info", "income_info", "geo_location", "otp_verification", "loan_credit_info", "insurance_policy", "family_relation"),
-    2: ("swift_code", "tax_id", "employee_info", "judicial_record", "education_info", "business_license"),
-    1: ("social_credit_code",),
-}
-#: Class -> (pattern of which group 1 is the value, least number of distinct values that counts).
-PATTERNS: dict[str, tuple[str, int]] = {
-    "card_digits": ("(?:^|[^0-9])([0-9]{16,19})(?:[^0-9]|$)", 1),
-    "email_address": ("([A-Za-z0-9._%+]+@[A-Za-z0-9.]+[.][A-Za-z]{2,})", 1),
-    "phone_number": ("([+][0-9]{1,2} [(][0-9]{3}[)] [0-9]{3}[ .][0-9]{4}|[+][0-9]{1,2} [(][0-9]{3}[)])", 1),
-    "credential_leak": ("((?:key|token|secret|password|passwd) ?[=:] ?\"[0-9A-Za-z]{16,}\")", 1),
-    "geo_location": ("(?:^|[^0-9.])([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})(?:[^0-9.]|$)", 1),
-    "iban": ("(?:^|[^A-Z0-9])([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?:[^A-Z0-9]|$)", 1),
-    "swift_code": ("(?:^|[^A-Z0-9])(?:SWIFT|BIC) ?:? ?([A-Z]{6}[A-Z0-9]{2,5})(?:[^A-Z0-9]|$)", 1),
-    "large_amount": ("(?:USD|EUR|[$]) ?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{5,})", 2),
-    "cvv_code": ("(?:CVV|CVC) ?:? ?([0-9]{3,4})(?:[^0-9]|$)", 1),
-    "contract_number": ("(?:[Cc]ontract|[Aa]greement) [Nn]o[.]? ?([A-Z0-9]{6,})", 1),
-}
-
-
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits has a right check digit."""
-    n = F.length(digits)
-
-    def one(i: Column) -> Column:
-        d = F.substr(digits, i, F.lit(1)).cast("int")
-        twice = (n - i) % 2 == 1
-        return F.when(twice & (d > 4), 2 * d - 9).when(twice, 2 * d).otherwise(d)
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + one(i)) % 10 == 0
-
-
-def iban_ok(code: Column) -> Column:
-    """Whether the remainder by 97 of a rearranged IBAN is 1; digits are taken one at a time, so nothing overflows."""
-    turned = F.concat(F.substr(code, F.lit(5)), F.substr(code, F.lit(1), F.lit(4)))
-    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    step = lambda s, c: F.when(value(c) > 9, (s * 100 + value(c)) % 97).otherwise((s * 10 + value(c)) % 97)
-    return F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(step(s, c))) == 1
-
-
-def normalized(text: Column) -> Column:
-    """Text without zero-width characters, with full-width digits folded."""
-    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u200B\\u200C\\u200D\\uFEFF]", ""), "０１２３４５６７８９", "0123456789")
-
-
-def dlp_findings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class, n, samples): distinct validated values of each class in a text, and up to three, masked."""
-    t = docs.select(F.col(id_), normalized(F.col(text)).alias("_t"))
-    found = lambda p: F.array_distinct(F.regexp_extract_all("_t", F.lit(p), 1))
-    cards = F.filter(found(PATTERNS["card_digits"][0]), luhn)
-    classes = {
-        "credit_card": F.filter(cards, lambda c: F.length(c) == 16),
-        "bank_card": F.filter(cards, lambda c: F.length(c) > 16),
-        "iban": F.filter(found(PATTERNS["iban"][0]), iban_ok),
-    } | {k: found(p) for k, (p, _) in PATTERNS.items() if k not in ("card_digits", "iban")}
-    rows = F.array(*(F.struct(F.lit(k).alias("class"), v.alias("values"), F.lit(PATTERNS.get(k, ("", 1))[1]).alias("least")) for k, v in classes.items()))
-    mask = lambda v: F.concat(F.substr(v, F.lit(1), F.lit(2)), F.lit("***"), F.substr(v, F.greatest(F.length(v) - 1, F.lit(3))))
-    each = t.select(id_, F.explode(rows).alias("f")).filter("size(f.values) >= f.least")
-    return each.select(id_, F.col("f.class").alias("class"), F.size("f.values").cast("long").alias("n"), F.transform(F.slice(F.array_sort("f.values"), 1, 3), mask).alias("samples"))
-
-
-def level_of(cls: Column) -> Column:
-    out = F.lit(0)
-    for level, names in LEVELS.items():
-        out = F.when(cls.isin(*names), level).otherwise(out)
-    return out
-
-
-def level_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, items2, items3, items4, severity): values at or above each level."""
-    at = lambda k: F.sum(F.when(F.col("level") >= k, F.col("n")).otherwise(0)).alias(f"items{k}")
-    rows = findings.withColumn("level", level_of(F.col("class"))).groupBy(key).agg(at(2), at(3), at(4), F.max("level").alias("top"))
-    return rows.select(key, "items2", "items3", "items4", F.when(F.col("top") == 4, "high").when(F.col("top") == 3, "medium").otherwise("low").alias("severity"))
-
-
 def keyword_score(docs: DataFrame, strong: Sequence[str], weak: Sequence[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, strong, weak, score): strong terms at .08 each up to .5; three weak ones or more at .03 each up to .15."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.operators.dlp import level_of
 from courierlens.operators.relational import direction
-from courierlens.operators.text import level_of
 
 EXECUTABLE = ("exe", "dll", "scr", "bat", "cmd", "js", "vbs", "ps1", "msi", "jar")
 SENSITIVE = ("sql", "bak", "db", "mdb", "pem", "key", "pfx", "kdbx")

@@ -19,6 +19,15 @@ SIGNALS = (
     "anomaly_detect:volume,transaction_correlation:payment_change,transaction_correlation:crypto_wallet,transaction_correlation:iban_detected,domain_verify:aligned,plugin:nlp_bec"
 )
 
+#: Sensitive values that documents are dealt, by the remainder of their id.
+SENSITIVE = (
+    "card 4111-1111-1111-1111 and 5105 1051 0510 5100, not 4111-1111-1111-1112", "id 11010519491231002X, 11010519491231002X; not 110105194912310021", "13800138000, 13900139000;15012345678 13800138000", "bank 6212345678901234569 4111111111111111",
+    "住在福建省福州市鼓楼区软件园路 ok", "a-b@my-host.example.com, c.d@x.example;noreply@x.example E_F+1@Y.example", "passport E12345678 e1234567", "code 91350100M000100W0L 91350100M000100W0M",
+    "password: hunter22 token=abcdef secret = true", "SWIFT: DEUTDEFF500 BIC COBADEFFXXX", "CVV: 123 and otp 123456", "tax 110105ABCDEFGH1", "iban GB82WEST12345698765432 GB82WEST12345698765433", "USD 1,200,000 and 35,000 EUR, 12 RMB",
+    "account: 12345678901", "contract no. AB12345678", "fingerprint and iris scans, Fingerprint", "病历 处方 病史", "京A12345 LSVAU2180N2183294", "房产证号：A1234567", "工资：12,000", "longitude: 116.4074 and 39.9042, 116.4074",
+    "OTP 998877", "贷款余额：5000", "受益人：张三 保费：200", "紧急联系人：李四", "工号：E1001 部门：风控", "判决书 开庭公告", "学历：本科", "营业执照号：110105012345678",
+)
+
 FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_risk": (("events",), "SELECT user_id AS entity_key, event_id AS seq, ts, LEAST(1.0, value / 250.0) AS risk, CAST(0.30 AS DOUBLE) AS u_final, CAST(0.0 AS DOUBLE) AS k_conflict FROM events"),
     "fx_incidents": (("events",), "SELECT event_id AS incident_id, ts, user_id, user_id % 40 AS client_ip_n, event_type AS incident_type, CASE WHEN value >= 200 THEN 'critical' WHEN value >= 100 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS severity, CAST(FLOOR(value) AS INT) AS item_count FROM events"),
@@ -29,6 +38,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_mail": (("orders",), "SELECT o_orderkey AS session_id, CONCAT(CASE o_custkey % 8 WHEN 0 THEN 'Automatic reply: ' WHEN 1 THEN 'Undeliverable: ' WHEN 2 THEN '[Suspected spam] ' WHEN 3 THEN 'CAUTION external mail: ' ELSE '' END, o_orderpriority) AS subject, CASE o_custkey % 5 WHEN 0 THEN CONCAT('Ann: are you there', CHR(10), 'Bob: yes', CHR(10), '10:15 Ann: good', CHR(10), 'bye') WHEN 1 THEN 'This mail came from outside, take care. Please pay the invoice.' WHEN 2 THEN CONCAT('09:10 call', CHR(10), CHR(10), '10:20 lunch', CHR(10), 'x', CHR(10), 'y') WHEN 3 THEN 'a: b' ELSE NULL END AS body, CASE o_custkey % 11 WHEN 0 THEN 'MAILER-DAEMON@n1.example' ELSE CONCAT('c', CAST(o_custkey AS STRING), '@n2.example') END AS sender, o_custkey % 13 = 0 AS auto_submitted, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE LEAST(1.2, o_totalprice / 200000.0) END AS alignment FROM orders"),
     "fx_web": (("events",), "SELECT event_id AS session_id, ts, CONCAT('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, CONCAT('/m/', event_type, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CONCAT('?offset=', CAST(event_id AS STRING)) ELSE CONCAT('?sid=7&offset=', CAST(event_id AS STRING), '&attachmentId=2') END) AS uri, CASE WHEN user_id % 2 = 0 THEN 'a.txt' ELSE NULL END AS filename FROM events"),
     "fx_chunks": (("events",), "SELECT event_id AS chunk_id, ts, CONCAT('10.0.0.', CAST(user_id % 2 AS STRING)) AS client_ip, CONCAT('/up?composeId=c%3A', CAST(user_id % 2 AS STRING), '&attachmentId=', CASE WHEN event_type = 'view' THEN '' ELSE '1' END, '&offset=', CAST(event_id % 20 AS STRING)) AS uri, CASE WHEN event_type = 'click' THEN '' ELSE CONCAT('<', CAST(event_id AS STRING), '>') END AS data FROM events"),
+    "fx_dlp": (("documents",), "SELECT doc_id, CONCAT(COALESCE(text, ''), ' ', CASE doc_id % " + str(len(SENSITIVE)) + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(SENSITIVE)) + " END) AS text FROM documents"),
     "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderstatus <> 'P'"),
     "fx_iocs": (("supplier",), "SELECT CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS indicator, 'domain' AS ioc_type, CONCAT('src', CAST(s_suppkey % 3 AS STRING)) AS source, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 3000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq FROM supplier"),
 }

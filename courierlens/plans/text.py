@@ -5,37 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courierlens.functions.arrays import round6
+from courierlens.operators import dlp
 from courierlens.operators import text as op
 from courierlens.plans.registry import query
 
-CARD_SQL = "list_distinct(regexp_extract_all(t, '(?:^|[^0-9])([0-9]{16,19})(?:[^0-9]|$)', 1))"
-LUHN_SQL = "list_filter({v}, lambda c: list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN (length(c) - i) % 2 = 1 THEN CASE WHEN CAST(c[i] AS INT) > 4 THEN 2 * CAST(c[i] AS INT) - 9 ELSE 2 * CAST(c[i] AS INT) END ELSE CAST(c[i] AS INT) END)) % 10 = 0)"
-DLP_SQL = "WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), c AS (SELECT doc_id, t, " + LUHN_SQL.replace("{v}", CARD_SQL) + " AS cards FROM d), f AS (" + " UNION ALL ".join(
-    [
-        "SELECT doc_id, 'credit_card' AS class, list_filter(cards, lambda x: length(x) = 16) AS v, 1 AS least FROM c",
-        "SELECT doc_id, 'bank_card', list_filter(cards, lambda x: length(x) > 16), 1 FROM c",
-        *(f"SELECT doc_id, '{k}', list_distinct(regexp_extract_all(t, '{p}', 1)), {least} FROM c" for k, (p, least) in op.PATTERNS.items() if k not in ("card_digits", "iban")),
-    ]
-) + ")"
+LUHN_SQL = "list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN (length(c) - i) % 2 = 1 THEN CASE WHEN CAST(c[i] AS INT) > 4 THEN 2 * CAST(c[i] AS INT) - 9 ELSE 2 * CAST(c[i] AS INT) END ELSE CAST(c[i] AS INT) END)) % 10 = 0"
+IBAN_SQL = "list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN CAST(unicode(x) - 48 AS BIGINT) ELSE CAST(unicode(x) - 55 AS BIGINT) END)), lambda s, x: CASE WHEN x > 9 THEN (s * 100 + x) % 97 ELSE (s * 10 + x) % 97 END) = 1"
+_sum_sql = lambda weights, value: " + ".join(f"{w} * ({value.format(f'c[{i}]')})" for i, w in enumerate(weights, 1))
+_in_sql = lambda names: ", ".join(map(repr, names))
+CREDIT_REST = f"((31 - ({_sum_sql(dlp.CREDIT_WEIGHTS, f'strpos(' + repr(dlp.CREDIT_DIGITS) + ', {}) - 1')}) % 31) % 31)"
+CHECK_SQL = {
+    "credit_card": f"list_filter(list_distinct(list_transform(v, lambda x: regexp_replace(x, '[ -]', '', 'g'))), lambda c: {LUHN_SQL} AND regexp_matches(c, '{dlp.ISSUERS}'))",
+    "id_number": f"list_filter(v, lambda c: substr('{dlp.ID_CHECKS}', CAST(({_sum_sql(dlp.ID_WEIGHTS, 'CAST({} AS INT)')}) % 11 AS INT) + 1, 1) = upper(c[18]))",
+    "bank_card": f"list_filter(v, lambda c: {LUHN_SQL})",
+    "email_address": f"list_filter(list_distinct(list_transform(v, lambda x: lower(x))), lambda x: split_part(x, '@', 1) NOT IN ({_in_sql(dlp.SYSTEM_MAILBOXES)}))",
+    "social_credit_code": f"list_filter(v, lambda c: {CREDIT_REST} < {len(dlp.CREDIT_DIGITS)} AND substr('{dlp.CREDIT_DIGITS}', CAST({CREDIT_REST} AS INT) + 1, 1) = c[18])",
+    "credential_leak": f"list_filter(v, lambda x: length(x) > 1 AND lower(x) NOT IN ({_in_sql(dlp.NO_SECRETS)}))",
+    "iban": f"list_filter(v, lambda c: {IBAN_SQL})",
+    "vehicle_info": "list_filter(v, lambda x: regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))",
+}
+
+
+def _values_sql(kind: dlp.Kind) -> str:
+    """The values of a class as lists, in the order and with the flags of its pattern."""
+    plain = kind.pattern.removeprefix("(?i)")
+    flags = "(?i)" if plain != kind.pattern else ""
+    if not kind.run:
+        found = f"regexp_extract_all(t, '{kind.pattern}', 1)"
+    else:
+        tail = "" if "@" in plain else dlp.TAIL
+        found = f"list_filter(regexp_extract_all(t, '{flags}{dlp.LEAD}({plain}{tail})', 1), lambda x: regexp_full_match(x, '{flags}(?:{plain})'))"
+    return f"CASE WHEN regexp_matches(t, '{kind.guard}') THEN list_distinct({found}) ELSE [] END"
+
+
+DLP_SQL = (
+    "WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), '０１２３４５６７８９' || chr(8203) || chr(8204) || chr(8205) || chr(65279), '0123456789') AS t FROM fx_dlp), c AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, {CHECK_SQL.get(k, 'v')} AS v, {kind.least} AS least FROM (SELECT doc_id, {_values_sql(kind)} AS v FROM d)" for k, kind in dlp.KINDS.items())
+    + "), x AS (SELECT doc_id, COALESCE(list(v) FILTER (WHERE class = 'credit_card'), [[]])[1] AS cards, len(COALESCE(list(v) FILTER (WHERE class = 'cvv_code'), [[]])[1]) AS cvv FROM c GROUP BY 1)"
+    + ", f AS (SELECT c.doc_id, class, CASE WHEN class = 'bank_card' THEN list_filter(v, lambda y: NOT list_contains(cards, y)) WHEN class = 'otp_verification' AND cvv > 0 THEN [] ELSE v END AS v, least FROM c JOIN x ON x.doc_id = c.doc_id)"
+)
 
 
 @query(
-    "dlp_scan", "documents",
+    "dlp_scan", "fx_dlp",
     sql=f"{DLP_SQL} SELECT doc_id, class, CAST(len(v) AS BIGINT) AS n, list_transform(list_slice(list_sort(v), 1, 3), lambda x: x[1:2] || '***' || substr(x, CAST(greatest(length(x) - 1, 3) AS BIGINT))) AS samples FROM f WHERE len(v) >= least",
 )
 def _dlp(d):
-    return op.dlp_findings(d)
+    return dlp.dlp_findings(d)
 
 
-LEVEL_SQL = "CASE " + " ".join(f"WHEN class IN ({', '.join(repr(n) for n in names)}) THEN {level}" for level, names in op.LEVELS.items()) + " ELSE 0 END"
+LEVEL_SQL = "CASE " + " ".join(f"WHEN class IN ({', '.join(repr(n) for n in names)}) THEN {level}" for level, names in dlp.LEVELS.items()) + " ELSE 0 END"
 
 
 @query(
-    "dlp_level_counts", "documents",
-    sql=f"{DLP_SQL}, l AS (SELECT doc_id, len(v) AS n, {LEVEL_SQL} AS level FROM f WHERE len(v) >= least) SELECT doc_id, " + ", ".join(f"CAST(SUM(CASE WHEN level >= {k} THEN n ELSE 0 END) AS BIGINT) AS items{k}" for k in (2, 3, 4)) + ", CASE MAX(level) WHEN 4 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS severity FROM l GROUP BY 1",
+    "dlp_level_counts", "fx_dlp",
+    sql=f"{DLP_SQL}, l AS (SELECT doc_id % 20 AS user_id, doc_id // 20 % 7 AS day, len(v) AS n, {LEVEL_SQL} AS level FROM f WHERE len(v) >= least) SELECT user_id, day, " + ", ".join(f"CAST(SUM(CASE WHEN level >= {k} THEN n ELSE 0 END) AS BIGINT) AS items{k}" for k in (2, 3, 4)) + ", CASE MAX(level) WHEN 4 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS severity FROM l GROUP BY 1, 2",
 )
 def _levels(d):
-    return op.level_counts(op.dlp_findings(d))
+    found = dlp.dlp_findings(d).withColumns({"user_id": F.col("doc_id") % 20, "day": F.floor(F.col("doc_id") / 20) % 7})
+    return dlp.level_counts(found, "user_id", "day")
 
 
 STRONG, WEAK = ("worthless", "disgusting", "pathetic", "moron"), ("licensed", "released", "public", "work", "version")
