@@ -35,7 +35,7 @@ def _values_sql(kind: dlp.Kind) -> str:
     else:
         tail = "" if "@" in plain else dlp.TAIL
         found = f"list_filter(regexp_extract_all(t, '{flags}{dlp.LEAD}({plain}{tail})', 1), lambda x: regexp_full_match(x, '{flags}(?:{plain})'))"
-    return f"CASE WHEN regexp_matches(t, '{kind.guard}') THEN list_distinct({found}) ELSE [] END"
+    return f"list_distinct({found})"
 
 
 DLP_SQL = (
