@@ -39,6 +39,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_web": (("events",), "SELECT event_id AS session_id, ts, CONCAT('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, CONCAT('/m/', event_type, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CONCAT('?offset=', CAST(event_id AS STRING)) ELSE CONCAT('?sid=7&offset=', CAST(event_id AS STRING), '&attachmentId=2') END) AS uri, CASE WHEN user_id % 2 = 0 THEN 'a.txt' ELSE NULL END AS filename FROM events"),
     "fx_chunks": (("events",), "SELECT event_id AS chunk_id, ts, CONCAT('10.0.0.', CAST(user_id % 2 AS STRING)) AS client_ip, CONCAT('/up?composeId=c%3A', CAST(user_id % 2 AS STRING), '&attachmentId=', CASE WHEN event_type = 'view' THEN '' ELSE '1' END, '&offset=', CAST(event_id % 20 AS STRING)) AS uri, CASE WHEN event_type = 'click' THEN '' ELSE CONCAT('<', CAST(event_id AS STRING), '>') END AS data FROM events"),
     "fx_dlp": (("documents",), "SELECT doc_id, CONCAT(COALESCE(text, ''), ' ', CASE doc_id % " + str(len(SENSITIVE)) + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(SENSITIVE)) + " END) AS text FROM documents"),
+    "fx_messages": (("orders",), "SELECT o_orderkey AS message_id, CAST(o_orderdate AS TIMESTAMP) AS received_at, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' HOUR WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) - INTERVAL '9' DAY ELSE CAST(o_orderdate AS TIMESTAMP) END AS sent_at, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN UPPER(o_orderpriority) WHEN 2 THEN CONCAT('Re: ', o_orderpriority) WHEN 3 THEN 'Hi привет 你好' ELSE o_orderpriority END AS subject, CASE o_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'a@x.example, b@y.example' WHEN 2 THEN CONCAT('u12345678', CAST(o_custkey % 10 AS STRING), '@wqzxkvbt.example') ELSE CONCAT('c', CAST(o_custkey AS STRING), '@N', CAST(o_custkey % 5 AS STRING), '.example') END AS from_header, CONCAT('<c@n', CAST(o_custkey % 3 AS STRING), '.example>') AS envelope_from, CASE WHEN o_orderkey % 4 = 0 THEN 'r@n1.example' ELSE NULL END AS reply_to, CASE WHEN o_orderkey % 5 = 0 THEN 'boss@n0.example' ELSE 'Boss' END AS display_name, o_orderkey % 14 AS n_to, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE NULL END AS in_reply_to, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'spf=fail dmarc=pass' WHEN 2 THEN 'spf=fail dmarc=FAIL' WHEN 3 THEN 'spf=pass dmarc=fail' ELSE 'spf=pass' END AS auth_results, o_custkey % 13 AS n_received, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'id' END AS id_header, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'text/plain' END AS content_type, CASE o_orderkey % 8 WHEN 0 THEN 'a.exe' WHEN 1 THEN 'Invoice.pdf.JS' WHEN 2 THEN 'a.txt' ELSE NULL END AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN 'text' ELSE 'binary' END AS declared, CASE WHEN o_custkey % 2 = 0 THEN 'text' ELSE 'binary' END AS detected, CAST(o_custkey % 3 AS BIGINT) * 20000000 AS file_size FROM orders"),
+    "fx_lures": (("orders",), "SELECT o_orderkey AS message_id, CONCAT('n', CAST(o_custkey % 4 AS STRING), '.Example') AS sender_domain, CASE o_orderkey % 6 WHEN 0 THEN 'Account suspended: verify now' WHEN 1 THEN '13800138000 call me' WHEN 2 THEN '聊天记录 13800138000' WHEN 3 THEN 'Subsidy and tax refund' WHEN 4 THEN '[spam] hello' ELSE NULL END AS subject, CASE o_orderkey % 11 WHEN 0 THEN 'Your account is locked. Click here to restore.' WHEN 1 THEN 'subsidy refund, hurry' WHEN 2 THEN 'invoice for you, call 13900139000, wechat abc' WHEN 3 THEN 'invoice, wechat or qq, please' WHEN 4 THEN 'From the finance department and the board office of the firm' WHEN 5 THEN '您好，请查收附件，谢谢您的配合，此致敬礼，祝好，期待回复。Finance Dept' WHEN 6 THEN 'x' WHEN 7 THEN '13800138000 13900139000 15000150000' ELSE NULL END AS body, o_custkey % 2 AS n_images FROM orders"),
     "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderstatus <> 'P'"),
     "fx_iocs": (("supplier",), "SELECT CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS indicator, 'domain' AS ioc_type, CONCAT('src', CAST(s_suppkey % 3 AS STRING)) AS source, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 3000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq FROM supplier"),
 }
