@@ -165,9 +165,34 @@ def hmm_phase(events: DataFrame, key: str = "entity_key", order: tuple[str, ...]
     return rows.withColumns({"phase": (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"), "risk": dot(F.col("posterior"), lits(PHASE_RISK))})
 
 
-def comm_edges(mails: DataFrame) -> DataFrame:
-    """(sender, recipient, total_count, avg_risk, first_at, last_at): partial sums merge before the shuffle."""
-    return mails.groupBy("sender", "recipient").agg(F.count(F.lit(1)).alias("total_count"), F.avg("risk").alias("avg_risk"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+def comm_edges(mails: DataFrame, risk_rate: float = 0.15, frequency_rate: float = 0.1) -> DataFrame:
+    """(sender, recipient, total_count, avg_risk, frequency, first_at, last_at) from mails (mail_id, sender, recipient, at, risk).
+
+    The risk is an exponential average over an edge's mails in order, the
+    frequency one of as many ones.
+    """
+    edges = mails.select(F.struct(F.lower("sender").alias("sender"), F.lower("recipient").alias("recipient")).alias("edge"), "at", "mail_id", "risk")
+    average = averages(edges, {"avg_risk": risk_rate}, "edge", ("at", "mail_id"), "risk", "day")
+    times = edges.groupBy("edge").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    frequency = 1 - F.pow(F.lit(1 - frequency_rate), "n")
+    return average.join(times, "edge").select("edge.*", F.col("n").alias("total_count"), "avg_risk", frequency.alias("frequency"), "first_at", "last_at")
+
+
+def composite_risk(signals: DataFrame) -> DataFrame:
+    """signals with ``temporal``, the greatest of six scaled parts, and ``raised``, the risk that it lifts.
+
+    Columns: risk, alarm, drift, drifting, watched, phase_risk, graph_score, burst_ratio, burst; a missing one counts as nothing.
+    """
+    none = F.lit(0.0)
+    parts = (
+        F.when(F.col("alarm"), 0.3).otherwise(none),
+        F.when(F.col("drifting"), F.least(F.lit(0.3), 0.1 * F.col("drift"))).otherwise(none),
+        F.when(F.col("watched"), 0.2 * F.col("risk")).otherwise(none),
+        F.coalesce("phase_risk", none),
+        0.3 * F.coalesce("graph_score", none),
+        F.when(F.col("burst_ratio") > 5, 0.5).when(F.col("burst"), 0.3).otherwise(none),
+    )
+    return signals.withColumn("temporal", F.greatest(*parts)).withColumn("raised", F.greatest("risk", "temporal"))
 
 
 def comm_graph_anomalies(mails: DataFrame) -> DataFrame:

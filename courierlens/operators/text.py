@@ -7,23 +7,55 @@ regular-expression dialects read alike: no look-around, borders are spelled out.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courierlens.functions.arrays import bound
 
-def keyword_score(docs: DataFrame, strong: Sequence[str], weak: Sequence[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, strong, weak, score): strong terms at .08 each up to .5; three weak ones or more at .03 each up to .15."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+def without_frame(text: Column, notices: Sequence[str], footers: Sequence[str]) -> Column:
+    """A text without the notice lines it begins with, and without what follows a footer's first words."""
+    is_notice = lambda line: reduce(Column.__or__, (F.lower(line).contains(n) for n in notices), F.lit(False)) | (F.trim(line) == "")
+    cut = reduce(lambda t, f: F.split_part(t, F.lit(f), F.lit(1)), footers, text)
+
+    def body(lines: Column) -> Column:
+        own = F.filter(F.transform(lines, lambda x, i: F.when(~is_notice(x), i)), lambda i: i.isNotNull())
+        first = F.coalesce(F.get(own, F.lit(0)), F.size(lines))
+        return F.array_join(F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0))), "\n")
+
+    return bound(F.split(cut, "\n"), body)
+
+
+def keyword_score(docs: DataFrame, strong: Sequence[str], weak: Sequence[str], business: Sequence[str] = (), notices: Sequence[str] = (), footers: Sequence[str] = (), id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, strong, weak, phrases, words, score) of the terms that a text holds.
+
+    Strong terms count .08 each up to .5; three weak ones or more .03 each up to
+    .15; business phrases .15 each up to .5, or three single words or more .05
+    each up to .15.
+    """
+    low = F.lower(without_frame(F.coalesce(F.col(text), F.lit("")), notices, footers))
 
     def counted(t: Column) -> Column:
         hits = lambda words: sum((t.contains(w).cast("long") for w in words), F.lit(0).cast("long"))
-        return F.struct(hits(strong).alias("strong"), hits(weak).alias("weak"))
+        kinds = {"strong": strong, "weak": weak, "phrases": [w for w in business if " " in w], "words": [w for w in business if " " not in w]}
+        return F.struct(*(hits(words).alias(k) for k, words in kinds.items()))
 
     rows = docs.select(id_, bound(low, counted).alias("k")).select(id_, "k.*")
-    score = F.least(F.lit(0.5), 0.08 * F.col("strong")) + F.when(F.col("weak") >= 3, F.least(F.lit(0.15), 0.03 * F.col("weak"))).otherwise(0.0)
-    return rows.withColumn("score", score)
+    some = lambda c, each, most: F.when(F.col(c) >= 3, F.least(F.lit(most), each * F.col(c))).otherwise(0.0)
+    plot = F.when(F.col("phrases") > 0, F.least(F.lit(0.5), 0.15 * F.col("phrases"))).otherwise(some("words", 0.05, 0.15))
+    return rows.withColumn("score", F.least(F.lit(0.5), 0.08 * F.col("strong")) + some("weak", 0.03, 0.15) + plot)
+
+
+#: What sensitive data in a text adds to its score.
+DATA_BONUS = {"credit_card": 0.3, "id_number": 0.25, "credential_leak": 0.2}
+
+
+def with_data_bonus(scores: DataFrame, findings: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """scores raised by the classes found in the same text, up to 1."""
+    bonus = reduce(lambda rest, k: F.when(F.col("class") == k, DATA_BONUS[k]).otherwise(rest), DATA_BONUS, F.lit(0.0))
+    per = findings.groupBy(id_).agg(F.sum(bonus).alias("_bonus"))
+    return scores.join(per, id_, "left").withColumn("score", F.least(F.lit(1.0), F.col("score") + F.coalesce("_bonus", F.lit(0.0)))).drop("_bonus")
 
 
 def pattern_hits(docs: DataFrame, rules: Sequence[tuple[str, str, str, Sequence[str]]], id_: str = "doc_id", text: str = "text") -> DataFrame:

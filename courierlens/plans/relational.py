@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierlens.operators import relational as op
+from courierlens.operators import retention as keep
 from courierlens.plans.registry import query
 from courierlens.schemas import LEVEL_RANK, rank, threat_level
+from courierlens.sources import indicators, sessions
 
 LEVEL_SQL = "CASE WHEN risk >= 0.85 THEN 'critical' WHEN risk >= 0.65 THEN 'high' WHEN risk >= 0.40 THEN 'medium' WHEN risk >= 0.15 THEN 'low' ELSE 'safe' END"
 
@@ -185,37 +189,70 @@ def _message_dedup(c):
     return c.withColumn("k", F.row_number().over(first)).filter("k = 1").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
+IOC_ROWS = "SELECT indicator, CASE WHEN seq % 3 = 0 THEN 'url' ELSE ioc_type END AS ioc_type, CASE WHEN seq % 7 = 0 THEN 'admin_clean' ELSE source END AS source, verdict, confidence, CASE WHEN seq % 4 = 0 THEN '' ELSE 'a' || seq % 5 END AS attack_type, seq FROM fx_iocs"
+
+
 @query(
     "upsert_iocs", "fx_iocs",
-    sql="SELECT indicator, COUNT(*) AS hit_count, arg_max(verdict, seq) AS verdict, arg_max(confidence, seq) AS confidence, arg_max(source, seq) AS source FROM fx_iocs GROUP BY 1",
+    sql=f"""WITH r AS ({IOC_ROWS}), b AS (SELECT *, seq % 2 AS fresh, CAST(source = 'admin_clean' AS INT) AS owner FROM r)
+      SELECT ioc_type, indicator, SUM(1 + seq % 3) AS hit_count, arg_max(verdict, (owner, fresh, seq)) AS verdict, arg_max(confidence, (owner, fresh, seq)) AS confidence, arg_max(source, (owner, fresh, seq)) AS source,
+        arg_max(attack_type, (fresh, seq)) FILTER (WHERE attack_type <> '') AS attack_type FROM b GROUP BY 1, 2""",
 )
 def _upsert_iocs(i):
-    return i.groupBy("indicator").agg(F.count(F.lit(1)).alias("hit_count"), *(F.max_by(c, "seq").alias(c) for c in ("verdict", "confidence", "source")))
+    seq = F.col("seq")
+    kind, source = F.when(seq % 3 == 0, "url").otherwise(F.col("ioc_type")), F.when(seq % 7 == 0, "admin_clean").otherwise(F.col("source"))
+    attack = F.when(seq % 4 == 0, "").otherwise(F.concat(F.lit("a"), (seq % 5).cast("string")))
+    rows = i.select(
+        "indicator", kind.alias("ioc_type"), source.alias("source"), "verdict", "confidence", attack.alias("attack_type"), (1 + seq % 3).alias("hit_count"),
+        *(seq.alias(c) for c in ("first_seen", "last_seen", "expires_at")),
+    )
+    merged = indicators.upserted(rows.filter("last_seen % 2 = 0"), rows.filter("last_seen % 2 = 1"))
+    return merged.select("ioc_type", "indicator", "hit_count", "verdict", "confidence", "source", "attack_type")
 
 
 @query(
     "upsert_sessions", "fx_incidents",
-    sql="SELECT user_id, arg_max(severity, incident_id) AS status, arg_max(incident_type, incident_id) FILTER (WHERE severity <> 'low') AS subject, COUNT(*) AS versions FROM fx_incidents GROUP BY 1",
+    sql="""SELECT user_id, arg_max(severity, incident_id) AS status, arg_max(incident_type, incident_id) FILTER (WHERE severity <> 'low') AS subject,
+      arg_max('b' || incident_id, incident_id) FILTER (WHERE incident_id % 3 = 0) AS body, COUNT(*) AS versions FROM fx_incidents GROUP BY 1""",
 )
 def _upsert_sessions(i):
-    known = F.when(F.col("severity") != "low", F.col("incident_id"))  # a null never replaces what is known
-    return i.groupBy("user_id").agg(F.max_by("severity", "incident_id").alias("status"), F.max_by("incident_type", known).alias("subject"), F.count(F.lit(1)).alias("versions"))
+    body = F.when(F.col("incident_id") % 3 == 0, F.concat(F.lit("b"), F.col("incident_id"))).when(F.col("incident_id") % 3 == 1, "")
+    versions = i.select("user_id", "incident_id", F.col("severity").alias("status"), F.when(F.col("severity") != "low", F.col("incident_type")).alias("subject"), body.alias("body"))
+    return sessions.merged(versions, ("status",), ("subject",), ("body",), "user_id", ("incident_id",))
 
 
 @query(
     "derive_session_columns", "fx_recipients",
-    sql="SELECT session_id, recipient, lower(split_part(recipient, '@', 2)) AS derived_domain FROM fx_recipients",
+    sql="SELECT session_id, recipient, lower(split_part(recipient, '@', 2)) AS sender_domain, CASE WHEN session_id % 2 = 0 THEN 'm' || session_id ELSE 'h' || session_id END AS message_id FROM fx_recipients",
 )
 def _derive(r):
-    return r.select("session_id", "recipient", F.lower(F.split_part("recipient", F.lit("@"), F.lit(2))).alias("derived_domain"))
+    header = F.struct(F.lit("Message-ID").alias("name"), F.concat(F.lit("h"), F.col("session_id")).alias("value"))
+    rows = r.select("session_id", F.col("recipient").alias("mail_from"), F.lit("s\x00").alias("subject"), F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("m"), F.col("session_id"))).alias("message_id"), F.struct(F.array(header).alias("headers")).alias("content"))
+    return sessions.derived(rows).filter("subject = 's'").select("session_id", F.col("mail_from").alias("recipient"), "sender_domain", "message_id")
 
 
 @query(
-    "retention", "fx_sessions", "fx_verdicts",
-    sql="WITH c AS (SELECT MAX(started_at) - INTERVAL 365 DAYS AS t FROM fx_sessions), kept AS (SELECT session_id FROM fx_sessions, c WHERE started_at >= t) SELECT 'sessions' AS kind, COUNT(*) AS n FROM kept UNION ALL SELECT 'verdicts', COUNT(*) FROM fx_verdicts WHERE session_id IN (SELECT session_id FROM kept)",
+    "retention", "fx_sessions", "fx_verdicts", "fx_iocs", "fx_risk",
+    sql="""WITH n AS (SELECT MAX(started_at) AS now FROM fx_sessions), kept AS (SELECT session_id FROM fx_sessions, n WHERE started_at >= now - INTERVAL 365 DAYS),
+      i AS (SELECT seq, CASE WHEN seq % 3 = 0 THEN NULL ELSE now + (seq % 9 - 4) * INTERVAL 1 DAY END AS e, now FROM fx_iocs, n),
+      x AS (SELECT seq, now, CASE WHEN seq % 5 = 0 THEN greatest(COALESCE(e, now), now) + INTERVAL 30 DAYS ELSE e END AS e FROM i),
+      st AS (SELECT entity_key, MAX(ts) AS last_seen, MAX(risk) AS level FROM fx_risk GROUP BY 1), sn AS (SELECT MAX(ts) AS now FROM fx_risk)
+      SELECT 'sessions' AS kind, COUNT(*) AS n FROM kept UNION ALL SELECT 'verdicts', COUNT(*) FROM fx_verdicts WHERE session_id IN (SELECT session_id FROM kept)
+      UNION ALL SELECT 'indicators', COUNT(*) FROM x WHERE e IS NULL OR e > now UNION ALL SELECT 'extended', COUNT(*) FROM x WHERE e >= now + INTERVAL 30 DAYS
+      UNION ALL SELECT 'state', COUNT(*) FROM st, sn WHERE last_seen >= now - INTERVAL 1 DAYS OR level > 0.9
+      UNION ALL SELECT 'quarantine', COUNT(*) FROM (SELECT started_at, session_id, now FROM fx_sessions, n) WHERE session_id % 3 = 0 OR started_at >= now - INTERVAL 30 DAYS""",
 )
-def _retention(s, v):
-    cutoff = s.agg((F.max("started_at") - F.expr("INTERVAL 365 DAYS")).alias("t")).scalar()
-    kept = s.filter(F.col("started_at") >= cutoff).select("session_id")
-    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(kept, "sessions").unionByName(count(v.join(kept, "session_id", "left_semi"), "verdicts"))
+def _retention(s, v, i, r):
+    now = s.agg(F.max("started_at").alias("t")).scalar()
+    kept = keep.recent(s, "started_at", now, 365)
+    seq = F.col("seq")
+    shift = F.make_dt_interval((seq % 9 - 4).cast("int"))
+    iocs = keep.extended(i.select("seq", F.when(seq % 3 != 0, now + shift).alias("expires_at")), seq % 5 == 0, now, 30)
+    state = r.groupBy("entity_key").agg(F.max("ts").alias("last_seen"), F.max("risk").alias("level"))
+    quarantine = s.select(F.when(F.col("session_id") % 3 == 0, "held").otherwise("released").alias("status"), F.col("started_at").alias("settled_at"))
+    parts = {
+        "sessions": kept, "verdicts": keep.of_kept(v, kept, "session_id"), "indicators": keep.live_indicators(iocs, now), "extended": iocs.filter(F.col("expires_at") >= now + F.make_dt_interval(F.lit(30))),
+        "state": keep.live_state(state, r.agg(F.max("ts").alias("t")).scalar(), 1, 0.9), "quarantine": keep.held(quarantine, now, 30),
+    }
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in parts.items()]
+    return reduce(DataFrame.unionByName, counts)

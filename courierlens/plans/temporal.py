@@ -53,9 +53,13 @@ def _mails(s, r, v):
     return s.join(r.select("session_id", "rcpt_domain").distinct(), "session_id").join(v.select("session_id", "risk"), "session_id").select(F.col("session_id").alias("mail_id"), F.col("sender_domain").alias("sender"), F.col("started_at").alias("at"), F.col("rcpt_domain").alias("recipient"), "risk")
 
 
-@query("comm_edges", "fx_sessions", "fx_recipients", "fx_verdicts", sql=f"SELECT sender, recipient, COUNT(*) AS total_count, R6(AVG(risk), 6) AS avg_risk, MIN(sent_at) AS first_at, MAX(sent_at) AS last_at FROM ({MAILS_SQL}) GROUP BY 1, 2")
+@query(
+    "comm_edges", "fx_sessions", "fx_recipients", "fx_verdicts",
+    sql=f"""WITH g AS (SELECT sender, recipient, COUNT(*) AS n, list(risk ORDER BY sent_at, mail_id) AS l, MIN(sent_at) AS first_at, MAX(sent_at) AS last_at FROM ({MAILS_SQL}) GROUP BY 1, 2)
+      SELECT sender, recipient, n AS total_count, R6(list_reduce(l, lambda s, x: 0.85 * s + 0.15 * x), 6) AS avg_risk, R6(1 - pow(0.9, n), 6) AS frequency, first_at, last_at FROM g""",
+)
 def _edges(s, r, v):
-    return op.comm_edges(_mails(s, r, v)).withColumn("avg_risk", round6("avg_risk"))
+    return op.comm_edges(_mails(s, r, v)).withColumns({"avg_risk": round6("avg_risk"), "frequency": round6("frequency")})
 
 
 @query(
@@ -94,14 +98,21 @@ def _alerts(r):
     return op.alert_levels(rows).groupBy("level", F.col("cusum_alarm").alias("alarm")).agg(F.count(F.lit(1)).alias("n"))
 
 
+PARTS_SQL = "SELECT event_id AS seq, LEAST(1.0, value / 250.0) AS risk, event_id % 5 = 0 AS alarm, CAST(event_id % 7 AS DOUBLE) AS drift, event_id % 7 > 1 AND user_id % 2 = 0 AS drifting, user_id % 3 = 0 AS watched, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 9 AS DOUBLE) / 20.0 END AS phase_risk, CASE WHEN event_id % 6 = 0 THEN CAST(user_id % 10 AS DOUBLE) / 10.0 END AS graph_score, CAST(event_id % 8 AS DOUBLE) AS burst_ratio, event_id % 8 > 3 AND user_id % 5 = 0 AS burst FROM events"
+
+
 @query(
-    "temporal_risk", "fx_risk",
-    sql=f"{CUSUM_SQL}, e AS ({MEMORY_SQL}) SELECT d.entity_key, d.seq, R6(greatest(CASE WHEN n >= 10 AND greatest(s_plus, s_minus) > 4 * sigma THEN 0.3 ELSE 0 END, CASE WHEN memory >= 0.30 THEN 0.2 * d.risk ELSE 0 END), 6) AS temporal FROM d JOIN e ON e.entity_key = d.entity_key",
+    "temporal_risk", "events",
+    sql=f"""SELECT seq, R6(temporal, 6) AS temporal, R6(greatest(risk, temporal), 6) AS raised FROM (SELECT *, greatest(CASE WHEN alarm THEN 0.3 ELSE 0.0 END, CASE WHEN drifting THEN least(0.3, drift / 10.0) ELSE 0.0 END, CASE WHEN watched THEN risk / 5.0 ELSE 0.0 END,
+      COALESCE(phase_risk, 0.0), COALESCE(graph_score * 0.3, 0.0), CASE WHEN burst_ratio > 5 THEN 0.5 WHEN burst THEN 0.3 ELSE 0.0 END) AS temporal FROM ({PARTS_SQL}))""",
 )
-def _temporal_risk(r):
-    watched = op.entity_risk(r).select("entity_key", "watched")
-    signals = op.cusum(r).join(watched, "entity_key")
-    return signals.select("entity_key", "seq", round6(F.greatest(F.when(F.col("alarm"), 0.3).otherwise(0.0), F.when(F.col("watched"), 0.2 * F.col("risk")).otherwise(0.0))).alias("temporal"))
+def _temporal_risk(e):
+    i, u = F.col("event_id"), F.col("user_id")
+    parts = e.select(
+        i.alias("seq"), F.least(F.lit(1.0), F.col("value") / 250).alias("risk"), (i % 5 == 0).alias("alarm"), (i % 7).cast("double").alias("drift"), ((i % 7 > 1) & (u % 2 == 0)).alias("drifting"), (u % 3 == 0).alias("watched"),
+        F.when(i % 4 == 0, (i % 9).cast("double") / 20).alias("phase_risk"), F.when(i % 6 == 0, (u % 10).cast("double") / 10).alias("graph_score"), (i % 8).cast("double").alias("burst_ratio"), ((i % 8 > 3) & (u % 5 == 0)).alias("burst"),
+    )
+    return op.composite_risk(parts).select("seq", round6("temporal").alias("temporal"), round6("raised").alias("raised"))
 
 
 def _cooled_sql(source: str, key: str, seconds: int) -> str:

@@ -69,12 +69,24 @@ def _levels(d):
 STRONG, WEAK = ("worthless", "disgusting", "pathetic", "moron"), ("licensed", "released", "public", "work", "version")
 
 
+BUSINESS = ("the the", "and the", "in the", "with", "for", "ing")
+NOTICES, FOOTERS = ("for the", "with the"), (" Th",)
+_count = lambda words: " + ".join(f"CAST(contains(low, '{w}') AS BIGINT)" for w in words)
+
+
 @query(
-    "keyword_scan", "documents",
-    sql="WITH k AS (SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS BIGINT)" for w in STRONG) + " AS strong, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS BIGINT)" for w in WEAK) + " AS weak FROM documents) SELECT doc_id, COALESCE(strong, 0) AS strong, COALESCE(weak, 0) AS weak, R6(LEAST(0.5, 0.08 * COALESCE(strong, 0)) + CASE WHEN weak >= 3 THEN LEAST(0.15, 0.03 * weak) ELSE 0 END, 6) AS score FROM k",
+    "keyword_scan", "fx_dlp",
+    sql=f"""{DLP_SQL}, ln AS (SELECT doc_id, string_split(split_part(COALESCE(text, ''), '{FOOTERS[0]}', 1), chr(10)) AS l FROM fx_dlp),
+      own AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: NOT ({' OR '.join(f"contains(lower(l[i]), '{n}')" for n in NOTICES)} OR trim(l[i]) = '')) AS o FROM ln),
+      w AS (SELECT doc_id, lower(CASE WHEN len(o) = 0 THEN '' ELSE array_to_string(l[o[1]:], chr(10)) END) AS low FROM own),
+      k AS (SELECT doc_id, {_count(STRONG)} AS strong, {_count(WEAK)} AS weak, {_count([w for w in BUSINESS if ' ' in w])} AS phrases, {_count([w for w in BUSINESS if ' ' not in w])} AS words FROM w),
+      p AS (SELECT doc_id, SUM(CASE class WHEN 'credit_card' THEN 0.3 WHEN 'id_number' THEN 0.25 WHEN 'credential_leak' THEN 0.2 ELSE 0 END) AS bonus FROM f WHERE len(v) >= least GROUP BY 1)
+      SELECT k.doc_id, strong, weak, phrases, words, R6(LEAST(1.0, LEAST(0.5, 0.08 * strong) + CASE WHEN weak >= 3 THEN LEAST(0.15, 0.03 * weak) ELSE 0 END
+        + CASE WHEN phrases > 0 THEN LEAST(0.5, 0.15 * phrases) WHEN words >= 3 THEN LEAST(0.15, 0.05 * words) ELSE 0 END + COALESCE(bonus, 0)), 6) AS score FROM k LEFT JOIN p ON p.doc_id = k.doc_id""",
 )
 def _keywords(d):
-    return op.keyword_score(d, STRONG, WEAK).withColumn("score", round6("score"))
+    scores = op.keyword_score(d, STRONG, WEAK, BUSINESS, NOTICES, FOOTERS)
+    return op.with_data_bonus(scores, dlp.dlp_findings(d)).withColumn("score", round6("score"))
 
 
 RULES = (("free_license", "low", "all", ("Licensed", "License")), ("insult", "high", "any", ("moron", "worthless")), ("markup", "medium", "any", ("###", "$$$")))

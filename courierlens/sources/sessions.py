@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
@@ -45,3 +47,16 @@ def analyzable(sessions: DataFrame) -> DataFrame:
     some = lambda c: F.coalesce(F.size(f"content.{c}") > 0, F.lit(False))
     body = F.coalesce(F.length("content.body_text"), F.length("content.body_html"), F.lit(0)) > 0
     return sessions.filter(~F.coalesce(F.col("content.is_encrypted"), F.lit(False)) & (body | some("attachments") | some("headers")))
+
+
+def merged(versions: DataFrame, latest: Sequence[str], known: Sequence[str], body: Sequence[str] = (), key: str = "id", order: Sequence[str] = ("version",)) -> DataFrame:
+    """Re-published sessions, one row per key and ``versions``.
+
+    The last value wins for the latest columns; for the known ones and the
+    body a null (for the body, also an empty text) never replaces a value.
+    """
+    place = F.struct(*order)
+    there = lambda c: F.when(F.col(c).isNotNull(), place)
+    filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", place)
+    picks = [*(F.max_by(c, place).alias(c) for c in latest), *(F.max_by(c, there(c)).alias(c) for c in known), *(F.max_by(c, filled(c)).alias(c) for c in body)]
+    return versions.groupBy(key).agg(*picks, F.count(F.lit(1)).alias("versions"))
