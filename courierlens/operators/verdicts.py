@@ -21,6 +21,42 @@ CLUSTERS = {
 }
 
 
+#: Pairs of categories that are worse together, and evidence that no alignment excuses.
+DANGEROUS_PAIRS = (("external_impersonation", "nonsensical_spam"), ("external_impersonation", "phishing"), ("phishing", "spoofing"), ("phishing", "malware"), ("phishing", "nonsensical_spam"))
+HARD_MODULES = ("link_scan", "link_content", "link_reputation", "attach_hash", "av_eml_scan", "av_attach_scan", "sandbox_scan", "yara_scan")
+HARD_CATEGORIES = ("phishing", "account_security_phishing", "targeted_credential_phishing", "ioc_ip_hit", "sender_ip_malicious", "malware_hash", "virus_detected", "suspicious_params")
+
+
+def circumstances(results: DataFrame, alignment: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, paired, discount) of results (key, module, rank, categories): a dangerous pair, and what a sender's alignment takes off."""
+    each = results.filter("rank > 0").select(key, "module", F.explode_outer("categories").alias("category"))
+    hard = F.col("module").isin(*HARD_MODULES) | F.coalesce(F.col("category").isin(*HARD_CATEGORIES), F.lit(False))
+    per = each.groupBy(key).agg(F.collect_set("category").alias("c"), F.count_distinct("module").alias("n"), F.bool_or(hard).alias("hard"))
+    pair = F.lit(False)
+    for a, b in DANGEROUS_PAIRS:
+        pair |= F.array_contains("c", a) & F.array_contains("c", b)
+    known = alignment.select(key, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("alignment", F.lit(0.0)))).alias("a"))
+    rows = results.select(key).distinct().join(per.select(key, pair.alias("paired"), "n", "hard"), key, "left").join(known, key, "left")
+    excused = (F.coalesce("n", F.lit(0)) <= 1) & ~F.coalesce("hard", F.lit(False))
+    return rows.select(key, F.coalesce("paired", F.lit(False)).alias("paired"), F.when(excused, 1 - 0.40 * F.coalesce("a", F.lit(0.0))).otherwise(1.0).alias("discount"))
+
+
+def with_circumstances(scores: DataFrame, around: DataFrame, key: str = "session_id", additive: bool = False) -> DataFrame:
+    """(key, score) raised for a dangerous pair, by a quarter of the headroom or by .20, then discounted."""
+    more = F.least(F.lit(1.0), F.col("score") + 0.20) if additive else F.col("score") + (1 - F.col("score")) * 0.25
+    return scores.join(around, key).select(key, (F.when(F.col("paired"), more).otherwise(F.col("score")) * F.col("discount")).alias("score"))
+
+
+def weighted_max(results: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, score) of results (key, module, pillar, rank from 0 to 4, weight, confidence): the strongest one, raised by how many pillars and modules speak."""
+    flagged = F.col("rank") > 0
+    top = F.max(F.col("rank") / 4.0 * F.col("weight") * F.col("confidence"))
+    rows = results.groupBy(key).agg(top.alias("top"), F.count_distinct(F.when(flagged, F.col("pillar"))).alias("pillars"), F.count_distinct(F.when(flagged, F.col("module"))).alias("modules"))
+    pillars = F.when(F.col("pillars") >= 3, 0.25).when(F.col("pillars") == 2, 0.15).otherwise(0.0)
+    modules = F.when(F.col("modules") >= 4, 0.15).when(F.col("modules") == 3, 0.10).otherwise(0.0)
+    return rows.select(key, F.least(F.lit(1.0), F.col("top") + pillars + modules).alias("score"))
+
+
 def _of_cluster(cluster: Column, place: int) -> Column:
     out = F.lit(None).cast("double")
     for name, values in CLUSTERS.items():

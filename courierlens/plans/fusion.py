@@ -145,32 +145,6 @@ def _pillars(m):
     return op.pillar_scores(m, "session_id", "pillar_n", 0.5).withColumn("t", round6("t"))
 
 
-@query(
-    "verdict_noisy_or", "fx_module_results",
-    sql=f"SELECT session_id, R6(base + (1 - base) * diversity * 0.2, 6) AS score FROM (SELECT session_id, 1 - product(1 - LEAST(1.0, t * ([1.0, 1.0, 0.8, 1.0, 0.7])[pillar_n + 1])) AS base, COUNT(*) FILTER (WHERE t > 0.05) / 5.0 AS diversity FROM ({PILLAR_SQL}) GROUP BY 1)",
-)
-def _noisy_or(m):
-    return op.noisy_or_verdict(op.pillar_scores(m, "session_id", "pillar_n", 0.5), "session_id", "pillar_n").withColumn("score", round6("score"))
-
-
-NUMERIC_SQL = "CASE WHEN score >= 0.85 THEN 1.0 WHEN score >= 0.65 THEN 0.75 WHEN score >= 0.40 THEN 0.5 WHEN score >= 0.15 THEN 0.25 ELSE 0.0 END"
-
-
-@query(
-    "verdict_weighted_max", "fx_module_results",
-    sql=f"""SELECT session_id, R6(LEAST(1.0, top + CASE WHEN pillars >= 3 THEN 0.25 WHEN pillars = 2 THEN 0.15 ELSE 0 END + CASE WHEN modules >= 4 THEN 0.15 WHEN modules = 3 THEN 0.10 ELSE 0 END), 6) AS score FROM (
-      SELECT session_id, MAX(n * confidence * 0.6) AS top, COUNT(DISTINCT CASE WHEN n > 0 THEN pillar_n END) AS pillars, COUNT(DISTINCT CASE WHEN n > 0 THEN module_n END) AS modules FROM (SELECT *, {NUMERIC_SQL} AS n FROM fx_module_results) GROUP BY 1)""",
-)
-def _weighted_max(m):
-    level = F.lit(0.0)
-    for least, value in ((0.15, 0.25), (0.40, 0.5), (0.65, 0.75), (0.85, 1.0)):
-        level = F.when(F.col("score") >= least, value).otherwise(level)
-    flagged = F.col("n") > 0
-    rows = m.withColumn("n", level).groupBy("session_id").agg(F.max(F.col("n") * F.col("confidence") * 0.6).alias("top"), F.count_distinct(F.when(flagged, F.col("pillar_n"))).alias("pillars"), F.count_distinct(F.when(flagged, F.col("module_n"))).alias("modules"))
-    more = F.when(F.col("pillars") >= 3, 0.25).when(F.col("pillars") == 2, 0.15).otherwise(0.0) + F.when(F.col("modules") >= 4, 0.15).when(F.col("modules") == 3, 0.10).otherwise(0.0)
-    return rows.select("session_id", round6(F.least(F.lit(1.0), F.col("top") + more)).alias("score"))
-
-
 @query("weight_cap", "fx_module_results")
 def _weight_cap(m):
     rows = m.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("module_n", "part_n", "supp_n", "score"))).alias("items"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from courierlens.operators import indicators as ioc_op
 from courierlens.operators import relational as op
 from courierlens.operators import retention as keep
 from courierlens.plans.registry import query
@@ -141,15 +142,39 @@ def _asof(i):
     return op.last_known(rows, "client_ip_n", "u", "ts", "incident_id", 7200).select("incident_id", F.col("known").alias("known_user"))
 
 
+SEEN_SQL = """seen AS (SELECT DISTINCT session_id, ioc_type, indicator FROM (
+    SELECT session_id, 'ip' AS ioc_type, ip AS indicator FROM fx_seen WHERE ip LIKE '8.%' UNION ALL SELECT session_id, 'email', lower(trim(mail_from)) FROM fx_seen WHERE mail_from IS NOT NULL
+    UNION ALL SELECT session_id, 'domain', lower(split_part(mail_from, '@', 2)) FROM fx_seen WHERE mail_from IS NOT NULL UNION ALL SELECT session_id, 'hash', lower(file_hash) FROM fx_seen WHERE file_hash IS NOT NULL
+    UNION ALL SELECT session_id, 'url', split_part(link, '#', 1) FROM fx_seen WHERE link IS NOT NULL)),
+  allowed AS (SELECT * FROM (VALUES ('domain', 'n1.example'), ('ip', '8.8.2.9'), ('url', 'http://n4.example/x')) t(ioc_type, indicator))"""
+
+
+def _seen(rows):
+    listed = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    return ioc_op.observables(rows.select("session_id", "ip", "mail_from", listed("file_hash").alias("hashes"), listed("link").alias("urls")), op.PRIVATE)
+
+
+def _allowed(spark):
+    return spark.createDataFrame([("domain", "n1.example"), ("ip", "8.8.2.9"), ("url", "http://n4.example/x")], "ioc_type string, indicator string")
+
+
+@query(
+    "ioc_enrich", "fx_seen", "fx_known",
+    sql=f"""WITH {SEEN_SQL}, k AS (SELECT ioc_type, indicator, COUNT(*) AS hits, MAX(confidence) AS confidence, MIN(verdict) AS verdict FROM fx_known WHERE verdict <> 'clean' AND (ioc_type, indicator) NOT IN (SELECT (ioc_type, indicator) FROM allowed) GROUP BY 1, 2)
+      SELECT seen.session_id, k.* FROM seen JOIN k ON k.ioc_type = seen.ioc_type AND k.indicator = seen.indicator""",
+)
+def _ioc_enrich(s, known):
+    return ioc_op.enriched(_seen(s), known, _allowed(s.sparkSession))
+
+
 @query(
-    "ioc_enrich", "fx_recipients", "fx_iocs",
-    sql="SELECT r.session_id, i.indicator, COUNT(*) AS hits, MAX(i.confidence) AS confidence, MIN(i.verdict) AS verdict FROM (SELECT DISTINCT session_id, rcpt_domain FROM fx_recipients) r JOIN fx_iocs i ON i.indicator = r.rcpt_domain WHERE i.verdict <> 'clean' AND i.indicator NOT IN ('n1.example', 'n2.example') GROUP BY 1, 2",
+    "auto_iocs_from_verdicts", "fx_seen",
+    sql=f"""WITH {SEEN_SQL}, v AS (SELECT *, CASE category WHEN 'nlp_phishing' THEN 'phishing' WHEN 'NLP_BEC' THEN 'bec' WHEN 'mass_mailing' THEN 'spam' WHEN 'dlp_x' THEN 'data_leak' ELSE 'unknown' END AS attack FROM fx_seen WHERE risk >= 0.85)
+      SELECT seen.ioc_type, seen.indicator, MIN(attack) AS attack_type, COUNT(*) AS hit_count, MAX(confidence) AS confidence, MAX(created_at) + INTERVAL 30 DAYS AS expires_at FROM v JOIN seen ON seen.session_id = v.session_id
+      WHERE (seen.ioc_type, seen.indicator) NOT IN (SELECT (ioc_type, indicator) FROM allowed) GROUP BY 1, 2""",
 )
-def _ioc_enrich(r, i):
-    allowed = r.sparkSession.createDataFrame([("n1.example",), ("n2.example",)], "indicator string")
-    # indicators are counted first, so the join adds one row for each message and indicator
-    known = i.filter("verdict <> 'clean'").join(F.broadcast(allowed), "indicator", "left_anti").groupBy("indicator").agg(F.count(F.lit(1)).alias("hits"), F.max("confidence").alias("confidence"), F.min("verdict").alias("verdict"))
-    return r.select("session_id", F.col("rcpt_domain").alias("indicator")).distinct().join(known, "indicator").select("session_id", "indicator", "hits", "confidence", "verdict")
+def _auto_iocs(s):
+    return ioc_op.from_verdicts(s.withColumn("categories", F.array("category")), _seen(s), _allowed(s.sparkSession))
 
 
 @query(

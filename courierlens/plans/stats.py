@@ -150,15 +150,6 @@ def _fusion(i):
     return i.groupBy("indicator").agg(F.max_by("verdict", worst).alias("verdict"), (F.sum(F.col("confidence") * weight) / F.sum(weight)).alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-@query(
-    "auto_iocs_from_verdicts", "fx_sessions", "fx_verdicts",
-    sql="SELECT s.sender_domain AS indicator, 'domain' AS ioc_type, COUNT(*) AS hit_count, MAX(v.risk) AS confidence, MAX(v.created_at) + INTERVAL 30 DAYS AS expires_at FROM fx_verdicts v JOIN fx_sessions s ON v.session_id = s.session_id WHERE v.risk >= 0.85 AND s.sender_domain NOT IN ('building3.example') GROUP BY 1",
-)
-def _auto_iocs(s, v):
-    rows = v.filter("risk >= 0.85").join(s.filter("sender_domain NOT IN ('building3.example')"), "session_id")
-    return rows.groupBy(F.col("sender_domain").alias("indicator")).agg(F.lit("domain").alias("ioc_type"), F.count(F.lit(1)).alias("hit_count"), F.max("risk").alias("confidence"), (F.max("created_at") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
-
-
 @query(
     "feedback_ioc_decay", "fx_iocs", "fx_recipients", "labels",
     sql="""WITH f AS (SELECT r.rcpt_domain, COUNT(DISTINCT l.doc_id) AS n FROM labels l JOIN fx_recipients r ON r.session_id = l.doc_id WHERE l.quality = 1 AND l.toxic = 0 GROUP BY 1)

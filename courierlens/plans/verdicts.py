@@ -105,6 +105,40 @@ def _clustered(mail, m):
     return sc.clustered_verdict(mail, _results(m), PATTERNS).select("session_id", round6("risk").alias("risk"), round6("confidence").alias("confidence"), "n_clusters")
 
 
+AROUND_SQL = f"""u AS (SELECT session_id, list(DISTINCT category) FILTER (WHERE threat > 0) AS c, COUNT(DISTINCT module) FILTER (WHERE threat > 0) AS n,
+    COALESCE(bool_or(module IN ({', '.join(map(repr, op.HARD_MODULES))}) OR category IN ({', '.join(map(repr, op.HARD_CATEGORIES))})) FILTER (WHERE threat > 0), false) AS hard FROM fx_signals GROUP BY 1),
+  around AS (SELECT u.session_id, COALESCE({' OR '.join(f"list_contains(c, '{a}') AND list_contains(c, '{b}')" for a, b in op.DANGEROUS_PAIRS)}, false) AS paired, CASE WHEN n <= 1 AND NOT hard THEN 1 - 0.4 * LEAST(1.0, GREATEST(0.0, COALESCE(m.alignment, 0.0))) ELSE 1.0 END AS discount
+    FROM u LEFT JOIN fx_mail m ON m.session_id = u.session_id)"""
+
+
+def _piled(m):
+    return _results(m).withColumn("pillar", F.length("module") % 5)
+
+
+@query(
+    "verdict_noisy_or", "fx_mail", "fx_signals",
+    sql=f"""WITH p AS (SELECT session_id, length(module) % 5 AS pillar, 1 - product(1 - LEAST(1.0, score * weight)) AS t FROM fx_signals GROUP BY 1, 2),
+      s AS (SELECT session_id, 1 - product(1 - LEAST(1.0, t * ([1.0, 1.0, 0.8, 1.0, 0.7])[pillar + 1])) AS base, COUNT(*) FILTER (WHERE t > 0.05) / 5.0 AS diversity FROM p GROUP BY 1),
+      a AS (SELECT session_id, base + (1 - base) * diversity * 0.2 AS score FROM s), {AROUND_SQL}
+      SELECT a.session_id, R6((CASE WHEN paired THEN score + (1 - score) * 0.25 ELSE score END) * discount, 6) AS score FROM a JOIN around ON around.session_id = a.session_id""",
+)
+def _noisy_or(mail, m):
+    rows = _piled(m)
+    base = fusion_op.noisy_or_verdict(fusion_op.pillar_scores(rows, "session_id", "pillar", F.col("weight")), "session_id", "pillar")
+    return op.with_circumstances(base, op.circumstances(rows, mail)).withColumn("score", round6("score"))
+
+
+@query(
+    "verdict_weighted_max", "fx_mail", "fx_signals",
+    sql=f"""WITH t AS (SELECT session_id, MAX(threat / 4.0 * weight * confidence) AS top, COUNT(DISTINCT length(module) % 5) FILTER (WHERE threat > 0) AS pillars, COUNT(DISTINCT module) FILTER (WHERE threat > 0) AS modules FROM fx_signals GROUP BY 1),
+      a AS (SELECT session_id, LEAST(1.0, top + CASE WHEN pillars >= 3 THEN 0.25 WHEN pillars = 2 THEN 0.15 ELSE 0 END + CASE WHEN modules >= 4 THEN 0.15 WHEN modules = 3 THEN 0.10 ELSE 0 END) AS score FROM t), {AROUND_SQL}
+      SELECT a.session_id, R6((CASE WHEN paired THEN LEAST(1.0, score + 0.20) ELSE score END) * discount, 6) AS score FROM a JOIN around ON around.session_id = a.session_id""",
+)
+def _weighted_max(mail, m):
+    rows = _piled(m)
+    return op.with_circumstances(op.weighted_max(rows), op.circumstances(rows, mail), additive=True).withColumn("score", round6("score"))
+
+
 @query("verdict_ds_murphy", "fx_module_results")
 def _ds_murphy(m):
     modules = m.select("session_id", "confidence", fusion_op.bpa(F.col("score"), F.col("confidence"))["b"].alias("b"))

@@ -133,7 +133,8 @@ def test_weights_are_capped(spark):
         for _ in range(max(len(w), 1)):
             limit = 0.4 * added(w)
             over, free = added(max(x - limit, 0.0) for x in w), added(x for x in w if x <= limit)
-            w = [limit if x > limit else x * (1 + (over / free if free > 0 else 0.0)) for x in w]
+            more = over / free if free > 0 else 0.0
+            w = [limit if x > limit else x + x * more for x in w]
         total = sum(w)
         assert all(near(x, y / total if total > 0 else y) for x, y in zip(got[s], w, strict=True)), s
     assert len(got) > 100
