@@ -171,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """
     items = _windows(benchmark, "item_id", None, None, window)
     sizes = [(r["tokens"], r["size"]) for r in items.select("tokens", "size").distinct().collect()]  # at most twice the window's length
-    hashes = items.select("h").distinct().limit(broadcast_windows + 1).toPandas()["h"].to_numpy() if broadcast_windows else None
+    hashes = items.select("h").distinct().limit(broadcast_windows + 1).toArrow()["h"].to_numpy() if broadcast_windows else None
     few = hashes is not None and len(hashes) <= broadcast_windows
     found = _windows(docs, "doc_id", sorted(sizes), np.sort(hashes.view(np.uint64)) if few else None, window)
     item = items.select(F.col("id").alias("item_id"), "h", "tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "total")

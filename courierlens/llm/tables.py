@@ -12,8 +12,8 @@ from courierlens.shared import shared_dir
 
 #: A key with more than one in HOT_SHARE of all rows is dealt over SALTS tasks; there are fewer than HOT_SHARE such keys.
 HOT_SHARE, SALTS = 1000, 64
-#: Bits of a bitmap of hashes, at most (32 MB); with more hashes than fit, more pass it, and the join behind it decides.
-BITMAP_BITS = 1 << 28
+#: Bits of a bitmap of hashes, at most (16 MB); with more hashes than fit, more pass it, and the join behind it decides.
+BITMAP_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +58,15 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, sp
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Which remainders a column of 64-bit hashes has: 16 bits for each row of the table, or BITMAP_BITS.
+    """Which remainders a column of 64-bit hashes has: 8 bits for each row of the table, or BITMAP_BITS.
 
     It tells rows that a join would drop before they are shuffled; its size is
     bounded whatever the data.
     """
-    bits = min(BITMAP_BITS, 1 << max(10, (16 * hashes.count()).bit_length()))
+    bits = min(BITMAP_BITS, 1 << max(10, (8 * hashes.count()).bit_length()))
     at = F.pmod(F.col(column), F.lit(bits))
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")))
-    found = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toPandas()
+    found = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toArrow()  # at most BITMAP_BITS / 64 rows
     out = np.zeros(bits // 64, np.uint64)
     out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
     return out
