@@ -72,13 +72,39 @@ def pattern_hits(docs: DataFrame, rules: Sequence[tuple[str, str, str, Sequence[
     return docs.select(id_, F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select(id_, "r.*")
 
 
-def prose_signals(docs: DataFrame, phrases: Sequence[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_phrases, n_sentences, mean_length): set phrases, and sentences of how many characters."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    sentences = F.filter(F.split(t, "[.!?]+"), lambda s: s.rlike("[^ \\n]"))
-    n = F.size(sentences)
-    rows = docs.select(id_, sum((F.lower(t).contains(p).cast("long") for p in phrases), F.lit(0).cast("long")).alias("n_phrases"), n.cast("long").alias("n_sentences"), F.length(F.array_join(sentences, "")).alias("c"))
-    return rows.select(id_, "n_phrases", "n_sentences", F.when(F.col("n_sentences") > 0, F.col("c") / F.col("n_sentences")).otherwise(0.0).alias("mean_length"))
+#: Set phrases, connectives, and full forms with their contractions.
+PHRASES = (
+    "i hope this email finds you well", "i hope this message finds you well", "i am reaching out regarding", "i am writing to inform you", "i am writing to let you know", "please do not hesitate to",
+    "should you have any questions", "should you require any further", "thank you for your time and consideration", "looking forward to your prompt response", "we appreciate your understanding",
+    "we kindly ask that you", "as previously mentioned", "in light of recent", "我希望这封邮件", "希望您一切顺利", "如有任何疑问，请随时", "如您有任何问题", "感谢您的理解与配合", "期待您的及时回复", "请您务必在", "为了确保您的账户",
+)
+CONNECTIVES = ("furthermore", "moreover", "additionally", "consequently", "subsequently", "nevertheless", "nonetheless", "henceforth", "thereafter", "in conclusion", "to summarize")
+HAN_CONNECTIVES = ("此外", "然而", "尽管如此", "综上所述", "因此", "鉴于此", "与此同时")
+FULL_FORMS, SHORT_FORMS = ("do not ", "will not ", "cannot ", "i am ", "we are ", "you are "), ("don't ", "won't ", "can't ", "i'm ", "we're ", "you're ")
+LEAST_PROSE, LONG_SENTENCE = 80, 80
+
+
+def prose_signals(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, phrases, connectives, han_connectives, long_share, formal, n_signals, score) of texts of 80 characters or more.
+
+    Signals: set phrases, three connectives or more in either language, mostly
+    long sentences, and full forms without a contraction. Two signals score
+    .15, three .22, four or more .30.
+    """
+    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(id_, t.alias("_t")).filter(F.length("_t") >= LEAST_PROSE).select(id_, "_t", F.lower("_t").alias("_low"))
+    held = lambda words: sum((F.col("_low").contains(w).cast("long") for w in words), F.lit(0).cast("long"))
+    times = lambda words: sum(((F.length("_low") - F.length(F.replace("_low", F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0))
+    lengths = F.filter(F.transform(F.split("_t", "[.!?。！？\n]"), lambda s: F.length(F.regexp_replace(s, "\\s", ""))), lambda n: n > 0)
+    share = bound(lengths, lambda n: F.when(F.size(n) >= 4, F.size(F.filter(n, lambda x: x >= LONG_SENTENCE)) / F.size(n)).otherwise(0.0))
+    rows = rows.select(
+        id_, held(PHRASES).alias("phrases"), held(CONNECTIVES).alias("connectives"), held(HAN_CONNECTIVES).alias("han_connectives"), share.alias("long_share"),
+        ((times(FULL_FORMS) > 3.5) & (times(SHORT_FORMS) < 0.5)).alias("formal"),
+    )
+    signs = (F.col("phrases") > 0, F.col("connectives") >= 3, F.col("han_connectives") >= 3, F.col("long_share") >= 0.5, F.col("formal"))
+    n = sum((s.cast("long") for s in signs), F.lit(0).cast("long"))
+    score = F.when(F.col("n_signals") >= 4, 0.30).when(F.col("n_signals") == 3, 0.22).when(F.col("n_signals") == 2, 0.15).otherwise(0.0)
+    return rows.withColumn("n_signals", n).withColumn("score", score)
 
 
 def script_mix(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

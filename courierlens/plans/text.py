@@ -100,12 +100,21 @@ def _patterns(d):
     return op.pattern_hits(d, RULES)
 
 
+_held = lambda words: " + ".join("CAST(contains(low, '{}') AS BIGINT)".format(w.replace("'", "''")) for w in words)
+_times = lambda words: " + ".join("(length(low) - length(replace(low, '{0}', ''))) / {1}".format(w.replace("'", "''"), len(w)) for w in words)
+
+
 @query(
-    "generated_prose_signals", "documents",
-    sql="WITH t AS (SELECT doc_id, COALESCE(text, '') AS t, list_filter(string_split_regex(COALESCE(text, ''), '[.!?]+'), lambda s: regexp_matches(s, '[^ \\n]')) AS s FROM documents) SELECT doc_id, " + " + ".join(f"CAST(contains(lower(t), '{p}') AS BIGINT)" for p in ("of the", "and the", "licensed under")) + " AS n_phrases, CAST(len(s) AS BIGINT) AS n_sentences, R6(CASE WHEN len(s) > 0 THEN length(array_to_string(s, '')) / len(s) ELSE 0 END, 6) AS mean_length FROM t",
+    "generated_prose_signals", "fx_prose",
+    sql=f"""WITH t AS (SELECT doc_id, trim(text, ' ') AS t, lower(trim(text, ' ')) AS low FROM fx_prose WHERE length(trim(text, ' ')) >= {op.LEAST_PROSE}),
+      n AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '[.!?。！？\n]'), lambda s: length(regexp_replace(s, '\\s', '', 'g'))), lambda x: x > 0) AS l FROM t),
+      g AS (SELECT doc_id, {_held(op.PHRASES)} AS phrases, {_held(op.CONNECTIVES)} AS connectives, {_held(op.HAN_CONNECTIVES)} AS han_connectives,
+        CASE WHEN len(l) >= 4 THEN len(list_filter(l, lambda x: x >= {op.LONG_SENTENCE})) / len(l) ELSE 0.0 END AS long_share, {_times(op.FULL_FORMS)} > 3.5 AND {_times(op.SHORT_FORMS)} < 0.5 AS formal FROM n),
+      c AS (SELECT *, CAST(phrases > 0 AS BIGINT) + CAST(connectives >= 3 AS BIGINT) + CAST(han_connectives >= 3 AS BIGINT) + CAST(long_share >= 0.5 AS BIGINT) + CAST(formal AS BIGINT) AS n_signals FROM g)
+      SELECT doc_id, phrases, connectives, han_connectives, R6(long_share, 6) AS long_share, formal, n_signals, CASE WHEN n_signals >= 4 THEN CAST(0.30 AS DOUBLE) WHEN n_signals = 3 THEN 0.22 WHEN n_signals = 2 THEN 0.15 ELSE 0.0 END AS score FROM c""",
 )
 def _prose(d):
-    return op.prose_signals(d, ("of the", "and the", "licensed under")).withColumn("mean_length", round6("mean_length"))
+    return op.prose_signals(d).withColumn("long_share", round6("long_share"))
 
 
 @query(
