@@ -23,13 +23,15 @@ columns pass through; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from math import inf
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +43,36 @@ from courierlens.llm.words import blocks
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Units whose path a worker remembers; beyond it the memory is emptied.
+#: Units whose path a worker remembers, in each of two generations.
 REMEMBERED = 300_000
 #: How much worse than the worst piece a character by bytes is, as in the library.
 UNKNOWN_PENALTY = 10.0
 
 
+class Paths(dict):
+    """unit -> the ids of its best path, as bytes; filled as units come.
+
+    Two generations of REMEMBERED units: when the new one is full it becomes
+    the old one, and units that are met again move back.
+    """
+
+    def __init__(self, path):
+        super().__init__()
+        self.path, self.old = path, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = array("i", self.path(unit)).tobytes()
+            if len(unit) > 64:
+                return ids
+        self[unit] = ids
+        return ids
+
+
 class Codec:
     """The automaton, scores and byte pieces of one model."""
 
@@ -68,54 +94,49 @@ class Codec:
         for value, i in self.byte.items():
             self.bytes_of[i] = bytes([value])
         self.units = self.unit_pattern([model.id_to_piece(i) for i in plain]).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Paths(self.path)
 
     @staticmethod
-    def unit_pattern(pieces: list[str]) -> regex.Pattern:
+    def unit_pattern(pieces: list[str]) -> re.Pattern:
         """Splits a framed text where no piece can reach across."""
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):  # such a vocabulary has no inner borders
-            return regex.compile(r"(?s).+")
-        return regex.compile(f" *[^ \\n{SPACE}]+| +|\\n|{SPACE}")
+            return re.compile(r"(?s).+")
+        return re.compile(f" *[^ \\n{SPACE}]+| +|\\n|{SPACE}")
 
     def path(self, unit: str) -> list[int]:
         """The ids of the best path; of equal paths, the one whose last pieces are longest."""
-        n = len(unit)
-        best = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(unit):  # the longest first, then its output links
-            ends[end].append(found)
-        for end in range(n):
-            top, way = -np.inf, (end, -1)
-            for length, score, i in ends[end]:
-                if (s := best[end + 1 - length] + score) > top:
-                    top, way = s, (end + 1 - length, i)
-            if (s := best[end] + self.by_bytes) > top:
-                top, way = s, (end, -1)
-            best[end + 1], back[end + 1] = top, way
+        n, by_bytes = len(unit), self.by_bytes
+        best, start, piece = [-inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0], done = 0.0, 0  # the best scores up to here are final
+
+        def settle(end: int) -> None:
+            """Let the characters up to an end be bytes where that is better."""
+            for e in range(done + 1, end + 1):
+                if (s := best[e - 1] + by_bytes) > best[e]:
+                    best[e], start[e], piece[e] = s, e - 1, -1
+
+        for last, (length, score, i) in self.automaton.iter(unit):  # the longest piece of an end first, then its output links
+            end = last + 1
+            if end > done + 1:
+                settle(end - 1)
+                done = end - 1
+            if (s := best[end - length] + score) > best[end]:
+                best[end], start[end], piece[end] = s, end - length, i
+        settle(n)
         out: list[int] = []
         at = n
         while at:
-            start, i = back[at]
+            i = piece[at]
             if i >= 0:
                 out.append(i)
             else:
-                out.extend(self.byte[b] for b in reversed(unit[start:at].encode()))
-            at = start
+                out.extend(self.byte[b] for b in reversed(unit[start[at] : at].encode()))
+            at = start[at]
         return out[::-1]
 
-    def __getitem__(self, unit: str) -> bytes:
-        if (ids := self.known.get(unit)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = np.array(self.path(unit), np.int32).tobytes()
-            if len(unit) <= 64:
-                self.known[unit] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """The ids as int32 in the machine's order."""
-        return b"".join(map(self.__getitem__, self.units(f" {text}"))) if text else b""
+        return b"".join(map(self.known.__getitem__, self.units(f" {text}"))) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
         table, size = self.bytes_of, len(self.bytes_of)
