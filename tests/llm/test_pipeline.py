@@ -44,3 +44,23 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert all(g.round_trip and g.n_pieces == len(g.ids) for g in got)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null ids, nulls in other columns, repeated rows, a very long text, further columns, and no rows at all."""
+    r = random.Random(13)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rep long, removed string"
+    text, long = words(r, 80), "\n".join(words(r, 40) for _ in range(600))
+    rows = [(1, text, "en", "s", 3, 1, "x"), (1, text, "en", "s", 3, 1, "x"), (2, long, None, None, None, None, None), (None, words(r, 70), "en", "s", 1, 1, "x"), (3, None, None, None, None, None, None), (4, "", "", "", 0, 0, "")]
+    items = spark.createDataFrame([(None, None), (1, "")], "item_id long, text string")
+    for name, docs in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(str(g.doc_id) for g in got) == (["1", "1", "2", "None"] if docs else [])
+        assert all(g.round_trip for g in got)
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/some")
+        assert out.columns == docs.columns and {x.removed for x in out.collect()} <= {"x", "", None}
