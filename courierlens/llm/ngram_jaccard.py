@@ -40,8 +40,8 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,8 @@ FANOUT = 16
 SEEDS = 24
 #: Most ids that are broadcast to pick rows (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: What finds the links among some sets: of ids, sets, and parts, which it changes to the joined ones.
+Link = Callable[[list[int], list[np.ndarray], np.ndarray], Iterator[tuple[int, int]]]
 
 
 @lru_cache(100_000)
@@ -132,13 +134,13 @@ def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, a digest of the set, and the directory entries, of every row."""
+def signatures(docs: DataFrame, k: int, entries_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """doc_id, n, a digest of the set, and its directory entries, of every row."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            entries = _lists([leaves(s, num, den) for s in sets])
+            entries = _lists([entries_of(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), digests, entries], ["doc_id", "n", "digest", "leaves"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, digest binary, leaves array<long>")
@@ -212,8 +214,8 @@ def linked(ids: list[int], sets: list[np.ndarray], parts: np.ndarray, num: int,
             yield ids[a], ids[b]
 
 
-def _searched(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found by one tree for each cell (first, p, q) of rows (doc_id, component)."""
+def _searched(cells: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
+    """Links (a, b) found in each cell (first, p, q) of rows (doc_id, component)."""
     rows = cells.join(sets, "doc_id")
     rows = rows.repartition("first", "p", "q").sortWithinPartitions("first", "p", "q", "doc_id")
 
@@ -223,7 +225,7 @@ def _searched(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         def search() -> None:
             if len(set(components)) > 1:
                 parts = np.unique(components, return_inverse=True)[1]
-                for x, y in linked(ids, held, parts, num, den):
+                for x, y in link(ids, held, parts):
                     a.append(x)
                     b.append(y)
 
@@ -321,15 +323,14 @@ def _only(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame
     return docs.join(F.broadcast(ids) if few else ids, on, how)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def components_by_leaves(docs: DataFrame, k: int, entries_of: Callable[[np.ndarray], np.ndarray], link: Link) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, from links among documents that share a directory entry.
 
-    Two documents link when ``den * |A and B| >= num * |A or B|`` over their
-    k-word shingles; component_id is the smallest doc_id that links reach. The
-    result is a table in the shared folder, which ``tables.remove`` deletes.
+    ``entries_of`` gives the entries of a set of k-word shingles, ``link`` finds
+    links among some sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(signatures(docs, k, num, den), "signatures")
+    signed = written(signatures(docs, k, entries_of), "signatures")
     whole = signed.filter("doc_id is not null and n > 0")
 
     classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "classes")
@@ -348,10 +349,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     ids = written(members.select("doc_id").distinct(), "ids")
     sets = written(shingle_sets(_only(docs, ids, ["doc_id"], "left_semi"), k).filter("size(hashes) > 0"), "sets")
-    near = written(_searched(_at_home(members), sets, num, den), "near")
+    near = written(_searched(_at_home(members), sets, link), "near")
     parts = connected_components(near)
     still = written(_open_groups(members, parts), "open")
-    further = written(_searched(_still_open(still), sets, num, den), "further")
+    further = written(_searched(_still_open(still), sets, link), "further")
     # rows of one doc_id with different sets make their classes one
     twice = copies.join(slim.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y"), "doc_id", "left_semi")
     links = near.unionByName(further).unionByName(twice.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
@@ -363,6 +364,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out
 
 
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Two documents link when ``den * |A and B| >= num * |A or B|`` over their
+    k-word shingles; component_id is the smallest doc_id that links reach. The
+    result is a table in the shared folder, which ``tables.remove`` deletes.
+    """
+    return components_by_leaves(docs, k, partial(leaves, num=num, den=den), partial(linked, num=num, den=den))
+
+
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those that a link leads to from a smaller doc_id; rows with a null doc_id stay."""
     others = jaccard_components(docs, k, num, den).filter("doc_id <> component_id").select("doc_id").distinct()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from courierlens.llm import chat_format, decontamination, license_scan, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from courierlens.llm import (
+    chat_format, decontamination, hamming_join, license_scan, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec, spelling, substring_dedup, token_counts,
+    toxicity, whitening,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_hamming_join": hamming_join.op12_hamming_join,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
