@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierlens.functions.arrays import bound
+from courierlens.operators import states
 
 #: Fixed values of the phase model: start, transitions (row: from), risk weights.
 PHASE_START = (0.95, 0.03, 0.01, 0.005, 0.005)
@@ -133,36 +133,89 @@ def hawkes(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] =
     return out.select(key, "n", "mu", "intensity", ratio.alias("ratio"), (ratio > 3).alias("burst"))
 
 
-def hmm_phase(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """(key, posterior, phase, risk) of the five-state forward filter after an entity's last event."""
+def _hours(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp")) / 3.6e9
+
+
+def phase_emissions(x: Column) -> Column:
+    """How likely each phase makes an event (risk, u_final, k_conflict, gap): gap is hours since the one before."""
     clamp = lambda x, hi=1.0: F.least(F.greatest(x, F.lit(0.0)), F.lit(hi))
-    lits = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
-    hours = lambda x: F.unix_micros(x["ts"].cast("timestamp")) / 3.6e9
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-    def emissions(x: Column, gap: Column) -> Column:
-        r, u, k, cs = clamp(x["risk"]), clamp(x["u_final"]), clamp(x["k_conflict"]), F.lit(0.0)
-        calm, steady = 1 - F.least(k, F.lit(0.5)) * 2, F.exp(-F.pow(clamp(gap, 720.0) - 24, F.lit(2.0)) / 200)
-        return F.array(
-            0.1 + (1 - r) * 0.7 + (1 - u) * 0.15 + calm * 0.05,
-            0.05 + (r * 0.3 + 0.3) * u * 0.5 + steady * 0.15,
-            0.05 + (1 - r) * 0.2 + (1 - cs) * 0.3 + u * 0.2 + (r * 0.2 + 0.05),
-            0.02 + r * 0.6 + (1 - calm) * 0.2 + cs * 0.15 + (1 - u) * 0.03,
-            0.02 + r * 0.5 + (1 - u) * 0.25 + (1 - steady) * 0.1 + cs * 0.13,
-        )
-
-    columns = F.array(*(lits(row[j] for row in PHASE_MOVES) for j in range(5)))
+    r, u, k, cs = clamp(x["risk"]), clamp(x["u_final"]), clamp(x["k_conflict"]), F.lit(0.0)
+    calm, steady = 1 - F.least(k, F.lit(0.5)) * 2, F.exp(-F.pow(clamp(x["gap"], 720.0) - 24, F.lit(2.0)) / 200)
+    return F.array(
+        0.1 + (1 - r) * 0.7 + (1 - u) * 0.15 + calm * 0.05,
+        0.05 + (r * 0.3 + 0.3) * u * 0.5 + steady * 0.15,
+        0.05 + (1 - r) * 0.2 + (1 - cs) * 0.3 + u * 0.2 + (r * 0.2 + 0.05),
+        0.02 + r * 0.6 + (1 - calm) * 0.2 + cs * 0.15 + (1 - u) * 0.03,
+        0.02 + r * 0.5 + (1 - u) * 0.25 + (1 - steady) * 0.1 + cs * 0.13,
+    )
+
+
+#: Hours that count as the gap before an entity's first event; events kept for excitation, and the hours for which.
+FIRST_GAP, KEEP, MEMORY, BASE_RATE = 48.0, 100, 5 * 0.6931471805599453 / 2, 0.5
+
+
+def phases() -> states.Recurrence:
+    """The forward filter over the five phases."""
+    return states.forward_filter(PHASE_START, PHASE_MOVES, phase_emissions)
+
+
+def phase_risk(posterior: Column) -> Column:
+    """The risk of a posterior over the phases."""
+    weighted = F.zip_with(posterior, F.array(*(F.lit(float(x)) for x in PHASE_RISK)), lambda p, w: p * w)
+    return F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v)
+
+
+def hmm_phase(events: DataFrame, key: str = "entity_key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """(key, posterior, phase, risk) of the five-state forward filter after an entity's last event.
+
+    Blocks of events become products of matrices, so a busy entity is no array.
+    """
+    rows = states.placed(events, key, order)
+    gap = F.coalesce(_hours(F.col(order[0])) - _hours(F.col("previous")), F.lit(FIRST_GAP))
+    last = states.after_all(rows.withColumn("gap", gap), key, order, ("risk", "u_final", "k_conflict", "gap"), phases()).withColumnRenamed("state", "posterior")
+    return last.withColumns({"phase": (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"), "risk": phase_risk(F.col("posterior"))})
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(s["last"].isNull(), 48.0).otherwise(hours(x) - s["last"])
-        ahead = F.transform(columns, lambda c: dot(s["p"], c))
-        raw = F.zip_with(ahead, emissions(x, gap), lambda a, e: a * e)
-        normal = bound(raw, lambda w: bound(F.aggregate(w, F.lit(0.0), lambda a, v: a + v), lambda n: F.when(n > 1e-30, F.transform(w, lambda v: v / n)).otherwise(lits(PHASE_START))))
-        return F.struct(normal.alias("p"), hours(x).alias("last"))
 
-    zero = F.struct(lits(PHASE_START).alias("p"), F.lit(None).cast("double").alias("last"))
-    rows = ordered(events, key, order, "risk", "u_final", "k_conflict").select(key, F.aggregate("items", zero, step)["p"].alias("posterior"))
-    return rows.withColumns({"phase": (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"), "risk": dot(F.col("posterior"), lits(PHASE_RISK))})
+def temporal_signals(mails: DataFrame) -> DataFrame:
+    """Each mail of (mail_id, sender, at, recipients, risk, u_final, k_conflict) with the six temporal signals just after it.
+
+    Sums, averages and memory are the sender's; phase and burst those of its
+    pair with a recipient, the worst of which counts (the sender's own burst if
+    there is none); the graph pattern compares the recipients with its earlier
+    ones. Columns: alarm, drift, drifting, memory, watched, phase_risk, trust,
+    attack, burst_ratio, burst, graph_score, graph_pattern. Addresses are told
+    apart without regard to case; mails without a time are left out.
+    """
+    order = ("at", "mail_id")
+    rows = mails.filter("at is not null").select("mail_id", F.lower("sender").alias("sender"), "at", F.array_distinct(F.transform("recipients", F.lower)).alias("recipients"), "risk", "u_final", "k_conflict")
+    sums = cusum(rows.select("mail_id", "sender", "at", "risk"), "sender", order).select("mail_id", "alarm")
+    numbered = states.placed(rows, "sender", order)
+    own = states.after_each(numbered, "sender", order, ("risk",), states.averages({"fast": 0.05, "slow": 0.005, "memory": 0.08}, "risk"))
+    fast, slow = F.col("state.fast"), F.col("state.slow")
+    drift = F.abs(fast - slow) / F.greatest(F.abs(slow), F.lit(0.01))
+    own = own.select("mail_id", drift.alias("drift"), ((drift > 1.5) & (F.col("state.n") > 20)).alias("drifting"), F.col("state.memory").alias("memory"), (F.col("state.memory") >= 0.30).alias("watched"))
+
+    gap = F.coalesce(_hours(F.col("at")) - _hours(F.col("previous")), F.lit(FIRST_GAP))
+    pairs = numbered.select("mail_id", "sender", "at", "risk", "u_final", "k_conflict", gap.alias("gap"), F.explode_outer("recipients").alias("recipient"))
+    named = pairs.select(F.struct("sender", "recipient").alias("pair"), *order, "risk", "u_final", "k_conflict", "gap")
+    each = states.placed(named, "pair", order)
+    each = each.select("pair", *order, "_chunk", "_block", "n", "risk", "u_final", "k_conflict", "gap", F.struct(
+        _hours(F.col("at")).alias("t"), F.least(F.greatest("risk", F.lit(0.0)), F.lit(1.0)).alias("r"), "n", (_hours(F.col("at")) - _hours(F.col("previous"))).alias("gap")
+    ).alias("event"))
+    of_event = states.excitation(KEEP, MEMORY, BASE_RATE)
+    burst = of_event._replace(step=lambda s, x: of_event.step(s, x["event"]), add=lambda s, x: of_event.add(s, x["event"]))
+    pair = states.after_each(each, "pair", order, ("risk", "u_final", "k_conflict", "gap", "event"), states.together(phase=phases(), burst=burst))
+    now = _hours(F.col("at"))
+    heat = F.aggregate("before.burst.events", F.lit(0.0), lambda s, x: s + 0.8 * F.pow(x["r"], F.lit(1.5)) * F.exp(-2 * (now - x["t"])))
+    ratio = (F.col("before.burst.mu") + heat) / F.greatest(F.col("state.burst.mu"), F.lit(0.01))
+    posterior = F.when(F.col("pair.recipient").isNotNull(), F.col("state.phase"))
+    scored = pair.select("mail_id", phase_risk(posterior).alias("p"), posterior.alias("posterior"), F.col("pair.recipient").alias("recipient"), ratio.alias("ratio"))
+    worst = scored.groupBy("mail_id").agg(F.max("p").alias("phase_risk"), F.max_by("posterior", F.struct("p", "recipient")).alias("_p"), F.max("ratio").alias("burst_ratio"))
+    worst = worst.select("mail_id", "phase_risk", F.get("_p", F.lit(2)).alias("trust"), F.get("_p", F.lit(3)).alias("attack"), "burst_ratio", (F.col("burst_ratio") > 3).alias("burst"))
+
+    graph = comm_graph_anomalies(rows.filter(F.size("recipients") > 0)).filter("score > 0").select("mail_id", F.col("score").alias("graph_score"), F.col("pattern").alias("graph_pattern"))
+    return mails.join(sums, "mail_id").join(own, "mail_id").join(worst, "mail_id").join(graph, "mail_id", "left")
 
 
 def comm_edges(mails: DataFrame, risk_rate: float = 0.15, frequency_rate: float = 0.1) -> DataFrame:
@@ -181,13 +234,13 @@ def comm_edges(mails: DataFrame, risk_rate: float = 0.15, frequency_rate: float
 def composite_risk(signals: DataFrame) -> DataFrame:
     """signals with ``temporal``, the greatest of six scaled parts, and ``raised``, the risk that it lifts.
 
-    Columns: risk, alarm, drift, drifting, watched, phase_risk, graph_score, burst_ratio, burst; a missing one counts as nothing.
+    Columns: risk, alarm, drift, drifting, memory, watched, phase_risk, graph_score, burst_ratio, burst; a null one counts as nothing.
     """
     none = F.lit(0.0)
     parts = (
         F.when(F.col("alarm"), 0.3).otherwise(none),
         F.when(F.col("drifting"), F.least(F.lit(0.3), 0.1 * F.col("drift"))).otherwise(none),
-        F.when(F.col("watched"), 0.2 * F.col("risk")).otherwise(none),
+        F.when(F.col("watched"), 0.2 * F.col("memory")).otherwise(none),
         F.coalesce("phase_risk", none),
         0.3 * F.coalesce("graph_score", none),
         F.when(F.col("burst_ratio") > 5, 0.5).when(F.col("burst"), 0.3).otherwise(none),
@@ -245,26 +298,77 @@ def evt_tail(scores: DataFrame, fit: DataFrame, value: str = "risk") -> DataFram
     return rows.withColumn("period", period).select(*scores.columns, "period")
 
 
+#: Cells of equal width between 0 and 1 that hold the scores of a window.
+CELLS = 1024
+
+
+def evt_cvar(scores: DataFrame, recent: DataFrame, fit: DataFrame, value: str = "risk", order: tuple[str, ...] = ("ts", "seq"), last: int = 2000) -> DataFrame:
+    """scores with ``cvar``, the mean of what is beyond their value: of the window's scores up to the fit's threshold, of the tail above.
+
+    Without a fit, or with nothing beyond, it is the value; with xi of 1 or
+    more infinite. The window's scores lie in cells that know the sum of all
+    cells above, so each score looks at one cell only.
+    """
+    cell = lambda x: F.least(F.greatest(F.floor(x * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    window = recent.orderBy(*(F.desc(c) for c in order)).limit(last).select(F.col(value).alias("x"))
+    held = window.groupBy(cell(F.col("x")).alias("_cell")).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("c"), F.collect_list("x").alias("xs"))
+    cells = scores.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("_cell")).join(F.broadcast(held), "_cell", "left")
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    known = cells.select("_cell", F.coalesce("xs", F.array().cast("array<double>")).alias("_xs"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("_c"))
+    rows = scores.withColumn("_cell", cell(F.col(value))).join(F.broadcast(known), "_cell", "left")  # as many rows as cells
+    rows = rows.join(F.broadcast(fit.select("u", "xi", "sigma").limit(1)), F.lit(True), "left")
+    beyond = F.filter("_xs", lambda x: x > F.col(value))
+    n = F.col("_c") + F.size(beyond)
+    mean = (F.col("_s") + F.aggregate(beyond, F.lit(0.0), lambda s, x: s + x)) / n
+    y = F.col(value) - F.col("u")
+    cvar = (
+        F.when(F.col("u").isNull(), F.col(value)).when((y <= 0) & (n > 0), mean).when(y <= 0, F.col(value))
+        .when(F.col("xi") >= 1, float("inf")).otherwise(F.col(value) + (F.col("sigma") + F.col("xi") * y) / (1 - F.col("xi")))
+    )
+    return rows.withColumn("cvar", cvar).select(*scores.columns, "cvar")
+
+
+#: What a recipient whose address holds the text weighs; the first that fits counts.
+IMPACT = (("ceo@", 5.0), ("cfo@", 4.5), ("finance@", 4.5), ("it-admin@", 4.0), ("admin@", 3.5))
+
+
+def impact(recipients: Column, weights: Sequence[tuple[str, float]] = IMPACT, default: float = 1.0) -> Column:
+    """The highest weight of any recipient, or the default."""
+
+    def one(r: Column) -> Column:
+        return F.coalesce(*(F.when(F.lower(r).contains(text), w) for text, w in weights), F.lit(default))
+
+    return F.coalesce(F.greatest(F.array_max(F.transform(recipients, one)), F.lit(default)), F.lit(default))
+
+
 def alert_levels(signals: DataFrame) -> DataFrame:
     """signals with the most severe level (0 for P0 to 3 for P3) and the reasons for it; rows under a risk of 0.15 give no alert.
 
-    Columns: risk, impact, k_conflict, u_final, period, cusum_alarm, phase_risk, burst_ratio, novelty.
+    Columns: risk, impact, k_conflict, u_final, period, alarm, trust, attack,
+    watched, drifting, graph_score, burst_ratio, novelty, cross_conflict; a
+    null one gives no reason. Reasons of level 3 are told but do not raise.
     """
-    loss = F.col("risk") * F.col("impact")
-    ladder = lambda x, *steps: F.coalesce(*(F.when(x >= at, level) for at, level in steps), F.lit(3))
-    over = lambda x, at, level: F.when(F.col(x) > at, level).otherwise(3)
+    loss, period, none = F.col("risk") * F.col("impact"), F.col("period"), F.lit(9)
+    ladder = lambda x, *steps: F.coalesce(*(F.when(x >= at, level) for at, level in steps), none)
+    over = lambda x, *steps: F.coalesce(*(F.when(F.col(x) > at, level) for at, level in steps), none)
     levels = {
-        "expected_loss": ladder(loss, (3.0, 0), (1.5, 1), (0.5, 2)),
-        "conflict": over("k_conflict", 0.7, 0),
-        "cusum": F.when(F.col("cusum_alarm"), 0).otherwise(3),
-        "uncertainty": over("u_final", 0.6, 2),
-        "extreme_value": ladder(F.col("period"), (10000.0, 0), (1000.0, 1), (100.0, 2)),
-        "phase": over("phase_risk", 0.3, 1),
-        "burst": F.least(over("burst_ratio", 5.0, 0), over("burst_ratio", 3.0, 1)),
-        "novelty": F.least(over("novelty", 0.6, 1), over("novelty", 0.3, 2)),
+        "expected_loss": ladder(loss, (3.0, 0), (1.5, 1), (0.5, 2), (0.2, 3)),
+        "conflict": over("k_conflict", (0.7, 0)),
+        "cusum": F.when(F.col("alarm"), 0).otherwise(none),
+        "uncertainty": over("u_final", (0.6, 2)),
+        "extreme_value": ladder(period, (10000.0, 0), (1000.0, 1), (100.0, 2), (20.0, 3)),
+        "trust_building": over("trust", (0.25, 2)),
+        "attack_execution": over("attack", (0.3, 1)),
+        "watchlist": F.when(F.col("watched"), 3).otherwise(none),
+        "drift": F.when(F.col("drifting"), 3).otherwise(none),
+        "graph": over("graph_score", (0.0, 2)),
+        "burst": over("burst_ratio", (5.0, 0), (3.0, 1)),
+        "novelty": over("novelty", (0.6, 1), (0.3, 2)),
+        "cross_conflict": over("cross_conflict", (0.5, 1)),
     }
-    reasons = F.filter(F.array(*(F.when(v < 3, F.lit(k)) for k, v in levels.items())), lambda r: r.isNotNull())
-    return signals.filter("risk >= 0.15").withColumns({"level": F.least(*levels.values()), "reasons": reasons})
+    found = F.filter(F.array(*(F.when(v < 9, F.lit(k)) for k, v in levels.items())), lambda r: r.isNotNull())
+    reasons = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("risk")))
+    return signals.filter("risk >= 0.15").withColumns({"level": F.least(F.lit(3), *levels.values()), "reasons": reasons})
 
 
 def cooled(events: Column, seconds: int) -> Column:

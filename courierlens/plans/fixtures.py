@@ -39,6 +39,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_web": (("events",), "SELECT event_id AS session_id, ts, CONCAT('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, CONCAT('/m/', event_type, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CONCAT('?offset=', CAST(event_id AS STRING)) ELSE CONCAT('?sid=7&offset=', CAST(event_id AS STRING), '&attachmentId=2') END) AS uri, CASE WHEN user_id % 2 = 0 THEN 'a.txt' ELSE NULL END AS filename FROM events"),
     "fx_chunks": (("events",), "SELECT event_id AS chunk_id, ts, CONCAT('10.0.0.', CAST(user_id % 2 AS STRING)) AS client_ip, CONCAT('/up?composeId=c%3A', CAST(user_id % 2 AS STRING), '&attachmentId=', CASE WHEN event_type = 'view' THEN '' ELSE '1' END, '&offset=', CAST(event_id % 20 AS STRING)) AS uri, CASE WHEN event_type = 'click' THEN '' ELSE CONCAT('<', CAST(event_id AS STRING), '>') END AS data FROM events"),
     "fx_dlp": (("documents",), "SELECT doc_id, CONCAT(COALESCE(text, ''), ' ', CASE doc_id % " + str(len(SENSITIVE)) + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(SENSITIVE)) + " END) AS text FROM documents"),
+    "fx_flow": (("orders", "customer"), "SELECT o_orderkey AS mail_id, CONCAT(LOWER(c_mktsegment), CAST(c_nationkey AS STRING), '.example') AS sender, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' MINUTE * CAST(o_custkey % 1440 AS INT) AS sent_at FROM orders JOIN customer ON o_custkey = c_custkey"),
     "fx_seen": (("orders",), "SELECT o_orderkey AS session_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, LEAST(1.0, o_totalprice / 450000.0) AS risk, 0.5 + CAST(o_custkey % 5 AS DOUBLE) / 10.0 AS confidence, CASE o_custkey % 4 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN CONCAT('8.8.', CAST(o_custkey % 7 AS STRING), '.9') ELSE '' END AS ip, CASE o_custkey % 9 WHEN 0 THEN NULL ELSE CONCAT(' C', CAST(o_custkey % 20 AS STRING), '@N', CAST(o_custkey % 6 AS STRING), '.example') END AS mail_from, CASE WHEN o_orderkey % 3 = 0 THEN CONCAT('AB', CAST(o_custkey % 11 AS STRING)) ELSE NULL END AS file_hash, CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('http://n', CAST(o_custkey % 8 AS STRING), '.example/x#y') ELSE NULL END AS link, CASE o_orderkey % 5 WHEN 0 THEN 'odd' WHEN 1 THEN 'nlp_phishing' WHEN 2 THEN 'NLP_BEC' WHEN 3 THEN 'mass_mailing' ELSE 'dlp_x' END AS category FROM orders"),
     "fx_known": (("supplier",), "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'ip' WHEN 1 THEN 'email' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'url' END AS ioc_type, CASE s_suppkey % 5 WHEN 0 THEN CONCAT('8.8.', CAST(s_suppkey % 7 AS STRING), '.9') WHEN 1 THEN CONCAT('c', CAST(s_suppkey % 20 AS STRING), '@n', CAST(s_suppkey % 6 AS STRING), '.example') WHEN 2 THEN CONCAT('n', CAST(s_nationkey % 6 AS STRING), '.example') WHEN 3 THEN CONCAT('ab', CAST(s_suppkey % 11 AS STRING)) ELSE CONCAT('http://n', CAST(s_suppkey % 8 AS STRING), '.example/x') END AS indicator, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 6000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / 10.0 AS confidence FROM supplier"),
     "fx_prose": (("documents",), "SELECT doc_id, CONCAT(CASE doc_id % 6 WHEN 0 THEN 'I hope this email finds you well. I am writing to inform you. ' WHEN 1 THEN 'Furthermore, moreover. Additionally! ' WHEN 2 THEN '此外，因此，鉴于此。 ' WHEN 3 THEN 'do not do not cannot we are. ' WHEN 4 THEN 'As previously mentioned, furthermore, moreover, consequently we are, you are, I am, do not go. 此外然而因此 ' ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '' ELSE COALESCE(text, '') END) AS text FROM documents"),

@@ -72,7 +72,7 @@ def _engine_bpas(m):
     return _engines(m).select("session_id", "engine", *_rounded("m", "b", "d", "u"), round6("k").alias("k"))
 
 
-def _engine_lists(m):
+def engine_lists(m):
     return _engines(m).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("engine", "m"))).alias("items"))
 
 
@@ -85,7 +85,7 @@ DISCOUNT_SQL = f"""SELECT session_id, engine, CASE WHEN rho >= 0.1 THEN 1 - rho
 
 @query("correlation_discount", "fx_module_results", sql=f"SELECT session_id, CAST(engine AS INT) AS engine, R6(b * a, 6) AS b, R6(d * a, 6) AS d, R6(1 - b * a - d * a, 6) AS u FROM ({DISCOUNT_SQL})")
 def _correlation(m):
-    rows = _engine_lists(m).select("session_id", F.explode(F.arrays_zip(F.col("items.engine").alias("engine"), op.correlation_discount(F.col("items")).alias("m"))).alias("x"))
+    rows = engine_lists(m).select("session_id", F.explode(F.arrays_zip(F.col("items.engine").alias("engine"), op.correlation_discount(F.col("items")).alias("m"))).alias("x"))
     return rows.select("session_id", "x.engine", *_rounded("x.m", "b", "d", "u"))
 
 
@@ -100,7 +100,7 @@ MURPHY_SQL = f"""WITH e AS (SELECT session_id, m.b AS b, m.d AS d, m.u AS u, eng
 
 @query("murphy_fusion", "fx_module_results", sql=f"{MURPHY_SQL} SELECT session_id, n, R6(r.b, 6) AS b, R6(r.d, 6) AS d, R6(r.u, 6) AS u, R6(r.k, 6) AS k FROM r")
 def _murphy(m):
-    rows = _engine_lists(m).select("session_id", F.size("items").cast("long").alias("n"), op.murphy(F.col("items.m")).alias("r"))
+    rows = engine_lists(m).select("session_id", F.size("items").cast("long").alias("n"), op.murphy(F.col("items.m")).alias("r"))
     return rows.select("session_id", "n", *_rounded("r", "b", "d", "u", "k"))
 
 
@@ -163,7 +163,7 @@ def _leave_one_out(m):
 @query("grouped_fusion", "fx_module_results")
 def _grouped(m):
     """Technical engines by Murphy's rule, the other ones by Dempster's, then cautiously together."""
-    rows = _engine_lists(m)
+    rows = engine_lists(m)
     technical, blind = F.filter("items", lambda x: x["engine"] < 4), F.filter("items", lambda x: x["engine"] >= 4)
     both = rows.select("session_id", op.murphy(F.transform(technical, lambda x: x["m"])).alias("t"), op.dempster(F.transform(blind, lambda x: x["m"])).alias("s"))
     wide = lambda c: op.mass(F.col(f"{c}.b"), F.col(f"{c}.d"), F.col(f"{c}.u"))

@@ -8,7 +8,7 @@ from courierlens.functions.arrays import round6
 from courierlens.operators import fusion as fusion_op
 from courierlens.operators import scenarios as sc
 from courierlens.operators import verdicts as op
-from courierlens.plans.fusion import _engine_lists, _reduce_sql
+from courierlens.plans.fusion import engine_lists, _reduce_sql
 from courierlens.plans.registry import query
 
 PATTERNS = {
@@ -142,9 +142,9 @@ def _weighted_max(mail, m):
 @query("verdict_ds_murphy", "fx_module_results")
 def _ds_murphy(m):
     modules = m.select("session_id", "confidence", fusion_op.bpa(F.col("score"), F.col("confidence"))["b"].alias("b"))
-    return op.engine_verdict(_engine_lists(m), modules).select("session_id", round6("risk").alias("risk"), round6("conflict").alias("conflict"))
+    return op.engine_verdict(engine_lists(m), modules).select("session_id", round6("risk").alias("risk"), round6("conflict").alias("conflict"))
 
 
 @query("verdict_tbm", "fx_module_results")
 def _tbm(m):
-    return op.open_world_verdict(_engine_lists(m)).select("session_id", round6("risk").alias("risk"), round6("novelty").alias("novelty"))
+    return op.open_world_verdict(engine_lists(m)).select("session_id", round6("risk").alias("risk"), round6("novelty").alias("novelty"))
