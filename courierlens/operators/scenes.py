@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.operators.cooldown import taken
 from courierlens.schemas import SEVERITIES, rank
 
 _PLACE = {s: i for i, s in enumerate(SEVERITIES)}
@@ -48,15 +49,11 @@ def admitted(sessions: DataFrame, servers: Sequence[str], trusted_domains: DataF
 
 def reanalysis(events: DataFrame, key: str = "session_id", at: str = "ts", id_: str = "seq", seconds: int = 30, finished: Sequence[str] = ("Completed", "Timeout")) -> DataFrame:
     """Versions of a session that are analysed: the first, later ones outside the window of the last, and the one that finishes it."""
-    item = F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(id_).alias("id"), F.col("status").isin(*finished).alias("done"))
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.lit(False).alias("done"), F.slice("items", 1, 0).alias("taken"))
-
-    def step(s, x):
-        goes = s["last"].isNull() | (x["t"] - s["last"] >= seconds) | (x["done"] & ~s["done"])
-        return F.struct(F.when(goes, x["t"]).otherwise(s["last"]).alias("last"), (s["done"] | x["done"]).alias("done"), F.when(goes, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    return rows.select(key, F.explode(F.aggregate("items", zero, step, lambda s: s["taken"])).alias("x")).select(key, F.col("x.id").alias(id_))
+    rows = events.select(key, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(id_).alias("id"), F.col("status").isin(*finished).alias("done"))
+    # up to the first finished version one chain of cool-downs, and from it on another one
+    end = rows.filter("done").groupBy(F.col(key).alias("_of")).agg(F.min(F.struct("t", "id")).alias("_end"))
+    marked = rows.join(end, F.col(key).eqNullSafe(F.col("_of")), "left").withColumn("finishes", F.struct("t", "id") == F.col("_end"))
+    return taken(marked.select(key, "t", "id", "finishes"), [key], seconds, resets=F.col("finishes")).select(key, F.col("id").alias(id_))
 
 
 def scene_counts(scenes: DataFrame, now, statuses: Sequence[str] = ("active", "blocked", "resolved")) -> DataFrame:
@@ -73,9 +70,3 @@ def typos(words: DataFrame, brands: Sequence[str], most: int = 2) -> DataFrame:
     near = F.array(*(F.struct(F.levenshtein("word", F.lit(b), most).alias("distance"), F.lit(b).alias("brand")) for b in brands))
     best = F.array_min(F.filter(near, lambda x: x["distance"] >= 1))
     return w.withColumn("b", best).filter("b is not null").select("word", "b.brand", F.col("b.distance").cast("int").alias("distance"))
-
-
-def numbered_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierlens.operators import states
+from courierlens.operators.cooldown import taken
 
 #: Fixed values of the phase model: start, transitions (row: from), risk weights.
 PHASE_START = (0.95, 0.03, 0.01, 0.005, 0.005)
@@ -371,32 +372,6 @@ def alert_levels(signals: DataFrame) -> DataFrame:
     return signals.filter("risk >= 0.15").withColumns({"level": F.least(F.lit(3), *levels.values()), "reasons": reasons})
 
 
-def cooled(events: Column, seconds: int) -> Column:
-    """Of an array of structs with t (seconds) in order: those that a cool-down after the last one taken lets through."""
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.slice(events, 1, 0).alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = s["last"].isNull() | (x["t"] - s["last"] >= seconds)
-        return F.struct(F.when(free, x["t"]).otherwise(s["last"]).alias("last"), F.when(free, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    return F.aggregate(events, zero, step, lambda s: s["taken"])
-
-
-def taken(rows: DataFrame, keys: Sequence[str], seconds: int, gap: int | None = None) -> DataFrame:
-    """The rows (with t in seconds, and id) that a cool-down after the last taken row of their keys lets through.
-
-    A row after a gap of that length is always taken, so rows are folded only
-    within runs without such a gap (``gap``: runs end at this gap already).
-    """
-    past = Window.partitionBy(*keys).orderBy("t", "id")
-    new = F.coalesce(F.col("t") - F.lag("t").over(past) >= (gap or seconds), F.lit(True))
-    runs = rows.withColumn("_new", new.cast("long")).withColumn("_run", F.sum("_new").over(past))
-    others = [c for c in rows.columns if c not in keys]
-    item = F.struct("t", "id", *(c for c in others if c not in ("t", "id")))
-    folded = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    return folded.select(*keys, F.explode(cooled(F.col("c"), seconds)).alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in others))
-
-
 def rolling(events: DataFrame, key: str, seconds: int, what: Column, at: str = "ts") -> DataFrame:
     """events with ``t`` (seconds) and ``in_window``: what, summed over the time up to each event, its start excluded."""
     w = Window.partitionBy(key).orderBy("_u").rangeBetween(-seconds * 1_000_000 + 1, 0)
@@ -463,10 +438,8 @@ def reassembled(chunks: DataFrame, idle: int = 120, age: int = 600, at: str = "t
         "client_ip", F.try_url_decode(of("composeid")).alias("compose_id"), of("attachmentid").alias("attachment_id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"),
         F.col(id_).alias("id"), F.coalesce(F.expr("try_cast(regexp_extract(uri, '(?i)[?&]offset=([0-9]+)', 1) AS BIGINT)"), F.lit(0)).alias("offset"), "data",
     ).filter("compose_id is not null and attachment_id is not null and data <> ''")
-    past = Window.partitionBy(*keys).orderBy("t", "id")
-    runs = rows.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(past) >= idle, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(past))
-    starts = taken(runs.select(*keys, "run", "t", "id"), [*keys, "run"], age).select(*keys, "run", "id", F.lit(1).alias("begins"))
-    begun = runs.join(starts, [*keys, "run", "id"], "left").withColumn("part", F.count("begins").over(Window.partitionBy(*keys, "run").orderBy("t", "id")))
-    by_offset = begun.groupBy(*keys, "run", "part", "offset").agg(F.max_by("data", F.struct("t", "id")).alias("data"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t"), F.sum(F.octet_length("data")).alias("size"))
-    whole = by_offset.groupBy(*keys, "run", "part").agg(F.min("t").alias("t"), F.sum("n").alias("n_chunks"), F.sum("size").alias("size"), F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("c"))
+    starts = taken(rows.select(*keys, "t", "id"), keys, age, idle).select(*keys, "id", F.lit(1).alias("begins"))
+    begun = rows.join(starts, [*keys, "id"], "left").withColumn("part", F.count("begins").over(Window.partitionBy(*keys).orderBy("t", "id")))
+    by_offset = begun.groupBy(*keys, "part", "offset").agg(F.max_by("data", F.struct("t", "id")).alias("data"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t"), F.sum(F.octet_length("data")).alias("size"))
+    whole = by_offset.groupBy(*keys, "part").agg(F.min("t").alias("t"), F.sum("n").alias("n_chunks"), F.sum("size").alias("size"), F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("c"))
     return whole.select(*keys, F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("started"), "n_chunks", "size", F.array_join(F.col("c.data"), "").alias("data"))
