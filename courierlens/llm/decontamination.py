@@ -4,9 +4,13 @@ Words are canonicalised to typed placeholders: numbers, units, and names
 (capitalised words; several in a row are one name). The windows of canonical
 words of documents and benchmark items are hash-joined, so a question whose
 numbers or names were changed still matches. Matches of one document and item
-on one diagonal are then held to slot consistency: each value of the item must
-stand for one value of the document throughout. A window is a template only if
-half of its words are literal, since placeholders alone say nothing.
+are then held to slot consistency. A slot is a place of the item, so two equal
+numbers of it may become two others; but on one diagonal a name stands for one
+name of the document, the one that most windows with it have, and windows with
+another one go. Of an item's diagonals the one with most windows left says what
+its slots stand for; windows of other diagonals that say otherwise go as well.
+A window is a template only if half of its words are literal, since
+placeholders alone say nothing.
 
 How a word is read depends on nothing but the word, and on the names beside it.
 Since a copy may be in another case, and an item may be mostly names, the
@@ -34,7 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courierlens.llm.tables import table
@@ -43,8 +47,8 @@ from courierlens.llm.words import WordHashes, member, mix, multiplier
 WINDOW = 8
 MIN_TEMPLATE = 5
 COVERAGE = 0.5
-#: Most item windows whose hashes are sent to the tasks (8 bytes each).
-BROADCAST_WINDOWS = 1_000_000
+#: Most item windows whose hashes are sent to the tasks (8 bytes each), and most that are sent whole (some 300 bytes each), so that a window of many documents is no hot key.
+BROADCAST_WINDOWS, BROADCAST_ROWS = 1_000_000, 100_000
 
 #: Words for numbers and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen twice".split())
@@ -120,12 +124,14 @@ def windows_of(c: Canonical, size: int, tokens: bool) -> tuple[np.ndarray, np.nd
     return _window_hashes(h, size)[at], at
 
 
-_FIELDS = "id long, h long, place int, tokens boolean, slots array<string>, total int, size int"
-_SCHEMA = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("tokens", pa.bool_()), ("slots", pa.list_(pa.string())), ("total", pa.int32()), ("size", pa.int32())])
+_FIELDS = "id long, h long, place int, tokens boolean, slots array<string>, spots array<int>, names array<boolean>, total int, size int"
+_SCHEMA = pa.schema([
+    ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("tokens", pa.bool_()), ("slots", pa.list_(pa.string())), ("spots", pa.list_(pa.int32())), ("names", pa.list_(pa.bool_())), ("total", pa.int32()), ("size", pa.int32()),
+])
 
 
 def _rows(i: int, c: Canonical, sizes: Iterable[tuple[bool, int]], wanted: np.ndarray | None) -> Iterator[tuple]:
-    """(id, hash, place, whether of tokens, slot values, windows of the text, words of the window) of the wanted windows."""
+    """(id, hash, place, whether of tokens, values, places and kinds of the slots, windows of the text, words of the window) of the wanted windows."""
     for tokens, size in sizes:
         keys, at = windows_of(c, size, tokens)
         total = len(keys)
@@ -133,7 +139,8 @@ def _rows(i: int, c: Canonical, sizes: Iterable[tuple[bool, int]], wanted: np.nd
             hit = member(keys, wanted)
             keys, at = keys[hit], at[hit]
         for key, p in zip(keys.view(np.int64).tolist(), at.tolist(), strict=True):
-            yield i, key, p, tokens, [c.value(p + j) for j in np.flatnonzero(c.slot[p : p + size])] if tokens else [], total, size
+            spots = (p + np.flatnonzero(c.slot[p : p + size])).tolist() if tokens else []
+            yield i, key, p, tokens, [c.value(j) for j in spots], spots, [bool(c.slot[j] == NAME) for j in spots], total, size
 
 
 def item_sizes(c: Canonical, window: int) -> list[tuple[bool, int]]:
@@ -161,32 +168,47 @@ def _windows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, want
     return picked.mapInArrow(of, _FIELDS)
 
 
+def _names(windows: str) -> Column:
+    """(i, d) of the names i in windows of one diagonal: the name d that most of them have, of equals the last by letters."""
+    seen = F.filter(F.flatten(F.col(f"{windows}.pairs")), lambda x: x["named"])
+
+    def stands_for(i: Column, seen: Column) -> Column:
+        own = F.filter(seen, lambda x: x["i"] == i)
+        counted = F.transform(F.array_distinct(F.transform(own, lambda x: x["d"])), lambda d: F.struct(F.size(F.filter(own, lambda x: x["d"] == d)).alias("n"), d.alias("d")))
+        return F.array_max(counted)["d"]
+
+    each = F.array_distinct(F.transform(seen, lambda x: x["i"]))
+    return F.transform(each, lambda i: F.struct(i.alias("i"), stands_for(i, seen).alias("d")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_slots) of items found in documents.
 
-    coverage is the share of the item's templates that lie on diagonals with
+    coverage is the share of the item's templates that are found with
     consistent slots, or of its plain windows that the document has, whichever
-    is more; n_windows and n_matched count the same ones, and n_slots the
-    values that slots stand for on one such diagonal.
+    is more; n_windows and n_matched count the same ones, and n_slots the slots
+    of one diagonal at most.
     """
     items = _windows(benchmark, "item_id", None, None, window)
     sizes = [(r["tokens"], r["size"]) for r in items.select("tokens", "size").distinct().collect()]  # at most twice the window's length
     hashes = items.select("h").distinct().limit(broadcast_windows + 1).toArrow()["h"].to_numpy() if broadcast_windows else None
     few = hashes is not None and len(hashes) <= broadcast_windows
     found = _windows(docs, "doc_id", sorted(sizes), np.sort(hashes.view(np.uint64)) if few else None, window)
-    item = items.select(F.col("id").alias("item_id"), "h", "tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "total")
-    met = found.select(F.col("id").alias("doc_id"), "h", "tokens", F.col("place").alias("doc_place"), "slots").join(item, ["h", "tokens"])
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    # places of plain words need no diagonal of their own
+    item = items.select(F.col("id").alias("item_id"), "h", "tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "spots", "names", "total")
+    met = found.select(F.col("id").alias("doc_id"), "h", "tokens", F.col("place").alias("doc_place"), "slots").join(F.broadcast(item) if few and items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else item, ["h", "tokens"])
+    pairs = F.arrays_zip(F.col("spots").alias("p"), F.col("names").alias("named"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    # places of plain words need no diagonal of their own; of tokens, a diagonal has each place of the item once
     diagonal = F.when(F.col("tokens"), F.col("doc_place") - F.col("item_place"))
-    places = met.groupBy("doc_id", "item_id", "tokens", diagonal.alias("diagonal")).agg(
-        F.collect_set("item_place").alias("places"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )  # at most as many places as the item has windows
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    joined = places.filter(consistent).groupBy("doc_id", "item_id", "tokens").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
+    lines = met.groupBy("doc_id", "item_id", "tokens", diagonal.alias("diagonal")).agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("w"), F.max("total").alias("total"))
+    named = lines.withColumn("e", _names("w")).withColumn("w", F.filter("w", lambda w: F.forall(w["pairs"], lambda x: ~x["named"] | F.exists("e", lambda e: (e["i"] == x["i"]) & (e["d"] == x["d"])))))
+    slots = named.withColumn("s", F.array_distinct(F.transform(F.flatten("w.pairs"), lambda x: F.struct(x["p"], x["d"]))))
+    best = Window.partitionBy("doc_id", "item_id", "tokens").orderBy(F.desc(F.size("w")), "diagonal")
+    held = slots.withColumn("a", F.first("s").over(best))
+    same = F.filter("w", lambda w: F.forall(w["pairs"], lambda x: ~F.exists("a", lambda a: (a["p"] == x["p"]) & (a["d"] != x["d"]))))
+    joined = held.groupBy("doc_id", "item_id", "tokens").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.transform(same, lambda w: w["place"]))))).cast("long").alias("n_matched"),  # at most the item's places
         F.max("total").cast("long").alias("n_windows"),
-        F.max(F.size("pairs")).cast("long").alias("n_slots"),
+        F.max(F.size("s")).cast("long").alias("n_slots"),
     )
     share = F.col("n_matched") / F.col("n_windows")
     best = joined.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("coverage"), "tokens", "n_windows", "n_matched", "n_slots")).alias("b"))

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -233,10 +235,20 @@ def coverage_by_hand(doc, item, size=8):
         for i in own:
             for j in range(len(dt) - k + 1):
                 if [t for t, _ in it[i : i + k]] == [t for t, _ in dt[j : j + k]]:
-                    places, pairs = diagonals.setdefault(j - i, (set(), set()))
-                    places.add(i)
-                    pairs |= {(a, b) for (_, a), (_, b) in zip(it[i : i + k], dt[j : j + k], strict=True) if a is not None}
-        out.append(len({i for places, pairs in diagonals.values() if len(pairs) == len({a for a, _ in pairs}) for i in places}) / len(own))
+                    diagonals.setdefault(j - i, []).append(i)
+        kept = {}
+        for d, places in diagonals.items():
+            names = {}
+            for i in places:
+                for p in range(i, i + k):
+                    if it[p][0] == "NAME":
+                        names.setdefault(it[p][1], Counter())[dt[p + d][1]] += 1
+            stands = {n: max(c, key=lambda v: (c[v], v)) for n, c in names.items()}
+            kept[d] = [i for i in places if all(it[p][0] != "NAME" or stands[it[p][1]] == dt[p + d][1] for p in range(i, i + k))]
+        if kept:
+            best = min(kept, key=lambda d: (-len(kept[d]), d))
+            says = {p: dt[p + best][1] for i in kept[best] for p in range(i, i + k)}
+            out.append(len({i for d, places in kept.items() for i in places if all(says.get(p, dt[p + d][1]) == dt[p + d][1] for p in range(i, i + k))}) / len(own))
     return max(out)
 
 
@@ -251,15 +263,42 @@ QUESTIONS = [
 ]
 
 
-def changed(r, text):
-    """The question with other numbers and other names of one to three words, the same ones throughout."""
+#: Questions that repeat numbers and names.
+REPEATED = [
+    "John has 3 dogs and Mary has 3 cats and each dog eats 3 cups of food a day so how many cups do the dogs of John eat",
+    "A box holds 12 red pens and 12 blue pens at 12 cents for each pen so what does a full box cost in the shop",
+    "Peter walks 5 km on monday and 5 km on friday and then rests for 5 days before he starts again so how far did he walk",
+    "If a farm sells 20 eggs for 20 cents and a shop sells 20 eggs for twice that then what do 20 eggs cost in the shop",
+    "Lena and Paul share 8 sweets and Lena gives 2 to Paul and then Paul gives 2 to Lena so who has more sweets now",
+    "A bus with 30 seats takes 30 people from the station and at the next stop 10 leave and 10 enter so how many are seated",
+    "Nora reads 15 pages in the morning and 15 pages in the evening of each of the 7 days in a week so how many in all",
+    "There are 4 rows with 4 chairs in each and 4 people come late so how many chairs does the teacher have to add then",
+    "Oscar buys 6 apples and 6 pears and eats 2 of each before he meets Clara who takes 2 of what is left for her aunt",
+    "A tank loses 9 litres every hour and gains 9 litres every second hour so after how many hours has it lost 18 litres",
+    "Emma is 10 years old and her brother Hugo is 10 years older so how old will Emma be when Hugo is twice 20 years old",
+    "The shop has 50 shirts and sells 5 a day and after 5 days gets 25 new ones so how many shirts are there on day 5",
+    "Two trains leave Paris and Rome at 7 and meet after 7 hours when one has gone 700 km so how fast was it on the way",
+    "Max plants 3 trees in each of 3 gardens and waters them with 3 cans a day so how many cans does Max fill in a week",
+    "A class of 24 children makes 24 cards and gives 6 to the teacher and 6 to the cook so how many cards do they keep",
+    "Iris saves 2 euros a week and spends 2 euros a month so how much does Iris have after 12 months if she began with 12",
+    "Each of the 11 players of a team gets 11 balls but 11 balls are lost on the way so how many balls are there at the end",
+    "A rope of 40 m is cut into 4 pieces and one of the 4 pieces is cut into 4 again so how long is the shortest of them",
+    "Felix runs 100 m in 14 seconds and Greta runs 100 m in 14 seconds too but Greta starts 14 m behind so who is first",
+    "In a jar are 16 red and 16 green stones and Anton takes 16 out without looking so how many red ones can there be",
+    "Sara bakes 5 cakes and cuts each into 8 pieces and gives 8 pieces to 5 neighbours so how many pieces does she have",
+    "A train from Lyon to Nice stops 3 times for 3 minutes and drives for 3 hours so when does it arrive if it leaves at 3",
+]
+
+
+def changed(r, text, equal=True):
+    """The question with other names of one to three words, the same ones throughout, and other numbers: the same for equal ones, or each drawn by itself."""
     new = {}
-    for name in ("Tom", "Anna", "Rose", "Mark", "Berlin", "Prague", "Mary Ann Smith"):
-        if name in text:
-            new[name] = " ".join(r.choice(("Ida", "Udo", "Kim", "Lea", "Max", "Zoe")) for _ in range(r.randrange(1, 4)))
-            text = text.replace(name, new[name])
+    for name in ("Tom", "Anna", "Rose", "Mark", "Berlin", "Prague", "Mary Ann Smith", *{w for q in REPEATED for w in q.split(" ")[1:] if w[0].isupper()}, "John", "Peter", "Lena", "Nora", "Oscar", "Emma", "Iris", "Felix", "Sara", "Max"):
+        if re.search(rf"\b{name}\b", text):
+            new[name] = " ".join(r.choice(("Ida", "Udo", "Kim", "Lea", "Ute", "Zoe")) for _ in range(r.randrange(1, 4)))
+            text = re.sub(rf"\b{name}\b", new[name], text)
     numbers = {}
-    return " ".join(str(numbers.setdefault(w, r.randrange(10, 99))) if w.isdigit() else w for w in text.split(" "))
+    return " ".join(str(numbers.setdefault(w, r.randrange(10, 99)) if equal else r.randrange(2, 99)) if w.isdigit() else w for w in text.split(" "))
 
 
 def test_decontamination_equals_brute_force(spark):
@@ -291,6 +330,19 @@ def test_copies_and_changed_questions_are_found():
     assert sum(tries) >= 0.9 * len(tries)
 
 
+def test_questions_with_repeated_numbers_are_found_with_numbers_drawn_independently(spark):
+    r = random.Random(11)
+    texts = [(k, f"{words(r, 20)} {changed(r, q, equal=False)} {words(r, 20)}") for k, q in enumerate(REPEATED) for _ in range(10)]
+    docs = spark.createDataFrame([(1000 * k + i, t) for i, (k, t) in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(REPEATED)), "item_id long, text string")
+    rows = decontamination.contaminated(docs, items).collect()
+    assert {(g.doc_id, g.item_id): g.coverage for g in rows} == {(1000 * k + i, n): c for i, (k, t) in enumerate(texts) for n, q in enumerate(REPEATED) if (c := coverage_by_hand(t, q)) >= decontamination.COVERAGE}
+    found = {g.doc_id for g in rows if g.doc_id // 1000 == g.item_id}
+    assert len(found) >= 0.9 * len(texts)
+    for text in ("Ida has 4 dogs and Zoe has 5 cats and each dog eats 2 cups of food a day so how many cups do the dogs of Ida eat", "A box holds 10 red pens and 15 blue pens at 20 cents for each pen so what does a full box cost in the shop"):
+        assert max(coverage_by_hand(text, q) for q in REPEATED) == 1.0
+
+
 def test_licenses(spark):
     notice = license_scan.TEMPLATES["mit"][0]
     changed = notice.replace("free of charge, ", "").replace("copies of the Software, and", "copies, and")
