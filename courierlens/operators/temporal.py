@@ -425,19 +425,25 @@ def dedup_incidents(incidents: DataFrame, at: str = "ts", id_: str = "incident_i
     return deduplicated(first, ("user", "incident_type", matches), far, at, id_)
 
 
+UPLOAD = ["client_ip", "compose_id", "attachment_id"]
+
+
+def upload_chunks(chunks: DataFrame, at: str = "ts", id_: str = "chunk_id") -> DataFrame:
+    """(client_ip, compose_id, attachment_id, t, id, offset, data) of chunks (id, client_ip, uri, ts, data); those without both ids, or without data, are none."""
+    of = lambda name: F.nullif(F.regexp_extract("uri", f"(?i)[?&]{name}=([^&]*)", 1), F.lit(""))
+    return chunks.select(
+        "client_ip", F.try_url_decode(of("composeid")).alias("compose_id"), of("attachmentid").alias("attachment_id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"),
+        F.col(id_).alias("id"), F.coalesce(F.expr("try_cast(regexp_extract(uri, '(?i)[?&]offset=([0-9]+)', 1) AS BIGINT)"), F.lit(0)).alias("offset"), "data", at,
+    ).filter("compose_id is not null and attachment_id is not null and data <> ''")
+
+
 def reassembled(chunks: DataFrame, idle: int = 120, age: int = 600, at: str = "ts", id_: str = "chunk_id") -> DataFrame:
     """(client_ip, compose_id, attachment_id, started, n_chunks, size, data): uploads from chunks (id, client_ip, uri, ts, data).
 
     An upload ends after ``idle`` seconds without a chunk or ``age`` seconds in
-    all; of chunks at one offset the later one counts. Chunks without both ids,
-    or without data, are none.
+    all; of chunks at one offset the later one counts.
     """
-    of = lambda name: F.nullif(F.regexp_extract("uri", f"(?i)[?&]{name}=([^&]*)", 1), F.lit(""))
-    keys = ["client_ip", "compose_id", "attachment_id"]
-    rows = chunks.select(
-        "client_ip", F.try_url_decode(of("composeid")).alias("compose_id"), of("attachmentid").alias("attachment_id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"),
-        F.col(id_).alias("id"), F.coalesce(F.expr("try_cast(regexp_extract(uri, '(?i)[?&]offset=([0-9]+)', 1) AS BIGINT)"), F.lit(0)).alias("offset"), "data",
-    ).filter("compose_id is not null and attachment_id is not null and data <> ''")
+    keys, rows = UPLOAD, upload_chunks(chunks, at, id_)
     starts = taken(rows.select(*keys, "t", "id"), keys, age, idle).select(*keys, "id", F.lit(1).alias("begins"))
     begun = rows.join(starts, [*keys, "id"], "left").withColumn("part", F.count("begins").over(Window.partitionBy(*keys).orderBy("t", "id")))
     by_offset = begun.groupBy(*keys, "part", "offset").agg(F.max_by("data", F.struct("t", "id")).alias("data"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t"), F.sum(F.octet_length("data")).alias("size"))
