@@ -43,7 +43,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_seen": (("orders",), "SELECT o_orderkey AS session_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, LEAST(1.0, o_totalprice / 450000.0) AS risk, 0.5 + CAST(o_custkey % 5 AS DOUBLE) / 10.0 AS confidence, CASE o_custkey % 4 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN CONCAT('8.8.', CAST(o_custkey % 7 AS STRING), '.9') ELSE '' END AS ip, CASE o_custkey % 9 WHEN 0 THEN NULL ELSE CONCAT(' C', CAST(o_custkey % 20 AS STRING), '@N', CAST(o_custkey % 6 AS STRING), '.example') END AS mail_from, CASE WHEN o_orderkey % 3 = 0 THEN CONCAT('AB', CAST(o_custkey % 11 AS STRING)) ELSE NULL END AS file_hash, CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('http://n', CAST(o_custkey % 8 AS STRING), '.example/x#y') ELSE NULL END AS link, CASE o_orderkey % 5 WHEN 0 THEN 'odd' WHEN 1 THEN 'nlp_phishing' WHEN 2 THEN 'NLP_BEC' WHEN 3 THEN 'mass_mailing' ELSE 'dlp_x' END AS category FROM orders"),
     "fx_known": (("supplier",), "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'ip' WHEN 1 THEN 'email' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'url' END AS ioc_type, CASE s_suppkey % 5 WHEN 0 THEN CONCAT('8.8.', CAST(s_suppkey % 7 AS STRING), '.9') WHEN 1 THEN CONCAT('c', CAST(s_suppkey % 20 AS STRING), '@n', CAST(s_suppkey % 6 AS STRING), '.example') WHEN 2 THEN CONCAT('n', CAST(s_nationkey % 6 AS STRING), '.example') WHEN 3 THEN CONCAT('ab', CAST(s_suppkey % 11 AS STRING)) ELSE CONCAT('http://n', CAST(s_suppkey % 8 AS STRING), '.example/x') END AS indicator, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 6000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / 10.0 AS confidence FROM supplier"),
     "fx_prose": (("documents",), "SELECT doc_id, CONCAT(CASE doc_id % 6 WHEN 0 THEN 'I hope this email finds you well. I am writing to inform you. ' WHEN 1 THEN 'Furthermore, moreover. Additionally! ' WHEN 2 THEN '此外，因此，鉴于此。 ' WHEN 3 THEN 'do not do not cannot we are. ' WHEN 4 THEN 'As previously mentioned, furthermore, moreover, consequently we are, you are, I am, do not go. 此外然而因此 ' ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '' ELSE COALESCE(text, '') END) AS text FROM documents"),
-    "fx_messages": (("orders",), "SELECT o_orderkey AS message_id, CAST(o_orderdate AS TIMESTAMP) AS received_at, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' HOUR WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) - INTERVAL '9' DAY ELSE CAST(o_orderdate AS TIMESTAMP) END AS sent_at, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN UPPER(o_orderpriority) WHEN 2 THEN CONCAT('Re: ', o_orderpriority) WHEN 3 THEN 'Hi привет 你好' ELSE o_orderpriority END AS subject, CASE o_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'a@x.example, b@y.example' WHEN 2 THEN CONCAT('u12345678', CAST(o_custkey % 10 AS STRING), '@wqzxkvbt.example') ELSE CONCAT('c', CAST(o_custkey AS STRING), '@N', CAST(o_custkey % 5 AS STRING), '.example') END AS from_header, CONCAT('<c@n', CAST(o_custkey % 3 AS STRING), '.example>') AS envelope_from, CASE WHEN o_orderkey % 4 = 0 THEN 'r@n1.example' ELSE NULL END AS reply_to, CASE WHEN o_orderkey % 5 = 0 THEN 'boss@n0.example' ELSE 'Boss' END AS display_name, o_orderkey % 14 AS n_to, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE NULL END AS in_reply_to, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'spf=fail dmarc=pass' WHEN 2 THEN 'spf=fail dmarc=FAIL' WHEN 3 THEN 'spf=pass dmarc=fail' ELSE 'spf=pass' END AS auth_results, o_custkey % 13 AS n_received, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'id' END AS id_header, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'text/plain' END AS content_type, CASE o_orderkey % 8 WHEN 0 THEN 'a.exe' WHEN 1 THEN 'Invoice.pdf.JS' WHEN 2 THEN 'a.txt' ELSE NULL END AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN 'text' ELSE 'binary' END AS declared, CASE WHEN o_custkey % 2 = 0 THEN 'text' ELSE 'binary' END AS detected, CAST(o_custkey % 3 AS BIGINT) * 20000000 AS file_size FROM orders"),
+    "fx_messages": (("orders",), "SELECT o_orderkey AS message_id, CAST(o_orderdate AS TIMESTAMP) AS received_at, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' HOUR WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) - INTERVAL '9' DAY ELSE CAST(o_orderdate AS TIMESTAMP) END AS sent_at, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN UPPER(o_orderpriority) WHEN 2 THEN CONCAT('Re: ', o_orderpriority) WHEN 3 THEN 'Hi привет 你好' WHEN 4 THEN CASE o_custkey % 3 WHEN 0 THEN 'GOAIDC资产管理通知' WHEN 1 THEN 'IMG_7619.HEIC' ELSE 'AB12345678901' END ELSE o_orderpriority END AS subject, CASE o_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'a@x.example, b@y.example' WHEN 2 THEN CONCAT('u12345678', CAST(o_custkey % 10 AS STRING), '@wqzxkvbt.example') WHEN 3 THEN 'Pvzpfvq@8t5om.example' WHEN 4 THEN 'sales@snajgc.n3.example' WHEN 5 THEN 'ktipfnl@N0.example' ELSE CONCAT('c', CAST(o_custkey AS STRING), '@N', CAST(o_custkey % 5 AS STRING), '.example') END AS from_header, CASE WHEN o_custkey % 9 BETWEEN 2 AND 5 THEN NULL ELSE CONCAT('<c@n', CAST(o_custkey % 3 AS STRING), '.example>') END AS envelope_from, CAST(o_custkey % 4 AS INT) * 60 - 60 AS sent_offset, CASE WHEN o_orderkey % 4 = 0 THEN 'r@n1.example' ELSE NULL END AS reply_to, CASE WHEN o_orderkey % 5 = 0 THEN 'boss@n0.example' ELSE 'Boss' END AS display_name, o_orderkey % 14 * 5 AS n_to, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE NULL END AS in_reply_to, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'spf=fail dmarc=pass' WHEN 2 THEN 'spf=fail dmarc=FAIL' WHEN 3 THEN 'spf=pass dmarc=fail' ELSE 'spf=pass' END AS auth_results, o_custkey % 19 AS n_received, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'id' END AS id_header, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'text/plain' END AS content_type, CASE o_orderkey % 8 WHEN 0 THEN 'a.exe' WHEN 1 THEN 'Invoice.pdf.JS' WHEN 2 THEN 'a.txt' ELSE NULL END AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN 'text' ELSE 'binary' END AS declared, CASE WHEN o_custkey % 2 = 0 THEN 'text' ELSE 'binary' END AS detected, CAST(o_custkey % 3 AS BIGINT) * 20000000 AS file_size FROM orders"),
     "fx_lures": (("orders",), "SELECT o_orderkey AS message_id, CONCAT('n', CAST(o_custkey % 4 AS STRING), '.Example') AS sender_domain, CASE o_orderkey % 6 WHEN 0 THEN 'Account suspended: verify now' WHEN 1 THEN '13800138000 call me' WHEN 2 THEN '聊天记录 13800138000' WHEN 3 THEN 'Subsidy and tax refund' WHEN 4 THEN '[spam] hello' ELSE NULL END AS subject, CASE o_orderkey % 11 WHEN 0 THEN 'Your account is locked. Click here to restore.' WHEN 1 THEN 'subsidy refund, hurry' WHEN 2 THEN 'invoice for you, call 13900139000, wechat abc' WHEN 3 THEN 'invoice, wechat or qq, please' WHEN 4 THEN 'From the finance department and the board office of the firm' WHEN 5 THEN '您好，请查收附件，谢谢您的配合，此致敬礼，祝好，期待回复。Finance Dept' WHEN 6 THEN 'x' WHEN 7 THEN '13800138000 13900139000 15000150000' ELSE NULL END AS body, o_custkey % 2 AS n_images FROM orders"),
     "fx_verdicts": (("orders",), "SELECT o_orderkey AS session_id, o_orderdate AS created_at, LEAST(1.0, o_totalprice / 500000.0) AS risk FROM orders WHERE o_orderstatus <> 'P'"),
     "fx_iocs": (("supplier",), "SELECT CONCAT('n', CAST(s_nationkey AS STRING), '.example') AS indicator, 'domain' AS ioc_type, CONCAT('src', CAST(s_suppkey % 3 AS STRING)) AS source, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 3000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq FROM supplier"),

@@ -18,27 +18,37 @@ def _messages(m):
 
 
 _domain = lambda c: f"lower(COALESCE(regexp_extract({c}, '@([^@> ]+)>? *$', 1), ''))"
-_scripts = " + ".join(f"CAST(regexp_matches(s, '{p}') AS INT)" for p in ("[A-Za-z]", "[\\x{0400}-\\x{04FF}]", "[\\x{3040}-\\x{30FF}]", "[\\x{4E00}-\\x{9FFF}]", "[\\x{AC00}-\\x{D7AF}]", "[\\x{0600}-\\x{06FF}]"))
-_ends = " OR ".join(f"ends_with(f, '.{e}')" for e in op.DANGEROUS)
-DERIVED_SQL = f"""m AS (SELECT *, COALESCE(subject, '') AS s, lower(COALESCE(file_name, '')) AS f, lower(COALESCE(auth_results, '')) AS a, split_part(from_header, '@', 1) AS l FROM fx_messages),
-  x AS (SELECT message_id, CAST(received_at AS DATE) AS day, {_domain('from_header')} AS from_domain, {_domain('envelope_from')} AS envelope_domain, {_domain('reply_to')} AS reply_domain, {_domain('display_name')} AS display_domain, n_to AS n_recipients,
-    length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(s, '[^A-Z]', '', 'g')) AS n_upper, {_scripts} AS n_scripts, length(trim(s)) AS subject_length, CASE WHEN file_name IS NULL THEN 0 ELSE 1 END AS n_attachments,
-    hour(received_at) AS sent_hour, starts_with(lower(s), 're:') AS is_reply, in_reply_to IS NOT NULL AS has_parent, length(l) AS sender_length, length(regexp_replace(l, '[^0-9]', '', 'g')) AS sender_digits,
-    COALESCE(list_max(list_transform(regexp_extract_all({_domain('from_header')}, '[bcdfghjklmnpqrstvwxz]+'), lambda c: length(c))), 0) AS domain_consonants, contains(a, 'spf=fail') AS spf_fail, contains(a, 'dmarc=fail') AS dmarc_fail, a <> '' AS has_auth,
-    sent_at IS NOT NULL AS has_date, epoch(sent_at) - epoch(received_at) AS skew_seconds, id_header IS NOT NULL AS has_message_id, n_received, content_type <> '' AS has_type, length(from_header) - length(replace(from_header, '@', '')) AS n_from,
-    CASE WHEN {_ends} THEN 1 ELSE 0 END AS n_dangerous, CASE WHEN ({_ends}) AND len(string_split(f, '.')) > 2 THEN 1 ELSE 0 END AS n_double, CASE WHEN f <> '' AND declared <> detected THEN 1 ELSE 0 END AS n_mismatch,
-    CASE WHEN f <> '' AND file_size = 0 THEN 1 ELSE 0 END AS n_empty, CASE WHEN f <> '' AND file_size > {op.LARGEST} THEN 1 ELSE 0 END AS n_large FROM m),
-  found AS ({' UNION ALL '.join(f"SELECT message_id, day, from_domain, '{family}' AS family, '{category}' AS category FROM x WHERE {condition}" for family, category, condition in op.MESSAGE_RULES)})"""
-
-
-@query("message_signals", "fx_messages", sql=f"WITH {DERIVED_SQL} SELECT * FROM found")
+KNOWN_DOMAINS, KNOWN_NAMES = ("n0.example", "n1.example"), ("sales",)
+#: The checks written out for DuckDB, apart from the operator's table.
+FOUND_SQL = f"""m AS (SELECT *, COALESCE(subject, '') AS s, lower(COALESCE(file_name, '')) AS f, lower(COALESCE(auth_results, '')) AS a, trim(replace(replace(COALESCE(envelope_from, from_header, ''), '<', ''), '>', '')) AS addr FROM fx_messages),
+  x AS (SELECT *, CAST(received_at AS DATE) AS day, {_domain('from_header')} AS from_domain, {_domain('envelope_from')} AS ed, {_domain('reply_to')} AS rd, {_domain('display_name')} AS dd, {_domain('addr')} AS ad, split_part(addr, '@', 1) AS who,
+    length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS nl, length(regexp_replace(s, '[^0-9]', '', 'g')) AS nd, epoch(received_at) - epoch(sent_at) AS late, hour(sent_at + INTERVAL '1' MINUTE * sent_offset) AS h FROM m),
+  y AS (SELECT *, split_part(ad, '.', 1) AS label, regexp_matches(ad, '(^|[.])n[01][.]example$') AS known, regexp_matches(f, '[.](exe|scr|bat|cmd|com|pif|vbs|vbe|js|jse|wsf|hta|ps1|msi|jar|lnk|iso|img)$') AS program FROM x),
+  found AS (SELECT message_id, day, from_domain, unnest(list_filter([
+    CASE WHEN n_to > 10 THEN 'subject:mass_mailing' END, CASE WHEN n_to = 0 THEN 'subject:no_recipients' END, CASE WHEN n_to >= 51 THEN 'subject:spam_cannon' END,
+    CASE WHEN nl >= 5 AND s = upper(s) AND nl / (nl + nd) >= 0.4 AND NOT regexp_matches(s, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]') AND NOT regexp_full_match(trim(s), '[A-Za-z0-9._ ()-]+[.][A-Za-z0-9]{{2,5}}') THEN 'subject:all_caps_subject' END,
+    CASE WHEN regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[\\x{{4E00}}-\\x{{9FFF}}]') AND regexp_matches(s, '[\\x{{0400}}-\\x{{04FF}}]') THEN 'subject:multilingual_gibberish' END,
+    CASE WHEN trim(s) = '' AND f = '' THEN 'subject:empty_subject' END, CASE WHEN trim(s) = '' AND program THEN 'subject:empty_subject_with_attachment' END,
+    CASE WHEN h IN (0, 1, 2, 3, 4) AND (f <> '' OR contains(lower(s), 'urgent')) THEN 'subject:off_hours_send' END,
+    CASE WHEN dd <> '' AND dd <> from_domain THEN 'identity:display_name_spoof' END, CASE WHEN ed <> '' AND ed <> from_domain THEN 'identity:envelope_mismatch' END, CASE WHEN lower(s) LIKE 're:%' AND in_reply_to IS NULL THEN 'identity:reply_chain_anomaly' END,
+    CASE WHEN NOT known AND who <> 'sales' AND regexp_full_match(who, '[A-Za-z]{{5,}}') AND regexp_matches(lower(who), '[b-df-hj-np-tv-z]{{4}}') THEN 'identity:random_sender' END,
+    CASE WHEN NOT known AND length(label) >= 4 AND (regexp_matches(label, '[b-df-hj-np-tv-z]{{5}}') OR length(label) <= 8 AND regexp_matches(label, '[0-9]') AND length(regexp_replace(label, '[^a-z]', '', 'g')) IN (1, 2, 3, 4, 5)) THEN 'identity:random_domain' END,
+    CASE WHEN rd <> '' AND rd <> from_domain THEN 'header:domain_mismatch' END, CASE WHEN a LIKE '%spf=fail%' AND a LIKE '%dmarc=fail%' THEN 'header:auth_spf_dmarc_fail' WHEN a LIKE '%spf=fail%' THEN 'header:auth_spf_fail' WHEN a LIKE '%dmarc=fail%' THEN 'header:auth_dmarc_fail' WHEN a = '' THEN 'header:no_auth_results' END,
+    CASE WHEN sent_at IS NULL THEN 'header:missing_date' WHEN late < -3600 THEN 'header:future_date' WHEN late >= 8 * 86400 THEN 'header:stale_date' END, CASE WHEN id_header IS NULL THEN 'header:missing_message_id' END,
+    CASE WHEN n_received = 0 THEN 'header:no_received' WHEN n_received >= 16 THEN 'header:excessive_hops' END,
+    CASE WHEN from_domain = '' THEN 'mime:missing_from' END, CASE WHEN content_type = '' THEN 'mime:empty_content_type' END, CASE WHEN from_header LIKE '%@%@%' THEN 'mime:multi_address_from' END,
+    CASE WHEN program THEN 'attachment:dangerous_extension' END, CASE WHEN program AND f LIKE '%.%.%' THEN 'attachment:double_extension' END, CASE WHEN f <> '' AND declared <> detected THEN 'attachment:mime_mismatch' END,
+    CASE WHEN f <> '' AND file_size = 0 THEN 'attachment:zero_byte' END, CASE WHEN f <> '' AND file_size > 26214400 THEN 'attachment:oversized' END], lambda c: c IS NOT NULL)) AS c FROM y)"""
+
+
+@query("message_signals", "fx_messages", sql=f"WITH {FOUND_SQL} SELECT message_id, day, from_domain, split_part(c, ':', 1) AS family, split_part(c, ':', 2) AS category FROM found")
 def _findings(m):
-    return op.message_findings(_messages(m))
+    return op.message_findings(_messages(m), known_domains=KNOWN_DOMAINS, known_names=KNOWN_NAMES)
 
 
-@query("message_signal_counts", "fx_messages", sql=f"WITH {DERIVED_SQL} SELECT from_domain, day, category, COUNT(*) AS n FROM found GROUP BY 1, 2, 3")
+@query("message_signal_counts", "fx_messages", sql=f"WITH {FOUND_SQL} SELECT from_domain, day, split_part(c, ':', 2) AS category, COUNT(*) AS n FROM found GROUP BY 1, 2, 3")
 def _finding_counts(m):
-    return op.finding_counts(op.message_findings(_messages(m)))
+    return op.finding_counts(op.message_findings(_messages(m), known_domains=KNOWN_DOMAINS, known_names=KNOWN_NAMES))
 
 
 WORDS = {
@@ -64,16 +74,16 @@ def _lures(m):
 
 SPECIAL_SQL = """s AS (SELECT o.o_orderkey AS session_id, 'C' || o.o_custkey % 50 || '@' || c.c_mktsegment || '.example' AS mail_from, lower(c.c_mktsegment) || '.example' AS d, CASE WHEN o.o_custkey % 3 = 0 THEN '10.0.0.1' WHEN o.o_custkey % 7 = 0 THEN '' ELSE '8.8.' || o.o_custkey % 5 || '.1' END AS ip,
     CASE WHEN o.o_totalprice > 250000 THEN 4 ELSE 2 END AS rank, 'x@' || CASE WHEN o.o_orderkey % 2 = 0 THEN 'building' ELSE 'other' END || '.example' AS r, CASE WHEN o.o_orderkey % 5 = 0 THEN 4 ELSE 1 END AS nr, CAST(o.o_custkey % 10 AS DOUBLE) / 10 AS nc FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
-  e AS (SELECT 'ip' AS ioc_type, ip AS indicator, 'internal_spoofing' AS attack, CAST(0.85 AS DOUBLE) AS confidence FROM s WHERE rank >= 4 AND d = 'building.example' AND r = 'x@building.example' AND ip LIKE '8.%'
-    UNION ALL SELECT 'domain', d, 'domain_impersonation', CASE WHEN d = 'machinery.example' THEN 0.8 ELSE 0.7 END FROM s WHERE d IN ('machinery.example', 'household.example')
-    UNION ALL SELECT 'email', lower(mail_from), 'domain_impersonation', CASE WHEN d = 'machinery.example' THEN 0.8 ELSE 0.7 END FROM s WHERE d IN ('machinery.example', 'household.example')
+  p AS (SELECT *, ip LIKE '8.%' AS outside FROM s), ours AS (SELECT * FROM p WHERE rank >= 4 AND d = 'building.example' AND r = 'x@building.example'), alike AS (SELECT *, CASE WHEN d = 'machinery.example' THEN 0.8 ELSE 0.7 END AS c FROM p WHERE d IN ('machinery.example', 'household.example')),
+  e AS (SELECT 'ip' AS ioc_type, ip AS indicator, 'spoofing' AS attack, CAST(0.6 AS DOUBLE) AS confidence FROM ours WHERE outside UNION ALL SELECT 'domain', d, 'spoofing', 0.6 FROM ours UNION ALL SELECT 'email', lower(mail_from), 'spoofing', 0.6 FROM ours
+    UNION ALL SELECT 'domain', d, 'domain_impersonation', c FROM alike UNION ALL SELECT 'email', lower(mail_from), 'domain_impersonation', c FROM alike UNION ALL SELECT 'ip', ip, 'domain_impersonation', 0.8 * c FROM alike WHERE outside
     UNION ALL SELECT 'ip', ip, 'nonsensical_spam', nc FROM s WHERE nc >= 0.7 AND nr >= 4 AND ip LIKE '8.%'
     UNION ALL SELECT 'email', lower(mail_from), 'nonsensical_spam', nc FROM s WHERE nc >= 0.7 AND nr >= 4 UNION ALL SELECT 'domain', d, 'nonsensical_spam', nc FROM s WHERE nc >= 0.7 AND nr >= 4)"""
 
 
 @query(
     "auto_iocs_special", "orders", "customer",
-    sql=f"WITH {SPECIAL_SQL} SELECT indicator, ioc_type, attack, R6(MAX(confidence), 6) AS confidence, COUNT(*) AS hits FROM e WHERE NOT (ioc_type = 'domain' AND indicator = 'furniture.example') AND NOT (ioc_type = 'ip' AND indicator = '8.8.4.1') GROUP BY 1, 2, 3",
+    sql=f"WITH {SPECIAL_SQL} SELECT indicator, ioc_type, attack, R6(MAX(confidence), 6) AS confidence, COUNT(*) AS hits FROM e WHERE attack = 'spoofing' OR NOT (ioc_type = 'domain' AND indicator IN ('furniture.example', 'building.example')) AND NOT (ioc_type = 'ip' AND indicator = '8.8.4.1') GROUP BY 1, 2, 3",
 )
 def _special(o, c):
     k, cust, spark = F.col("o_orderkey"), F.col("o_custkey"), o.sparkSession
@@ -84,5 +94,5 @@ def _special(o, c):
     )
     internal = spark.createDataFrame([("Building.example",)], "domain string")
     alike = spark.createDataFrame([("machinery.example", 0.9), ("household.example", 0.35), ("automobile.example", 0.2)], "domain string, score double")
-    allowed = spark.createDataFrame([("domain", "furniture.example"), ("ip", "8.8.4.1")], "ioc_type string, indicator string")
+    allowed = spark.createDataFrame([("domain", "furniture.example"), ("domain", "building.example"), ("ip", "8.8.4.1")], "ioc_type string, indicator string")
     return op.special_iocs(sessions, internal, alike, allowed, PRIVATE).withColumn("confidence", round6("confidence"))
