@@ -21,10 +21,10 @@ SIGNALS = (
 
 #: Sensitive values that documents are dealt, by the remainder of their id.
 SENSITIVE = (
-    "card 4111-1111-1111-1111 and 5105 1051 0510 5100, not 4111-1111-1111-1112", "id 11010519491231002X, 11010519491231002X; not 110105194912310021", "13800138000, 13900139000;15012345678 13800138000", "bank 6212345678901234569 4111111111111111",
+    "card 4111-1111-1111-1111, &#53;105-1051-0510-5100 and 5105 1051 0510 5100, not 4111-1111-1111-1112", "id 11010519491231002X, 11010519491231002X; not 110105194912310021", "13800138000, 13900139000;15012345678 13800138000", "bank 6212345678901234569 4111111111111111",
     "住在福建省福州市鼓楼区软件园路 ok", "a-b@my-host.example.com, c.d@x.example;noreply@x.example E_F+1@Y.example", "passport E12345678 e1234567", "code 91350100M000100W0L 91350100M000100W0M",
-    "password: hunter22 token=abcdef secret = true", "SWIFT: DEUTDEFF500 BIC COBADEFFXXX", "CVV: 123 and otp 123456", "tax 110105ABCDEFGH1", "iban GB82WEST12345698765432 GB82WEST12345698765433", "USD 1,200,000 and 35,000 EUR, 12 RMB",
-    "account: 12345678901", "contract no. AB12345678", "fingerprint and iris scans, Fingerprint", "病历 处方 病史", "京A12345 LSVAU2180N2183294", "房产证号：A1234567", "工资：12,000", "longitude: 116.4074 and 39.9042, 116.4074",
+    "раssword: hunter22 token=abcdef key: monkey secret = true", "SWIFT: DEUTDEFF500 BIC COBADEFFXXX", "CVV: 123 and otp 123456", "tax 110105ABCDEFGH1", "iban GB82WEST12345698765432 GB82WEST12345698765433", "USD 1,200,000 and 35,000 EUR, 12 RMB",
+    "account: 12345678901", "contract no AB12345678, contract 123456, server 10.20.30.40 up", "fingerprint and iris scans, Fingerprint", "病历 处方 病史", "京A12345 LSVAU2180N2183294", "房产证号：A1234567", "工资：12,000", "longitude: 116.4074 and 39.9042, 116.4074",
     "OTP 998877", "贷款余额：5000", "受益人：张三 保费：200", "紧急联系人：李四", "工号：E1001 部门：风控", "判决书 开庭公告", "学历：本科", "营业执照号：110105012345678",
 )
 

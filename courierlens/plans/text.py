@@ -21,7 +21,7 @@ CHECK_SQL = {
     "email_address": f"list_filter(list_distinct(list_transform(v, lambda x: lower(x))), lambda x: split_part(x, '@', 1) NOT IN ({_in_sql(dlp.SYSTEM_MAILBOXES)}))",
     "social_credit_code": f"list_filter(v, lambda c: {CREDIT_REST} < {len(dlp.CREDIT_DIGITS)} AND substr('{dlp.CREDIT_DIGITS}', CAST({CREDIT_REST} AS INT) + 1, 1) = c[18])",
     "credential_leak": f"list_filter(v, lambda x: length(x) > 1 AND lower(x) NOT IN ({_in_sql(dlp.NO_SECRETS)}))",
-    "iban": f"list_filter(v, lambda c: {IBAN_SQL})",
+    "iban": f"list_filter(v, lambda c: {IBAN_SQL} AND length(c) = CASE substr(c, 1, 2) " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in dlp.IBAN_LENGTHS.items()) + " END)",
     "vehicle_info": "list_filter(v, lambda x: regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))",
 }
 
@@ -39,7 +39,8 @@ def _values_sql(kind: dlp.Kind) -> str:
 
 
 DLP_SQL = (
-    "WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), '０１２３４５６７８９' || chr(8203) || chr(8204) || chr(8205) || chr(65279), '0123456789') AS t FROM fx_dlp), c AS ("
+    "WITH d AS (SELECT doc_id, translate(list_reduce(list_prepend(COALESCE(text, ''), list_distinct(regexp_extract_all(COALESCE(text, ''), '&#([0-9]+);', 1))), lambda s, e: replace(s, '&#' || e || ';', chr(CAST(e AS INT)))), "
+    f"'{dlp.FOLDED[0]}{dlp.INVISIBLE}', '{dlp.FOLDED[1]}') AS t FROM fx_dlp), c AS ("
     + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, {CHECK_SQL.get(k, 'v')} AS v, {kind.least} AS least FROM (SELECT doc_id, {_values_sql(kind)} AS v FROM d)" for k, kind in dlp.KINDS.items())
     + "), x AS (SELECT doc_id, COALESCE(list(v) FILTER (WHERE class = 'credit_card'), [[]])[1] AS cards, len(COALESCE(list(v) FILTER (WHERE class = 'cvv_code'), [[]])[1]) AS cvv FROM c GROUP BY 1)"
     + ", f AS (SELECT c.doc_id, class, CASE WHEN class = 'bank_card' THEN list_filter(v, lambda y: NOT list_contains(cards, y)) WHEN class = 'otp_verification' AND cvv > 0 THEN [] ELSE v END AS v, least FROM c JOIN x ON x.doc_id = c.doc_id)"
@@ -51,7 +52,7 @@ DLP_SQL = (
     sql=f"{DLP_SQL} SELECT doc_id, class, CAST(len(v) AS BIGINT) AS n, list_transform(list_slice(list_sort(v), 1, 3), lambda x: x[1:2] || '***' || substr(x, CAST(greatest(length(x) - 1, 3) AS BIGINT))) AS samples FROM f WHERE len(v) >= least",
 )
 def _dlp(d):
-    return dlp.dlp_findings(d)
+    return dlp.dlp_findings(d).drop("snippets")
 
 
 LEVEL_SQL = "CASE " + " ".join(f"WHEN class IN ({', '.join(repr(n) for n in names)}) THEN {level}" for level, names in dlp.LEVELS.items()) + " ELSE 0 END"

@@ -104,7 +104,7 @@ def test_recurrences_equal_plain_loops(spark):
 
 
 def test_dlp_checksums(spark):
-    rows = spark.createDataFrame([(1, "pay 4539578763621486 or 4539578763621487 now"), (2, "IBAN DE89370400440532013000 and DE89370400440532013001"), (3, None), (4, 'token = "abcdef0123456789abcd" mail a.b@example.com noreply@example.com A.b@example.com')], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "pay 4539578763621486 or 4539578763621487 now"), (2, "IBAN DE89370400440532013000 and DE89370400440532013001"), (3, None), (4, 'secret = "abcdef0123456789abcd" mail a.b@example.com noreply@example.com A.b@example.com')], "doc_id long, text string")
     got = {(r.doc_id, r["class"]): r for r in dlp.dlp_findings(rows).collect()}
     assert set(got) == {(1, "credit_card"), (2, "iban"), (4, "credential_leak")}
     assert got[1, "credit_card"].samples == ["45***86"]
