@@ -56,6 +56,8 @@ UNITS = frozenset("% $ € £ mm cm m km inch inches foot feet yard yards mile m
 
 _NUMBER = re.compile(r"[+\-]?\$?\d[\d.,:/]*%?$")
 _EDGES = " \t.,;:!?\"'()[]{}<>«»“”‘’…"
+_ASCII_EDGES = "".join(c for c in _EDGES if c.isascii()).encode()
+_ASCII_NUMBERS, _ASCII_UNITS = (frozenset(w.encode() for w in words if w.isascii()) for words in (NUMBER_WORDS, UNITS))
 _GLUED = re.compile(r"(?<=\d)(?=[A-Za-z€£$%])|(?<=[$€£])(?=\d)")
 NUM, UNIT, NAME = 1, 2, 3
 _IS_NUM, _IS_UNIT, _CAPITAL, _ENDS = (np.uint64(1 << i) for i in range(4))
@@ -68,6 +70,12 @@ class TypedWords(WordHashes):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
+        core = word.strip(_ASCII_EDGES)
+        if core.isalpha():  # letters of ASCII between marks of ASCII: most words, read without decoding them
+            low = core.lower()
+            flags = 1 * (low in _ASCII_NUMBERS) | 2 * (low in _ASCII_UNITS) | 4 * (core[0] < 97) | 8 * (word[-1] in _ASCII_EDGES)
+            self[word] = value = xxhash.xxh3_64_intdigest(low) & ~15 | flags
+            return value
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGES) or text
         low = core.casefold()
