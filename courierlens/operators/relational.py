@@ -75,17 +75,38 @@ def last_known(rows: DataFrame, key: str, value: str, order: str, id_: str, seco
     return micros.withColumn("known", F.coalesce(F.col(value), best[value])).drop("_t")
 
 
+def _bucket(at: Column, seconds: int) -> Column:
+    """The number of the stretch of so many seconds that a time falls into."""
+    micros = F.unix_micros(at.cast("timestamp"))
+    return F.call_function("div", micros - F.pmod(micros, F.lit(seconds * 1_000_000)), F.lit(seconds * 1_000_000))
+
+
+def _envelope() -> Column:
+    return F.struct("mail_from", "recipients")
+
+
 def hops(sessions: DataFrame, seconds: int = 180) -> DataFrame:
-    """(session_id, next_id): relay hops from a server onwards, of the same envelope, soon after."""
-    return _timed_hops(sessions, seconds).drop("started_at")
+    """(session_id, next_id): relay hops from a server onwards, of the same envelope, soon after.
+
+    What comes soon after falls into the same stretch of time or the next, so
+    a busy relay meets two stretches of itself and not all.
+    """
+    own = _bucket(F.col("started_at"), seconds)
+    a = sessions.select("session_id", F.col("server_ip").alias("ip"), _envelope().alias("e"), "started_at", F.explode(F.array(own, own + 1)).alias("stretch"))
+    b = sessions.select(F.col("session_id").alias("next_id"), F.col("client_ip").alias("ip"), _envelope().alias("e"), F.col("started_at").alias("t2"), own.alias("stretch"))
+    soon = (F.col("t2") >= F.col("started_at")) & (F.col("t2") <= F.col("started_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    return a.join(b, ["ip", "e", "stretch"]).filter(soon & (F.col("next_id") != F.col("session_id"))).select("session_id", "next_id")
 
 
-def _timed_hops(sessions: DataFrame, seconds: int) -> DataFrame:
-    a = sessions.select("session_id", "server_ip", "mail_from", "recipients", "started_at")
-    b = sessions.select(F.col("session_id").alias("next_id"), F.col("client_ip").alias("ip"), F.col("mail_from").alias("f2"), F.col("recipients").alias("r2"), F.col("started_at").alias("t2"))
-    same = (F.col("server_ip") == F.col("ip")) & F.col("mail_from").eqNullSafe(F.col("f2")) & F.col("recipients").eqNullSafe(F.col("r2"))
-    soon = (F.col("t2") >= F.col("started_at")) & (F.col("t2") <= F.col("started_at") + F.make_dt_interval(secs=F.lit(seconds))) & (F.col("next_id") != F.col("session_id"))
-    return a.join(b, same & soon).select("session_id", "started_at", "next_id", F.col("t2").alias("next_at"))
+def _next_hops(sessions: DataFrame, seconds: int) -> DataFrame:
+    """(session_id, to): the earliest hop onwards of each session, by one pass over each stretch of a relay's time."""
+    micros, own = F.unix_micros(F.col("started_at").cast("timestamp")), _bucket(F.col("started_at"), seconds)
+    arrive = sessions.select(F.col("client_ip").alias("ip"), _envelope().alias("e"), own.alias("stretch"), micros.alias("u"), F.col("session_id").alias("id"), F.lit(0).alias("asks"))
+    leave = sessions.select(F.col("server_ip").alias("ip"), _envelope().alias("e"), F.explode(F.array(own, own + 1)).alias("stretch"), micros.alias("u"), F.col("session_id").alias("id"), F.lit(1).alias("asks"))
+    back = Window.partitionBy("ip", "e", "stretch").orderBy(F.desc("u"), F.desc("id"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("asks") == 0, F.struct("u", "id")), ignorenulls=True).over(back)
+    met = arrive.unionByName(leave).filter("ip is not null").withColumn("n", later).filter((F.col("asks") == 1) & (F.col("n.u") - F.col("u") <= seconds * 1_000_000))
+    return met.groupBy(F.col("id").alias("session_id")).agg(F.min("n").alias("n")).select("session_id", F.col("n.id").alias("to"))
 
 
 def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> DataFrame:
@@ -95,8 +116,7 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
     covers chains of 2**rounds hops; hops go forward in time, or in id at one
     time, so there are no cycles.
     """
-    onward = _timed_hops(sessions, seconds)
-    onward = onward.filter("next_at > started_at or next_id > session_id").groupBy("session_id").agg(F.min(F.struct("next_at", "next_id")).alias("n")).select("session_id", F.col("n.next_id").alias("to"))
+    onward = _next_hops(sessions, seconds)
     at = sessions.select("session_id").join(onward, "session_id", "left").select("session_id", F.coalesce("to", "session_id").alias("to"))
     for _ in range(rounds):
         ahead = at.select(F.col("session_id").alias("to"), F.col("to").alias("further"))
@@ -110,10 +130,15 @@ def terminal_hop(sessions: DataFrame, seconds: int = 180, rounds: int = 16) -> D
 
 def relay_gaps(second: DataFrame, first: DataFrame, seconds: int = 30) -> DataFrame:
     """Second-hop messages without a first hop of their id nearby, and whether one of the same envelope exists."""
-    near = lambda a, b: (F.col(b) >= F.col(a) - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(b) <= F.col(a) + F.make_dt_interval(secs=F.lit(seconds)))
-    f = first.select(F.col("message_id").alias("m"), F.col("mail_from").alias("ff"), F.array_sort(F.transform("recipients", F.lower)).alias("fr"), F.col("started_at").alias("t"))
-    gaps = second.join(f, (F.col("message_id") == F.col("m")) & near("started_at", "t"), "left_anti")
-    envelope = gaps.join(f.filter("m is not null"), F.col("mail_from").eqNullSafe(F.col("ff")) & (F.array_sort(F.transform("recipients", F.lower)) == F.col("fr")) & near("started_at", "t"), "left_semi").select("session_id").distinct().withColumn("hit", F.lit(1))
+    near = F.abs(F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) <= seconds * 1_000_000
+    own = _bucket(F.col("started_at"), seconds)
+    sorted_ = F.array_sort(F.transform("recipients", F.lower))
+    # what is nearby lies in the same stretch of time or one beside it
+    f = first.select(F.col("message_id").alias("m"), F.col("mail_from").alias("ff"), sorted_.alias("fr"), F.col("started_at").alias("t"), F.explode(F.array(own - 1, own, own + 1)).alias("fs"))
+    rows = second.withColumn("_s", own)
+    gaps = rows.join(f, (F.col("message_id") == F.col("m")) & (F.col("_s") == F.col("fs")) & near, "left_anti")
+    same = F.col("mail_from").eqNullSafe(F.col("ff")) & (sorted_ == F.col("fr")) & (F.col("_s") == F.col("fs"))
+    envelope = gaps.join(f.filter("m is not null"), same & near, "left_semi").select("session_id").distinct().withColumn("hit", F.lit(1))
     return gaps.join(envelope, "session_id", "left").select("session_id", F.when(F.col("hit") == 1, "same_envelope_other_id").otherwise("none").alias("gap"))
 
 

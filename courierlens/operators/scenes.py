@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierlens.operators.cooldown import taken
+from courierlens.operators.text import deletions
 from courierlens.schemas import SEVERITIES, rank
 
 _PLACE = {s: i for i, s in enumerate(SEVERITIES)}
@@ -62,11 +63,15 @@ def scene_counts(scenes: DataFrame, now, statuses: Sequence[str] = ("active", "b
     return scenes.groupBy("scene_type").agg(*(F.count_if(F.col("status") == s).alias(s) for s in statuses), F.count_if(recent).alias("last_24h"))
 
 
-def typos(words: DataFrame, brands: Sequence[str], most: int = 2) -> DataFrame:
-    """(word, brand, distance): distinct words close to, but not the same as, one of a short list of brands; the nearest one."""
-    if len(brands) > 1000:
-        raise ValueError("more than 1000 brands")
+def typos(words: DataFrame, brands: DataFrame, most: int = 2) -> DataFrame:
+    """(word, brand, distance): distinct words of four letters or more close to, but not the same as, one of the brands (brand); the nearest one.
+
+    A word and a brand within so many edits share what is left of them after as
+    many deletions, so an equi-join brings them together, however many there are.
+    """
     w = words.select("word").distinct().filter(F.length("word") >= 4)
-    near = F.array(*(F.struct(F.levenshtein("word", F.lit(b), most).alias("distance"), F.lit(b).alias("brand")) for b in brands))
-    best = F.array_min(F.filter(near, lambda x: x["distance"] >= 1))
-    return w.withColumn("b", best).filter("b is not null").select("word", "b.brand", F.col("b.distance").cast("int").alias("distance"))
+    own = w.select("word", F.explode(deletions(F.col("word"), most)).alias("left"))
+    met = own.join(brands.select("brand").distinct().select("brand", F.explode(deletions(F.col("brand"), most)).alias("left")), "left").select("word", "brand").distinct()
+    near = met.withColumn("distance", F.levenshtein("word", "brand", most)).filter("distance >= 1")
+    best = near.groupBy("word").agg(F.min(F.struct("distance", "brand")).alias("b"))
+    return best.select("word", "b.brand", F.col("b.distance").cast("int").alias("distance"))

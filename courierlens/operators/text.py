@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from courierlens.functions.arrays import bound
 
+
 def without_frame(text: Column, notices: Sequence[str], footers: Sequence[str]) -> Column:
     """A text without the notice lines it begins with, and without what follows a footer's first words."""
     is_notice = lambda line: reduce(Column.__or__, (F.lower(line).contains(n) for n in notices), F.lit(False)) | (F.trim(line) == "")
@@ -183,30 +184,77 @@ def folded(name: Column) -> Column:
     return F.translate(name, FOLD_FROM, FOLD_TO)
 
 
-def _pieces(name: Column) -> Column:
-    """A name cut into one piece more than the edits that a name up to three longer may have; an edited name keeps one of them whole."""
+def deletions(name: Column, most: int) -> Column:
+    """A name, and what is left of it without one, two, ... ``most`` of its characters.
+
+    Two names within so many edits have one of these in common.
+    """
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    found = F.array(name)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, without))))
+    return found
+
+
+def _bands(name: Column) -> Column:
+    """Keys that bring an edited name and its model together: (band, what is left of the name).
+
+    One edit is allowed among names of six letters, two among those of up to
+    twelve. Longer ones may have three, so one of the model's halves has one at
+    most: that half is the key, and a name offers what it could be.
+    """
     n = F.length(name)
-    k = F.when(n + 3 <= 6, 2).when(n + 3 <= 12, 3).otherwise(4)
-    at = lambda i: F.floor(n * i / k).cast("int")
-    return F.filter(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substr(name, at(i) + 1, at(i + 1) - at(i))), lambda x: x != "")
+    keys = lambda band, found: F.transform(found, lambda x: F.concat(F.lit(band), x))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(n <= 6, keys("1:", deletions(name, 1))).otherwise(none), F.when(n.between(5, 12), keys("2:", deletions(name, 2))).otherwise(none))
+
+
+def _halves(name: Column, model: bool) -> Column:
+    """The keys of a long name by halves: its own if it is the model, else those of every model that it may come from."""
+    n = F.length(name)
+    keys = lambda side, half, part: F.transform(deletions(part, 1), lambda x: F.concat(F.lit(side), half.cast("string"), F.lit(":"), x))
+
+    def of(half: Column, rest: Column, ahead: Column, behind: Column) -> Column:
+        return F.concat(keys("<", half, F.substr(name, F.lit(1), ahead)), keys(">", rest, F.substr(name, F.greatest(n - behind + 1, F.lit(1)), behind)))
+
+    if model:
+        half = F.floor(n / 2).cast("int")
+        return of(half, n - half, half, n - half)
+    sizes = F.sequence(F.greatest(F.lit(10), n - 3), n + 3)
+    each = F.flatten(F.transform(sizes, lambda m: F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda d: F.struct(m.alias("m"), d.alias("d")))))
+    return F.array_distinct(F.flatten(F.transform(each, lambda x: bound(F.floor(x["m"] / 2).cast("int"), lambda h: of(h, x["m"] - h, h + x["d"], x["m"] - h + x["d"])))))
+
+
+def _affixes(name: Column) -> Column:
+    """What a name of another one with something before or behind it begins or ends with, from four letters on."""
+    n = F.length(name)
+    some = F.filter(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), lambda k: k < n)
+    return F.transform(F.concat(F.transform(some, lambda k: F.substr(name, F.lit(1), k)), F.transform(some, lambda k: F.substr(name, n - k + 1, k))), lambda x: F.concat(F.lit("a:"), x))
+
+
+def candidates(names: DataFrame, models: DataFrame) -> DataFrame:
+    """Distinct (base, pbase): names and models that may be within the edits that their length allows, or one the other's beginning or end."""
+    none = F.array().cast("array<string>")
+    long = lambda c, model: F.when(F.length(c) >= 10, _halves(F.col(c), model)).otherwise(none)
+    own = names.select("base", F.explode(F.array_distinct(F.concat(_bands(F.col("base")), long("base", False), _affixes(F.col("base"))))).alias("key"))
+    whole = F.when(F.length("pbase") >= 4, F.array(F.concat(F.lit("a:"), "pbase"))).otherwise(none)
+    theirs = models.select("pbase", F.explode(F.array_distinct(F.concat(_bands(F.col("pbase")), long("pbase", True), whole))).alias("key"))
+    return own.join(theirs, "key").select("base", "pbase").distinct()
 
 
 def lookalikes(domains: DataFrame, protected: DataFrame) -> DataFrame:
     """(domain, protected, kind, score): each domain's best resemblance to a protected one.
 
-    Equi-joins bring candidates together: an edited, prefixed or suffixed name
-    holds a piece of the protected one, and a homoglyph folds to the same name.
+    Equi-joins bring candidates together, so the work is linear in the domains:
+    an edited name and its model have what is left after deletions in common,
+    and a homoglyph folds to the same name.
     """
     split = lambda c, x, y: (F.regexp_replace(c, "[.][^.]*$", "").alias(x), F.regexp_extract(c, "[.]([^.]*)$", 1).alias(y))
     d = domains.select("domain").distinct().select("domain", *split("domain", "base", "tld")).filter(F.length("base") >= 3)
     p = protected.select(F.col("domain").alias("protected")).distinct().select("protected", *split("protected", "pbase", "ptld")).filter(F.length("pbase") >= 3)
-    pieces = p.select("protected", F.explode(F.array_distinct(_pieces(F.col("pbase")))).alias("piece"))
-    sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())  # at most a host name's length of them
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("base") - n + 1, F.lit(1)))
-    parts = [F.transform(starts(n), lambda i, n=n: F.substr("base", i, F.lit(n))) for n in sizes]
-    held = d.select("domain", F.explode(F.array_distinct(F.concat(*parts) if parts else F.array(F.lit("")))).alias("piece"))
-    folds = d.select("domain", folded(F.col("base")).alias("f")).join(p.select("protected", folded(F.col("pbase")).alias("f")), "f")
-    met = held.join(pieces, "piece").select("domain", "protected").unionByName(folds.select("domain", "protected")).distinct()
+    names, models = d.select("base").distinct(), p.select("pbase").distinct()
+    folds = names.withColumn("f", folded(F.col("base"))).join(models.withColumn("f", folded(F.col("pbase"))), "f")
+    met = candidates(names, models).unionByName(folds.select("base", "pbase")).distinct()
     near = F.levenshtein("base", "pbase", 3)
     longest = F.greatest(F.length("base"), F.length("pbase"))
     allowed = F.when(longest <= 6, 1).when(longest <= 12, 2).otherwise(3)
@@ -220,6 +268,6 @@ def lookalikes(domains: DataFrame, protected: DataFrame) -> DataFrame:
         .when(edited, of(F.when(near == 1, 0.85).when(near == 2, 0.75).otherwise(0.65), "edit_distance"))
         .when(affix, of(F.lit(0.70), "affix"))
     )
-    pairs = met.filter("domain <> protected").join(d, "domain").join(p, "protected").withColumn("k", kind).filter("k is not null")
+    pairs = met.join(d, "base").join(p, "pbase").filter("domain <> protected").withColumn("k", kind).filter("k is not null")
     best = pairs.groupBy("domain").agg(F.max(F.struct("k.score", F.col("protected"), "k.kind")).alias("b"))
     return best.select("domain", "b.protected", "b.kind", "b.score")

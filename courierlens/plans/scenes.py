@@ -87,7 +87,8 @@ def _reanalysis(i):
 )
 def _typos(p):
     words = p.select(F.explode(F.split(F.regexp_extract("url", "://([^/]+)", 1), "[.]")).alias("word"))
-    return op.typos(words, ("thonth", "blogs", "exemple", "shopp"))
+    brands = p.sparkSession.createDataFrame([(b,) for b in ("thonth", "blogs", "exemple", "shopp")], "brand string")
+    return op.typos(words, brands)
 
 
 @query(
