@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepiece_codec
-from courierlens.llm.tables import table, written
+from courierlens.llm.tables import remove, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read back."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's result written and read back; the table that the last stage reads stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove(before)  # no later stage reads it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

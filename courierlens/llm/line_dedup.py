@@ -35,6 +35,8 @@ from courierlens.llm.tables import remove, spread_join, table, written
 NUM, DEN = 90, 100
 #: Buckets of the rarity table.
 BUCKETS = 1 << 18
+#: About as many later places of a frequent word are compared with its earlier ones in one task.
+CROWD = 2000
 #: Most places of lines (12 bytes each) that are broadcast to fetch their words; more of them are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
 
@@ -143,8 +145,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
     first = written(first, "first")
     gone = later(met(spread_join(side(entries, "y"), side(first, "x", "k"), ["w"], "k", "doc_id_y")))
     # of a word with two classes nothing is left to compare
-    crowded = written(spread_join(entries, first.filter("k > 2").select("w", "k"), ["w"], "k", "doc_id").drop("k"), "crowded")
-    rest = later(met(side(crowded, "x").join(side(crowded.join(gone, ["doc_id", "line"], "left_anti"), "y"), "w")))
+    parts = F.ceil(F.col("k") / CROWD).cast("int")
+    crowded = written(spread_join(entries, first.filter("k > 2").select("w", "k"), ["w"], "k", "doc_id").withColumn("parts", parts).drop("k"), "crowded")
+    # the later places of a word are dealt into parts, and its earlier ones go to each, so no task has all of a frequent word
+    earlier = side(crowded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "x", "part")
+    left = crowded.join(gone, ["doc_id", "line"], "left_anti").withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"))
+    rest = later(met(earlier.join(side(left, "y", "part"), ["w", "part"])))
     out = written(gone.unionByName(rest).distinct(), "similar")
     remove(first, crowded, gone, rest)
     return out

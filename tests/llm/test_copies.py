@@ -272,3 +272,26 @@ def test_chunks_cover_a_text(text):
     assert all(b - a <= substring_dedup.MAX_BYTES + 3 for a, b in zip([0, *ends], ends, strict=False))
     for a, b in zip([0, *ends], ends, strict=False):
         text.encode()[a:b].decode()
+
+
+def test_lines_of_a_frequent_word_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    r = random.Random(21)
+    base = words(r, 12).split(" ")
+    lines = []
+    for _ in range(40):
+        line = list(base)
+        for _ in range(r.randrange(0, 3)):
+            line[r.randrange(12)] = words(r, 1)
+        lines.append(" ".join(line))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::8])) for i in range(8)], "doc_id long, text string")
+    found = {g.doc_id: g.removed for g in line_dedup.removed_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "CROWD", 2000)
+    assert found == {g.doc_id: g.removed for g in line_dedup.removed_lines(docs).collect()}
+    kept, gone = [], {i: [] for i in range(8)}
+    for i in range(8):
+        for j, line in enumerate(lines[i::8]):
+            own = set(line.split(" "))
+            (gone[i].append(j) if any(100 * len(own & o) >= 90 * len(own | o) for o in kept) else None)
+            kept.append(own)
+    assert found == gone and any(gone.values())
