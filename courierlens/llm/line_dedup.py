@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,10 @@ def rarity(docs: DataFrame) -> Callable[[Column], Column]:
 
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).count()
-    tiers = [0] * BUCKETS
-    for bucket, tier in counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).collect():  # at most BUCKETS rows
-        tiers[bucket] = tier
-    held = F.split(F.lit(",".join(map(str, tiers))), ",").cast("array<long>")  # folded into one constant array
+    found = counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).toArrow()  # at most BUCKETS rows
+    tiers = np.zeros(BUCKETS, np.int8)
+    tiers[found["bucket"].to_numpy()] = found["tier"].to_numpy()
+    held = F.split(F.lit(",".join(map(str, tiers.tolist()))), ",").cast("array<long>")  # folded into one constant array
     return lambda w: F.shiftleft(F.get(held, bucket_of(w)), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
 
