@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +81,11 @@ def rarity(docs: DataFrame) -> Callable[[Column], Column]:
 
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).count()
-    found = counts.select("bucket", F.least(F.lit(126), (3 * F.log2("count")).cast("int")).alias("tier")).toArrow()  # at most BUCKETS rows
-    tiers = np.zeros(BUCKETS, np.int8)
-    tiers[found["bucket"].to_numpy()] = found["tier"].to_numpy()
-    held = F.split(F.lit(",".join(map(str, tiers.tolist()))), ",").cast("array<long>")  # folded into one constant array
+    tier = F.least(F.lit(126), (3 * F.log2("count")).cast("int"))
+    none = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("tier"))
+    whole = counts.select("bucket", tier.alias("tier")).unionByName(none).groupBy("bucket").agg(F.max("tier").alias("tier"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "tier"))), lambda x: x["tier"].cast("string"))
+    held = F.split(F.lit(whole.agg(F.array_join(in_order, ",").alias("tiers")).first()["tiers"]), ",").cast("array<long>")  # BUCKETS numbers, folded into one constant array
     return lambda w: F.shiftleft(F.get(held, bucket_of(w)), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
 
