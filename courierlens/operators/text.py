@@ -108,13 +108,51 @@ def prose_signals(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
     return rows.withColumn("n_signals", n).withColumn("score", score)
 
 
+#: Ideographs of the basic block and those that are rare; the least number that is judged, the normal range of their entropy, and the least shares that are odd.
+IDEOGRAPHS = "\\x{4E00}-\\x{9FFF}"
+RARE = "\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B820}-\\x{2EBEF}\\x{2F800}-\\x{2FA1F}\\x{30000}-\\x{3134F}"
+LEAST_IDEOGRAPHS, LEAST_PAIRS, CALM, WILD, RARE_SHARE, UNIQUE_SHARE = 10, 50, 4.0, 7.5, 0.05, 0.92
+
+
+def entropy(values: Column) -> Column:
+    """Bits of entropy of the values of an array: equal ones lie side by side once it is sorted, so one pass counts them."""
+    n = F.size(values)
+    of = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+    bits = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+    start = of(F.lit(None).cast("string"), F.lit(0.0), F.lit(0.0))
+    step = lambda s, x: F.when(x.eqNullSafe(s["last"]), of(x, s["run"] + 1, s["total"])).otherwise(of(x, F.lit(1.0), s["total"] + bits(s["run"])))
+    total = F.aggregate(F.sort_array(values), start, step, lambda s: s["total"] + bits(s["run"]))
+    found = F.log2(n.cast("double")) - total / n
+    return F.when((n > 0) & (found > 1e-12), found).otherwise(0.0)  # a single value may leave last bits
+
+
 def script_mix(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, n_other, ratio): letters, and how many of them are not ASCII."""
+    """(id, n, n_other, ratio, n_ideographs, rare, entropy, unique_pairs, score) of each text.
+
+    n and n_other are letters and those that are not ASCII. Of the ideographs:
+    the share of rare ones, the entropy, the share of different pairs among
+    neighbours, and how odd these are together (0 to 1).
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     letters = F.length(F.regexp_replace(t, "[^\\p{L}]", ""))
     other = F.length(F.regexp_replace(t, "[^\\p{L}]|[A-Za-z]", ""))
-    rows = docs.select(id_, letters.cast("long").alias("n"), other.cast("long").alias("n_other"))
-    return rows.withColumn("ratio", F.when(F.col("n") > 0, F.col("n_other") / F.col("n")).otherwise(0.0))
+    signs = F.regexp_extract_all(t, F.lit(f"([{IDEOGRAPHS}{RARE}])"), 1)
+    rows = docs.select(id_, letters.cast("long").alias("n"), other.cast("long").alias("n_other"), signs.alias("_s"))
+    n = F.size("_s")
+    rare = F.size(F.filter("_s", lambda c: c.rlike(f"[{RARE}]")))
+    pairs = F.zip_with(F.slice("_s", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_s", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    rows = rows.select(
+        id_, "n", "n_other", F.when(F.col("n") > 0, F.col("n_other") / F.col("n")).otherwise(0.0).alias("ratio"), n.cast("long").alias("n_ideographs"), F.when(n > 0, rare / n).otherwise(0.0).alias("rare"),
+        entropy(F.col("_s")).alias("entropy"), F.when(n > 1, F.size(F.array_distinct(pairs)) / (n - 1)).otherwise(0.0).alias("unique_pairs"),
+    )
+    upto1 = lambda x: F.least(x, F.lit(1.0))
+    odd_rare = F.when(F.col("rare") > RARE_SHARE, upto1((F.col("rare") - RARE_SHARE) / 0.25)).otherwise(0.0)
+    e, u, enough = F.col("entropy"), F.col("unique_pairs"), F.col("n_ideographs") - 1 >= LEAST_PAIRS
+    odd_entropy = F.when((e > 0) & (e < CALM), upto1((CALM - e) / CALM)).when(e > WILD, upto1((e - WILD) / 3)).otherwise(0.0)
+    odd_pairs = F.when(~enough, 0.0).when(u > UNIQUE_SHARE, upto1((u - UNIQUE_SHARE) / (1 - UNIQUE_SHARE))).when(u < 0.1, 1.0).otherwise(0.0)
+    counted = lambda x: F.when(x > 0.1, x).otherwise(0.0)
+    score = upto1(0.4 * odd_rare + 0.3 * counted(odd_entropy) + 0.3 * counted(odd_pairs))
+    return rows.withColumn("score", F.when(F.col("n_ideographs") < LEAST_IDEOGRAPHS, 0.0).otherwise(score))
 
 
 HTML_CHAIN = (("(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " "), ("<[^>]*>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("[ \\t\\r\\n]+", " "))
@@ -139,6 +177,43 @@ def links(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFra
     return pages.select(id_, F.posexplode(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), 1)).alias("n", "url"))
 
 
+#: Words of addresses that ask for secrets, and houses that may use them.
+ASKING = ("login", "signin", "account", "verify", "secure", "update", "confirm", "password", "credential", "authenticate")
+HOUSES = ("google.com", "microsoft.com", "apple.com", "amazon.com")
+ANCHOR = "(?is)<a[^>]*href=(?:\"[^\">]*\"|'[^'>]*')[^>]*>(?:.*?</a>)?"
+
+
+def suspicious(url: Column) -> Column:
+    """Whether a URL's host is an IPv4 address, or it asks for secrets and names none of the known houses."""
+    low = F.lower(url)
+    some = lambda words: reduce(Column.__or__, (low.contains(w) for w in words))
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return url.rlike(f"^https?://{octet}(?:[.]{octet}){{3}}(?:[:/]|$)") | (some(ASKING) & ~some(HOUSES))
+
+
+def anchored_links(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, n, url, text, suspicious, other_host): every different http link of a page.
+
+    Anchors come first, with their text without tags and spare blanks, then
+    other href and src values; of one URL the first text counts. other_host
+    tells that the text names a host of another registered domain.
+    """
+    h = F.coalesce(F.col(html), F.lit(""))
+    quoted = lambda name, q: f"(?i){name}={q}([^{q}]*){q}"
+    attribute = lambda m, q: F.nullif(F.regexp_extract(F.regexp_extract(m, "^<[^>]*>", 0), quoted("href", q), 1), F.lit(""))
+    plain = lambda m: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "(?i)^<[^>]*>|</a>$", ""), "<[^>]*(?:>|$)", " "), "\\s+", " "))
+    link = lambda url, text: F.struct(url.alias("url"), text.alias("text"))
+    anchors = F.transform(F.regexp_extract_all(h, F.lit(ANCHOR), 0), lambda m: link(F.coalesce(attribute(m, '"'), attribute(m, "'")), F.nullif(plain(m), F.lit(""))))
+    values = [F.regexp_extract_all(h, F.lit(quoted(name, q)), 1) for name in ("href", "src") for q in ('"', "'")]
+    others = F.transform(F.concat(*values), lambda u: link(u, F.lit(None).cast("string")))
+    rows = pages.select(id_, F.filter(F.concat(anchors, others), lambda x: x["url"].rlike("^https?://")).alias("_l"))
+    told = lambda u: F.get(F.filter("_l", lambda x: (x["url"] == u) & x["text"].isNotNull()), F.lit(0))["text"]
+    each = rows.select(id_, F.posexplode(F.transform(F.array_distinct("_l.url"), lambda u: link(u, told(u)))).alias("n", "x")).select(id_, "n", "x.url", "x.text")
+    named = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "((?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,})", 1))
+    other = (named != "") & (registrable(named) != registrable(host_of(F.col("url"))))
+    return each.withColumns({"suspicious": suspicious(F.col("url")), "other_host": other})
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.]*://(?:[^/@]*@)?([^/:?#]+)", 1))
 

@@ -119,11 +119,16 @@ def _prose(d):
 
 
 @query(
-    "script_mix", "documents",
-    sql="WITH t AS (SELECT doc_id, length(regexp_replace(COALESCE(text, ''), '[^\\pL]', '', 'g')) AS n, length(regexp_replace(COALESCE(text, ''), '[^\\pL]|[A-Za-z]', '', 'g')) AS n_other FROM documents) SELECT doc_id, n, n_other, R6(CASE WHEN n > 0 THEN n_other / n ELSE 0 END, 6) AS ratio FROM t",
+    "script_mix", "fx_signs",
+    sql=f"""WITH t AS (SELECT doc_id, length(regexp_replace(COALESCE(text, ''), '[^\\pL]', '', 'g')) AS n, length(regexp_replace(COALESCE(text, ''), '[^\\pL]|[A-Za-z]', '', 'g')) AS n_other, regexp_extract_all(COALESCE(text, ''), '[{op.IDEOGRAPHS}{op.RARE}]') AS l FROM fx_signs),
+      u AS (SELECT *, len(l) AS m, list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1]) AS p FROM t),
+      v AS (SELECT *, CASE WHEN m > 0 THEN len(list_filter(l, lambda c: NOT regexp_matches(c, '[{op.IDEOGRAPHS}]'))) / m ELSE 0 END AS rare, CASE WHEN m > 0 THEN list_aggregate(l, 'entropy') ELSE 0 END AS e, CASE WHEN m > 1 THEN len(list_distinct(p)) / (m - 1) ELSE 0 END AS q FROM u),
+      w AS (SELECT *, CASE WHEN rare > 0.05 THEN least(1.0, (rare - 0.05) / 0.25) ELSE 0 END AS a, CASE WHEN e > 0 AND e < 4 THEN (4 - e) / 4 WHEN e > 7.5 THEN least(1.0, (e - 7.5) / 3) ELSE 0 END AS b, CASE WHEN m < 51 THEN 0 WHEN q > 0.92 THEN least(1.0, (q - 0.92) / 0.08) WHEN q < 0.1 THEN 1 ELSE 0 END AS c FROM v)
+      SELECT doc_id, n, n_other, R6(CASE WHEN n > 0 THEN n_other / n ELSE 0 END, 6) AS ratio, CAST(m AS BIGINT) AS n_ideographs, R6(rare, 6) AS rare, R6(e, 6) AS entropy, R6(q, 6) AS unique_pairs,
+        R6(CASE WHEN m < 10 THEN 0 ELSE 0.4 * a + CASE WHEN b > 0.1 THEN 0.3 * b ELSE 0 END + CASE WHEN c > 0.1 THEN 0.3 * c ELSE 0 END END, 6) AS score FROM w""",
 )
 def _script(d):
-    return op.script_mix(d).withColumn("ratio", round6("ratio"))
+    return op.script_mix(d).withColumns({c: round6(c) for c in ("ratio", "rare", "entropy", "unique_pairs", "score")})
 
 
 def _html_sql(column: str) -> str:
@@ -149,9 +154,18 @@ def _html_signals(p):
 LINKS_SQL = "SELECT page_id, url, generate_subscripts(u, 1) - 1 AS n, unnest(u) AS link FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS u FROM pages)"
 
 
-@query("extract_links", "pages", sql=f"SELECT page_id, CAST(n AS INT) AS n, link AS url FROM ({LINKS_SQL})")
+@query(
+    "extract_links", "fx_html",
+    sql="""WITH m AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<a[^>]*href=(?:"[^">]*"|''[^''>]*'')[^>]*>(?:.*?</a>)?') AS a FROM fx_html),
+      l AS (SELECT page_id, list_concat(list_transform(a, lambda x: {'url': regexp_extract(x, '(?i)href=["'']([^"''>]*)["'']', 1), 'text': trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '(?i)</a>$', ''), '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))}),
+        list_transform(list_concat(regexp_extract_all(html, '(?i)href="([^"]*)"', 1), regexp_extract_all(html, '(?i)href=''([^'']*)''', 1), regexp_extract_all(html, '(?i)src="([^"]*)"', 1), regexp_extract_all(html, '(?i)src=''([^'']*)''', 1)), lambda u: {'url': u, 'text': ''})) AS l FROM m),
+      e AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l), g AS (SELECT page_id, x.url AS url, MIN(i) AS i, arg_min(x.text, i) FILTER (WHERE x.text <> '') AS text FROM e WHERE starts_with(x.url, 'http://') OR starts_with(x.url, 'https://') GROUP BY 1, 2),
+      n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS n, lower(regexp_extract(url, '://([^/:]+)', 1)) AS host, lower(regexp_extract(COALESCE(text, ''), '((?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,})', 1)) AS named FROM g),
+      o AS (SELECT *, regexp_extract(host, '([^.]+[.](?:co[.]uk|[^.]+))$', 1) AS top, regexp_extract(named, '([^.]+[.](?:co[.]uk|[^.]+))$', 1) AS named_top FROM n)
+      SELECT page_id, CAST(n AS INT) AS n, url, text, host = '10.0.0.1' OR regexp_matches(lower(url), 'login|signin|account|verify|secure|update|confirm|password|credential|authenticate') AND NOT contains(url, 'google.com') AS suspicious, named <> '' AND named_top <> top AS other_host FROM o""",
+)
 def _links(p):
-    return op.links(p)
+    return op.anchored_links(p)
 
 
 HOST_SQL = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.]*://(?:[^/@]*@)?([^/:?#]+)', 1))"
