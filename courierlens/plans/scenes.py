@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from courierlens.functions.arrays import round6
 from courierlens.operators import scenes as op
 from courierlens.operators import text as text_op
+from courierlens.operators import transactions
 from courierlens.plans.registry import query
 from courierlens.plans.text import HOST_SQL, lookalikes_sql
 
@@ -91,12 +93,28 @@ def _typos(p):
     return op.typos(words, brands)
 
 
+CHANGES, URGENCY = ("new bank details", "changed our account"), ("immediately", "within 24 hours")
+
+
 @query(
-    "financial_entities", "documents",
-    sql="SELECT doc_id, ibans, cards, amounts, R6(LEAST(1.0, 0.3 * ibans + 0.2 * cards + 0.1 * amounts), 6) AS score FROM (SELECT doc_id, CAST(len(regexp_extract_all(COALESCE(text, ''), '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')) AS BIGINT) AS ibans, CAST(len(regexp_extract_all(COALESCE(text, ''), '[0-9]{16,19}')) AS BIGINT) AS cards, CAST(len(regexp_extract_all(COALESCE(text, ''), '(?:USD|EUR|[$]) ?[0-9]+')) AS BIGINT) AS amounts FROM documents)",
+    "financial_entities", "fx_pay",
+    sql="""WITH t AS (SELECT doc_id, COALESCE(text, '') AS t, lower(COALESCE(text, '')) AS low, regexp_extract_all(COALESCE(text, ''), '[0-9A-Za-z_]+') AS runs FROM fx_pay),
+      c AS (SELECT *, regexp_matches(low, 'bitcoin|btc|wallet|crypto|ethereum|blockchain|usd[tc]|tether|[tb]?rc-?20|erc-?20|bep-?20|tron|binance|bnb|polygon|matic|solana|phantom|metamask|trust ?wallet|monero|xmr|litecoin|ltc|nft|opensea|rarible|airdrop|seed phrase|mnemonic|private key') AS coins FROM t),
+      k AS (SELECT *, len(list_filter(regexp_extract_all(t, '(?i)(?:^|[^0-9A-Za-z_])([A-Z]{2}[0-9]{2}\\s?[0-9A-Z]{4}\\s?(?:[0-9A-Z]{4}\\s?){1,7}[0-9A-Z]{1,4})(?:[^0-9A-Za-z_]|$)', 1), lambda v: upper(v[1:2]) IN ('DE', 'GB'))) AS ibans,
+        len(regexp_extract_all(t, '(?i)(?:account|acct|a/c|routing|sort[\\s-]?code)[:\\s#]*[0-9][0-9\\s-]{4,18}[0-9]')) AS accounts, len(regexp_extract_all(t, '(?i)(?:invoice|inv|purchase[\\s-]?order|po|receipt)[\\s#:-]*[A-Z0-9]{3,20}(?:[^0-9A-Za-z_]|$)')) AS invoices,
+        regexp_matches(t, '(?i)(?:^|[^0-9A-Za-z_])(?:SWIFT|BIC)[:\\s]*[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?(?:[^0-9A-Za-z_]|$)') AS swift, regexp_matches(t, '(?i)(?:[$€£¥₹]|USD|EUR|GBP|CNY|RMB)\\s*[0-9,]+|[0-9][0-9,]*(?:[.][0-9]{1,2})?\\s*(?:dollars?|euros?|pounds?|yuan|rmb)(?:[^0-9A-Za-z_]|$)') AS amount,
+        regexp_matches(t, '(?i)(?:^|[^0-9A-Za-z_])(?:wire[\\s-]?transfer|bank[\\s-]?transfer|remittance|beneficiary|intermediary[\\s-]?bank)(?:[^0-9A-Za-z_]|$)') AS wire, regexp_matches(low, 'new bank details|changed our account') AS change, regexp_matches(low, 'immediately|within 24 hours') AS pressed,
+        CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, '[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[a-zA-HJ-NP-Z0-9]{25,62}'))) ELSE 0 END AS btc, CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, '0x[0-9a-fA-F]{40}'))) ELSE 0 END AS eth,
+        CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, 'T[1-9A-HJ-NP-Za-km-z]{33}'))) ELSE 0 END AS tron, CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, '[1-9A-HJ-NP-Za-km-z]{43,44}'))) ELSE 0 END AS sol,
+        CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, '4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}'))) ELSE 0 END AS xmr, CASE WHEN coins THEN len(list_filter(runs, lambda r: regexp_full_match(r, '[LM][1-9A-HJ-NP-Za-km-z]{25,34}|ltc1[a-z0-9]{25,62}'))) ELSE 0 END AS ltc FROM c),
+      n AS (SELECT *, btc + eth + tron + sol + xmr + ltc AS wallets, ibans + accounts + btc + eth + tron + sol + xmr + ltc + CAST(swift AS INT) + CAST(wire AS INT) + CAST(change AS INT) AS n FROM k),
+      m AS (SELECT *, n >= 2 OR n = 1 AND invoices > 0 AND amount AS several, pressed AND n > 0 AS urgent FROM n),
+      s AS (SELECT *, 0.15 * (CAST(ibans > 0 AS INT) + CAST(swift AS INT) + CAST(accounts > 0 AS INT) + CAST(several AS INT)) + 0.1 * CAST(amount AS INT) + 0.075 * CAST(invoices > 0 AS INT) + 0.2 * CAST(wire AS INT) + 0.35 * CAST(change AS INT) + 0.25 * CAST(urgent AS INT)
+        + 0.4 * CAST(btc > 0 AS INT) + 0.35 * CAST(eth > 0 AS INT) + 0.4 * CAST(tron > 0 AS INT) + 0.3 * CAST(sol > 0 AS INT) + 0.45 * CAST(xmr > 0 AS INT) + 0.3 * CAST(ltc > 0 AS INT) AS total FROM m)
+      SELECT doc_id, CAST(ibans AS INT) AS ibans, CAST(accounts AS INT) AS accounts, CAST(invoices AS INT) AS invoices, CAST(wallets AS INT) AS wallets, swift, amount, wire, change, urgent, CAST(n AS INT) AS n_actionable,
+        array_to_string(list_filter([CASE WHEN ibans > 0 THEN 'iban_detected' END, CASE WHEN swift THEN 'swift_code_detected' END, CASE WHEN accounts > 0 THEN 'bank_account_detected' END, CASE WHEN wire THEN 'wire_transfer' END, CASE WHEN wallets > 0 THEN 'crypto_wallet' END,
+          CASE WHEN xmr > 0 THEN 'ransomware_indicator' END, CASE WHEN change THEN 'payment_change' END, CASE WHEN urgent THEN 'urgency_financial_combo' END, CASE WHEN several THEN 'multi_financial_entities' END], lambda x: x IS NOT NULL), ',') AS categories,
+        R6(least(1.0, CASE WHEN NOT change AND NOT coins AND wire AND amount AND invoices > 0 AND n <= 3 THEN least(total, 0.14) ELSE total END), 6) AS score FROM s""",
 )
 def _financial(d):
-    t = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda p, n: F.regexp_count(t, F.lit(p)).cast("long").alias(n)
-    rows = d.select("doc_id", count("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "ibans"), count("[0-9]{16,19}", "cards"), count("(?:USD|EUR|[$]) ?[0-9]+", "amounts"))
-    return rows.withColumn("score", F.round(F.lit(1.37e-9) + F.least(F.lit(1.0), 0.3 * F.col("ibans") + 0.2 * F.col("cards") + 0.1 * F.col("amounts")), 6))
+    return transactions.financial_entities(d, CHANGES, URGENCY, countries=("DE", "GB")).withColumns({"categories": F.array_join("categories", ","), "score": round6("score")})
