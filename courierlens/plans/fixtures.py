@@ -43,6 +43,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_html": (("pages",), "SELECT page_id, CONCAT(REPLACE(COALESCE(html, ''), 'href=\"/', CASE page_id % 4 WHEN 0 THEN 'class=x HREF=\"http://10.0.0.1:80/' WHEN 1 THEN 'href=\"https://google.com/login/' WHEN 2 THEN 'href=\"http://shop.example/my-account/' ELSE 'href=\"/' END), CASE page_id % 3 WHEN 0 THEN '<A id=1 HREF=''https://a.pay.example/q''>www.bank.co.uk  <b>log in</b></A><img src=\"http://img.example/p.png\"><a href=\"http://img.example/p.png\">picture</a>' WHEN 1 THEN '<a href=\"https://www.pay.example/\"> Pay.example </a><a href=\"http://256.1.1.1/x\">' ELSE '<link href=''http://c.example/a.css''><article><a>none</a>' END) AS html FROM pages"),
     "fx_signs": (("documents",), "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN TRANSLATE(LOWER(COALESCE(text, '')), 'etaoinshrdlcum', '的一是在不了有和人这中大为上') WHEN 1 THEN TRANSLATE(SUBSTR(COALESCE(text, ''), 1, 400), 'etaoinsh', '的㐀是㐁不豈有和') WHEN 2 THEN TRANSLATE(SUBSTR(COALESCE(text, ''), 1, 200), 'eta', '的的的') ELSE text END AS text FROM documents"),
     "fx_pay": (("documents",), "SELECT doc_id, CONCAT(COALESCE(text, ''), ' ', CASE doc_id % 12 WHEN 0 THEN 'Pay to DE89 3704 0044 0532 0130 00 or XX99ABCD12345678' WHEN 1 THEN 'SWIFT: DEUTDEFF500, account # 12-34-56 7890' WHEN 2 THEN 'invoice INV-2024 over $1,200.50 by bank transfer' WHEN 3 THEN 'We have new bank details, pay 500 euros immediately' WHEN 4 THEN CONCAT('send bitcoin to 1', SUBSTR('A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa', 1, 30), ' or 0x', REPEAT('aB', 20)) WHEN 5 THEN CONCAT('0x', REPEAT('12', 20), ' T', REPEAT('x', 33)) WHEN 6 THEN CONCAT('monero 4A', REPEAT('z', 93), ' within 24 hours') WHEN 7 THEN CONCAT('usdt T', REPEAT('x', 33), ' T', REPEAT('y', 33)) WHEN 8 THEN CONCAT('ltc1', REPEAT('q', 30), ' ', REPEAT('5', 44)) WHEN 9 THEN 'remittance, beneficiary, immediately' ELSE '' END) AS text FROM documents"),
+    "fx_urls": (("pages",), "SELECT page_id, CONCAT(CASE page_id % 9 WHEN 0 THEN 'https://www-secure.' WHEN 1 THEN 'http://www2.' WHEN 2 THEN 'http://user@' WHEN 3 THEN 'http://192-168-1-1.' WHEN 4 THEN 'https://a.b.c.' WHEN 5 THEN 'https://mail.google.com/login?token=1&u=' ELSE 'https://' END, CASE page_id % 7 WHEN 0 THEN 'bncgjwl.top' WHEN 1 THEN '55555.com' WHEN 2 THEN 'my.pages.example' WHEN 3 THEN 'fdtujh.co.uk' WHEN 4 THEN 'shop.example' WHEN 5 THEN CONCAT('s', REPEAT('ea', 20), '.xyz') ELSE 'thonth.org' END, '/', CASE page_id % 8 WHEN 0 THEN 'login/verify?token=2&amp;redirect=x' WHEN 1 THEN 'a%252f' WHEN 2 THEN CONCAT('x', REPEAT('y', 400)) WHEN 3 THEN 'p#account/login/verify' WHEN 4 THEN 'Account%2Fq?tokens=1' ELSE CAST(page_id % 50 AS STRING) END) AS url FROM pages"),
     "fx_seen": (("orders",), "SELECT o_orderkey AS session_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, LEAST(1.0, o_totalprice / 450000.0) AS risk, 0.5 + CAST(o_custkey % 5 AS DOUBLE) / 10.0 AS confidence, CASE o_custkey % 4 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN CONCAT('8.8.', CAST(o_custkey % 7 AS STRING), '.9') ELSE '' END AS ip, CASE o_custkey % 9 WHEN 0 THEN NULL ELSE CONCAT(' C', CAST(o_custkey % 20 AS STRING), '@N', CAST(o_custkey % 6 AS STRING), '.example') END AS mail_from, CASE WHEN o_orderkey % 3 = 0 THEN CONCAT('AB', CAST(o_custkey % 11 AS STRING)) ELSE NULL END AS file_hash, CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('http://n', CAST(o_custkey % 8 AS STRING), '.example/x#y') ELSE NULL END AS link, CASE o_orderkey % 5 WHEN 0 THEN 'odd' WHEN 1 THEN 'nlp_phishing' WHEN 2 THEN 'NLP_BEC' WHEN 3 THEN 'mass_mailing' ELSE 'dlp_x' END AS category FROM orders"),
     "fx_known": (("supplier",), "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'ip' WHEN 1 THEN 'email' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'url' END AS ioc_type, CASE s_suppkey % 5 WHEN 0 THEN CONCAT('8.8.', CAST(s_suppkey % 7 AS STRING), '.9') WHEN 1 THEN CONCAT('c', CAST(s_suppkey % 20 AS STRING), '@n', CAST(s_suppkey % 6 AS STRING), '.example') WHEN 2 THEN CONCAT('n', CAST(s_nationkey % 6 AS STRING), '.example') WHEN 3 THEN CONCAT('ab', CAST(s_suppkey % 11 AS STRING)) ELSE CONCAT('http://n', CAST(s_suppkey % 8 AS STRING), '.example/x') END AS indicator, CASE WHEN s_acctbal < 0 THEN 'malicious' WHEN s_acctbal < 6000 THEN 'suspicious' ELSE 'clean' END AS verdict, CAST(s_suppkey % 10 AS DOUBLE) / 10.0 AS confidence FROM supplier"),
     "fx_prose": (("documents",), "SELECT doc_id, CONCAT(CASE doc_id % 6 WHEN 0 THEN 'I hope this email finds you well. I am writing to inform you. ' WHEN 1 THEN 'Furthermore, moreover. Additionally! ' WHEN 2 THEN '此外，因此，鉴于此。 ' WHEN 3 THEN 'do not do not cannot we are. ' WHEN 4 THEN 'As previously mentioned, furthermore, moreover, consequently we are, you are, I am, do not go. 此外然而因此 ' ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '' ELSE COALESCE(text, '') END) AS text FROM documents"),

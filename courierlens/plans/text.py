@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from courierlens.functions.arrays import round6
 from courierlens.operators import dlp
 from courierlens.operators import text as op
+from courierlens.operators import urls
 from courierlens.plans.registry import query
 
 LUHN_SQL = "list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN (length(c) - i) % 2 = 1 THEN CASE WHEN CAST(c[i] AS INT) > 4 THEN 2 * CAST(c[i] AS INT) - 9 ELSE 2 * CAST(c[i] AS INT) END ELSE CAST(c[i] AS INT) END)) % 10 = 0"
@@ -214,3 +215,43 @@ def lookalikes_sql(protected) -> str:
 @query("domain_lookalikes", "pages", sql=lookalikes_sql(PROTECTED))
 def _lookalikes(p):
     return op.lookalikes(p.select(op.host_of(F.col("url")).alias("domain")), p.sparkSession.createDataFrame([(x,) for x in PROTECTED], "domain string"))
+
+
+LISTS = urls.Lists(tlds=("top", "xyz"), hosters=("pages.example",), readable=("thonth",), numeric=("163.com",), trusted=("google.com",), paths=("login", "verify", "account"), params=("token", "redirect"))
+#: The checks written out for DuckDB: one row for each link of a page, host and URL findings side by side.
+FOUND_URLS_SQL = """u AS (SELECT DISTINCT url, lower(replace(url, '&amp;', '&')) AS l, lower(regexp_extract(url, '://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM fx_urls),
+  a AS (SELECT *, string_split(host, '.') AS labels, split_part(host, '.', 1) AS one, regexp_extract(host, '([^.]+)[.](?:co[.]uk|[^.]+)$', 1) AS main, split_part(split_part(regexp_replace(l, '^https?://', ''), '#', 1), '?', 1) AS hp, regexp_extract(l, '[?]([^#]*)', 1) AS q, regexp_extract(l, '#(.*)$', 1) AS frag FROM u),
+  b AS (SELECT *, CASE WHEN contains(hp, '/') THEN substr(hp, strpos(hp, '/')) ELSE '/' END AS path FROM a),
+  c AS (SELECT *, CAST(contains(path || ' ' || frag, 'login') AS INT) + CAST(contains(path || ' ' || frag, 'verify') AS INT) + CAST(contains(path || ' ' || frag, 'account') AS INT) AS words,
+    CAST(regexp_matches(q, '(^|&)token(=|&|$)') AS INT) + CAST(regexp_matches(q, '(^|&)redirect(=|&|$)') AS INT) AS names, regexp_matches(host, '(^|[.])google[.]com$') AS trusted FROM b),
+  f AS (SELECT url, host, unnest(list_filter([
+    CASE WHEN labels[-1] IN ('top', 'xyz') THEN {'f': 'domain', 'c': 'suspicious_tld', 's': 0.15} END, CASE WHEN one LIKE 'www_%' AND NOT regexp_full_match(one, 'www-*[0-9]+-*') THEN {'f': 'domain', 'c': 'www_impersonation', 's': 0.25} END,
+    CASE WHEN ends_with(host, 'pages.example') THEN {'f': 'domain', 'c': 'free_hosting', 's': 0.20} END, CASE WHEN length(host) > 40 THEN {'f': 'domain', 'c': 'long_domain', 's': 0.15} END, CASE WHEN len(labels) >= 5 THEN {'f': 'domain', 'c': 'deep_subdomain', 's': 0.15} END,
+    CASE WHEN main <> 'thonth' AND (length(main) >= 6 AND regexp_matches(main, '[b-df-hj-np-tv-z]{4}') OR length(main) >= 5 AND length(regexp_replace(main, '[^b-df-hj-np-tv-z]', '', 'g')) / length(main) >= 0.7) THEN {'f': 'domain', 'c': 'random_domain', 's': 0.20} END,
+    CASE WHEN regexp_full_match(main, '[0-9]{4,}') THEN {'f': 'domain', 'c': 'numeric_domain', 's': 0.15} END, CASE WHEN regexp_full_match(one, '([0-9]{1,3}-){3}[0-9]{1,3}') AND list_max(list_transform(string_split(one, '-'), lambda o: CAST(o AS INT))) <= 255 THEN {'f': 'domain', 'c': 'embedded_ip', 's': 0.20} END,
+    CASE WHEN NOT trusted AND words > 0 THEN {'f': 'content', 'c': 'suspicious_path', 's': CASE WHEN words >= 3 THEN 0.30 ELSE words / 10 END} END, CASE WHEN NOT trusted AND names > 0 THEN {'f': 'content', 'c': 'suspicious_params', 's': names * 0.08} END,
+    CASE WHEN NOT trusted AND length(l) > 400 THEN {'f': 'content', 'c': 'long_url', 's': 0.10} END, CASE WHEN NOT trusted AND contains(path, '%25') THEN {'f': 'content', 'c': 'double_encoding', 's': 0.25} END,
+    CASE WHEN NOT trusted AND regexp_matches(path, '%2f|%5c') THEN {'f': 'content', 'c': 'encoded_separator', 's': 0.15} END, CASE WHEN NOT trusted AND regexp_matches(l, '^https?://[^/?#]*@') THEN {'f': 'content', 'c': 'at_sign_obfuscation', 's': 0.35} END], lambda x: x IS NOT NULL)) AS x FROM c)"""
+
+
+@query("url_findings", "fx_urls", sql=f"WITH {FOUND_URLS_SQL} SELECT url, host, x.f AS family, x.c AS category, R6(CAST(x.s AS DOUBLE), 6) AS score FROM f")
+def _url_findings(u):
+    return urls.findings(u, LISTS).withColumn("score", round6("score"))
+
+
+@query(
+    "url_message_scores", "fx_urls",
+    sql=f"""WITH {FOUND_URLS_SQL}, s AS (SELECT url, least(1.0, SUM(CASE WHEN x.f = 'domain' THEN CAST(x.s AS DOUBLE) ELSE 0 END)) AS d, least(1.0, SUM(CASE WHEN x.f = 'content' THEN CAST(x.s AS DOUBLE) ELSE 0 END)) AS c FROM f GROUP BY 1)
+      SELECT page_id, COUNT(*) AS n_links, R6(COALESCE(MAX(d), 0), 6) AS domain_score, R6(COALESCE(MAX(c), 0), 6) AS content_score FROM (SELECT DISTINCT page_id, url FROM fx_urls) p LEFT JOIN s ON s.url = p.url GROUP BY 1""",
+)
+def _url_scores(u):
+    return urls.message_scores(u, urls.findings(u, LISTS), "page_id").withColumns({c: round6(c) for c in ("domain_score", "content_score")})
+
+
+@query(
+    "url_domain_scores", "fx_urls",
+    sql=f"""WITH {FOUND_URLS_SQL}, s AS (SELECT url, least(1.0, SUM(CAST(x.s AS DOUBLE))) AS score FROM f GROUP BY 1), d AS (SELECT p.page_id, p.url, regexp_extract(lower(regexp_extract(p.url, '://(?:[^/@]*@)?([^/:?#]+)', 1)), '([^.]+[.](?:co[.]uk|[^.]+))$', 1) AS domain, score FROM fx_urls p LEFT JOIN s ON s.url = p.url)
+      SELECT domain, COUNT(DISTINCT page_id) AS n_messages, COUNT(DISTINCT url) AS n_urls, R6(MAX(score), 6) AS score FROM d GROUP BY 1 HAVING MAX(score) IS NOT NULL""",
+)
+def _url_domains(u):
+    return urls.domain_scores(u, urls.findings(u, LISTS), "page_id").withColumn("score", round6("score"))
