@@ -60,6 +60,18 @@ def first_contacts(sessions: DataFrame, internal: Sequence[str] = (), public: Se
     return per.filter(F.col("senders") < max_senders).select("sender_domain", F.col("f.session_id").alias("session_id"), F.col("f.started_at").alias("started_at"), "senders")
 
 
+def message_key(message_id: Column) -> Column:
+    """A Message-ID as it is compared: trimmed, without brackets, in lower case; null if nothing is left."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(F.trim(message_id), "^<|>$", ""))), F.lit(""))
+
+
+def first_of_message(rows: DataFrame, message_id: str, *order: str) -> DataFrame:
+    """The first row of each Message-ID in an order; rows without one all stay."""
+    key = message_key(F.col(message_id))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_first", F.when(key.isNull(), True).otherwise(first == 1)).filter("_first").drop("_first")
+
+
 def related(rows: DataFrame, key: str, id_: str) -> DataFrame:
     """Pairs of different rows under one key; meant for keys of few rows each, such as the hops of one message."""
     a, b = rows.select(key, F.col(id_).alias("id")), rows.select(key, F.col(id_).alias("other_id"))

@@ -35,11 +35,11 @@ def _import(i):
 
 @query(
     "export_iocs_csv", "fx_iocs",
-    sql="SELECT seq, '\"' || indicator || '\",\"' || verdict || '\",\"' || source || '\"' AS line FROM fx_iocs WHERE verdict IN ('malicious', 'suspicious')",
+    sql="""SELECT seq, '"' || indicator || '","' || ioc_type || '","' || replace(CASE WHEN seq % 3 = 0 THEN 'a "b", c' ELSE source END, '"', '""') || '","' || verdict || '","' || seq || '"' AS line FROM fx_iocs WHERE verdict IN ('malicious', 'suspicious')""",
 )
 def _export(i):
-    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("indicator", "verdict", "source")]
-    return i.filter(F.col("verdict").isin("malicious", "suspicious")).select("seq", F.concat_ws(",", *quoted).alias("line"))
+    rows = i.select("indicator", "ioc_type", F.when(F.col("seq") % 3 == 0, 'a "b", c').otherwise(F.col("source")).alias("source"), "verdict", "seq")
+    return indicators.exported(rows, ("malicious", "suspicious")).select("seq", "line")
 
 
 def _relays(e):

@@ -207,11 +207,13 @@ def _false_positives(s, labels):
 
 @query(
     "message_dedup", "conversations",
-    sql="SELECT role, COUNT(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY conv_id, turn) AS k FROM conversations) WHERE k = 1 GROUP BY 1",
+    sql="""WITH m AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN ' <' || text || '>' WHEN 1 THEN upper(text) WHEN 2 THEN NULL ELSE text || '> ' END AS id FROM conversations), k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(trim(id), '^<', ''), '>$', ''))) AS key FROM m)
+      SELECT role, COUNT(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id, turn) AS n FROM k) WHERE n = 1 OR key IS NULL OR key = '' GROUP BY 1""",
 )
 def _message_dedup(c):
-    first = Window.partitionBy(F.lower(F.trim("text"))).orderBy("conv_id", "turn")
-    return c.withColumn("k", F.row_number().over(first)).filter("k = 1").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.col("turn") % 4
+    ids = F.when(turn == 0, F.concat(F.lit(" <"), "text", F.lit(">"))).when(turn == 1, F.upper("text")).when(turn == 3, F.concat("text", F.lit("> ")))
+    return op.first_of_message(c.withColumn("message_id", ids), "message_id", "conv_id", "turn").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
 IOC_ROWS = "SELECT indicator, CASE WHEN seq % 3 = 0 THEN 'url' ELSE ioc_type END AS ioc_type, CASE WHEN seq % 7 = 0 THEN 'admin_clean' ELSE source END AS source, verdict, confidence, CASE WHEN seq % 4 = 0 THEN '' ELSE 'a' || seq % 5 END AS attack_type, seq FROM fx_iocs"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from courierlens.operators import campaigns
 from courierlens.plans.registry import query
 from courierlens.plans.relational import LEVEL_SQL
 from courierlens.schemas import threat_level
@@ -110,10 +111,7 @@ def _module_metrics(m):
 )
 def _bulk(s, r):
     since = s.agg((F.max("started_at") - F.expr("INTERVAL 90 DAYS")).alias("t")).scalar()
-    rows = s.filter(F.col("started_at") >= since).join(r, "session_id")
-    severity = F.when(F.col("mails") >= 50, "critical").when(F.col("mails") >= 20, "high").when(F.col("mails") >= 10, "medium").otherwise("low")
-    agg = rows.groupBy("sender_domain").agg(F.count_distinct("session_id").alias("mails"), F.count_distinct("recipient").alias("recipients"), F.count_distinct("started_at").alias("distinct_starts"), F.slice(F.array_sort(F.collect_set("subject")), 1, 3).alias("subjects"))
-    return agg.filter("mails >= 5 AND recipients >= 3").withColumn("severity", severity)
+    return campaigns.bulk_mailing(s.filter(F.col("started_at") >= since), r)
 
 
 @query(
@@ -122,19 +120,16 @@ def _bulk(s, r):
       FROM fx_sessions s JOIN fx_recipients r ON s.session_id = r.session_id WHERE s.status = 'Timeout' OR s.subject LIKE '5%' GROUP BY 1 HAVING COUNT(DISTINCT s.session_id) >= 10 AND COUNT(DISTINCT r.recipient) >= 3""",
 )
 def _bounce(s, r):
-    bounced = s.filter((F.col("status") == "Timeout") | F.col("subject").startswith("5")).select("session_id")
-    agg = r.join(bounced, "session_id").groupBy("rcpt_domain").agg(F.count_distinct("session_id").alias("bounces"), F.count_distinct("recipient").alias("targets"), F.slice(F.array_sort(F.collect_set("recipient")), 1, 10).alias("samples"))
-    return agg.filter("bounces >= 10 AND targets >= 3")
+    return campaigns.bounce_harvest(s.filter((F.col("status") == "Timeout") | F.col("subject").startswith("5")), r)
 
 
 @query(
     "external_sender_stats", "fx_sessions", "fx_recipients",
-    sql="""SELECT s.sender_domain, COUNT(DISTINCT s.session_id) AS mails, COUNT(DISTINCT r.recipient) AS recipients, MIN(s.started_at) AS first_seen, MAX(s.started_at) AS last_seen, list_slice(list_sort(list(DISTINCT s.subject)), 1, 5) AS subjects
+    sql="""SELECT s.sender_domain, COUNT(DISTINCT s.session_id) AS mails, COUNT(DISTINCT r.recipient) AS recipients, MIN(s.started_at) AS first_seen, MAX(s.started_at) AS last_seen, list_slice(list_sort(list(DISTINCT s.subject)), 1, 5) AS subjects, list_slice(list_sort(list(DISTINCT r.recipient)), 1, 5) AS recipient_samples
       FROM fx_sessions s LEFT JOIN fx_recipients r ON s.session_id = r.session_id WHERE s.sender_domain <> 'building3.example' GROUP BY 1 HAVING COUNT(DISTINCT s.session_id) >= 3""",
 )
 def _external(s, r):
-    rows = s.filter("sender_domain <> 'building3.example'").join(r, "session_id", "left")
-    return rows.groupBy("sender_domain").agg(F.count_distinct("session_id").alias("mails"), F.count_distinct("recipient").alias("recipients"), F.min("started_at").alias("first_seen"), F.max("started_at").alias("last_seen"), F.slice(F.array_sort(F.collect_set("subject")), 1, 5).alias("subjects")).filter("mails >= 3")
+    return campaigns.external_senders(s, r, s.sparkSession.createDataFrame([("building3.example",)], "domain string"))
 
 
 WORST_SQL = "CASE verdict WHEN 'malicious' THEN 2 WHEN 'suspicious' THEN 1 ELSE 0 END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("ip", "domain", "url", "email", "hash", "subject")
@@ -32,9 +32,20 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return validated(spark.read.csv(path, schema=SCHEMA, header=True))
 
 
+def csv_line(*columns: str) -> Column:
+    """A line of CSV: every field quoted, quotes in it doubled, nulls empty."""
+    quoted = (F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns)
+    return F.concat_ws(",", *quoted)
+
+
+def exported(iocs: DataFrame, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
+    """The indicators of some verdicts, with ``line``, their line of CSV over all columns."""
+    return iocs.filter(F.col("verdict").isin(*verdicts)).withColumn("line", csv_line(*iocs.columns))
+
+
 def write_csv(iocs: DataFrame, path: str, verdicts: Sequence[str] = VERDICTS) -> None:
     """Write the indicators of some verdicts; every field is quoted."""
-    iocs.filter(F.col("verdict").isin(*verdicts)).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    exported(iocs, verdicts).drop("line").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
 def upserted(old: DataFrame, new: DataFrame, owners: Sequence[str] = ("admin_clean", "system")) -> DataFrame:

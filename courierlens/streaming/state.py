@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from courierlens.operators.relational import message_key
+
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
     """The first row of each key; state is dropped once the watermark has passed the window."""
@@ -17,8 +19,8 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, within: str) -> Data
 
 def message_dedup(stream: DataFrame, at: str = "started_at", within: str = "1 hour") -> DataFrame:
     """One session for each Message-ID, trimmed, without brackets, in lower case; those without one pass."""
-    key = F.lower(F.regexp_replace(F.trim("message_id"), "^<|>$", ""))
-    return first_seen(stream.withColumn("_key", F.coalesce(F.nullif(key, F.lit("")), F.col("id"))), ["_key"], at, within).drop("_key")
+    key = F.coalesce(F.concat(F.lit("m:"), message_key(F.col("message_id"))), F.concat(F.lit("i:"), F.col("id").cast("string")))
+    return first_seen(stream.withColumn("_key", key), ["_key"], at, within).drop("_key")
 
 
 def incident_counts(stream: DataFrame, at: str = "ts", key: str = "user_id", window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -130,6 +130,27 @@ def test_indicator_csv(spark, tmp_path):
     assert indicators.read_csv(spark, str(tmp_path / "out"))[0].count() == 1
 
 
+def test_exported_lines_are_what_the_file_holds(spark, tmp_path):
+    rows = spark.createDataFrame([("a.example", "domain", 'x "y", z', "malicious", 0.5), ("b.example", "domain", None, "suspicious", 1.0), ("c.example", "domain", "s", "clean", 0.1)], "indicator string, ioc_type string, source string, verdict string, confidence double")
+    indicators.write_csv(rows.coalesce(1), str(tmp_path / "out"), ("malicious", "suspicious"))
+    lines = [x for f in (tmp_path / "out").glob("part-*.csv") for x in f.read_text().splitlines()]
+    assert lines[0] == '"indicator","ioc_type","source","verdict","confidence"'
+    assert sorted(lines[1:]) == sorted(r.line for r in indicators.exported(rows, ("malicious", "suspicious")).collect()) and len(lines) == 3
+    assert lines[1] == '"a.example","domain","x ""y"", z","malicious","0.5"'
+
+
+def test_message_ids(spark):
+    rows = spark.createDataFrame([(1, " <M@x> "), (2, "m@X"), (3, None), (4, ""), (5, "<>"), (6, "< m@x >"), (7, "n")], "i long, message_id string")
+    assert sorted(r.i for r in relational.first_of_message(rows, "message_id", "i").collect()) == [1, 3, 4, 5, 7]
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.createDataFrame([("a", str(i % 7)) for i in range(50)] + [("b", None)], "k string, v string")
+    from courierlens.operators.campaigns import sampled
+
+    assert [tuple(r) for r in sampled(rows, "k", "v", 3, "n", "s").collect()] == [("a", 7, ["0", "1", "2"])]
+
+
 def test_sessions_from_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "mail_from": "A@X.org", "content": {"headers": [{"name": "Message-ID", "value": "<m>"}]}}\nnot json\n{"subject": "no id"}\n')
     good, dead = sessions.decoded(sessions.lines(spark, str(tmp_path)))
