@@ -9,7 +9,8 @@ its coverage.
 Coverage alone does not tell one license from its neighbours, which differ in a
 word: a template therefore has marks (its name, variant and version), and each
 must be aligned; and a range that holds another variant's qualifier, such as
-"Affero" or "NonCommercial", is not this license.
+"Affero" or "NonCommercial", is not this license, nor is a short notice with a
+foreign word in it, such as "Modified".
 
 A text is aligned in ranges around the places where a key of the template
 stands; a key is a mark, or one of the template's longest words, of which so
@@ -39,10 +40,18 @@ from pyspark.sql import functions as F
 from courierlens.llm.tables import table
 
 COVERAGE = 0.8
+#: Notices of fewer words stand for a license only if no foreign word is among them.
+SHORT = 10
 
 #: Notices of public licenses, as their authors publish them, and the marks that tell each from the others.
 TEMPLATES: dict[str, tuple[str, str]] = {
     "apache-2.0-line": ("Licensed under the Apache License, Version 2.0.", "apache 2.0"),
+    "apache-2.0-name": ("Licensed under Apache License 2.0.", "apache license 2.0"),
+    "mit-title": ("The MIT License (MIT)", "the mit license"),
+    "gpl-2.0-title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "general public license 2 1991"),
+    "gpl-3.0-title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "general public license 3 29 2007"),
+    "lgpl-3.0-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lesser general public license 3 29 2007"),
+    "agpl-3.0-title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "affero general public license 3 19 2007"),
     "mit-line": ("Released under the MIT License.", "mit license"),
     "bsd-line": ("Released under the BSD License.", "bsd license"),
     "gpl-2.0-line": ("This work is licensed under the GNU General Public License, version 2.", "general public license 2"),
@@ -174,6 +183,8 @@ class Template:
         """Whether the aligned words hold every mark, and what is between them no other variant's qualifier."""
         if not self.marks <= {self.words[i] for i, _ in pairs}:
             return False
+        if len(self.words) < SHORT and pairs[-1][1] - pairs[0][1] > pairs[-1][0] - pairs[0][0]:
+            return False  # a foreign word makes another license of a short notice
         return self.others.isdisjoint(words[pairs[0][1] : pairs[-1][1] + 1])
 
 
