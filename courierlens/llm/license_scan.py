@@ -81,7 +81,7 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "lgpl-3.0-notice": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "lesser general public 3"),
     "agpl-3.0-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "affero general public 3"),
     "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unencumbered"),
-    **{f"spdx-{i.lower()}": (f"SPDX-License-Identifier: {i}", f"spdx-license-identifier {i.lower()}") for i in "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-or-later AGPL-3.0-or-later EPL-2.0 CC0-1.0 Unlicense".split()},
+    **{f"spdx-{i.lower()}": (f"SPDX-License-Identifier: {i}", f"spdx-license-identifier {i.lower()}") for i in "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 GPL-2.0 GPL-3.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-or-later AGPL-3.0-or-later EPL-2.0 CC0-1.0 Unlicense".split()},
 }
 #: Words that make another license of one that does not have them.
 QUALIFIERS = frozenset("affero lesser library noncommercial nc sharealike sa noderivatives noderivs nd".split())

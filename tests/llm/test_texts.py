@@ -491,3 +491,14 @@ def test_preference_pairs_equal_the_sql(spark, tmp_path):
     found = c.sql(chat_format.OP6_SQL)
     got = chat_format.op6_preference_format(spark, str(tmp_path)).select(*found.columns).collect()
     assert sorted(map(tuple, got)) == sorted(found.fetchall()) and len(got) > 2
+
+
+def test_short_notices_and_titles():
+    known = [license_scan.Template(k, *v, license_scan.COVERAGE) for k, v in license_scan.TEMPLATES.items()]
+    cases = {
+        "Released under the Modified MIT License.": [], "Released under the MIT License.": ["mit-line"], "The MIT License (MIT)": ["mit-title"], "Licensed under Apache License 2.0": ["apache-2.0-name"],
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["gpl-3.0-title"], "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": ["gpl-2.0-title"], "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": ["lgpl-3.0-title"],
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": ["agpl-3.0-title"], "SPDX-License-Identifier: GPL-2.0": ["spdx-gpl-2.0"], "SPDX-License-Identifier: GPL-2.0+": ["spdx-gpl-2.0"], "SPDX-License-Identifier: GPL-2.0-only": ["spdx-gpl-2.0-only"],
+    }
+    for text, want in cases.items():
+        assert [name for name, *_ in license_scan.scan(f"some words {text} and others", known, license_scan.COVERAGE)] == want, text
