@@ -46,6 +46,9 @@ LIST_WORDS = 20_000
 COUNTED = 300_000
 #: Searching words that one scan works on.
 SEARCHING = 4096
+#: Words of a row up to which they are taken one by one.
+FEW = 24
+#: A distance that is out of reach.
 FAR = 2
 
 
@@ -104,11 +107,12 @@ def scan(listed: list[str], searching: list[str], begin: int) -> Iterator[tuple[
     searching one.
     """
     codes, lengths = _codes(searching), np.array(list(map(len, searching)))
-    codes = np.pad(codes, ((0, 0), (1, 2 + max(0, max(map(len, listed)) - codes.shape[1]))))  # column j + 1 is character j
-    all_ = np.arange(len(searching))
+    longest = max(map(len, listed))
+    codes = np.pad(codes, ((0, 0), (1, 2 + max(0, longest - codes.shape[1]))))  # column j + 1 is character j
+    spelt = [f"\0{w}".ljust(longest + 3, "\0") for w in searching]
     full = np.full(len(searching), FAR, np.int8)
     # row d: the words still in reach, and their distances to the prefix of d characters at d - 1, d and d + 1 of their own
-    rows = {begin: (all_, full - 1, full - 2, full - 1)}
+    rows = {begin: _few(np.arange(len(searching)), full - 1, full - 2, full - 1)}
     dead, before = None, ""
     for place, word in enumerate(listed):
         shared = begin
@@ -121,22 +125,48 @@ def scan(listed: list[str], searching: list[str], begin: int) -> Iterator[tuple[
                 continue
             dead = None
         for d in range(shared, len(word)):
-            who, left, mid, right = rows[d]
-            c = ord(word[d])
-            new_left = np.minimum(mid + 1, left + (codes[who, d] != c))
-            new_mid = np.minimum(np.minimum(right + 1, new_left + 1), mid + (codes[who, d + 1] != c))
-            new_right = np.minimum(new_mid + 1, right + (codes[who, d + 2] != c))
-            near = np.minimum(np.minimum(new_left, new_mid), new_right) < FAR
-            if not near.any():
+            row = rows[d]
+            row = _step_few(row, spelt, word[d], d) if isinstance(row, list) else _step(*row, codes, word[d], d)
+            if not len(row):
                 dead = d + 1
                 break
-            rows[d + 1] = (who, new_left, new_mid, new_right) if near.all() else (who[near], new_left[near], new_mid[near], new_right[near])
+            rows[d + 1] = row
         else:
-            who, left, mid, right = rows[len(word)]
-            gap = lengths[who] - len(word)
-            distance = np.where(gap == 0, mid, np.where(gap < 0, left, right))
-            for i in who[distance == 1].tolist():
-                yield i, place
+            row = rows[len(word)]
+            for i, *distances in row if isinstance(row, list) else zip(*(x.tolist() for x in row), strict=True):
+                if distances[1 + int(lengths[i]) - len(word)] == 1:
+                    yield i, place
+
+
+def _few(who: np.ndarray, left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple | list:
+    """A row as arrays, or as a list of its words where they are so few that arrays cost more."""
+    return list(zip(who.tolist(), left.tolist(), mid.tolist(), right.tolist(), strict=True)) if len(who) <= FEW else (who, left, mid, right)
+
+
+def _step(who: np.ndarray, left: np.ndarray, mid: np.ndarray, right: np.ndarray, codes: np.ndarray, letter: str, d: int) -> tuple | list:
+    """The row below a row, for many words at once; those out of reach are left out."""
+    c = ord(letter)
+    new_left = np.minimum(mid + 1, left + (codes[who, d] != c))
+    new_mid = np.minimum(np.minimum(right + 1, new_left + 1), mid + (codes[who, d + 1] != c))
+    new_right = np.minimum(new_mid + 1, right + (codes[who, d + 2] != c))
+    near = np.minimum(np.minimum(new_left, new_mid), new_right) < FAR
+    return _few(who[near], new_left[near], new_mid[near], new_right[near])
+
+
+def _step_few(row: list, spelt: list[str], letter: str, d: int) -> list:
+    """The same for a few words, one after the other."""
+    out = []
+    for i, left, mid, right in row:
+        word = spelt[i]
+        a, b = mid + 1, left + (word[d] != letter)
+        left = a if a < b else b
+        a, b = (right if right < left else left) + 1, mid + (word[d + 1] != letter)
+        mid = a if a < b else b
+        a, b = mid + 1, right + (word[d + 2] != letter)
+        right = a if a < b else b
+        if left < FAR or mid < FAR or right < FAR:
+            out.append((i, left, mid, right))
+    return out
 
 
 def _lists(words: DataFrame) -> DataFrame:

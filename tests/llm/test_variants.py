@@ -41,7 +41,9 @@ def slipped(r, w):
     return r.choice([w[:k] + w[k + 1 :], w[:k] + c + w[k:], w[:k] + c + w[k + 1 :]])
 
 
-def test_a_scan_finds_every_pair_of_one_edit():
+@pytest.mark.parametrize("few", [0, 3, spelling.FEW])
+def test_a_scan_finds_every_pair_of_one_edit(monkeypatch, few):
+    monkeypatch.setattr(spelling, "FEW", few)
     r = random.Random(3)
     for _ in range(60):
         length, begin = r.randrange(3, 9), r.randrange(0, 3)
@@ -54,6 +56,7 @@ def test_a_scan_finds_every_pair_of_one_edit():
 
 def test_a_scan_skips_what_a_dead_prefix_begins(monkeypatch):
     seen = []
+    monkeypatch.setattr(spelling, "FEW", 0)
     monkeypatch.setattr(spelling, "ord", lambda c: seen.append(c) or builtins.ord(c), raising=False)
     listed = sorted(["zz" + "".join(x) for x in ("abcde", "abcdf", "bbcde", "cbcde")] + ["abcdefg"])
     assert list(spelling.scan(listed, ["abcdefh"], 0)) == [(0, 0)]
