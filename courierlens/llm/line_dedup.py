@@ -148,10 +148,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
     # of a word with two classes nothing is left to compare
     parts = F.ceil(F.col("k") / CROWD).cast("int")
     crowded = written(spread_join(entries, first.filter("k > 2").select("w", "k"), ["w"], "k", "doc_id").withColumn("parts", parts).drop("k"), "crowded")
-    # the later places of a word are dealt into parts, and its earlier ones go to each, so no task has all of a frequent word
-    earlier = side(crowded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "x", "part")
-    left = crowded.join(gone, ["doc_id", "line"], "left_anti").withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"))
-    rest = later(met(earlier.join(side(left, "y", "part"), ["w", "part"])))
+    left = crowded.join(gone, ["doc_id", "line"], "left_anti")
+    pairs = met(side(crowded.filter("parts = 1"), "x").join(side(left.filter("parts = 1"), "y"), "w"))
+    # the later places of a frequent word are dealt into parts, and its earlier ones go to each, so no task has all of them
+    earlier = crowded.filter("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = left.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"))
+    rest = later(pairs.unionByName(met(side(earlier, "x", "part").join(side(dealt, "y", "part"), ["w", "part"]))).distinct())
     out = written(gone.unionByName(rest).distinct(), "similar")
     remove(first, crowded, gone, rest)
     return out
