@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.shared import shared_dir
+from courierlens.shared import written  # noqa: F401
 
 #: A key with more than one in HOT_SHARE of all rows is dealt over SALTS tasks; there are fewer than HOT_SHARE such keys.
 HOT_SHARE, SALTS = 1000, 64
@@ -21,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage with files that outlive any executor; remove() deletes
-    them, and what is left goes when the cluster clears its checkpoint folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(*tables: DataFrame) -> None:
     """Delete the files of tables made by written() that are no longer needed."""
     for df in tables:
