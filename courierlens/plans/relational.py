@@ -205,9 +205,13 @@ def _false_positives(s, labels):
     return labels.filter("quality = 1 AND toxic = 0").join(s.select("session_id", "sender_domain"), F.col("doc_id") == F.col("session_id")).groupBy("sender_domain").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A text of which upper() makes the same capitals everywhere, also where one letter has several, as the German sharp s.
+CAPITALS_SQL = reduce(lambda text, c: f"replace({text}, '{c}', '{c.upper()}')", [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1], "text")
+
+
 @query(
     "message_dedup", "conversations",
-    sql="""WITH m AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN ' <' || text || '>' WHEN 1 THEN upper(text) WHEN 2 THEN NULL ELSE text || '> ' END AS id FROM conversations), k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(trim(id), '^<', ''), '>$', ''))) AS key FROM m)
+    sql=f"""WITH m AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN ' <' || text || '>' WHEN 1 THEN upper({CAPITALS_SQL}) WHEN 2 THEN NULL ELSE text || '> ' END AS id FROM conversations), k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(trim(id), '^<', ''), '>$', ''))) AS key FROM m)
       SELECT role, COUNT(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id, turn) AS n FROM k) WHERE n = 1 OR key IS NULL OR key = '' GROUP BY 1""",
 )
 def _message_dedup(c):

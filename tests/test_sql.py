@@ -20,3 +20,9 @@ def test_engines_that_contradict_themselves_discount_nothing(spark, tmp_path):
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_tax double, l_quantity double"
     found, want = both(spark, tmp_path, "correlation_discount", lineitem=(lines, schema))
     assert found == want and [r[:2] for r in found] == [(1, 1), (2, 1), (2, 3)] and found[0][4] == 0.1
+
+
+def test_message_ids_whose_capitals_are_several_letters(spark, tmp_path):
+    rows = [(1, 1, "user", "Straße"), (2, 3, "assistant", "straße"), (3, 3, "system", "STRASSE"), (4, 1, "user", "ﬁn"), (5, 3, "tool", "fin"), (6, 3, "tool", "ﬁn"), (7, 1, "user", "ẞ")]
+    found, want = both(spark, tmp_path, "message_dedup", conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert found == want == [("assistant", 1), ("tool", 1), ("user", 3)]
