@@ -3,6 +3,7 @@
 import pytest
 
 from courierlens.operators import scenarios as sc
+from courierlens.plans.fusion import engine_lists
 
 PATTERNS = {"gateway_banner": ["[spam]"], "notice_banner": ["external mail"], "dsn": ["undeliverable"], "auto_reply": ["automatic reply"]}
 
@@ -66,3 +67,8 @@ def test_every_rule_has_a_place():
     assert ("semantic_scan", "", "social_engineering_intent", "social_other", 0.56) in rules
     assert ("link_reputation", "intel_malicious", "external_reputation_ioc", "malicious_intel", 0.86) in rules
     assert all("{" not in sc.spelled(c) for c, _ in (*sc.FLOORS, *sc.CAPS, *sc.SCALINGS))
+
+
+def test_engines_and_sessions_share_a_shuffle(spark):
+    found = spark.createDataFrame([(1, 1, 1, 1, 0.5, 0.5)], "session_id long, module_n int, part_n long, supp_n long, score double, confidence double")
+    assert engine_lists(found)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
