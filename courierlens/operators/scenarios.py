@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlens.operators.verdicts import CLUSTERS, cluster_verdict, clusters
+from courierlens.shared import written
 
 #: Column of a session row -> the cluster whose score it holds.
 SHORT = dict(zip(("inherited", "delivery", "identity", "link", "payload", "external", "social", "business"), CLUSTERS, strict=True))
@@ -326,6 +327,12 @@ def scaled_clusters(per: DataFrame, flags: DataFrame) -> DataFrame:
     return both.select("session_id", "cluster", score.alias("score"), "confidence")
 
 
+def scaled(sessions: DataFrame, results: DataFrame, patterns: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """The scaled clusters and the flags of sessions; each is made once and kept in the shared folder, since several steps read it."""
+    flags = written(scenario_flags(sessions, results, patterns), "flags")
+    return written(scaled_clusters(written(clusters(signals(results)), "clusters"), flags), "scaled"), flags
+
+
 def floors_and_caps(fused: DataFrame, per: DataFrame, flags: DataFrame) -> DataFrame:
     """(session_id, floor, cap, risk): fused (session_id, risk) after the floors and then the caps of its scenario.
 
@@ -343,8 +350,7 @@ def clustered_verdict(sessions: DataFrame, results: DataFrame, patterns: dict[st
 
     Sessions without evidence, or with too little after scaling, are safe: risk 0, confidence 1.
     """
-    flags = scenario_flags(sessions, results, patterns)
-    per = scaled_clusters(clusters(signals(results)), flags)
+    per, flags = scaled(sessions, results, patterns)
     fused = cluster_verdict(per)
     final = floors_and_caps(fused.select("session_id", "risk"), per, flags).select("session_id", "risk")
     known = results.select("session_id").distinct()
