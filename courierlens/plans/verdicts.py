@@ -79,8 +79,7 @@ def _flags(mail, m):
 
 
 def _scaled(mail, m):
-    flags = sc.scenario_flags(mail, _results(m), PATTERNS)
-    return sc.scaled_clusters(op.clusters(sc.signals(_results(m))), flags), flags
+    return sc.scaled(mail, _results(m), PATTERNS)
 
 
 @query("cluster_context_scaling", "fx_mail", "fx_signals", sql=f"{CLUSTER_SQL}, {FLAGS_SQL}, {SCALED_SQL} SELECT session_id, cluster, R6(score, 6) AS score, R6(confidence, 6) AS confidence FROM sd")
