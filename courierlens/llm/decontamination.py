@@ -57,7 +57,7 @@ UNITS = frozenset("% $ € £ mm cm m km inch inches foot feet yard yards mile m
 _NUMBER = re.compile(r"[+\-]?\$?\d[\d.,:/]*%?$")
 _EDGES = " \t.,;:!?\"'()[]{}<>«»“”‘’…"
 _ASCII_EDGES = "".join(c for c in _EDGES if c.isascii()).encode()
-_ASCII_NUMBERS, _ASCII_UNITS = (frozenset(w.encode() for w in words if w.isascii()) for words in (NUMBER_WORDS, UNITS))
+_ASCII_KINDS = {w.encode(): 1 * (w in NUMBER_WORDS) | 2 * (w in UNITS) for w in NUMBER_WORDS | UNITS if w.isascii()}
 _GLUED = re.compile(r"(?<=\d)(?=[A-Za-z€£$%])|(?<=[$€£])(?=\d)")
 NUM, UNIT, NAME = 1, 2, 3
 _IS_NUM, _IS_UNIT, _CAPITAL, _ENDS = (np.uint64(1 << i) for i in range(4))
@@ -73,13 +73,13 @@ class TypedWords(WordHashes):
         core = word.strip(_ASCII_EDGES)
         if core.isalpha():  # letters of ASCII between marks of ASCII: most words, read without decoding them
             low = core.lower()
-            flags = 1 * (low in _ASCII_NUMBERS) | 2 * (low in _ASCII_UNITS) | 4 * (core[0] < 97) | 8 * (word[-1] in _ASCII_EDGES)
+            flags = _ASCII_KINDS.get(low, 0) | (4 if core[0] < 97 else 0) | (8 if word[-1] in _ASCII_EDGES else 0)
             self[word] = value = xxhash.xxh3_64_intdigest(low) & ~15 | flags
             return value
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGES) or text
         low = core.casefold()
-        number = bool(_NUMBER.match(core)) or low in NUMBER_WORDS
+        number = (core[0] in "+-$" or core[0].isdecimal()) and bool(_NUMBER.match(core)) or low in NUMBER_WORDS
         flags = 1 * number | 2 * (low in UNITS) | 4 * core[:1].isupper() | 8 * (text[-1:] in _EDGES)
         self[word] = value = xxhash.xxh3_64_intdigest(low) & ~15 | flags
         return value
@@ -102,7 +102,7 @@ class Canonical:
         first[1:] = (slot[1:] != NAME) | (slot[:-1] != NAME) | ((packed[:-1] & _ENDS) > 0)
         self.start = np.flatnonzero(first)  # the word that each token begins with
         self.slot = slot[self.start]
-        self.tokens = np.where(self.slot > 0, self.slot.astype(np.uint64), self.plain[self.start])
+        self.tokens = np.where(self.slot > 0, _SLOT_HASHES[self.slot], self.plain[self.start])
 
     def value(self, token: int) -> str:
         """What stands in a slot."""
@@ -110,13 +110,35 @@ class Canonical:
         return b" ".join(self.words[self.start[token] : end]).decode("utf-8", "replace").strip(_EDGES).casefold()
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number, of 64 bits."""
+    with np.errstate(over="ignore"):
+        return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64), dtype=np.uint64)))
+
+
+#: An odd number, and its inverse by 2^64.
+_BASE = int(multiplier(0))
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words that one run of powers covers; longer texts are hashed in pieces.
+_PIECE = 1 << 14
+_UP, _DOWN = _powers(_BASE, 2 * _PIECE), _powers(_INVERSE, _PIECE)
+#: What stands for a placeholder, or a word, in a window: placeholders are small numbers, words have hashes already.
+_SLOT_HASHES = np.concatenate(([np.uint64(0)], mix(np.arange(NUM, NAME + 1, dtype=np.uint64))))
+
+
 def _window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    n = len(h) - size + 1
+    """The hashes of all runs of so many words: differences of running sums of h[i] * base^i, moved back to one place."""
+    n, out = len(h) - size + 1, []
+    step = _PIECE if size <= _PIECE else n
+    up, down = (_UP, _DOWN) if size <= _PIECE else (_powers(_BASE, len(h)), _powers(_INVERSE, n))
     with np.errstate(over="ignore"):
-        mixed, out = mix(h), np.zeros(n, np.uint64)
-        for i in range(size):
-            out += mixed[i : i + n] * multiplier(i)
-        return mix(out + np.uint64(size))
+        for at in range(0, n, step):
+            part = h[at : min(at + step, n) + size - 1]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            k = len(part) - size + 1
+            out.append((sums[size:] - sums[:k]) * down[:k] + np.uint64(size))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def windows_of(c: Canonical, size: int, tokens: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +160,28 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _rows(i: int, c: Canonical, sizes: Iterable[tuple[bool, int]], wanted: np.ndarray | None) -> Iterator[tuple]:
+class Wanted:
+    """A sorted array of hashes, with a table of their first bits that most others fail."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(64 - max(10, (16 * len(hashes)).bit_length()))
+        self.table = np.zeros(1 << int(64 - self.shift), bool)
+        self.table[hashes >> self.shift] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where in h the wanted hashes are."""
+        at = np.flatnonzero(self.table[h >> self.shift])
+        return at[member(h[at], self.hashes)]
+
+
+def _rows(i: int, c: Canonical, sizes: Iterable[tuple[bool, int]], wanted: Wanted | None) -> Iterator[tuple]:
     """(id, hash, place, whether of tokens, values, places and kinds of the slots, windows of the text, words of the window) of the wanted windows."""
     for tokens, size in sizes:
         keys, at = windows_of(c, size, tokens)
         total = len(keys)
         if wanted is not None:
-            hit = member(keys, wanted)
+            hit = wanted.places(keys)
             keys, at = keys[hit], at[hit]
         for key, p in zip(keys.view(np.int64).tolist(), at.tolist(), strict=True):
             spots = (p + np.flatnonzero(c.slot[p : p + size])).tolist() if tokens else []
@@ -161,13 +198,13 @@ def _windows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, want
     held = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        typed, rows = TypedWords(), []
+        typed, rows, seen = TypedWords(), [], Wanted(held.value) if held else None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     c = Canonical(text, typed)
-                    rows += _rows(i, c, item_sizes(c, window) if sizes is None else sizes, held.value if held else None)
+                    rows += _rows(i, c, item_sizes(c, window) if sizes is None else sizes, seen)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_SCHEMA)], schema=_SCHEMA)
                     rows = []

@@ -502,3 +502,18 @@ def test_short_notices_and_titles():
     }
     for text, want in cases.items():
         assert [name for name, *_ in license_scan.scan(f"some words {text} and others", known, license_scan.COVERAGE)] == want, text
+
+
+def test_window_hashes_tell_windows_apart():
+    """Equal windows have equal hashes wherever they stand, also beyond a piece of powers, and windows that differ have others."""
+    rng = random.Random(11)
+    for size in (1, 3, 8):
+        h = np.array([rng.choice((3, 5, 1 << 62, (1 << 63) + 16)) for _ in range(40_000)], np.uint64)
+        got = decontamination._window_hashes(h, size)
+        told = {}
+        for i in range(len(h) - size + 1):
+            assert told.setdefault(tuple(h[i : i + size].tolist()), int(got[i])) == got[i]
+        assert len(set(told.values())) == len(told)
+    wanted = decontamination.Wanted(np.unique(got[:50]))
+    assert wanted.places(got).tolist() == np.flatnonzero(np.isin(got, got[:50])).tolist()
+    assert len(decontamination.Wanted(np.array([], np.uint64)).places(got)) == 0
