@@ -86,7 +86,8 @@ def rarity(docs: DataFrame) -> Callable[[Column], Column]:
     whole = counts.select("bucket", tier.alias("tier")).unionByName(none).groupBy("bucket").agg(F.max("tier").alias("tier"))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "tier"))), lambda x: x["tier"].cast("string"))
     held = F.split(F.lit(whole.agg(F.array_join(in_order, ",").alias("tiers")).first()["tiers"]), ",").cast("array<long>")  # BUCKETS numbers, folded into one constant array
-    return lambda w: F.shiftleft(F.get(held, bucket_of(w)), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+    none_left = F.lit(0).cast("long")  # never needed, but arrays of keys that cannot be null are sorted much faster
+    return lambda w: F.shiftleft(F.coalesce(F.get(held, bucket_of(w)), none_left), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
 
 def _similar(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -105,8 +106,12 @@ def classes_of(docs: DataFrame, num: int, den: int) -> DataFrame:
     prefix = F.floor(n * (den - num) / F.lit(den)).cast("int") + 1
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     keyed = lines_of(docs).select("doc_id", "line", F.sort_array(distinct_keys(F.col("content"), key)).alias("keys"))
-    told = keyed.select(F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), F.struct("doc_id", "line", n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix")).alias("first"))
-    return told.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("first.*")
+    # a place is one number, since the least of structures could only be found by sorting all lines
+    lines = F.lit(1 << 31).cast("decimal(10,0)")
+    place = F.col("doc_id").cast("decimal(20,0)") * lines + F.col("line").cast("decimal(10,0)")
+    told = keyed.select(F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix"), place.alias("place"))
+    found = told.groupBy("h1", "h2", "n", "bits", "prefix").agg(F.min("place").alias("place")).withColumn("line", F.pmod("place", lines))
+    return found.select(F.call_function("div", F.col("place") - F.col("line"), lines).alias("doc_id"), F.col("line").cast("int").alias("line"), "n", "bits", "prefix")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -121,14 +126,14 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
         length = F.least(n1, n2) * den >= F.greatest(n1, n2) * num
         position = _similar(F.least(n1 - a1, n2 - a2) + F.least(a1, a2), n1, n2, num, den)
         differ = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) * (num + den) <= (n1 + n2) * (den - num)
-        return pairs.filter(before & length & position & differ).select("doc_id_x", "line_x", "doc_id_y", "line_y").distinct()
+        return pairs.filter(before & length & position & differ).select("doc_id_x", "line_x", "doc_id_y", "line_y")
 
     def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
         return rows.select("w", *more, *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line", "n", "at", "bits")))
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later places of those pairs whose whole sets are similar."""
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs.distinct(), "pairs")
         places = pairs.select(F.col("doc_id_x").alias("doc_id"), F.col("line_x").alias("line")).unionByName(pairs.select(F.col("doc_id_y").alias("doc_id"), F.col("line_y").alias("line"))).distinct()
         places = written(places, "places")
         few = places.count() <= BROADCAST_PLACES
@@ -144,19 +149,19 @@ def similar_classes(docs: DataFrame, classes: DataFrame, num: int = NUM, den: in
 
     first = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line", "n", "at", "bits")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "f.*", "k")
     first = written(first, "first")
-    gone = later(met(spread_join(side(entries, "y"), side(first, "x", "k"), ["w"], "k", "doc_id_y")))
+    with_first = written(spread_join(side(entries, "y"), side(first, "x", "k"), ["w"], "k", "doc_id_y"), "with-first")
+    gone = later(met(with_first))
     # of a word with two classes nothing is left to compare
     parts = F.ceil(F.col("k") / CROWD).cast("int")
-    crowded = written(spread_join(entries, first.filter("k > 2").select("w", "k"), ["w"], "k", "doc_id").withColumn("parts", parts).drop("k"), "crowded")
+    crowded = with_first.filter("k > 2").select("w", *(F.col(f"{c}_y").alias(c) for c in ("doc_id", "line", "n", "at", "bits")), parts.alias("parts"))
     left = crowded.join(gone, ["doc_id", "line"], "left_anti")
     pairs = met(side(crowded.filter("parts = 1"), "x").join(side(left.filter("parts = 1"), "y"), "w"))
     # the later places of a frequent word are dealt into parts, and its earlier ones go to each, so no task has all of them
     earlier = crowded.filter("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = left.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"))
-    rest = later(pairs.unionByName(met(side(earlier, "x", "part").join(side(dealt, "y", "part"), ["w", "part"]))).distinct())
-    out = written(gone.unionByName(rest).distinct(), "similar")
-    remove(first, crowded, gone, rest)
-    return out
+    rest = later(pairs.unionByName(met(side(earlier, "x", "part").join(side(dealt, "y", "part"), ["w", "part"]))))
+    remove(first, with_first)
+    return gone.unionByName(rest)  # two tables, and no place is in both
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -295,3 +295,14 @@ def test_lines_of_a_frequent_word_are_compared_in_parts(spark, monkeypatch):
             (gone[i].append(j) if any(100 * len(own & o) >= 90 * len(own | o) for o in kept) else None)
             kept.append(own)
     assert found == gone and any(gone.values())
+
+
+def test_line_classes_need_no_sorting(spark):
+    """Keys that cannot be null are sorted as plain numbers, and classes are found by hashing, whatever the ids."""
+    rows = [(-(2**63), "b a c\nc b a"), (2**63 - 1, "a b c\nx y"), (-5, "y x\nx\n\ny  x"), (-5, "x y"), (7, "x X")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not docs.select(line_dedup.distinct_keys(F.col("text"), line_dedup.rarity(docs)).alias("k")).schema["k"].dataType.containsNull
+    found = line_dedup.classes_of(docs, line_dedup.NUM, line_dedup.DEN)
+    assert sorted((c.doc_id, c.line, c.n) for c in found.collect()) == [(-(2**63), 0, 3), (-5, 0, 2), (-5, 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
