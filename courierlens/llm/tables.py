@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.shared import written  # noqa: F401
+from courierlens.shared import remove, written  # noqa: F401
 
 #: A key with more than one in HOT_SHARE of all rows is dealt over SALTS tasks; there are fewer than HOT_SHARE such keys.
 HOT_SHARE, SALTS = 1000, 64
@@ -19,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove(*tables: DataFrame) -> None:
-    """Delete the files of tables made by written() that are no longer needed."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, spread: str) -> DataFrame:
     """rows joined with keyed, which has each key once and in ``count`` the number of its rows.
 

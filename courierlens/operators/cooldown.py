@@ -12,12 +12,13 @@ No run of events becomes an array, and none is ordered beyond a block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierlens.operators.states import numbered
-from courierlens.shared import cut
+from courierlens.shared import cut, remove, written
 
 
 def _successors(rows: DataFrame, wait: int) -> DataFrame:
@@ -32,14 +33,19 @@ def _successors(rows: DataFrame, wait: int) -> DataFrame:
 def _chains(starts: DataFrame, pointers: DataFrame) -> DataFrame:
     """(_key, _segment, n) of all events that pointers (_key, _segment, n, next) lead to from the starts, themselves included."""
     node = ["_key", "_segment", "n"]
-    known, jumps = cut(starts.select(*node)), cut(pointers)
+    parts, jumps = [written(starts.select(*node), "known")], written(pointers, "jumps")
     while True:
-        found = known.join(jumps, node).select("_key", "_segment", F.col("next").alias("n"))
-        following = cut(known.unionByName(found))
-        if following.count() == known.count():
+        # what a round finds is written by itself, so what was known is not written again
+        known = reduce(DataFrame.unionByName, parts)
+        found = written(known.join(jumps, node).select("_key", "_segment", F.col("next").alias("n")), "known")
+        if found.isEmpty():
+            remove(jumps, found)
             return known
+        parts.append(found)
         ahead = jumps.select("_key", "_segment", F.col("n").alias("next"), F.col("next").alias("_further"))
-        known, jumps = following, cut(jumps.join(ahead, ["_key", "_segment", "next"]).select(*node, F.col("_further").alias("next")))
+        following = written(jumps.join(ahead, ["_key", "_segment", "next"]).select(*node, F.col("_further").alias("next")), "jumps")
+        remove(jumps)
+        jumps = following
 
 
 def taken(rows: DataFrame, keys: Sequence[str], seconds: float, gap: float | None = None, resets: Column | None = None) -> DataFrame:
@@ -58,7 +64,9 @@ def taken(rows: DataFrame, keys: Sequence[str], seconds: float, gap: float | Non
     chunks = begins.groupBy("_key", "_chunk").agg(F.sum("_start").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("_start").over(Window.partitionBy("_key", "_chunk").orderBy("_u", "id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = cut(begins.join(chunks.select("_key", "_chunk", before.alias("_earlier")), ["_key", "_chunk"]).withColumn("_segment", F.col("_earlier") + within).drop("_earlier"))
+    counted = begins.join(chunks.select("_key", "_chunk", before.alias("_earlier")), ["_key", "_chunk"]).withColumn("_segment", F.col("_earlier") + within).drop("_earlier")
+    # a checkpoint makes its last stage twice; but columns of no type are not for files
+    placed = cut(counted) if "void" in counted.schema.simpleString() else written(counted, "placed")
     there = placed.select("_key", "_segment", F.col("n").alias("next"))
     pointers = _successors(placed, wait).join(there, ["_key", "_segment", "next"])  # those within a segment
     chosen = _chains(placed.filter("_start = 1"), pointers)

@@ -56,3 +56,18 @@ def test_an_upload_ends_when_idle_or_old(spark):
     rows = spark.createDataFrame(chunks, "chunk_id long, client_ip string, uri string, t long, data string").withColumn("ts", F.timestamp_seconds("t"))
     found = temporal.reassembled(rows).orderBy("started").collect()
     assert [r.data for r in found] == ["0123456", "78", "9"] and [r.n_chunks for r in found] == [7, 2, 1]
+
+
+def test_the_key_of_a_repeat_is_short_and_known_events_are_written_once(spark, monkeypatch):
+    """One digest for all key columns, nulls included; of the chains each round writes only what it finds."""
+    from courierlens.operators import cooldown
+
+    seen = []
+    monkeypatch.setattr(cooldown, "written", lambda df, name, f=cooldown.written: seen.append((name, out := f(df, name), out.count())) or out)
+    rows = [(i, "ip" if i % 2 else None, "GET", "/u?x=1&offset=" + str(i), None, 10 * i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "session_id long, client_ip string, method string, uri string, filename string, t long, none void").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted(r.session_id for r in temporal.dedup_sessions(df.drop("none"), 60).collect())
+    assert got == sorted(by_hand([(r[1], float(r[5]), r[0], False) for r in rows], 60))
+    assert all(x.schema["_key"].dataType.simpleString() == "struct<_k:binary>" for _, x, _ in seen)
+    assert sum(n for name, _, n in seen if name == "known") == len(got)
+    assert sorted(r.session_id for r in temporal.dedup_sessions(df, 60).collect()) == got
